@@ -112,7 +112,7 @@ def _oracle(documents: str = "documents") -> str:
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM {documents}),
 words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
 windows AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS five
     FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words WHERE len(w) >= {WINDOW})),
 repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, five) > 1),
