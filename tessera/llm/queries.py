@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: Query name and the module that holds the function of that name.
 MODULES = {
+    "op2_simhash": "simhash",
+    "op5_quality_rules": "quality",
     "op6_bpe": "bpe",
+    "op7_mixing": "mixing",
+    "op9_line_dedup": "lines",
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in MODULES.items()}
