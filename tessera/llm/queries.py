@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name and the module that holds the function of that name.
 MODULES = {
+    "op1_suffix_dedup": "suffix",
     "op2_simhash": "simhash",
     "op5_quality_rules": "quality",
     "op6_bpe": "bpe",
