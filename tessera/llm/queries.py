@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op1_suffix_dedup": "suffix",
     "op2_simhash": "simhash",
+    "op3_secrets": "secrets",
+    "op4_media": "media",
     "op5_quality_rules": "quality",
     "op6_bpe": "bpe",
     "op7_mixing": "mixing",
