@@ -92,11 +92,11 @@ def quality_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are. Rows of one doc_id that
-    differ in text are all kept if one of them is; rows without doc_id are judged by themselves
-    only in quality_verdicts and are kept here."""
-    bad = quality_verdicts(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that the rules keep, all columns as they are. Rows of one doc_id (null
+    counts as one) are all kept if one of them is."""
+    bad = quality_verdicts(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("NOT _kept").select("_id")
+    # Written first, so that its size decides how it is joined.
+    return docs.join(materialize(bad, "rejected"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def op5_quality_rules(spark, sf_dir):

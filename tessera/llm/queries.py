@@ -13,7 +13,9 @@ MODULES = {
     "op5_quality_rules": "quality",
     "op6_bpe": "bpe",
     "op7_mixing": "mixing",
+    "op8_toxicity": "toxicity",
     "op9_line_dedup": "lines",
+    "op10_pii": "pii",
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in MODULES.items()}

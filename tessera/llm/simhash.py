@@ -189,5 +189,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
     return own.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, shingle_words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one with the least doc_id; of rows
+    that repeat a doc_id one stays. Rows without doc_id can't be told apart and stay."""
+    groups = near_duplicates(docs, shingle_words, radius).where("doc_id IS NOT NULL")
+    kept = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min("component_id").alias("_first")).where("_id = _first").select("_id", "_n")
+    kept = materialize(kept, "kept")
+    single = docs.join(kept.where("_n = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
+    repeated = docs.join(kept.where("_n > 1"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op2_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
