@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Unicode's White_Space, which the vocabulary's splitting pattern calls \s.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
 #: str.split() also parts at these, which White_Space lacks.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
