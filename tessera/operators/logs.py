@@ -64,7 +64,7 @@ def current_state(events: DataFrame) -> DataFrame:
 
 
 def duration_ms(start: Column, end: Column) -> Column:
-    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("bigint")
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000).cast("bigint")
 
 
 def filtered(logs: DataFrame, filters: dict[str, Any], time: str = "started_at") -> DataFrame:
