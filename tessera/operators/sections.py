@@ -207,28 +207,32 @@ def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
     parts = fragments(blocks(sections_df), max_tokens, tokens)
     heading = F.max_by("text", F.when((F.col("kind") == "heading") & (F.col("block_index") == 0), 1))
     body = F.array_sort(F.collect_list(F.when((F.col("kind") != "heading") | (F.col("block_index") > 0), F.struct("block_index", "part_index", "text"))))
-    grouped = parts.groupBy("id").agg(heading.alias("heading"), body.alias("body")).withColumn("room", max_tokens - F.coalesce(tokens(F.col("heading")), F.lit(0)))
-    sized = grouped.withColumn("body", F.transform("body", lambda p: F.struct(p["text"].alias("text"), tokens(p["text"]).alias("n"))))
-    part_type = "struct<text:string,n:int>"
-    state = F.struct(F.array().cast(f"array<array<{part_type}>>").alias("done"), F.array().cast(f"array<{part_type}>").alias("now"), F.lit(0).alias("fresh"))
+    grouped = parts.groupBy("id").agg(heading.alias("heading"), F.transform(body, lambda p: p["text"]).alias("body"))
+    texts = F.array().cast("array<string>")
+    state = F.struct(F.array().cast("array<array<string>>").alias("done"), texts.alias("now"), F.lit(0).alias("fresh"))
 
-    def total(ps: Column) -> Column:
-        return F.aggregate(ps, F.lit(0), lambda s, p: s + p["n"])
+    def fits(ps: Column) -> Column:
+        return tokens(F.concat_ws("\n\n", F.col("heading"), F.array_join(ps, "\n\n"))) <= max_tokens
 
-    def trailing(ps: Column, budget: Column) -> Column:
-        kept = F.aggregate(F.reverse(ps), F.struct(F.array().cast(f"array<{part_type}>").alias("k"), F.lit(0).alias("n"), F.lit(True).alias("open")), lambda s, p: F.when(s["open"] & (s["n"] + p["n"] <= budget), F.struct(F.concat(F.array(p), s["k"]).alias("k"), (s["n"] + p["n"]).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(s["k"].alias("k"), s["n"].alias("n"), F.lit(False).alias("open"))))
-        return kept["k"]
+    def trailing(ps: Column, p: Column) -> Column:
+        """The last parts, whole, that the overlap holds and that leave room for ``p``."""
+
+        def one(s: Column, q: Column) -> Column:
+            longer = F.concat(F.array(q), s["k"])
+            room = s["open"] & (tokens(F.array_join(longer, "\n\n")) <= overlap_tokens) & fits(F.concat(longer, F.array(p)))
+            return F.struct(F.when(room, longer).otherwise(s["k"]).alias("k"), room.alias("open"))
+
+        return F.aggregate(F.reverse(ps), F.struct(texts.alias("k"), F.lit(True).alias("open")), one)["k"]
 
     def add(s: Column, p: Column) -> Column:
-        fits = total(s["now"]) + p["n"] <= F.col("room")
-        room = F.greatest(F.lit(0), F.least(F.lit(overlap_tokens), F.col("room") - p["n"]))
-        carried = trailing(s["now"], room) if overlap_tokens else F.array().cast(f"array<{part_type}>")
+        more = F.concat(s["now"], F.array(p))
+        carried = trailing(s["now"], p) if overlap_tokens else texts
         started = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.concat(carried, F.array(p)).alias("now"), F.lit(1).alias("fresh"))
-        return F.when(fits | (s["fresh"] == 0), F.struct(s["done"].alias("done"), F.concat(s["now"], F.array(p)).alias("now"), (s["fresh"] + 1).alias("fresh"))).otherwise(started)
+        return F.when((s["fresh"] == 0) | fits(more), F.struct(s["done"].alias("done"), more.alias("now"), (s["fresh"] + 1).alias("fresh"))).otherwise(started)
 
     packed = F.aggregate("body", state, add, lambda s: F.concat(s["done"], F.array(s["now"])))
-    exploded = sized.select(F.col("id").alias("section_id"), "heading", F.posexplode(packed).alias("index", "parts"))
-    text = F.concat_ws("\n\n", "heading", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"))
+    exploded = grouped.select(F.col("id").alias("section_id"), "heading", F.posexplode(packed).alias("index", "parts"))
+    text = F.concat_ws("\n\n", "heading", F.array_join("parts", "\n\n"))
     out = exploded.select("section_id", "index", F.concat("section_id", F.lit("#chunk-"), F.col("index").cast("string")).alias("id"), F.regexp_replace(text, r"\s+$", "").alias("markdown"))
     out = out.withColumn("token_count", tokens(F.col("markdown"))).withColumn("oversized", F.col("token_count") > max_tokens)
     if oversized == "error" and not out.where("oversized").isEmpty():
