@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, materialize, table, text_or_empty
+from tessera.llm.shared import WORD, materialize, table, text_or_empty, unused
 
 #: One edit in five words or more leaves a similarity of 0.8 at least.
 MIN_WORDS = 5
@@ -133,13 +133,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines that go taken out of text, n_chars (where there is such a column)
     adjusted; lines without a word stay between kept ones. A text that loses all its lines is empty;
     a null text stays null. All rows and other columns stay."""
+    own, numbers = unused(docs, "kept_id", "kept_lines")
     kept, _ = kept_lines(docs, min_words)
-    joined = docs.join(kept.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(kept.select(F.col("doc_id").alias(own), F.col("kept").alias(numbers)), F.col("doc_id").eqNullSafe(F.col(own)), "left")
     lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda x, i: ~x.rlike(WORD) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
+    stays = F.filter(lines, lambda x, i: ~x.rlike(WORD) | F.coalesce(F.array_contains(numbers, i), F.lit(False)))
     n_lines = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
-    emptied = F.col("_kept").isNull() & (n_lines > 0)
-    text = F.when(emptied, F.lit("")).when(F.size("_kept") == n_lines, F.col("text")).otherwise(F.array_join(stays, "\n"))
+    emptied = F.col(numbers).isNull() & (n_lines > 0)
+    text = F.when(emptied, F.lit("")).when(F.size(numbers) == n_lines, F.col("text")).otherwise(F.array_join(stays, "\n"))
     joined = joined.withColumn("text", F.when(F.col("text").isNotNull(), text))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, materialize, table, text_or_empty
+from tessera.llm.shared import WORD, materialize, table, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix for each word of the corpus, and the most often that a source's words repeat.
@@ -130,16 +130,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: every copy that it takes as a row with the columns of ``docs``, range-sorted
     by training position. A partial copy has the words taken, joined by a space, as its text.
     Rows that agree in doc_id, text and source are copies of one row."""
-    keys = {"_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_hash": F.xxhash64("doc_id", "text", "source")}
-    sizes = materialize(docs.withColumns(keys).select("doc_id", "source", word_count().alias("size"), *keys), "words")
+    own, content, partial, n, position = unused(docs, "own_id", "content", "partial", "n_words", "position")
+    keys = {own: F.coalesce("doc_id", F.lit(-(1 << 63))), content: F.xxhash64("doc_id", "text", "source")}
+    sizes = docs.select("doc_id", "source", word_count().alias("size"), *(c.alias(k) for k, c in zip(("own_id", "content"), keys.values(), strict=True)))
     last = F.when(F.col("extra") > 0, F.col("whole")).otherwise(F.col("whole") - 1)
-    taken = allotments(sizes).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    taken = allotments(materialize(sizes, "words")).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     words = F.when(F.col("copy") < F.col("whole"), F.col("size")).otherwise(F.col("extra"))
-    copies = taken.select(*keys, (words < F.col("size")).alias("_partial"), words.cast("int").alias("_words"), _position(F.col("copy"), words).alias("_position"))
-    joined = docs.withColumns(keys).dropDuplicates(list(keys)).join(copies, list(keys))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words")), " ")
-    joined = joined.withColumn("text", F.when(F.col("_partial"), cut).otherwise(F.col("text")))
-    return joined.orderBy("_position", "doc_id").select(docs.columns)
+    copies = taken.select(F.col("own_id").alias(own), F.col("content").alias(content), (words < F.col("size")).alias(partial), words.cast("int").alias(n), _position(F.col("copy"), words).alias(position))
+    joined = docs.withColumns(keys).dropDuplicates([own, content]).join(copies, [own, content])
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(n)), " ")
+    joined = joined.withColumn("text", F.when(F.col(partial), cut).otherwise(F.col("text")))
+    return joined.orderBy(position, "doc_id").select(docs.columns)
 
 
 ORACLE_SQL = """

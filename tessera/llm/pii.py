@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize, table
+from tessera.llm.shared import materialize, table, unused
 
 #: Titles by gender and script; the words after them are a name.
 TITLES = {
@@ -148,24 +148,26 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
 
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities in text replaced; adds entities (array of value, surrogate), null where
-    there are none. Texts without entities, null and empty ones stay as they are; so do all rows."""
-    per_doc = docs.select("doc_id", found_entities(F.col("text")).alias("_values")).where("_values IS NOT NULL")
+    there are none, in place of a column of that name. Texts without entities, null and empty ones stay as
+    they are; so do all rows, repeated ones and null doc_ids too."""
+    values, own, moved, drawn = unused(docs, "values", "own_id", "moved", "drawn")
+    per_doc = docs.select("doc_id", found_entities(F.col("text")).alias("values")).where("values IS NOT NULL")
     per_doc = materialize(per_doc, "entities")
-    occurrences = per_doc.select("doc_id", F.explode("_values").alias("value"))
-    moved = redrawn(occurrences.select("value").distinct(), key)
-    by_doc = occurrences.join(moved, "value").distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("_moved"))
+    occurrences = per_doc.select("doc_id", F.explode("values").alias("value"))
+    again = redrawn(occurrences.select("value").distinct(), key)
+    by_doc = occurrences.join(again, "value").distinct().groupBy(F.col("doc_id").alias(own)).agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias(moved))
     by_doc = materialize(by_doc, "redrawn_by_doc")
-    joined = docs.withColumn("_values", found_entities(F.col("text"))).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.withColumn(values, found_entities(F.col("text"))).join(by_doc, F.col("doc_id").eqNullSafe(F.col(own)), "left")
 
-    def attempt(value: Column) -> Column:
-        return F.coalesce(F.try_element_at("_moved", value), F.lit(0))
+    def replaced(value: Column) -> Column:
+        attempt = F.coalesce(F.try_element_at(F.col(moved), value), F.lit(0))
+        return F.struct(value.alias("value"), surrogate(value, attempt, key).alias("surrogate"))
 
-    drawn = F.transform("_values", lambda v: F.struct(v.alias("value"), surrogate(v, attempt(v), key).alias("surrogate")))
-    joined = joined.withColumn("_drawn", F.when(F.col("_values").isNotNull(), drawn))
+    joined = joined.withColumn(drawn, F.when(F.col(values).isNotNull(), F.transform(values, replaced)))
     pieces = F.split("text", _ANY, -1)
-    replaced = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_drawn", i)["surrogate"], F.lit("")))), "")
-    text = F.when(F.col("_drawn").isNotNull(), replaced).otherwise(F.col("text"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col("_drawn").alias("entities"))
+    text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(drawn), i)["surrogate"], F.lit("")))), "")
+    text = F.when(F.col(drawn).isNotNull(), text).otherwise(F.col("text"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "entities"), F.col(drawn).alias("entities"))
 
 
 def surrogate_report(docs: DataFrame, key: str) -> DataFrame:

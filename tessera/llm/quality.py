@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, materialize, table, text_or_empty
+from tessera.llm.shared import WORD, materialize, table, text_or_empty, unused
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -94,9 +94,10 @@ def quality_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are. Rows of one doc_id (null
     counts as one) are all kept if one of them is."""
-    bad = quality_verdicts(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("NOT _kept").select("_id")
+    (own,) = unused(docs, "rejected_id")
+    bad = quality_verdicts(docs).groupBy(F.col("doc_id").alias(own)).agg(F.bool_or("kept").alias("kept")).where("NOT kept").select(own)
     # Written first, so that its size decides how it is joined.
-    return docs.join(materialize(bad, "rejected"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(materialize(bad, "rejected"), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def op5_quality_rules(spark, sf_dir):

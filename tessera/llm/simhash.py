@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import connected_components, materialize, table
+from tessera.llm.shared import connected_components, materialize, table, unused
 
 RADIUS = 3
 #: The 64 bits of a signed integer.
@@ -192,11 +192,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
 def keep_first(docs: DataFrame, shingle_words: int = 3, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the least doc_id; of rows
     that repeat a doc_id one stays. Rows without doc_id can't be told apart and stay."""
+    own, rows = unused(docs, "kept_id", "kept_rows")
     groups = near_duplicates(docs, shingle_words, radius).where("doc_id IS NOT NULL")
-    kept = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min("component_id").alias("_first")).where("_id = _first").select("_id", "_n")
+    kept = groups.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows), F.min("component_id").alias("first")).where(F.col(own) == F.col("first")).select(own, rows)
     kept = materialize(kept, "kept")
-    single = docs.join(kept.where("_n = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
-    repeated = docs.join(kept.where("_n > 1"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    single = docs.join(kept.where(F.col(rows) == 1), F.col("doc_id") == F.col(own), "left_semi")
+    repeated = docs.join(kept.where(F.col(rows) > 1), F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
