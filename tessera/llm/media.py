@@ -157,7 +157,9 @@ class ArchiveReader(DataSourceReader):
                     raise OSError(f"{what}: {e}") from e
                 time.sleep(0.1 * 2**attempt)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no archives
+            return
         store, file = _open(partition.uri)
 
         def stretch(offset: int, size: int) -> bytes:

@@ -130,20 +130,19 @@ def found_entities(text: Column) -> Column:
 
 def redrawn(entities: DataFrame, key: str) -> DataFrame:
     """(value, attempt) of those distinct ``entities`` (value) whose first surrogate isn't theirs to keep."""
-    spark = entities.sparkSession
     pending, taken, moved = entities.withColumn("attempt", F.lit(0)), entities.select(F.col("value").alias("used")), None
     for _ in range(ROUNDS):
         drawn = materialize(pending.withColumn("drawn", surrogate(F.col("value"), F.col("attempt"), key)), "surrogates")
         # One entity of those that drew a surrogate may have it, unless it is taken.
-        own = drawn.groupBy("drawn").agg(F.min("value").alias("value")).join(taken, F.col("drawn") == F.col("used"), "left_anti")
-        lost = materialize(drawn.join(own, ["drawn", "value"], "left_anti").select("value", (F.col("attempt") + 1).alias("attempt")), "redraw")
-        now = drawn.where("attempt > 0").join(own, ["drawn", "value"]).select("value", "attempt")
+        own = drawn.groupBy("drawn").agg(F.min_by(F.struct("value", "attempt"), "value").alias("o")).select("drawn", "o.*")
+        own = materialize(own.join(taken, F.col("drawn") == F.col("used"), "left_anti"), "own_surrogates")
+        pending = materialize(drawn.join(own, "value", "left_anti").select("value", (F.col("attempt") + 1).alias("attempt")), "redraw")
+        now = own.where("attempt > 0").select("value", "attempt")
         moved = now if moved is None else moved.unionByName(now)
-        if lost.isEmpty():
-            return materialize(moved, "redrawn")
+        if pending.isEmpty():
+            return moved
         taken = taken.unionByName(own.select(F.col("drawn").alias("used")))
-        pending = lost
-    raise RuntimeError(f"{spark.sparkContext.appName}: more entities of a format than values it has")
+    raise RuntimeError("more entities of a format than it has values")
 
 
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:

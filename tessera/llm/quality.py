@@ -17,7 +17,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
-#: A host whose shrunk rate of failures of any rule is above this is rejected with all its documents.
+#: A host is rejected with all its documents if the rate of failures of a rule is above this both among its
+#: own documents and when shrunk.
 MAX_HOST_RATE = 0.5
 #: Rules whose failures are summed by host: name and condition on a document's counts.
 HOST_RULES = {
@@ -70,12 +71,13 @@ def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     hosts = counts.groupBy("source").agg(F.count("*").alias("documents"), *(F.sum(x).alias(name) for name, x in failures.items()))
     # One row: the corpus' rate of each rule and the variance of the hosts' rates.
     moments = hosts.agg(*(x for name in HOST_RULES for x in ((F.sum(name) / F.sum("documents")).alias(f"{name}_mean"), F.var_pop(F.col(name) / F.col("documents")).alias(f"{name}_var")))).first()
-    rates = {}
+    rates, bad = {}, F.lit(False)
     for name in HOST_RULES:
         mean, variance = moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0
         weight = min(max(mean * (1 - mean) / variance - 1 if variance > 0 else PRIOR_WEIGHT[1], PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
-        rates[f"{name}_rate"] = (F.col(name) + mean * weight) / (F.col("documents") + weight)
-    return hosts.select("source", "documents", *(x.alias(name) for name, x in rates.items())).withColumn("rejected", F.greatest(*rates) > max_rate)
+        rates[f"{name}_rate"] = rate = (F.col(name) + mean * weight) / (F.col("documents") + weight)
+        bad = bad | ((rate > max_rate) & (F.col(name) / F.col("documents") > max_rate))
+    return hosts.select("source", "documents", *(x.alias(name) for name, x in rates.items()), bad.alias("rejected"))
 
 
 def quality_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -109,7 +111,7 @@ def _oracle(documents: str = "documents") -> str:
     moments = ", ".join(f"sum({name}) / sum(n) AS {name}_mean, var_pop({name} / n) AS {name}_var" for name in HOST_RULES)
     least, most = PRIOR_WEIGHT
     weights = ", ".join(f"{name}_mean AS {name}_mean, least(greatest(CASE WHEN {name}_var > 0 THEN {name}_mean * (1 - {name}_mean) / {name}_var - 1 ELSE {most} END, {least}), {most}) AS {name}_weight" for name in HOST_RULES)
-    rates = ", ".join(f"({name} + {name}_mean * {name}_weight) / (n + {name}_weight)" for name in HOST_RULES)
+    rates = " OR ".join(f"(({name} + {name}_mean * {name}_weight) / (n + {name}_weight) > {MAX_HOST_RATE} AND {name} / n > {MAX_HOST_RATE})" for name in HOST_RULES)
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM {documents}),
 words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -124,7 +126,7 @@ counts AS (SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM counts),
 hosts AS (SELECT source, count(*)::double AS n, {sums} FROM judged GROUP BY source),
 moments AS (SELECT {moments} FROM hosts), prior AS (SELECT {weights} FROM moments),
-verdicts AS (SELECT source, greatest({rates}) > {MAX_HOST_RATE} AS rejected FROM hosts, prior)
+verdicts AS (SELECT source, {rates} AS rejected FROM hosts, prior)
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
     n_repeat_words::bigint AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
