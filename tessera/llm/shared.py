@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    path = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or without it the
-    warehouse, or in a single process (tests) a folder of this machine."""
+    warehouse, or in a single process (tests) a folder of this machine that goes when it ends."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        return "/tmp/checkpoints"
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return _own_folder()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
