@@ -143,3 +143,17 @@ def test_embedding(spark):
 
     with pytest.raises(Exception, match="INVALID_RESPONSE"):
         indexing.embedded(df, Short()).collect()
+
+
+def test_integrity(spark):
+    from tessera.operators import integrity
+
+    g, c = {k: df.cache() for k, df in built(spark).items()}, contributions(spark, "s1", "s2")
+    pending = spark.createDataFrame([], "section_id string, section_revision string")
+    assert integrity.graph_problems(g, c, pending).count() == 0
+    reasons = lambda graph_, c_=c, p_=pending: {r["reason"] for r in integrity.graph_problems(graph_, c_, p_).collect()}
+    assert reasons(g, c.where("section_id = 's1'")) == {"link without contribution"}
+    assert reasons(g, c, spark.createDataFrame([("s1", "r1")], pending.schema)) == {"waiting section is linked"}
+    assert {"edge without node", "relations of node and edges"} <= reasons(g | {"nodes": g["nodes"].where("canonical_id IS NOT NULL")})
+    with pytest.raises(TesseraError, match="repeated node"):
+        integrity.check_graph(g | {"nodes": g["nodes"].unionByName(g["nodes"])}, c, pending)
