@@ -6,6 +6,10 @@ anchors, and runs of neighbouring windows with one anchor form a segment. Segmen
 anchor: those whose anchor occurs once can't repeat and go; those equal to an earlier segment repeat
 as a whole. Only the first copy of each segment whose anchor also has other segments needs its text.
 
+An anchor with more than HOT_SEGMENTS different segments (the edge of a passage that very many documents
+share) would gather them all in one task; its segments are cut into their windows, which are dealt by
+their own hash.
+
 These texts come to the anchor's task in order of document, in batches. Each batch gets a suffix
 array of its windows; neighbours that agree in ``length`` bytes are repeats, and the batch is
 merge-scanned against the levels of the index before it is added as a level of its own. Levels of
@@ -28,6 +32,7 @@ from tessera.llm.shared import materialize, table, text_or_empty
 
 LENGTH = 100
 ANCHOR = 20
+HOT_SEGMENTS = 20_000
 #: Windows of a long text are handled in blocks of so many.
 BLOCK = 1 << 22
 _NO_ID = -(1 << 63)
@@ -77,6 +82,10 @@ def segments(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np
 
 
 def _anchors(length: int):
+    """Rows (anchor, content, id, first, n, copy) of the segments of documents (id, text). Within a batch only
+    the first segment of each content is left for the shuffle by anchor; the others are known to be copies,
+    are joined to stretches of a text and get a key of their own, so that they spread."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
@@ -88,8 +97,25 @@ def _anchors(length: int):
                     content = np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)), np.uint64, len(first))
                     for column, values in zip(parts, (hashes, content.view(np.int64), np.full(len(first), doc_id), first, n), strict=True):
                         column.append(values)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["anchor", "content", "id", "first", "n"])
+            if not parts[0]:
+                continue
+            anchor, content, ids, first, n = map(np.concatenate, parts)
+            order = np.lexsort((first, ids, content, anchor))
+            a, c, d, f = anchor[order], content[order], ids[order], first[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+            at = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (d != d[at]) | (f != f[at])
+            copy = np.zeros(len(order), bool)
+            copy[order[later]] = True
+            mine, theirs = np.flatnonzero(~copy), np.flatnonzero(copy)
+            # Copies in the order of the texts: a stretch ends where the next one doesn't follow.
+            d, f, k = ids[theirs], first[theirs], n[theirs]
+            begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1] + k[:-1])))) if len(theirs) else theirs
+            total = np.add.reduceat(k, begin) if len(begin) else k
+            d, f = d[begin], f[begin]
+            spread = (d * np.int64(-7046029254386353131)) ^ (f * np.int64(-4417276706812531889))
+            columns = ((anchor[mine], spread), (content[mine], f), (ids[mine], d), (first[mine], f), (n[mine], total), (np.zeros(len(mine), bool), np.ones(len(d), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["anchor", "content", "id", "first", "n", "copy"])
 
     return run
 
@@ -97,11 +123,14 @@ def _anchors(length: int):
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (anchor, content, id, first). Yield (id, first, n, anchor, copy): segments
     equal to an earlier one as copies, and the first of each content where an anchor has several. What is
-    kept from batch to batch is one row: the content's first segment."""
+    kept from batch to batch is one row: the content's first segment. Known copies pass through."""
     anchor = content = begin = None
     pending, several = None, False
     for batch in batches:
-        a, c, d, f, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        a, c, d, f, n, known = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (d, f, n, a, known)], ["id", "first", "n", "anchor", "copy"])
+            a, c, d, f, n = (x[~known] for x in (a, c, d, f, n))
         if not len(a):
             continue
         new_anchor = np.concatenate(([anchor is None or a[0] != anchor], a[1:] != a[:-1]))
@@ -259,7 +288,7 @@ def _results(rows: list[tuple], with_bytes: bool) -> list[pa.Array]:
     return [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """Remove from each text each byte in a ``length``-byte string that also begins earlier: in a row
     with a smaller doc_id, or further ahead in the same text. What repeats is judged on the input.
 
@@ -268,13 +297,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     whole. Rows of one doc_id count as one document: what is removed from one is removed from all.
     """
     own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), text_or_empty().alias("text"))
-    anchors = own.mapInArrow(_anchors(length), "anchor bigint, content bigint, id bigint, first bigint, n bigint")
+    anchors = own.mapInArrow(_anchors(length), "anchor bigint, content bigint, id bigint, first bigint, n bigint, copy boolean")
     anchors = anchors.withColumns({"first": F.col("first").cast("int"), "n": F.col("n").cast("int")})
     sorted_anchors = anchors.repartition("anchor").sortWithinPartitions("anchor", "content", "id", "first")
     found = materialize(sorted_anchors.mapInArrow(_classify, "id bigint, first int, n int, anchor bigint, copy boolean"), "segments")
 
     # One pass over the texts finishes the documents that need no comparison of texts.
-    part = F.struct("first", "n", "anchor")
+    hot = found.where("NOT copy").groupBy("anchor").count().where(F.col("count") > hot_segments)
+    hot = materialize(hot.select("anchor", F.lit(True).alias("hot")), "hot_anchors")
+    found = found.join(hot, "anchor", "left")
+    part = F.struct("first", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     by_doc = found.groupBy("id").agg(
         F.collect_list(F.when(F.col("copy"), F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") + (length - 1)).alias("b")))).alias("spans"),
         F.collect_list(F.when(~F.col("copy"), part)).alias("wanted"),
@@ -289,7 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
             yield pa.RecordBatch.from_arrays([*_results(rows, with_bytes), pa.array(texts, pa.string()), batch.column(2), batch.column(3)], [*_NAMES, "text", "spans", "wanted"])
 
     joined = own.join(by_doc, "id", "left").select("id", "text", "spans", "wanted", (F.coalesce(F.size("wanted"), F.lit(0)) > 0).alias("open"))
-    more = "text string, spans array<struct<a:int,b:int>>, wanted array<struct<first:int,n:int,anchor:bigint>>"
+    more = "text string, spans array<struct<a:int,b:int>>, wanted array<struct<first:int,n:int,anchor:bigint,hot:boolean>>"
     passed = materialize(joined.mapInArrow(first_pass, f"{_RESULT}, {more}"), "passed")
     rest = passed.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "spans", "wanted")
 
@@ -299,10 +331,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
             for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 for w in wanted:
-                    a.append(w["anchor"])
-                    d.append(doc_id)
-                    f.append(w["first"])
-                    t.append(data[w["first"] : w["first"] + w["n"] + length - 1])
+                    first, n = w["first"], w["n"]
+                    for at, size in [(k, 1) for k in range(first, first + n)] if w["hot"] else [(first, n)]:
+                        piece = data[at : at + size + length - 1]
+                        a.append(w["anchor"] if not w["hot"] else xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+                        d.append(doc_id)
+                        f.append(at)
+                        t.append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(f, pa.int64()), pa.array(t, pa.binary())], ["anchor", "id", "first", "bytes"])
 
     texts = rest.select("id", "text", "wanted").mapInArrow(cut, "anchor bigint, id bigint, first bigint, bytes binary")

@@ -37,12 +37,12 @@ def repeating_texts(n, seed):
     return rows + [(n + i, rows[i][1], "s0") for i in range(5)]
 
 
-@pytest.mark.parametrize("batch", [10_000, 3])
-def test_suffix_dedup_is_brute_force(spark, frame, batch):
+@pytest.mark.parametrize("batch, hot", [(10_000, 20_000), (3, 20_000), (3, 2)])
+def test_suffix_dedup_is_brute_force(spark, frame, batch, hot):
     rows = repeating_texts(60, batch) + [r for r in ODD if r[0] is None and r[1] is None]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
-        got = suffix.remove_repeats(frame(rows), with_bytes=True).collect()
+        got = suffix.remove_repeats(frame(rows), with_bytes=True, hot_segments=hot).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = brute_repeats(rows)
