@@ -24,18 +24,24 @@ RADIUS = 3
 _BITS = (1 << 64) - 1
 
 
+def shingle_hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``shingle_words`` words, or of all words if there are fewer."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle_words + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True)), np.uint64, n)
+
+
 def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     """The 64-bit SimHash of a text: words between ASCII white space, A-Z lower-cased, in shingles;
     a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42). No words: 0."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle_words + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True)), np.uint64, n)
+    hashes = shingle_hashes(words, shingle_words)
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         part = hashes[k : k + (1 << 16)].astype("<u8")
@@ -189,11 +195,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = RADIU
     return own.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle_words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the least doc_id; of rows
-    that repeat a doc_id one stays. Rows without doc_id can't be told apart and stay."""
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one document of each of ``groups`` (doc_id, component_id), the one with the least
+    doc_id; of rows that repeat a doc_id one stays. Rows without doc_id can't be told apart and stay."""
     own, rows = unused(docs, "kept_id", "kept_rows")
-    groups = near_duplicates(docs, shingle_words, radius).where("doc_id IS NOT NULL")
+    groups = groups.where("doc_id IS NOT NULL")
     kept = groups.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows), F.min("component_id").alias("first")).where(F.col(own) == F.col("first")).select(own, rows)
     kept = materialize(kept, "kept")
     single = docs.join(kept.where(F.col(rows) == 1), F.col("doc_id") == F.col(own), "left_semi")
@@ -201,5 +207,10 @@ def keep_first(docs: DataFrame, shingle_words: int = 3, radius: int = RADIUS) ->
     return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
+def keep_first(docs: DataFrame, shingle_words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, as first_of_groups picks it."""
+    return first_of_groups(docs, near_duplicates(docs, shingle_words, radius))
+
+
 def op2_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
