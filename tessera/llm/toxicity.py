@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -104,11 +103,6 @@ class Reader:
         )
 
 
-def _sketch(text: str) -> int:
-    """Texts that share nearly all words mostly have the same one."""
-    return min((zlib.crc32(w.encode()) for w in set(text.split())), default=0)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> DataFrame:
     """doc_id, text, toxic, share (0 to 99, by hash) of at most ``sample`` labelled documents outside fold 0."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -121,12 +115,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold
 
 def learned_terms(rows: DataFrame) -> dict[str, float]:
     """Words and word beginnings ("abcd+") by the logarithm of how much likelier they are in a toxic text
-    than in another. Texts that share nearly all words count as one."""
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketches = [_sketch(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.int64())], ["text", "toxic", "sketch"])
+    than in another. Equal texts with one label count as one."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +125,8 @@ def learned_terms(rows: DataFrame) -> dict[str, float]:
             terms = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[i][t] for t in terms], pa.int64()) for i in (1, 0))], ["term", "toxic", "other"])
 
-    kind = rows.schema["toxic"].dataType.simpleString()
-    texts = rows.select("text", "toxic").mapInArrow(sketched, f"text string, toxic {kind}, sketch bigint").dropDuplicates(["sketch", "toxic"])
+    same = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    texts = rows.select("text", "toxic", *same).dropDuplicates(["h1", "h2", "toxic"])
     texts = materialize(texts.select("text", "toxic"), "distinct")
     sizes = texts.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") == 0)).first()
     terms = texts.mapInArrow(counted, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
