@@ -3,7 +3,8 @@
 Each entity is replaced by a value of its own type and format that a key and the entity alone
 determine, so an entity has one surrogate everywhere. All distinct entities' surrogates are then
 checked: of those that coincide with one another, or with an entity of the corpus, all but one are
-drawn again, until all differ. The few that were drawn more than once are joined back to their
+drawn again, until all differ; from the second redraw on, names, emails and phone numbers get longer,
+so that those of a format with few values find one too. The few that were drawn more than once are joined back to their
 documents; every other surrogate is computed where it is needed.
 """
 
@@ -27,7 +28,7 @@ FIRST_NAMES = {
     ("male", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Степан", "Тимур"),
     ("female", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Инна", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья"),
 }
-#: Family names are three of these.
+#: Family names are four of these, or more when drawn again.
 SYLLABLES = {"latin": ("ba", "del", "fi", "gor", "hen", "kal", "lo", "mar", "ne", "per", "ri", "sol", "tan", "ver", "wil", "zo"), "cyrillic": ("ба", "дел", "фи", "гор", "хен", "кал", "ло", "мар", "не", "пер", "ри", "сол", "тан", "вер", "вил", "зо")}
 
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
@@ -47,7 +48,7 @@ KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must have for any pattern to match.
 _HINT = rf"[0-9@]|{_TITLE}"
-#: Redraws before giving up: reached only if a format has fewer values than there are entities.
+#: Redraws before giving up: reached only if a format that doesn't grow has hardly more values than there are entities.
 ROUNDS = 64
 
 
@@ -95,8 +96,10 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     title, and family names and first names (by gender) have surrogates of their own."""
     kind = kind_of(value)
     whole = _draw(key, attempt, value)
+    # So many syllables, letters or pairs of digits more: each makes at least 16 times as many values.
+    more = F.floor(attempt / 2).cast("int")
     domain, last = F.regexp_extract(value, r"@(.*)\.", 1), F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
-    email = F.concat(_same_format(F.regexp_extract(value, "^[^@]*", 0), whole), F.lit("@"), _same_format(domain, _draw(key, F.lit(0), domain)), last)
+    email = F.concat(_same_format(F.concat(F.regexp_extract(value, "^[^@]*", 0), F.repeat(F.lit("a"), more)), whole), F.lit("@"), _same_format(domain, _draw(key, F.lit(0), domain)), last)
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda _, i: (F.pmod(_number(whole, i), F.lit(254)) + 1).cast("string")), ".")
     code = F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
@@ -113,11 +116,18 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
 
     def family_name(word: Column) -> Column:
         digest = _draw(key, attempt, word)
-        made = [F.concat(*(_pick(_number(digest, i), SYLLABLES[script]) for i in range(4))) for script in ("latin", "cyrillic")]
+
+        def syllables(script: str) -> Column:
+            longer = F.transform(F.sequence(F.lit(4), more + 3), lambda i: _pick(_number(digest, i), SYLLABLES[script]))
+            return F.concat(*(_pick(_number(digest, i), SYLLABLES[script]) for i in range(4)), F.when(more > 0, F.array_join(longer, "")).otherwise(""))
+
+        made = [syllables(script) for script in ("latin", "cyrillic")]
         return F.initcap(F.when(cyrillic, made[1]).otherwise(made[0]))
 
     name = F.concat(title, F.when(F.size(words) > 1, F.concat(first_name(F.get(words, 0)), F.lit(" "))).otherwise(""), family_name(F.element_at(words, -1)))
-    other = _same_format(value, whole, F.when(kind == "phone", code).when(kind == "card", 1).when(kind == "iban", 2).otherwise(0))
+    # A phone number with a country code has a pair of digits to spare for each.
+    grown = F.when((kind == "phone") & value.startswith("+"), F.concat(value, F.repeat(F.lit("00"), more))).otherwise(value)
+    other = _same_format(grown, whole, F.when(kind == "phone", code).when(kind == "card", 1).when(kind == "iban", 2).otherwise(0))
     return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "name", name).otherwise(other)
 
 
