@@ -109,9 +109,10 @@ def deduplicated_relations(relations: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def deduplicated_facts(facts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Node ids mapped; facts of one statement about the same nodes, in any order, merged."""
-    exploded = facts.select("section_id", "ord", "statement", "evidence", F.posexplode("node_ids").alias("at", "old")).join(ids, ["section_id", "old"])
-    nodes = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]))
+    """Node ids mapped; facts of one statement about the same nodes, in any order, merged. A fact may be
+    about no node."""
+    exploded = facts.select("section_id", "ord", "statement", "evidence", F.posexplode_outer("node_ids").alias("at", "old")).join(ids, ["section_id", "old"], "left")
+    nodes = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("new").isNotNull(), F.struct("at", "new")))), lambda x: x["new"]))
     mapped = exploded.groupBy("section_id", "ord").agg(F.first("statement").alias("statement"), F.first("evidence").alias("evidence"), nodes.alias("node_ids"))
     mapped = mapped.withColumn("_same", F.array_sort("node_ids"))
     return mapped.groupBy("section_id", "statement", "_same").agg(F.min("ord").alias("ord"), F.min_by("node_ids", "ord").alias("node_ids"), _in_first_order("evidence").alias("evidence")).drop("_same")

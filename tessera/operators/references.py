@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sections import lines, reference_identifier
+from tessera.operators.sections import FENCE, reference_identifier, units
 
 PREVIEW_ITEMS, PREVIEW_TITLE, PREVIEW_TEXT = 20, 300, 6000
 
 
 def definitions(docs: DataFrame, key: str = "document_id", text: str = "markdown") -> DataFrame:
-    """Link and footnote definitions outside fences: identifier and text; of equal identifiers the first."""
-    found = lines(docs, key, text).where(~F.col("fenced") & F.col("line").rlike(r"^ {0,3}\[[^\]]+\]:"))
+    """Link and footnote definitions outside fences: identifier and text; of equal identifiers the first. line_no
+    counts fenced blocks as one line."""
+    found = docs.select(key, F.posexplode(units(F.col(text))).alias("line_no", "unit")).where(~F.col("unit").rlike(FENCE) & F.col("unit").rlike(r"^ {0,3}\[[^\]]+\]:"))
+    found = found.select(key, "line_no", F.regexp_replace("unit", r"\s+$", "").alias("line"))
     named = found.withColumn("identifier", reference_identifier(F.regexp_extract("line", r"^ {0,3}\[([^\]]+)\]:", 1)))
     return named.groupBy(key, "identifier").agg(F.min_by("line", "line_no").alias("definition"), F.min("line_no").alias("line_no"))
 

@@ -1,8 +1,9 @@
 """Markdown documents as rows of blocks, sections and chunks.
 
-Lines are numbered rows; fences, blank lines and headings are found with windows within a document,
-so long collections spread over tasks and nothing is parsed as one object. Sections begin at headings
-of depth 1 to 3 outside fences. Chunks pack a section's blocks greedily into a token budget.
+One regular expression cuts a text into fenced blocks and lines; array functions group these into
+sections and blocks and pack blocks into chunks. All of it happens in a document's row (documents are
+bounded), so there is no shuffle, and collections spread over tasks as they are read. Sections begin at
+headings of depth 1 to 3 outside fences. Chunks pack a section's blocks greedily into a token budget.
 """
 
 from __future__ import annotations
@@ -88,56 +89,96 @@ def normalized(docs: DataFrame, adapter: str, content: str = "content") -> DataF
     return df.withColumn("title", F.coalesce(F.try_element_at("metadata", F.lit("title")), F.nullif(heading, F.lit(""))))
 
 
-def lines(docs: DataFrame, key: str = "document_id", text: str = "markdown") -> DataFrame:
-    """One row per line: line_no, line, fenced (in or at a fence), depth (of a heading, else null)."""
-    exploded = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    fence = F.col("line").rlike(r"^ {0,3}(?:```|~~~)")
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1
-    df = exploded.withColumn("fenced", opened | fence)
-    depth = F.when(~F.col("fenced") & F.col("line").rlike(r"^#{1,6}(?: |$)"), F.length(F.regexp_extract("line", "^(#+)", 1)))
-    return df.withColumn("depth", depth)
+#: A fenced block up to a fence of its own kind, as long at least, or up to the text's end; else a line.
+_UNIT = (
+    r" {0,3}(`{3,}+)[^`\n]*\n(?s:.*?\n)?? {0,3}\1`*[ \t]*(?:\n|\z)"
+    r"| {0,3}(~{3,}+)[^\n]*\n(?s:.*?\n)?? {0,3}\2~*[ \t]*(?:\n|\z)"
+    r"| {0,3}(?:`{3,}+[^`\n]*|~{3,}+[^\n]*)(?:\n(?s:.*)|\z)"
+    r"|[^\n]*\n|[^\n]+\z"
+)
+FENCE = r"^ {0,3}(?:`{3,}[^`\n]*(?:\n|\z)|~{3,})"
+_HEADING = r"^ {0,3}#{1,6}(?:[ \t\n]|\z)"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with value computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def units(text: Column) -> Column:
+    """A text cut into fenced blocks and other lines, line ends included; joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0))
+
+
+def heading_depth(unit: Column) -> Column:
+    """1 to 6 for a heading, else null."""
+    return F.when(unit.rlike(_HEADING), F.length(F.regexp_extract(unit, "^ {0,3}(#+)", 1)))
+
+
+def heading_title(unit: Column) -> Column:
+    bare = F.regexp_replace(unit, r"^ {0,3}#{1,6}|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?:^|[ \t])#+$", ""), r"^[ \t]+|[ \t]+$", "")
+
+
+_SECTION = "index int, id string, parent_id string, depth int, title string, heading_path array<string>, occurrence int, first_line int, start_offset int, end_offset int, markdown string"
+
+
+def _open_sections(parts: Column, document: Column) -> Column:
+    """Identities of a document's parts (depth, title, text, lines), by a fold over its headings: open is
+    what stands around the next one, seen what names have been used where."""
+    names = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("offset"), F.array().cast("array<struct<depth:int,title:string,id:string>>").alias("open"), names.alias("seen"), F.array().cast(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in _SECTION.split(', '))}>>").alias("out"))
+
+    def add(s: Column, p: Column) -> Column:
+        def identified(ancestors: Column) -> Column:
+            return let(json_strings(F.transform(ancestors, lambda o: o["id"])), lambda ids: let(F.concat_ws("\x1f", ids, p["depth"].cast("string"), p["title"]), lambda name: counted(ancestors, ids, name)))
+
+        def counted(ancestors: Column, ids: Column, name: Column) -> Column:
+            nth = F.size(F.filter(s["seen"], lambda x: x == name))
+            return let(nth, lambda n: let(F.concat(F.lit("section-"), hashed(json_array(json_string(document), ids, p["depth"].cast("string"), json_string(p["title"]), n.cast("string")))), lambda own: put(ancestors, name, n, own)))
+
+        def put(ancestors: Column, name: Column, n: Column, own: Column) -> Column:
+            path = F.transform(ancestors, lambda o: o["title"])
+            body = F.regexp_replace(p["text"], r"^\s+|\s+$", "")
+            section = F.struct(
+                F.size(s["out"]).alias("index"), own.alias("id"), F.get(ancestors, F.size(ancestors) - 1)["id"].alias("parent_id"), p["depth"].alias("depth"), p["title"].alias("title"),
+                F.when(p["depth"] > 0, F.concat(path, F.array(p["title"]))).otherwise(path).alias("heading_path"), n.alias("occurrence"), s["line"].alias("first_line"),
+                s["offset"].alias("start_offset"), (s["offset"] + F.length(p["text"])).alias("end_offset"), body.alias("markdown"),
+            )
+            opened = F.when(p["depth"] > 0, F.concat(ancestors, F.array(F.struct(p["depth"].alias("depth"), p["title"].alias("title"), own.alias("id"))))).otherwise(ancestors)
+            return moved(opened, F.concat(s["seen"], F.array(name)), F.concat(s["out"], F.array(section)))
+
+        def moved(opened: Column, seen: Column, out: Column) -> Column:
+            return F.struct((s["line"] + p["lines"]).alias("line"), (s["offset"] + F.length(p["text"])).alias("offset"), opened.alias("open"), seen.alias("seen"), out.alias("out"))
+
+        empty = (p["depth"] == 0) & ~p["text"].rlike(r"\S")
+        return F.when(empty, moved(s["open"], s["seen"], s["out"])).otherwise(let(F.filter(s["open"], lambda o: o["depth"] < p["depth"]), identified))
+
+    return F.aggregate(parts, start, add, lambda s: s["out"])
 
 
 def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown") -> DataFrame:
     """Sections in order: index, depth (0 before the first heading), title, heading_path, parent_id, id,
-    occurrence, first_line, markdown. Each line belongs to one section; blank ones with nothing else to
-    none. A title that repeats under the same parent and depth is told apart by its occurrence."""
-    df = lines(docs, key, text)
-    starts = F.col("depth") <= max(DEPTHS)
-    ordered = Window.partitionBy(key).orderBy("line_no")
-    df = df.withColumn("index", F.coalesce(F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(ordered), F.lit(0)))
-    own = F.min_by(F.struct(F.when(starts, F.col("depth")).alias("depth"), "line"), "line_no")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    grouped = df.groupBy(key, "index").agg(own.alias("h"), F.min("line_no").alias("first_line"), body.alias("markdown"))
-    df = grouped.select(key, "index", F.coalesce("h.depth", F.lit(0)).alias("depth"), F.when(F.col("h.depth").isNotNull(), F.regexp_replace("h.line", r"^#+ *|[ #]*$", "")).alias("title"), "first_line", F.regexp_replace("markdown", r"^\s+|\s+$", "").alias("markdown"))
-    df = df.where((F.col("depth") > 0) | (F.col("markdown") != ""))
-    # The open heading of each depth: the last one, unless one of less depth came later.
-    upto = Window.partitionBy(key).orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
-    for d in DEPTHS:
-        df = df.withColumn(f"h{d}", F.last(F.when(F.col("depth") == d, F.struct("index", "title")), ignorenulls=True).over(upto))
-    for d in DEPTHS[1:]:
-        above = F.greatest(*(F.coalesce(F.col(f"h{e}.index"), F.lit(-1)) for e in DEPTHS if e < d), F.lit(-1))
-        df = df.withColumn(f"h{d}", F.when(F.col(f"h{d}.index") > above, F.col(f"h{d}")))
-    # Ids from the outside in: an id holds the ids of the sections around it.
-    own_id, ancestors = F.lit(None).cast("string"), F.array().cast("array<string>")
-    df = df.withColumns({"parent_id": own_id, "ancestors": ancestors, "id": own_id, "occurrence": F.lit(None).cast("int")})
-    for d in (0, *DEPTHS):
-        if d:
-            for e in (x for x in DEPTHS if x < d):
-                held = F.last(F.when(F.col("depth") == e, F.struct("index", "id")), ignorenulls=True).over(upto)
-                df = df.withColumn(f"_a{e}", F.when(F.col(f"h{e}").isNotNull() & (F.col("depth") == d), held["id"]))
-            inner = [F.col(f"_a{e}") for e in DEPTHS if e < d]
-            df = df.withColumn("ancestors", F.when(F.col("depth") == d, F.array_compact(F.array(*inner)) if inner else ancestors).otherwise(F.col("ancestors")))
-        same = Window.partitionBy(key, "depth", "ancestors", "title").orderBy("index")
-        df = df.withColumn("occurrence", F.when(F.col("depth") == d, F.row_number().over(same) - 1).otherwise(F.col("occurrence")))
-        identity = json_array(json_string(F.col(key).cast("string")), json_strings(F.col("ancestors")), F.col("depth").cast("string"), json_string(F.col("title")), F.col("occurrence").cast("string"))
-        df = df.withColumn("id", F.when(F.col("depth") == d, F.concat(F.lit("section-"), hashed(identity))).otherwise(F.col("id")))
-    path = F.array_compact(F.array(*(F.when(F.col(f"h{d}").isNotNull() & (F.col("depth") >= d), F.col(f"h{d}.title")) for d in DEPTHS)))
-    numbered = F.row_number().over(Window.partitionBy(key).orderBy("index")) - 1
-    parent = F.when(F.size("ancestors") > 0, F.element_at("ancestors", -1))
-    out = df.withColumns({"heading_path": path, "parent_id": parent, "section_index": numbered})
-    return out.select(key, F.col("section_index").alias("index"), "id", "parent_id", "depth", "title", "heading_path", "occurrence", "first_line", "markdown")
+    occurrence, first_line, start_offset and end_offset (code points of the text that the section takes up),
+    markdown. Each line belongs to one section; blank ones with nothing else to none. A title that repeats
+    under the same parent and depth is told apart by its occurrence. Null and empty texts have no section.
+
+    A document's lines stay in its row, so nothing is shuffled."""
+    df = docs.select(key, F.coalesce(units(F.col(text)), F.array().cast("array<string>")).alias("units"))
+    marked = F.filter(F.transform("units", lambda u, i: F.struct(i.alias("at"), heading_depth(u).alias("depth"))), lambda x: x["depth"] <= max(DEPTHS))
+    df = df.withColumn("starts", marked)
+    first = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth")))
+    df = df.select(key, "units", F.when((F.size("starts") == 0) | (F.get("starts", F.lit(0))["at"] > 0), F.concat(first, "starts")).otherwise(F.col("starts")).alias("starts"))
+
+    def part(b: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("starts", k + 1)["at"], F.size("units"))
+        body = F.array_join(F.slice("units", b["at"] + 1, stop - b["at"]), "")
+        title = F.when(b["depth"] > 0, heading_title(F.get("units", b["at"])))
+        return let(body, lambda t: F.struct(b["depth"].alias("depth"), title.alias("title"), t.alias("text"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).alias("lines")))
+
+    df = df.select(key, F.transform("starts", part).alias("parts"))
+    found = df.select(key, F.explode(_open_sections(F.col("parts"), F.col(key).cast("string"))).alias("s"))
+    return found.select(key, "s.index", "s.id", "s.parent_id", "s.depth", "s.title", "s.heading_path", "s.occurrence", "s.first_line", "s.start_offset", "s.end_offset", "s.markdown")
 
 
 def section_revision(df: DataFrame, key: str = "document_id") -> DataFrame:
@@ -146,52 +187,77 @@ def section_revision(df: DataFrame, key: str = "document_id") -> DataFrame:
     return df.withColumn("revision", hashed(parts))
 
 
+def _with_blocks(df: DataFrame, markdown: str = "markdown") -> DataFrame:
+    """Adds blocks, an array of kind and text."""
+    df = df.withColumn("_units", units(F.col(markdown)))
+    shape = lambda u: F.when(u.rlike(FENCE), "code").when(heading_depth(u).isNotNull(), "heading").when(u.rlike(r"\S"), "text").otherwise("blank")
+    df = df.withColumn("_shapes", F.transform("_units", shape))
+    # A block begins where a line isn't blank, unless it goes on with the text of the line before.
+    begins = F.filter(F.transform("_shapes", lambda x, i: F.struct(i.alias("at"), x.alias("shape"), F.when(i > 0, F.get("_shapes", i - 1)).alias("before"))), lambda x: (x["shape"] != "blank") & ~((x["shape"] == "text") & x["before"].eqNullSafe("text")))
+    df = df.withColumn("_begins", begins)
+
+    def block(b: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("_begins", k + 1)["at"], F.size("_units"))
+        return let(F.regexp_replace(F.array_join(F.slice("_units", b["at"] + 1, stop - b["at"]), ""), r"\s+$", ""), lambda t: F.struct(kind(b["shape"], t).alias("kind"), t.alias("text")))
+
+    def kind(shape: Column, text: Column) -> Column:
+        return (
+            F.when(shape != "text", shape)
+            .when(text.rlike(r"^ {0,3}\|?[^\n]*\|[^\n]*\n {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*(?:\n|$)"), "table")
+            .when(text.rlike(r"^ {0,3}(?:[-*+]|\d+[.)])[ \t]"), "list")
+            .when(text.rlike("^ {0,3}>"), "quote")
+            .otherwise("text")
+        )
+
+    return df.withColumn("blocks", F.transform("_begins", block)).drop("_units", "_shapes", "_begins")
+
+
 def blocks(sections_df: DataFrame, section: str = "id") -> DataFrame:
     """A section's blocks: block_index, kind (heading, code, table, list, quote, text), text. Blank lines
     outside fences part blocks."""
-    exploded = lines(sections_df.select(section, "markdown"), section, "markdown")
-    blank = ~F.col("fenced") & (F.trim("line") == "")
-    ordered = Window.partitionBy(section).orderBy("line_no")
-    df = exploded.withColumns({"blank": blank, "was": F.lag(F.struct(blank.alias("blank"), "fenced", "depth")).over(ordered)})
-    starts = ~F.col("blank") & (F.col("was").isNull() | F.col("was.blank") | (F.col("was.fenced") != F.col("fenced")) | F.col("was.depth").isNotNull() | F.col("depth").isNotNull())
-    df = df.withColumn("block_index", F.sum(starts.cast("int")).over(ordered) - 1).where(~F.col("blank"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    df = df.groupBy(section, "block_index").agg(text.alias("text"), F.bool_or("fenced").alias("fenced"), F.max("depth").alias("depth"))
-    kind = (
-        F.when(F.col("fenced"), "code")
-        .when(F.col("depth").isNotNull(), "heading")
-        .when(F.col("text").rlike(r"^\|.*\|\s*\n\s*\|[ :|-]+"), "table")
-        .when(F.col("text").rlike(r"^ {0,3}(?:[-*+]|\d+[.)]) "), "list")
-        .when(F.col("text").rlike("^ {0,3}>"), "quote")
-        .otherwise("text")
-    )
-    return df.select(section, "block_index", kind.alias("kind"), "text")
+    df = _with_blocks(sections_df.select(section, "markdown"))
+    return df.select(section, F.posexplode("blocks").alias("block_index", "b")).select(section, "block_index", "b.kind", "b.text")
+
+
+def _packed(pieces: Column, glue: Column, fits: Callable[[Column], Column]) -> Column:
+    """Neighbouring pieces joined as long as they fit; a piece that doesn't fit alone stays whole."""
+
+    def add(s: Column, piece: Column) -> Column:
+        def joined(longer: Column) -> Column:
+            start_anew = F.struct(F.when(s["now"].isNotNull(), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), piece.alias("now"))
+            return F.when(s["now"].isNotNull() & fits(longer), F.struct(s["done"].alias("done"), longer.alias("now"))).otherwise(start_anew)
+
+        return let(F.concat(s["now"], glue, piece), joined)
+
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+    return F.aggregate(pieces, none, add, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+
+
+def _parts(kind: Column, text: Column, fits: Callable[[Column], Column]) -> Column:
+    """A block as one part or, if it doesn't fit, as several: code by line (fences repeated), tables by row
+    (header repeated), lists by item, text by sentence, and a sentence that doesn't fit by grapheme."""
+
+    def cut(lines: Column) -> Column:
+        marker = F.regexp_extract(F.get(lines, F.lit(0)), r"^ {0,3}(`{3,}|~{3,})", 1)
+        closed = (F.size(lines) > 1) & F.trim(F.get(lines, F.size(lines) - 1)).startswith(marker)
+        code = F.slice(lines, F.lit(2), F.size(lines) - F.when(closed, 2).otherwise(1))
+        head = F.when(kind == "code", F.concat(F.get(lines, F.lit(0)), F.lit("\n"))).when(kind == "table", F.concat(F.get(lines, F.lit(0)), F.lit("\n"), F.get(lines, F.lit(1)), F.lit("\n"))).otherwise("")
+        tail = F.when(kind == "code", F.concat(F.lit("\n"), marker)).otherwise("")
+        sentences = F.split(text, r"(?<=[。！？.!?;；])\s*(?=\S)")
+        graphemes = lambda x: _packed(F.regexp_extract_all(x, F.lit(r"(?s)\X"), F.lit(0)), F.lit(""), fits)
+        fine = F.flatten(F.transform(sentences, lambda x: F.when(fits(x), F.array(x)).otherwise(graphemes(x))))
+        pieces = F.when(kind == "code", code).when(kind == "table", F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))).when(kind == "list", F.split(text, r"\n(?= {0,3}(?:[-*+]|\d+[.)])[ \t])")).when(kind == "text", fine).otherwise(F.array(text))
+        glue = F.when(kind == "text", " ").otherwise("\n")
+        whole = lambda x: F.concat(head, x, tail)
+        return let(pieces, lambda p: F.when(F.size(p) > 1, F.transform(_packed(p, glue, lambda x: fits(whole(x))), whole)).otherwise(F.array(text)))
+
+    return F.when(fits(text), F.array(text)).otherwise(let(F.split(text, "\n"), cut))
 
 
 def fragments(blocks_df: DataFrame, max_tokens: int, tokens: Callable[[Column], Column] = approximate_tokens, section: str = "id") -> DataFrame:
-    """Blocks over the budget cut where their kind allows: code by line (fences repeated), tables by row
-    (header repeated), lists by item, text by sentence. Others, and pieces that can't be cut, stay whole.
+    """Blocks over the budget cut where their kind allows. Others, and pieces that can't be cut, stay whole.
     Adds part_index and part_count."""
-    pieces = (
-        F.when(F.col("kind") == "code", F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^ {0,3}(?:```|~~~)")))
-        .when(F.col("kind") == "table", F.slice(F.split("text", "\n"), F.lit(3), F.size(F.split("text", "\n"))))
-        .when(F.col("kind") == "list", F.split("text", r"\n(?= {0,3}(?:[-*+]|\d+[.)]) )"))
-        .when(F.col("kind") == "text", F.split("text", r"(?<=[。！？.!?;；])\s*(?=\S)"))
-        .otherwise(F.array("text"))
-    )
-    head = F.when(F.col("kind") == "code", F.concat(F.regexp_extract("text", r"^([^\n]*)", 1), F.lit("\n"))).when(F.col("kind") == "table", F.concat(F.regexp_extract("text", r"^([^\n]*\n[^\n]*)", 1), F.lit("\n"))).otherwise("")
-    tail = F.when(F.col("kind") == "code", "\n```").otherwise("")
-    glue = F.when(F.col("kind") == "text", " ").otherwise("\n")
-    df = blocks_df.withColumns({"over": tokens(F.col("text")) > max_tokens, "pieces": pieces, "head": head, "tail": tail, "glue": glue})
-
-    def add(state: Column, piece: Column) -> Column:
-        joined = F.concat(F.element_at(state, -1), F.col("glue"), piece)
-        fits = (F.size(state) > 0) & (tokens(F.concat(F.col("head"), joined, F.col("tail"))) <= max_tokens)
-        return F.when(fits, F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(joined))).otherwise(F.concat(state, F.array(piece)))
-
-    packed = F.aggregate("pieces", F.array().cast("array<string>"), add)
-    parts = F.when(F.col("over") & (F.size("pieces") > 1), F.transform(packed, lambda p: F.concat(F.col("head"), p, F.col("tail")))).otherwise(F.array("text"))
-    df = df.withColumn("parts", parts)
+    df = blocks_df.withColumn("parts", _parts(F.col("kind"), F.col("text"), lambda x: tokens(x) <= max_tokens))
     return df.select(section, "block_index", "kind", F.size("parts").alias("part_count"), F.posexplode("parts").alias("part_index", "text"))
 
 
@@ -201,43 +267,52 @@ def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
 
     The heading is repeated on every chunk and counts. With overlap, a chunk begins with the trailing parts
     of the one before, as many whole ones as the overlap and the budget hold. A part over the budget is a
-    chunk of its own and, with ``oversized`` "error", fails."""
+    chunk of its own, which the next one doesn't overlap, and, with ``oversized`` "error", fails. A heading
+    that is over the budget leaves its section whole. ``tokens`` is any function from a column to a column
+    but a Python one. A section is packed in its row, so nothing is shuffled."""
     if not 0 <= overlap_tokens < max_tokens or oversized not in ("keep", "error"):
         raise TesseraError("INVALID_OPTIONS", "token budget")
-    parts = fragments(blocks(sections_df), max_tokens, tokens)
-    heading = F.max_by("text", F.when((F.col("kind") == "heading") & (F.col("block_index") == 0), 1))
-    body = F.array_sort(F.collect_list(F.when((F.col("kind") != "heading") | (F.col("block_index") > 0), F.struct("block_index", "part_index", "text"))))
-    grouped = parts.groupBy("id").agg(heading.alias("heading"), F.transform(body, lambda p: p["text"]).alias("body"))
-    texts = F.array().cast("array<string>")
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), texts.alias("now"), F.lit(0).alias("fresh"))
+    df = _with_blocks(sections_df.select("id", "markdown"))
+    headed = F.coalesce(F.get("blocks", F.lit(0))["kind"] == "heading", F.lit(False))
+    df = df.select("id", F.when(headed, F.get("blocks", F.lit(0))["text"]).alias("heading"), F.when(headed, F.slice("blocks", F.lit(2), F.size("blocks"))).otherwise(F.col("blocks")).alias("blocks"))
 
-    def fits(ps: Column) -> Column:
-        return tokens(F.concat_ws("\n\n", F.col("heading"), F.array_join(ps, "\n\n"))) <= max_tokens
+    def fits(text: Column) -> Column:
+        return tokens(F.concat_ws("\n\n", F.col("heading"), text)) <= max_tokens
+
+    texts = F.array().cast("array<string>")
+    df = df.withColumn("whole", F.col("heading").isNotNull() & (tokens(F.coalesce("heading", F.lit(""))) > max_tokens))
+    body = F.flatten(F.transform("blocks", lambda b: F.when(F.col("whole"), F.array(b["text"])).otherwise(_parts(b["kind"], b["text"], fits))))
+    df = df.select("id", "heading", "whole", body.alias("body"))
+    lists = F.array().cast("array<array<string>>")
 
     def trailing(ps: Column, p: Column) -> Column:
-        """The last parts, whole, that the overlap holds and that leave room for ``p``."""
+        """The last parts, whole, that the overlap holds; of these the first ones go until ``p`` fits too."""
 
         def one(s: Column, q: Column) -> Column:
-            longer = F.concat(F.array(q), s["k"])
-            room = s["open"] & (tokens(F.array_join(longer, "\n\n")) <= overlap_tokens) & fits(F.concat(longer, F.array(p)))
-            return F.struct(F.when(room, longer).otherwise(s["k"]).alias("k"), room.alias("open"))
+            return let(F.concat(F.array(q), s["k"]), lambda longer: let(s["open"] & (tokens(F.array_join(longer, "\n\n")) <= overlap_tokens) & fits(F.array_join(F.concat(longer, F.array(p)), "\n\n")), lambda room: F.struct(F.when(room, longer).otherwise(s["k"]).alias("k"), room.alias("open"))))
 
         return F.aggregate(F.reverse(ps), F.struct(texts.alias("k"), F.lit(True).alias("open")), one)["k"]
 
     def add(s: Column, p: Column) -> Column:
-        more = F.concat(s["now"], F.array(p))
+        done = F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+        alone = F.struct(F.concat(done, F.array(F.array(p))).alias("done"), texts.alias("now"))
         carried = trailing(s["now"], p) if overlap_tokens else texts
-        started = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.concat(carried, F.array(p)).alias("now"), F.lit(1).alias("fresh"))
-        return F.when((s["fresh"] == 0) | fits(more), F.struct(s["done"].alias("done"), more.alias("now"), (s["fresh"] + 1).alias("fresh"))).otherwise(started)
-
-    packed = F.aggregate("body", state, add, lambda s: F.concat(s["done"], F.array(s["now"])))
-    exploded = grouped.select(F.col("id").alias("section_id"), "heading", F.posexplode(packed).alias("index", "parts"))
-    text = F.concat_ws("\n\n", "heading", F.array_join("parts", "\n\n"))
-    out = exploded.select("section_id", "index", F.concat("section_id", F.lit("#chunk-"), F.col("index").cast("string")).alias("id"), F.regexp_replace(text, r"\s+$", "").alias("markdown"))
+        started = F.struct(done.alias("done"), F.concat(carried, F.array(p)).alias("now"))
+        more = let(F.concat(s["now"], F.array(p)), lambda ps: F.when((F.size(s["now"]) == 0) | fits(F.array_join(ps, "\n\n")), F.struct(s["done"].alias("done"), ps.alias("now"))).otherwise(started))
+        return F.when(fits(p), more).otherwise(alone)
+
+    state = F.struct(lists.alias("done"), texts.alias("now"))
+    packed = F.aggregate("body", state, add, lambda s: F.when((F.size(s["now"]) > 0) | (F.size(s["done"]) == 0), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    packed = F.when(F.col("whole"), F.array("body")).otherwise(packed)
+    df = df.select(F.col("id").alias("section_id"), "heading", packed.alias("packed"))
+    out = df.select("section_id", "heading", F.size("packed").alias("n"), F.posexplode("packed").alias("index", "parts"))
+    name = lambda i: F.concat("section_id", F.lit("#chunk-"), i.cast("string"))
+    text = F.regexp_replace(F.concat_ws("\n\n", "heading", F.nullif(F.array_join("parts", "\n\n"), F.lit(""))), r"\s+$", "")
+    out = out.select("section_id", "index", name(F.col("index")).alias("id"), text.alias("markdown"), F.when(F.col("index") > 0, name(F.col("index") - 1)).alias("previous_chunk_id"), F.when(F.col("index") + 1 < F.col("n"), name(F.col("index") + 1)).alias("next_chunk_id"))
     out = out.withColumn("token_count", tokens(F.col("markdown"))).withColumn("oversized", F.col("token_count") > max_tokens)
     if oversized == "error" and not out.where("oversized").isEmpty():
         raise TesseraError("OVERSIZED_CONTENT", "a part that can't be cut is over the token budget")
-    return neighbours(out, "section_id", "index", "id")
+    return out.select("section_id", "index", "id", "markdown", "token_count", "oversized", "previous_chunk_id", "next_chunk_id")
 
 
 def neighbours(df: DataFrame, group: str, order: str, value: str) -> DataFrame:

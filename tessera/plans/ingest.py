@@ -13,6 +13,7 @@ from tessera.operators import enrichment as en
 from tessera.operators import graph as g
 from tessera.operators import indexing, sections
 from tessera.sources.jobs import Job
+from tessera.sources.staging import Staging
 from tessera.sources.store import Snapshot, SnapshotStore
 
 MAX_ID, MAX_CONTENT, MAX_PATH, MAX_SECTIONS = 256, 200_000, 2048, 100
@@ -42,40 +43,44 @@ def empty_knowledge(spark: SparkSession) -> dict[str, DataFrame]:
     return {"nodes": spark.createDataFrame([], en.NODE_SCHEMA), "relations": spark.createDataFrame([], en.RELATION_SCHEMA), "facts": spark.createDataFrame([], en.FACT_SCHEMA)}
 
 
-def finalized(knowledge: dict[str, DataFrame], markdown: DataFrame) -> dict[str, DataFrame]:
+def finalized(knowledge: dict[str, DataFrame], markdown: DataFrame, staging: Staging) -> dict[str, DataFrame]:
     """Knowledge validated, deduplicated, and validated again: merged evidence may be too much."""
-    for _ in range(2):
+    for attempt in range(2):
         bad = en.violations(knowledge["nodes"], knowledge["relations"], knowledge["facts"], markdown).orderBy("section_id", "path").limit(1).collect()
         if bad:
             raise TesseraError("INVALID_OUTPUT", "knowledge doesn't validate", bad[0]["path"], bad[0]["reason"])
         nodes, ids = en.deduplicated_nodes(knowledge["nodes"])
         knowledge = {"nodes": nodes, "relations": en.deduplicated_relations(knowledge["relations"], ids), "facts": en.deduplicated_facts(knowledge["facts"], ids)}
+        knowledge = {name: staging.stage(f"known-{attempt}-{name}", lambda df=df: df) for name, df in knowledge.items()}
     return knowledge
 
 
-def build_index(docs: DataFrame, knowledge: dict[str, DataFrame] | None, knowledge_base: str, adapter: str = "markdown", max_tokens: int = sections.MAX_TOKENS, job: Job | None = None) -> DataFrame:
-    """Index documents of both kinds for ``docs`` and the knowledge extracted from their sections."""
+def build_index(docs: DataFrame, knowledge: dict[str, DataFrame] | None, knowledge_base: str, adapter: str = "markdown", max_tokens: int = sections.MAX_TOKENS, job: Job | None = None, staging: Staging | None = None) -> DataFrame:
+    """Index documents of both kinds for ``docs`` and the knowledge extracted from their sections. Sections,
+    chunks, graph and index documents are written out: to the job's stages, or to ``staging``."""
     spark = docs.sparkSession
-    keep = job.stage if job else lambda _, make: make()
+    staging = staging or Staging(spark)
+    keep = (job or staging).stage
     split = keep("sections", lambda: section_rows(checked_documents(docs), adapter))
     if not split.groupBy("document_id").count().where(F.col("count") > MAX_SECTIONS).isEmpty():
         raise TesseraError("INVALID_INPUT", "a document has too many sections")
     pieces = keep("chunks", lambda: sections.chunks(split, max_tokens))
     mine = split.select(F.col("id").alias("section_id"), F.col("revision").alias("section_revision"), "document_id", "document_title", "source_path", "heading_path")
     pieces = pieces.select("id", "section_id", "markdown").join(mine, "section_id")
-    known = finalized(knowledge or empty_knowledge(spark), split.select(F.col("id").alias("section_id"), "markdown"))
+    known = finalized(knowledge or empty_knowledge(spark), split.select(F.col("id").alias("section_id"), "markdown"), staging)
     no_mappings = spark.createDataFrame([], "section_id string, section_revision string, local_id string, canonical_id string")
     no_canonical = spark.createDataFrame([], "id string, kind string, title string")
-    graph = g.build_graph(contributions_of(split), known["nodes"], known["relations"], known["facts"], knowledge_base, no_mappings, no_canonical)
+    built = g.build_graph(contributions_of(split), known["nodes"], known["relations"], known["facts"], knowledge_base, no_mappings, no_canonical)
+    graph = {name: staging.stage(name, lambda df=df: df) for name, df in built.items()}
     pending = spark.createDataFrame([], "section_id string, section_revision string")
     return keep("indexing", lambda: indexing.index_documents(pieces, graph, pending, knowledge_base))
 
 
 def index_and_store(documents: DataFrame, embedder: indexing.Embedder, store: SnapshotStore, knowledge_base: str, expected_revision: str | None, write_key: str | None = None, document_id: str | None = None, job: Job | None = None) -> Snapshot:
-    """Embed index documents and store them, as the whole knowledge base or as one document's part."""
+    """Embed index documents and store them, as the whole knowledge base or as one document's part. Each text
+    is embedded once: the store, or the job's stage, evaluates the vectors in one write."""
     embed = lambda: indexing.embedded(documents, embedder).drop("usage")
     vectors = job.stage("embedding", embed) if job else embed()
-    indexing.check_one_space(vectors)
     records = vectors.drop("provider", "model")
     if document_id is None:
         return store.replace_snapshot(knowledge_base, records, embedder.provider, embedder.model, expected_revision, write_key)
@@ -89,9 +94,10 @@ def ingest(docs: DataFrame, knowledge: dict[str, DataFrame] | None, knowledge_ba
         return state["result"]
     if job:
         job.restart()
+    staging = Staging(docs.sparkSession)
     try:
         before = store.snapshot(knowledge_base)
-        documents = build_index(docs, knowledge, knowledge_base, adapter, job=job)
+        documents = build_index(docs, knowledge, knowledge_base, adapter, job=job, staging=staging)
         done = index_and_store(documents, embedder, store, knowledge_base, before.revision if before else None, f"job:{job.id}" if job else None, job=job)
         result = {"revision": done.revision, "chunks": done.chunks, "nodes": done.nodes}
         if job:
@@ -101,3 +107,5 @@ def ingest(docs: DataFrame, knowledge: dict[str, DataFrame] | None, knowledge_ba
         if job:
             job.finish(status="failed", code=e.code)
         raise
+    finally:
+        staging.close()

@@ -1,28 +1,35 @@
 """Versioned snapshots of vector records, in Parquet.
 
-A write makes a new version beside the old one and commits it by creating the version's manifest,
+A write makes new files beside the old ones and commits them by creating the version's manifest,
 which only one writer can. Readers pin the version that is current when they begin. A crash leaves
 files that no manifest names, never half a version.
+
+Records lie in buckets by a hash of the least document that they come from. A manifest names, for each
+bucket, the part (folder of one write) that holds it, so replacing a document rewrites its bucket only.
+The buckets' hash sums are kept too: they add up to the revision.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.errors import TesseraError
 from tessera.functions.canon import content_hash
-from tessera.operators.catalog import records_of_document, shared_with_others
 from tessera.operators.changes import check_unique
 from tessera.operators.search import dual_search, is_valid_vector, top_k
 from tessera.sources import files
 
 MAX_KEY = 256
+#: Records of a bucket, about; buckets of a knowledge base, at least and at most.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 100_000, 8, 4096
 
 
 @dataclass(frozen=True)
@@ -35,15 +42,31 @@ class Snapshot:
     dimensions: int | None
     chunks: int
     nodes: int
-    path: str
+    n_buckets: int
+    #: By bucket: the part that holds it, its numbers of records, chunks and nodes, and its hash sums.
+    buckets: dict[str, dict] = field(repr=False)
+    #: JSON of the records' schema.
+    schema: str = field(repr=False)
+
+
+def _row_hash(columns: list[str]) -> Column:
+    """A record's hash (id, metadata JSON, vector), as hex."""
+    return F.sha2(F.concat_ws("\x1f", "id", F.to_json(F.struct(*[c for c in sorted(columns) if c != "vector"])), F.hex(F.concat_ws(",", F.transform("vector", lambda x: x.cast("string"))))), 256)
+
+
+def _hash_sums(columns: list[str]) -> list[Column]:
+    """Four sums over the parts of all records' hashes: order doesn't matter, and no task sees more than its share."""
+    return [F.coalesce(F.sum(F.conv(F.substring(_row_hash(columns), 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
 
 
 def revision_of(records: DataFrame) -> str:
-    """A hash of the set of records (id, metadata JSON, vector). Each record is hashed, and the hashes are
-    summed in four parts, so no task sees more than its share and order doesn't matter."""
-    row = F.sha2(F.concat_ws("\x1f", "id", F.to_json(F.struct(*[c for c in sorted(records.columns) if c != "vector"])), F.hex(F.concat_ws(",", F.transform("vector", lambda x: x.cast("string"))))), 256)
-    parts = [F.sum(F.conv(F.substring(row, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
-    return content_hash([str(x) for x in records.agg(F.count("*"), *parts).first()])
+    """A hash of the set of records."""
+    return content_hash([str(x) for x in records.agg(F.count("*"), *_hash_sums(records.columns)).first()])
+
+
+def _revision(buckets: dict[str, dict]) -> str:
+    totals = [sum(b["n"] for b in buckets.values()), *(sum(int(b["sums"][i]) for b in buckets.values()) for i in range(4))]
+    return content_hash([str(x) for x in totals])
 
 
 class SnapshotStore:
@@ -68,7 +91,15 @@ class SnapshotStore:
 
     def records(self, snapshot: Snapshot) -> DataFrame:
         """A version's records; a filter on kind reads that kind's files only."""
-        return self.spark.read.parquet(snapshot.path)
+        return self._read(snapshot, list(snapshot.buckets))
+
+    def _read(self, snapshot: Snapshot, buckets: list[str]) -> DataFrame:
+        schema = StructType.fromJson(json.loads(snapshot.schema))
+        if not buckets:
+            return self.spark.createDataFrame([], schema)
+        data = f"{self._folder(snapshot.knowledge_base_id)}/data"
+        paths = [f"{data}/part={snapshot.buckets[b]['part']}/bucket={b}" for b in buckets]
+        return self.spark.read.schema(schema).option("basePath", data).parquet(*paths).select(schema.names)
 
     def _receipt(self, knowledge_base: str, key: str) -> str:
         return f"{self._folder(knowledge_base)}/receipts/{content_hash(key)}.json"
@@ -89,63 +120,126 @@ class SnapshotStore:
             raise TesseraError("CONFLICT", "the write key stands for another write")
         return Snapshot(**json.loads(manifest)["snapshot"])
 
-    def _commit(self, knowledge_base: str, current: Snapshot | None, records: DataFrame, provider: str, model: str | None, dimensions: int | None, key: str | None, fingerprint: str) -> Snapshot:
-        version = (current.version if current else 0) + 1
-        path = f"{self._folder(knowledge_base)}/data/{version:012d}-{content_hash([fingerprint, self.spark.sparkContext.applicationId])[:12]}"
-        records.repartition("kind").write.mode("overwrite").partitionBy("kind").parquet(path)
-        written = self.spark.read.schema(records.schema).parquet(path)
-        counts = written.agg(F.count_if(F.col("kind") == "chunk"), F.count_if(F.col("kind") == "wiki")).first()
-        empty = sum(counts) == 0
-        done = Snapshot(knowledge_base, version, revision_of(written), provider, None if empty else model, None if empty else dimensions, counts[0], counts[1], path)
+    def _write(self, knowledge_base: str, records: DataFrame, n_buckets: int) -> tuple[str, dict[str, dict], int | None]:
+        """Write records, evaluated once, as a new part: its name, its buckets and the vectors' dimensions. What
+        is written is then checked: bad records and ids that repeat are an error, and the part goes."""
+        part, data = f"v-{uuid.uuid4().hex}", f"{self._folder(knowledge_base)}/data"
+        path = f"{data}/part={part}"
+        bucket = F.pmod(F.xxhash64(F.array_min(F.transform("sources", lambda s: s["document_id"]))), F.lit(n_buckets)).cast("int")
+        # A rebalance evens out what tasks write, so no kind or bucket is written by one task alone.
+        dealt = records.withColumn("bucket", F.coalesce(bucket, F.lit(0))).hint("rebalance", F.col("bucket"))
+        dealt.write.partitionBy("bucket", "kind").parquet(path)
         try:
-            files.create(self.spark, f"{self._folder(knowledge_base)}/manifests/{version:012d}.json", json.dumps({"snapshot": asdict(done), "write_key": key}))
+            written = self.spark.read.schema(StructType([*records.schema.fields, StructField("bucket", IntegerType())])).parquet(path)
+            bad = ~is_valid_vector(F.col("vector")) | ~F.col("kind").isin("chunk", "wiki") | F.col("id").isNull()
+            size = F.size("vector")
+            rows = written.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "chunk").alias("chunks"), F.count_if(F.col("kind") == "wiki").alias("nodes"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"), F.min(size).alias("least"), F.max(size).alias("most"), *_hash_sums(records.columns)).collect()
+            sizes = {r[k] for r in rows for k in ("least", "most")}
+            if len(sizes) > 1 or any(r["bad"] for r in rows):
+                raise TesseraError("INVALID_INPUT", "a record's vector or kind")
+            check_unique(written, "id", "INVALID_INPUT")
         except TesseraError:
             files.remove(self.spark, path)
             raise
+        buckets = {str(r["bucket"]): {"part": part, "n": r["n"], "chunks": r["chunks"], "nodes": r["nodes"], "sums": [str(r[f"s{i}"]) for i in range(4)]} for r in rows}
+        return part, buckets, next(iter(sizes), None)
+
+    def _commit(self, knowledge_base: str, current: Snapshot | None, part: str, buckets: dict[str, dict], n_buckets: int, schema: str, provider: str, model: str | None, dimensions: int | None, key: str | None, fingerprint: str) -> Snapshot:
+        version = (current.version if current else 0) + 1
+        chunks, nodes = (sum(b[k] for b in buckets.values()) for k in ("chunks", "nodes"))
+        empty = chunks + nodes == 0
+        done = Snapshot(knowledge_base, version, _revision(buckets), provider, None if empty else model, None if empty else dimensions, chunks, nodes, n_buckets, buckets, schema)
+        # The receipt goes first: without its manifest it counts for nothing, and with it the write is done.
         if key is not None:
             files.put(self.spark, self._receipt(knowledge_base, key), json.dumps({"version": version, "fingerprint": fingerprint}))
+        try:
+            files.create(self.spark, f"{self._folder(knowledge_base)}/manifests/{version:012d}.json", json.dumps({"snapshot": asdict(done), "write_key": key}))
+        except TesseraError:
+            self._discard(knowledge_base, part)
+            raise
         return done
 
-    def _checked(self, records: DataFrame, dimensions: int | None) -> None:
-        check_unique(records, "id", "INVALID_INPUT")
-        bad = records.where(~is_valid_vector(F.col("vector")) | ~F.col("kind").isin("chunk", "wiki") | (F.size("vector") != (dimensions or -1)))
-        if not bad.isEmpty():
-            raise TesseraError("INVALID_INPUT", "a record's vector or kind")
-
-    def replace_snapshot(self, knowledge_base: str, records: DataFrame, provider: str, model: str, expected_revision: str | None, write_key: str | None = None) -> Snapshot:
-        """Replace a whole knowledge base; no records clear it."""
-        dimensions = (records.select(F.max(F.size("vector"))).first() or [None])[0]
-        self._checked(records, dimensions)
-        fingerprint = content_hash([None, provider, model, revision_of(records)])
-        if done := self._replay(knowledge_base, write_key, fingerprint):
-            return done
+    def _discard(self, knowledge_base: str, part: str) -> None:
+        files.remove(self.spark, f"{self._folder(knowledge_base)}/data/part={part}")
+
+    def _current(self, knowledge_base: str, expected_revision: str | None) -> Snapshot | None:
         current = self.snapshot(knowledge_base)
         if (current.revision if current else None) != expected_revision:
             raise TesseraError("CONFLICT", "the snapshot has changed")
-        return self._commit(knowledge_base, current, records, provider, model, dimensions, write_key, fingerprint)
+        return current
+
+    def replace_snapshot(self, knowledge_base: str, records: DataFrame, provider: str, model: str, expected_revision: str | None, write_key: str | None = None, n_buckets: int | None = None) -> Snapshot:
+        """Replace a whole knowledge base; no records clear it. The records are evaluated once. Without
+        ``n_buckets`` there are as many buckets as before, or more if the last version was large for them."""
+        before = self.snapshot(knowledge_base)
+        if n_buckets is None:
+            rows = before.chunks + before.nodes if before else 0
+            n_buckets = max(before.n_buckets if before else LEAST_BUCKETS, min(MOST_BUCKETS, rows // BUCKET_ROWS))
+        part, buckets, dimensions = self._write(knowledge_base, records, n_buckets)
+        try:
+            fingerprint = content_hash([None, provider, model, _revision(buckets)])
+            if done := self._replay(knowledge_base, write_key, fingerprint):
+                self._discard(knowledge_base, part)
+                return done
+            current = self._current(knowledge_base, expected_revision)
+        except TesseraError:
+            self._discard(knowledge_base, part)
+            raise
+        return self._commit(knowledge_base, current, part, buckets, n_buckets, records.schema.json(), provider, model, dimensions, write_key, fingerprint)
 
     def replace_document(self, knowledge_base: str, document_id: str, records: DataFrame, provider: str, model: str, expected_revision: str | None, write_key: str | None = None) -> Snapshot:
         """Replace what one document contributed; all records are of this document, one chunk at least."""
-        dimensions = records.select(F.max(F.size("vector"))).first()[0]
-        self._checked(records, dimensions)
-        if records.where("kind = 'chunk'").isEmpty() or not records.where(~F.forall("sources", lambda s: s["document_id"] == document_id) | (F.size("sources") == 0)).isEmpty():
-            raise TesseraError("INVALID_INPUT", "records of one document, with a chunk")
-        fingerprint = content_hash([document_id, provider, model, revision_of(records)])
-        if done := self._replay(knowledge_base, write_key, fingerprint):
-            return done
+        ids = self.spark.createDataFrame([(document_id,)], "document_id string")
+        return self.replace_documents(knowledge_base, ids, records, provider, model, expected_revision, write_key)
+
+    def replace_documents(self, knowledge_base: str, documents: DataFrame, records: DataFrame, provider: str, model: str, expected_revision: str | None, write_key: str | None = None) -> Snapshot:
+        """Replace what ``documents`` (document_id) contributed: each has a chunk among the records at least, and
+        all records are of one of them. Buckets without one of them stay as they are. The new records are
+        evaluated once, into a part of their own that then serves for the checks and the merge."""
+        documents = documents.select("document_id").distinct()
         current = self.snapshot(knowledge_base)
-        if (current.revision if current else None) != expected_revision:
-            raise TesseraError("CONFLICT", "the snapshot has changed")
-        if current and current.model is not None:
+        n_buckets = current.n_buckets if current else LEAST_BUCKETS
+        fresh_part, fresh, dimensions = self._write(knowledge_base, records, n_buckets)
+        staged = Snapshot(knowledge_base, 0, "", provider, model, dimensions, 0, 0, n_buckets, fresh, records.schema.json())
+        part = None
+        try:
+            new = self._read(staged, list(fresh))
+            owners = new.select("id", "kind", F.explode_outer("sources.document_id").alias("document_id"))
+            several = new.where(F.size(F.array_distinct("sources.document_id")) != 1)
+            chunked = documents.join(owners.where("kind = 'chunk'"), "document_id", "left_anti")
+            if not several.isEmpty() or not owners.join(documents, "document_id", "left_anti").isEmpty() or not chunked.isEmpty():
+                raise TesseraError("INVALID_INPUT", "records of one document, with a chunk")
+            ids = documents.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("document_id").cast("decimal(38,0)")), F.lit(0))).first()
+            fingerprint = content_hash([[str(x) for x in ids], provider, model, _revision(fresh)])
+            if done := self._replay(knowledge_base, write_key, fingerprint):
+                self._discard(knowledge_base, fresh_part)
+                return done
+            current = self._current(knowledge_base, expected_revision)
+            if current is None or current.model is None:
+                return self._commit(knowledge_base, current, fresh_part, fresh, n_buckets, records.schema.json(), provider, model, dimensions, write_key, fingerprint)
             if (current.provider, current.model, current.dimensions) != (provider, model, dimensions):
                 raise TesseraError("INCONSISTENT_SPACE", "another embedding space")
-            old = self.records(current)
-            clash = old.join(records.select("id"), "id", "left_semi").where(F.exists("sources", lambda s: s["document_id"] != document_id))
-            if not shared_with_others(old, document_id).limit(1).isEmpty() or not clash.limit(1).isEmpty():
+            old = self.records(current).select("id", F.explode("sources.document_id").alias("document_id"))
+            mine = old.join(documents, "document_id", "left_semi").select("id").distinct()
+            others = old.join(documents, "document_id", "left_anti").select("id")
+            if not others.join(mine.unionByName(new.select("id")), "id", "left_semi").isEmpty():
                 raise TesseraError("CONFLICT", "a record belongs to several documents")
-            mine = records_of_document(old, document_id).select("id")
-            records = old.join(mine, "id", "left_anti").unionByName(records.select(old.columns))
-        return self._commit(knowledge_base, current, records, provider, model, dimensions, write_key, fingerprint)
+            hashed = documents.select(F.pmod(F.xxhash64("document_id"), F.lit(current.n_buckets)).cast("int").alias("b")).distinct()
+            touched = [str(r["b"]) for r in hashed.collect()]
+            grown = current.chunks + current.nodes > 4 * BUCKET_ROWS * current.n_buckets and current.n_buckets < MOST_BUCKETS
+            n_buckets = min(MOST_BUCKETS, 4 * current.n_buckets) if grown else current.n_buckets
+            again = list(current.buckets) if grown else [b for b in touched if b in current.buckets]
+            names = StructType.fromJson(json.loads(current.schema)).names
+            kept = self._read(current, again).join(mine, "id", "left_anti").select(names)
+            part, merged, _ = self._write(knowledge_base, kept.unionByName(new.select(names)), n_buckets)
+            buckets = {b: x for b, x in current.buckets.items() if not grown and b not in touched} | merged
+            return self._commit(knowledge_base, current, part, buckets, n_buckets, current.schema, provider, model, dimensions, write_key, fingerprint)
+        except TesseraError:
+            self._discard(knowledge_base, fresh_part)
+            raise
+        finally:
+            if part is not None:
+                self._discard(knowledge_base, fresh_part)
 
     def _pinned(self, knowledge_base: str, provider: str, model: str, vector: Sequence[float], expected_revision: str | None = None) -> Snapshot | None:
         current = self.snapshot(knowledge_base)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.indexing import Embedder
-from tessera.plans.ingest import build_index, index_and_store
+from tessera.operators.indexing import Embedder, embedded
+from tessera.plans.ingest import build_index
+from tessera.sources.staging import Staging
 from tessera.sources.store import SnapshotStore
 
 DOCUMENTS = "document_id string, content string, path string"
@@ -23,23 +24,18 @@ def start_ingestion(stream: DataFrame, store: SnapshotStore, knowledge_base: str
     a batch that is run again after a failure isn't applied twice."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("document_id").agg(F.max_by(F.struct("content", "path"), "path").alias("d")).select("document_id", "d.*")
-        if latest.isEmpty():
-            return
-        documents = build_index(latest, None, knowledge_base, adapter)
-        current = store.snapshot(knowledge_base)
-        new = documents
-        if current is not None and current.model is not None:
-            replaced = latest.select("document_id")
-            old = store.records(current)
-            stale = old.select("id", F.explode("sources").alias("s")).join(replaced, F.col("s.document_id") == F.col("document_id"), "left_semi").select("id")
-            from tessera.operators.indexing import embedded
-
-            fresh = embedded(new, embedder).drop("usage", "provider", "model")
-            merged = old.join(stale, "id", "left_anti").unionByName(fresh.select(old.columns))
-            store.replace_snapshot(knowledge_base, merged, embedder.provider, embedder.model, current.revision, f"batch:{checkpoint}:{number}"[:256])
-        else:
-            index_and_store(new, embedder, store, knowledge_base, current.revision if current else None, f"batch:{checkpoint}:{number}"[:256])
+        staging = Staging(batch.sparkSession)
+        try:
+            row = F.max_by(F.struct("content", "path"), F.struct("path", "content")).alias("d")
+            latest = staging.stage("documents", lambda: batch.groupBy("document_id").agg(row).select("document_id", "d.*"))
+            if latest.isEmpty():
+                return
+            documents = build_index(latest, None, knowledge_base, adapter, staging=staging)
+            fresh = embedded(documents, embedder).drop("usage", "provider", "model")
+            current = store.snapshot(knowledge_base)
+            store.replace_documents(knowledge_base, latest, fresh, embedder.provider, embedder.model, current.revision if current else None, f"batch:{checkpoint}:{number}"[-256:])
+        finally:
+            staging.close()
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

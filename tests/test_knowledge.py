@@ -157,3 +157,10 @@ def test_integrity(spark):
     assert {"edge without node", "relations of node and edges"} <= reasons(g | {"nodes": g["nodes"].where("canonical_id IS NOT NULL")})
     with pytest.raises(TesseraError, match="repeated node"):
         integrity.check_graph(g | {"nodes": g["nodes"].unionByName(g["nodes"])}, c, pending)
+
+
+def test_facts_without_nodes_stay(spark):
+    facts = spark.createDataFrame([("s1", 0, "about none", [], ["e"]), ("s1", 1, "about one", ["a"], ["e"]), ("s1", 2, "about none", [], ["f"]), ("s1", 3, "about both", ["b", "a"], ["e"])], enrichment.FACT_SCHEMA)
+    ids = spark.createDataFrame([("s1", "a", "a"), ("s1", "b", "a")], "section_id string, old string, new string")
+    rows = enrichment.deduplicated_facts(facts, ids).orderBy("ord").collect()
+    assert [(r["statement"], r["node_ids"], r["evidence"]) for r in rows] == [("about none", [], ["e", "f"]), ("about one", ["a"], ["e"]), ("about both", ["a"], ["e"])]

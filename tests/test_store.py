@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 from tessera.errors import TesseraError
 from tessera.operators import indexing, logs, search
 from tessera.plans import ask, ingest
+from tessera.sources import files
 from tessera.sources.jobs import Job, read_ndjson
-from tessera.sources.store import KnowledgeBases, SnapshotStore
+from tessera.sources.store import KnowledgeBases, SnapshotStore, revision_of
 from tessera.streaming.ingest import document_stream, start_ingestion
 
 SCHEMA = "id string, kind string, title string, text string, source_id string, knowledge_base_id string, sources array<struct<document_id:string>>, vector array<float>"
@@ -57,12 +59,39 @@ def test_one_of_two_writers_wins(spark, store):
     current = store.snapshot("kb")
     for start in (1, 2):
         try:
-            results.append(store._commit("kb", current, two(spark, start=start), *SPACE, 2, None, str(start)))
+            part, buckets, dimensions = store._write("kb", two(spark, start=start), current.n_buckets)
+            results.append(store._commit("kb", current, part, buckets, current.n_buckets, current.schema, *SPACE, dimensions, None, str(start)))
         except TesseraError as e:
             results.append(e.code)
     assert results[1] == "CONFLICT" and store.snapshot("kb") == results[0] != base
 
 
+def test_a_lost_receipt_is_no_conflict(spark, store, monkeypatch):
+    """A writer that dies between the receipt and the manifest, and one that dies after both."""
+    real = files.create
+    monkeypatch.setattr(files, "create", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.replace_snapshot("kb", two(spark), *SPACE, None, "key")
+    monkeypatch.setattr(files, "create", real)
+    assert store.snapshot("kb") is None
+    done = store.replace_snapshot("kb", two(spark), *SPACE, None, "key")
+    assert store.replace_snapshot("kb", two(spark), *SPACE, None, "key") == done
+
+
+def test_only_a_documents_bucket_is_rewritten(spark, store):
+    rows = [(f"c{i}", "chunk", [1.0, i / 7]) for i in range(40)]
+    every = None
+    for i, row in enumerate(rows):
+        one = records(spark, row, document=f"d{i}")
+        every = one if every is None else every.unionByName(one)
+    base = store.replace_snapshot("kb", every.coalesce(1), *SPACE, None)
+    done = store.replace_document("kb", "d3", records(spark, ("c3", "chunk", [5.0, 5.0]), document="d3"), *SPACE, base.revision)
+    changed = [b for b in done.buckets if done.buckets[b]["part"] != base.buckets[b]["part"]]
+    assert len(changed) == 1 and len(base.buckets) > 4
+    assert done.revision == revision_of(store.records(done)) != base.revision
+    assert sorted(r["id"] for r in store.records(done).collect()) == sorted(r[0] for r in rows)
+
+
 def test_bad_vectors_leave_the_snapshot(spark, store):
     base = store.replace_snapshot("kb", two(spark), *SPACE, None)
     for bad in ([0.0, 0.0], [float("nan"), 1.0], [1.0]):
@@ -132,6 +161,22 @@ def test_ingest_and_ask(spark, store):
     assert ask.answer("q", ask.search_evidence(store, "none", "q", embedder, ask.OverlapReranker()), Echo())["status"] == "no_results"
 
 
+def test_each_text_is_embedded_once(spark, store, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counting(indexing.HashEmbedder):
+        def embed(self, texts):
+            for text in texts:
+                (calls / uuid.uuid4().hex).write_text(text)
+            return super().embed(texts)
+
+    docs = spark.createDataFrame([(f"d{i}", f"# A\n\ntext {i}", None) for i in range(5)], "document_id string, content string, path string")
+    ingest.ingest(docs, None, "kb", Counting(16), store)
+    texts = [f.read_text() for f in calls.iterdir()]
+    assert len(texts) == len(set(texts)) == 5
+
+
 def test_job_resumes_and_replays(spark, store, tmp_path):
     docs = spark.createDataFrame([("d1", "# A\n\nx", None)], "document_id string, content string, path string")
 

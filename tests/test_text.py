@@ -104,9 +104,35 @@ def test_code_and_tables_are_cut_by_line(spark):
 
 
 def test_oversized(spark):
-    assert [r["oversized"] for r in chunked(spark, "# H\n\n" + "x" * 200, max_tokens=50)] == [True]
+    quote = "# H\n\n> " + "x" * 200
+    assert [r["oversized"] for r in chunked(spark, quote, max_tokens=50)] == [True]
     with pytest.raises(TesseraError, match="OVERSIZED_CONTENT"):
-        chunked(spark, "# H\n\n" + "x" * 200, max_tokens=50, oversized="error")
+        chunked(spark, quote, max_tokens=50, oversized="error")
+
+
+def test_long_words_are_cut_between_graphemes(spark):
+    family = "\U0001f468\u200d\U0001f469\u200d\U0001f467"
+    rows = chunked(spark, "# H\n\n" + (family + "e\u0301") * 30, max_tokens=50)
+    bodies = [r["markdown"].removeprefix("# H\n\n") for r in rows]
+    assert not any(r["oversized"] for r in rows) and "".join(bodies) == (family + "e\u0301") * 30
+    assert all(b.startswith((family, "e\u0301")) and b.endswith((family, "e\u0301")) for b in bodies)
+
+
+def test_an_oversized_part_stands_alone(spark):
+    text = "# H\n\na small one\n\n> " + "x" * 100 + "\n\nanother"
+    rows = chunked(spark, text, max_tokens=50, overlap_tokens=30)
+    assert [r["oversized"] for r in rows] == [False, True, False] and "small" not in rows[2]["markdown"]
+
+
+def test_fences_close_by_kind_and_length(spark):
+    text = "~~~\n```\n# x\n~~~\n\n# Real\n\n````\n```\n# y\n````\n\n## Next\n\n```\n# open"
+    assert [r["title"] for r in split(spark, text).collect()] == [None, "Real", "Next"]
+
+
+def test_offsets_lead_back_to_the_text(spark):
+    rows = split(spark, HIERARCHY).collect()
+    assert all(HIERARCHY[r["start_offset"] : r["end_offset"]].strip() == r["markdown"] for r in rows)
+    assert [HIERARCHY[: r["start_offset"]].count("\n") for r in rows] == [r["first_line"] for r in rows]
 
 
 def test_links_and_code(spark):
