@@ -6,6 +6,9 @@ relying on row order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +87,46 @@ def missing_evidence(evidence: DataFrame, sections: DataFrame) -> DataFrame:
     return evidence.join(sections.select("section_id", "markdown"), "section_id", "left").where(~F.coalesce(F.contains(F.col("markdown"), F.col("quote")), F.lit(False))).drop("markdown")
 
 
+#: Characters of the quotes that one pass looks for, about.
+QUOTE_CHARACTERS = 16 << 20
+
+
+def held_quotes(texts: DataFrame, quotes: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, quote) for each text that holds a quote (a column of ``quotes``) word for word. Empty and null
+    quotes are in no text; repeated ones count as one.
+
+    Quotes are dealt by hash to passes of about QUOTE_CHARACTERS, each of which becomes an automaton that goes
+    over each text once, however many quotes it holds."""
+    distinct = quotes.select("quote").where(F.length("quote") > 0).distinct()
+    total = distinct.agg(F.sum(F.length("quote"))).first()[0] or 0
+    n_passes = 1 if total <= QUOTE_CHARACTERS else -(-2 * total // QUOTE_CHARACTERS)
+    dealt = distinct.withColumn("pass", F.pmod(F.xxhash64("quote"), F.lit(n_passes)))
+    out = texts.sparkSession.createDataFrame([], f"`{key}` {texts.schema[key].dataType.simpleString()}, quote string")
+    for number in range(n_passes):
+        found = [r["quote"] for r in dealt.where(F.col("pass") == number).collect()]
+        if found:
+            out = out.unionByName(_held(texts.select(key, text), found))
+    return out
+
+
+def _held(texts: DataFrame, quotes: list[str]) -> DataFrame:
+    key = texts.schema.fields[0]
+    shared = texts.sparkSession.sparkContext.broadcast(quotes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for quote in shared.value:
+            automaton.add_word(quote, quote)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = [(i, q) for i, t in enumerate(batch.column(1).to_pylist()) for q in sorted({q for _, q in automaton.iter(t or "")})]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in hits], pa.int64())), pa.array([q for _, q in hits], pa.string())], [key.name, "quote"])
+
+    return texts.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, quote string")
+
+
 def _in_first_order(values: str) -> Column:
     """Distinct members of arrays gathered with their row's place, in order of first appearance."""
     gathered = F.array_sort(F.collect_list(F.struct("ord", F.col(values).alias("v"))))

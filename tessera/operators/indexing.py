@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -93,12 +92,49 @@ def invalid_index_documents(df: DataFrame, max_tokens: int = MAX_TOKENS) -> Data
 
 
 class Embedder(Protocol):
-    """Called on executors with up to BATCH texts; returns float32 rows, and tokens used or None."""
+    """Called on executors with up to BATCH texts; returns float32 rows, and tokens used: one number for each
+    text, or one for all of them, or None."""
 
     provider: str
     model: str
 
-    def embed(self, texts: list[str]) -> tuple[np.ndarray, int | None]: ...
+    def embed(self, texts: list[str]) -> tuple[np.ndarray, Sequence[int] | int | None]: ...
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2 to the 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(4096, 2 * n)
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64)))) for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def term_hashes(text: str) -> tuple[np.ndarray, int]:
+    """64-bit hashes of a text's words (between white space) and of its character triples, and the number of
+    words. A term's hash is a polynomial of its code points, so all come from one running sum."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes)
+    powers, inverse = _powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[:n])))
+    space = np.isin(codes, _SPACES)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    terms = [(sums[ends] - sums[starts]) * inverse[starts] + np.uint64(7)]
+    if n > 2:
+        at = np.arange(n - 2)
+        terms.append((sums[at + 3] - sums[at]) * inverse[at])
+    found = np.concatenate(terms)
+    found = (found ^ (found >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return found ^ (found >> np.uint64(29)), len(starts)
+
+
+_SPACES = np.array([ord(c) for c in map(chr, range(0x3001)) if c.isspace()], np.uint64)
 
 
 class HashEmbedder:
@@ -109,21 +145,22 @@ class HashEmbedder:
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
 
-    def embed(self, texts: list[str]) -> tuple[np.ndarray, int | None]:
-        out = np.zeros((len(texts), self.dimensions), np.float32)
+    def embed(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        out, used = np.zeros((len(texts), self.dimensions), np.float32), []
         for row, text in zip(out, texts, strict=True):
-            low = text.lower()
-            for term in [*low.split(), *(low[i : i + 3] for i in range(len(low) - 2))] or [low]:
-                h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big")
-                row[h % self.dimensions] += 1 if h >> 63 else -1
+            found, n_words = term_hashes(text)
+            signs = 1.0 - 2.0 * (found & np.uint64(1)).astype(np.float64)
+            row += np.bincount(((found >> np.uint64(1)) % np.uint64(self.dimensions)).astype(np.int64), signs, self.dimensions)
             if not row.any():
                 row[0] = 1
-        return out, sum(len(t.split()) for t in texts)
+            used.append(n_words)
+        return out, used
 
 
 def embedded(df: DataFrame, embedder: Embedder, batch: int = BATCH) -> DataFrame:
-    """Adds vector, model, usage (tokens of the row's batch, on its first row; null where not reported) and
-    embedding_revision. Fails if the embedder answers with another number of vectors or bad ones."""
+    """Adds vector, model, usage (tokens of the row's text where the embedder tells; else those of the row's
+    batch, on its first row; null where not reported) and embedding_revision. A null text counts as empty.
+    Fails if the embedder answers with another number of vectors or bad ones."""
     names = [*df.columns, "vector", "usage"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +168,14 @@ def embedded(df: DataFrame, embedder: Embedder, batch: int = BATCH) -> DataFrame
         for all_rows in batches:
             for begin in range(0, all_rows.num_rows, batch):
                 part = all_rows.slice(begin, batch)
-                vectors, usage = embedder.embed(part.column(at).to_pylist())
+                vectors, usage = embedder.embed([t or "" for t in part.column(at).to_pylist()])
                 vectors = np.asarray(vectors, np.float32)
                 if vectors.ndim != 2 or len(vectors) != part.num_rows or not np.isfinite(vectors).all() or not vectors.any(axis=1).all():
                     raise TesseraError("INVALID_RESPONSE", "embedding")
-                used = [usage] + [None if usage is None else 0] * (part.num_rows - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(vectors), pa.list_(pa.float32())), pa.array(used, pa.int64())], names)
+                used = [usage] + [None if usage is None else 0] * (part.num_rows - 1) if usage is None or isinstance(usage, int) else list(usage)
+                flat = pa.array(vectors.reshape(-1), pa.float32())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(used, pa.int64())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", vector array<float>, usage bigint"
     out = df.mapInArrow(run, schema)

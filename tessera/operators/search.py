@@ -53,11 +53,14 @@ def dual_search(records: DataFrame, vector: Sequence[float], k: int = PER_ROUTE,
 def batch_search(records: DataFrame, queries: DataFrame, k: int = PER_ROUTE, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
     """The k best records for each query (query_id, vector): query_id, id, score, rank.
 
-    Queries are taken in blocks of at most BLOCK_BYTES of vectors; each task multiplies a block with its
-    records and keeps k for each query, so what is shuffled is k rows a query and task."""
+    Queries, whose ids differ, are taken in blocks of at most BLOCK_BYTES of vectors; each task multiplies a
+    block with its records and keeps k for each query (ties by id), so what is shuffled is k rows a query
+    and task."""
     width = queries.select(F.max(F.size("vector"))).first()[0]
     if not width:
         return records.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    if not queries.groupBy("query_id").count().where("query_id IS NULL OR count > 1").isEmpty():
+        raise TesseraError("INVALID_INPUT", "a query's id is missing or repeats")
     per_block = max(1, BLOCK_BYTES // (8 * width))
     numbered = queries.select("query_id", "vector").orderBy("query_id")
     found, last = None, None
@@ -83,18 +86,21 @@ def _block_search(records: DataFrame, rows: list, k: int, id_column: str, vector
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_ids, own = shared.value
+        # The best so far of each query: scores, and ids; unused places have no score.
+        best, ids_of = np.full((len(own_ids), k), -np.inf), np.full((len(own_ids), k), np.iinfo(np.int64).max)
         for batch in batches:
-            if not batch.num_rows:
-                continue
             rec = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = np.array(batch.column(1).to_pylist(), np.float32).astype(np.float64)
+            lists = batch.column(1)
+            vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rec), -1) if len(rec) else np.empty((0, own.shape[1]))
             norms = np.linalg.norm(vectors, axis=1)
             rec, vectors = rec[norms > 0], vectors[norms > 0] / norms[norms > 0, None]
-            scores = own @ vectors.T
-            # Ties at the border all go on; the final rank decides by id.
-            border = np.sort(scores, axis=1)[:, -min(k, len(rec))] if len(rec) else np.zeros(len(own_ids))
-            q, r = np.nonzero(scores >= border[:, None] - 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(own_ids[q]), pa.array(rec[r]), pa.array(scores[q, r])], ["query_id", "id", "score"])
+            scores = np.concatenate((best, own @ vectors.T), axis=1)
+            ids = np.concatenate((ids_of, np.broadcast_to(rec, (len(own_ids), len(rec)))), axis=1)
+            # Score descending, then id.
+            order = np.lexsort((ids, -scores), axis=1)[:, :k]
+            best, ids_of = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(own_ids[q]), pa.array(ids_of[q, at]), pa.array(best[q, at])], ["query_id", "id", "score"])
 
     return records.select(F.col(id_column).cast("bigint"), vector_column).mapInArrow(run, "query_id bigint, id bigint, score double")
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import canon
 from tessera.operators import catalog, changes, enrichment, graph, indexing, logs, search, sections
+from tessera.sources.staging import Staging
+from tessera.sources.store import SnapshotStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,45 +102,21 @@ def section_change_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.item_id, d.doc_id FROM benchmark e JOIN documents d ON contains(d.text, e.text)")
 def evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold a benchmark item word for word. Items, a bounded list, become one automaton
-    that passes over each text once."""
-    return _held(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    """Which documents hold a benchmark item word for word."""
+    held = enrichment.held_quotes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("text").alias("quote")), "doc_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return items.join(held, "quote").select("item_id", "doc_id")
 
 
-#: Characters of quotes in one automaton; longer lists go in several passes.
-_AUTOMATON = 16 << 20
-
-
-def _held(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    import pyarrow as pa
-
-    out, last, numbered = None, None, quotes.where("length(text) > 0").orderBy("item_id")
-    per_pass = max(1, _AUTOMATON // max(1, int(quotes.agg(F.max(F.length("text"))).first()[0] or 1)))
-    while True:
-        rows = (numbered if last is None else numbered.where(F.col("item_id") > last)).limit(per_pass).collect()
-        if not rows:
-            break
-        last = rows[-1]["item_id"]
-        shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
-
-        def run(batches, shared=shared):
-            import ahocorasick
-
-            automaton, ids = ahocorasick.Automaton(), {}
-            for item, text in shared.value:
-                ids.setdefault(text, []).append(item)
-            for text, items in ids.items():
-                automaton.add_word(text, items)
-            automaton.make_automaton()
-            for batch in batches:
-                found = [(i, d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i in sorted({i for _, items in automaton.iter(t or "") for i in items})]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["item_id", "doc_id"])
-
-        part = docs.mapInArrow(run, "item_id bigint, doc_id bigint")
-        out = part if out is None else out.unionByName(part)
-        if len(rows) < per_pass:
-            break
-    return docs.sparkSession.createDataFrame([], "item_id bigint, doc_id bigint") if out is None else out
+@query("""WITH n AS (SELECT doc_id AS section_id, text, substr(text, 3, 40) AS own, lead(substr(text, 3, 40)) OVER (ORDER BY doc_id) AS next FROM documents)
+    SELECT section_id, quote FROM (SELECT section_id, text, own AS quote FROM n UNION ALL SELECT section_id, text, next FROM n) WHERE quote IS NOT NULL AND NOT contains(text, quote)""")
+def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two quotes for each document, one from it and one from the next, those that aren't in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    quote = F.substring("text", 3, 40)
+    numbered = docs.select("doc_id", quote.alias("quote")).withColumn("next_id", F.lag("doc_id").over(Window.orderBy("doc_id")))
+    quotes = docs.select(F.col("doc_id").alias("section_id"), quote.alias("quote")).unionByName(numbered.where("next_id IS NOT NULL").select(F.col("next_id").alias("section_id"), "quote"))
+    return enrichment.missing_evidence(quotes, docs.select(F.col("doc_id").alias("section_id"), F.col("text").alias("markdown"))).select("section_id", "quote")
 
 
 @query("""SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS started_at, event_type FROM events
@@ -232,22 +210,32 @@ def link_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CASE WHEN label % 2 = 0 THEN 'chunk' ELSE 'wiki' END AS kind, count(*) AS n FROM (
     SELECT vec_id, label FROM embeddings WHERE label <> 0 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label = 0) GROUP BY 1""")
 def document_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as documents: one document's records are replaced, the others' stay."""
-    old = _records(spark, sf_dir).withColumn("sources", F.array(F.struct(F.col("label").cast("string").alias("document_id"))))
-    mine = catalog.records_of_document(old, "0")
-    new = mine.withColumn("id", F.col("id") + 1000000)
-    stored = old.join(mine.select("id"), "id", "left_anti").unionByName(new)
-    return stored.groupBy("kind").agg(F.count("*").alias("n"))
+    """Labels as documents: in a store of all records one document's records are replaced, the others' stay."""
+    store, base, records = _stored(spark, sf_dir)
+    new = catalog.records_of_document(records, "0").withColumn("id", F.col("id") + 1000000)
+    if new.isEmpty():
+        return store.records(base).groupBy("kind").agg(F.count("*").alias("n"))
+    done = store.replace_document("labels", "0", new, "given", "table", base.revision)
+    return store.records(done).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    """The records of embeddings with their labels as documents, in a new store; its snapshot; and the records."""
+    records = _records(spark, sf_dir).withColumn("sources", F.array(F.struct(F.col("label").cast("string").alias("document_id"))))
+    store = SnapshotStore(spark, f"{Staging(spark).folder}/store")
+    return store, store.replace_snapshot("labels", records, "given", "table", None), records
 
 
 @query("SELECT CASE WHEN label % 2 = 0 THEN 'chunk' ELSE 'wiki' END AS kind, label::bigint AS label, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY 1, 2")
 def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).groupBy("kind", F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """What a store holds after a whole knowledge base was written to it."""
+    store, done, _ = _stored(spark, sf_dir)
+    return store.records(done).groupBy("kind", F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@query("SELECT doc_id, sha256(text) AS fingerprint, 'index-' || sha256('[\"kb\",\"chunk\",\"' || doc_id || '\"]') AS index_id FROM documents")
+@query("SELECT doc_id, sha256(text) AS fingerprint, sha256('[1,' || to_json(text) || ']') AS text_revision, 'index-' || sha256('[\"kb\",\"chunk\",\"' || doc_id || '\"]') AS index_id FROM documents")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"), canon.index_id(F.lit("kb"), F.lit("chunk"), F.col("doc_id").cast("string")).alias("index_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", canon.hashed(F.col("text")).alias("fingerprint"), canon.text_revision(F.col("text")).alias("text_revision"), canon.index_id(F.lit("kb"), F.lit("chunk"), F.col("doc_id").cast("string")).alias("index_id"))
 
 
 _CITED = "'See [S' || (doc_id % 7) || '] and [S1], [S' || (doc_id % 3) || '].'"
@@ -274,13 +262,14 @@ def node_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.incident_edges(edges).groupBy("node_id").agg(F.count("*").alias("n_edges"), F.count_if(F.col("node_id") == F.col("source_id")).alias("n_out"))
 
 
-@query("""SELECT doc_id, line_no::bigint AS line_no, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) - 1 AS occurrence
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents)""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
+    t AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(line, '[ \t\n\x0B\f\r]+$', ''), '(?:^|[ \t])#+$', ''), '^[ \t]+|[ \t]+$', '', 'g') AS title FROM l),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY line_no) - 1 AS occurrence FROM t)
+    SELECT doc_id, line_no::bigint AS line_no, occurrence, 'section-' || sha256('["' || doc_id || '",[],1,' || to_json(title) || ',' || occurrence || ']') AS id FROM n""")
 def heading_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a line has come before in its document."""
-    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    same = Window.partitionBy("doc_id", "line").orderBy("line_no")
-    return df.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), (F.row_number().over(same) - 1).cast("bigint").alias("occurrence"))
+    """Documents with each line as a heading: their sections' occurrences and ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))).alias("markdown"))
+    return sections.sections(docs, "doc_id").select("doc_id", F.col("first_line").cast("bigint").alias("line_no"), F.col("occurrence").cast("bigint").alias("occurrence"), "id")
 
 
 def _page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +294,15 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.posexplode(sections.links(F.col("markdown"))).alias("pos", "link")).select("id", "pos", "link.*")
 
 
-@query()
+@query("""WITH counts AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1),
+    joined AS (SELECT n_nationkey, n_name, r_regionkey, r_name, n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN counts ON s_nationkey = n_nationkey),
+    edges AS (SELECT n_nationkey, r_regionkey, n_name || ' → ' || r_name || '（part of）：lies in the region' AS line FROM joined)
+    SELECT 'wiki-node-' || sha256('["atlas",["local","nation-' || n_nationkey || '","1","n"]]') AS source_id, n_name AS title,
+      '实体：' || n_name || chr(10) || 'nation：' || n || ' suppliers' || chr(10) || chr(10) || '事实：' || chr(10) || 'suppliers: ' || n || chr(10) || chr(10) || '关系：' || chr(10) || line AS text, 1::int AS n_sources
+    FROM joined JOIN edges USING (n_nationkey)
+    UNION ALL SELECT 'wiki-node-' || sha256('["atlas",["canonical","region-' || r_regionkey || '"]]'), r_name,
+      '概念：' || r_name || chr(10) || 'a region' || chr(10) || chr(10) || '关系：' || chr(10) || string_agg(line, chr(10) ORDER BY line), count(*)::int
+    FROM joined JOIN edges USING (n_nationkey, r_regionkey) GROUP BY r_regionkey, r_name""")
 def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' nations as a knowledge graph with citations, and its nodes' embedding texts."""
     nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
@@ -320,6 +317,9 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = region.select(F.concat(F.lit("region-"), "r_regionkey").alias("id"), F.lit("concept").alias("kind"), F.col("r_name").alias("title"))
     mappings = joined.select(section.alias("section_id"), F.lit("1").alias("section_revision"), F.lit("r").alias("local_id"), F.concat(F.lit("region-"), "r_regionkey").alias("canonical_id"))
     built = graph.build_graph(contributions, nations.unionByName(regions), relations, facts, "atlas", mappings, canonical)
+    # Nodes and edges are written once; what reads them several times doesn't build them again.
+    staging = Staging(spark)
+    built = {name: staging.stage(name, lambda df=df: df) for name, df in built.items() if name != "links"}
     return indexing.node_documents(built, "atlas").select("source_id", "title", "text", F.size("sources").alias("n_sources"))
 
 
