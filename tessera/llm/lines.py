@@ -20,6 +20,10 @@ from tessera.llm.shared import WORD, materialize, table, text_or_empty, unused
 
 #: One edit in five words or more leaves a similarity of 0.8 at least.
 MIN_WORDS = 5
+#: A line's place and the first of its two hashes.
+LINE = ["doc_id", "line_no", "h1"]
+#: Values of a join that more than one in HOT rows have, and over SPREAD_ROWS, are spread over tasks.
+HOT, SPREAD_ROWS = 10_000, 100_000
 #: Hashes are cut to 40 bits so that sums over the words of a line stay within 64.
 _SUMMED = (1 << 40) - 1
 
@@ -34,8 +38,8 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The first occurrence of each distinct line: doc_id, line_no and halves, an array of hashes of
-    its first and last halves (null for lines shorter than ``min_words``)."""
+    """The first occurrence of each distinct line: h1 and h2 (hashes of its words), doc_id, line_no and
+    halves, an array of hashes of its first and last halves (null for lines shorter than ``min_words``)."""
     lines = line_occurrences(docs).select("doc_id", "line_no", _words("line").alias("w")).withColumn("n", F.size("w"))
 
     def half(side: str, k: Column) -> Column:
@@ -45,32 +49,34 @@ def distinct_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     short, long = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") + 1) / 2).cast("int")
     halves = F.when(F.col("n") >= min_words, F.array(half("first", short), half("first", long), half("last", short), half("last", long)))
     rows = lines.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.struct("doc_id", "line_no", halves.alias("halves")).alias("at"))
-    return rows.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*")
+    return rows.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("h1", "h2", "at.*")
 
 
 def _gaps(docs: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For the lines of ``near`` (doc_id, line_no, first, last: a half is shared): their words, and
-    the keys of their variants as (doc_id, line_no, key1, key2)."""
-    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "first", "last")).alias("wanted"))
+    """For the lines of ``near`` (LINE, h2, first, last: a half is shared): their words, and the keys of
+    their variants as (LINE, key1, key2)."""
+    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2", "first", "last")).alias("wanted"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
     picked = texts.select("doc_id", F.split("text", "\n").alias("lines"), "wanted").select("doc_id", "lines", F.explode("wanted").alias("x"))
-    picked = picked.select("doc_id", "x.*", _words(F.get("lines", F.col("x.line_no"))).alias("w")).where(F.size("w") > 0)
-    picked = materialize(picked, "lines")
-    words = picked.select("doc_id", "line_no", "first", "last", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    picked = picked.select("doc_id", "x.*", _words(F.get("lines", F.col("x.line_no"))).alias("w"))
+    # Rows may share a doc_id: only the wanted line of that number counts, and each row's by itself.
+    picked = picked.where((F.xxhash64("w") == F.col("h1")) & (F.xxhash64(F.lit(1), "w") == F.col("h2"))).drop("h2")
+    picked = materialize(picked.withColumn("row", F.monotonically_increasing_id()), "lines")
+    words = picked.select(*LINE, "row", "first", "last", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     # A word's hash with its place from the start, summed over the words before a gap, and with its
     # place from the end, over those after it; a deletion leaves both places as they are.
     words = words.withColumns({"a": F.xxhash64("word", "i").bitwiseAND(_SUMMED), "b": F.xxhash64("word", F.col("i") - F.col("n")).bitwiseAND(_SUMMED)})
-    line = Window.partitionBy("doc_id", "line_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.partitionBy("doc_id", "line_no").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("row").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     words = words.withColumns({"before": F.coalesce(F.sum("a").over(line), F.lit(0)), "after": F.coalesce(F.sum("b").over(rest), F.lit(0))})
     n, i, half = F.col("n"), F.col("i"), F.floor(F.col("n") / 2)
     # Word i left out; nothing left out, with the gap before word i or, at the last word, after it too.
     deleted = F.when((F.col("first") & (i >= half)) | (F.col("last") & (n - 1 - i >= half)), F.struct((n - 1).alias("m"), i.alias("gap"), "before", "after"))
     whole = F.when((F.col("first") & (i >= half)) | (F.col("last") & (n - i >= half)), F.struct(n.alias("m"), i.alias("gap"), F.col("before"), (F.col("after") + F.col("b")).alias("after")))
     end = F.when((i == n - 1) & F.col("first"), F.struct(n.alias("m"), n.alias("gap"), (F.col("before") + F.col("a")).alias("before"), F.lit(0).cast("bigint").alias("after")))
-    variants = words.select("doc_id", "line_no", F.explode(F.array_compact(F.array(deleted, whole, end))).alias("v"))
-    keys = variants.select("doc_id", "line_no", F.xxhash64("v.m", "v.gap", "v.before", "v.after").alias("key1"), F.xxhash64("v.after", "v.before").alias("key2"))
-    return picked.select("doc_id", "line_no", "w"), keys
+    variants = words.select(*LINE, F.explode(F.array_compact(F.array(deleted, whole, end))).alias("v"))
+    keys = variants.select(*LINE, F.xxhash64("v.m", "v.gap", "v.before", "v.after").alias("key1"), F.xxhash64("v.after", "v.before").alias("key2"))
+    return picked.select(*LINE, "w").dropDuplicates(LINE), keys
 
 
 def _within_one_edit(a: str, b: str) -> Column:
@@ -85,31 +91,47 @@ def _within_one_edit(a: str, b: str) -> Column:
     return common(F.col(a), F.col(b)) + common(F.reverse(a), F.reverse(b)) >= longer - 1
 
 
+def _spread_join(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """Join ``rows`` with ``counted`` (on, n: the number of rows with these values, and more), one row for
+    each value. Values that over one in HOT of all rows have, HOT at most, are spread over several tasks:
+    such a row of ``counted`` is repeated for each."""
+    counted = materialize(counted, "counted")
+    share = F.greatest(F.ceil(F.lit(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) / HOT), F.lit(SPREAD_ROWS))
+    parts = F.ceil(F.col("n") / share).cast("int")
+    # At most HOT rows.
+    hot = F.broadcast(counted.where(F.col("n") > share).select(*on, parts.alias("parts")))
+    rows = rows.join(hot, on, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*LINE), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    repeated = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
+    return rows.join(repeated, [*on, "part"]).drop("part")
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """doc_id and line_no of those ``distinct`` lines that have an earlier one within one word edit."""
-    halves = distinct.where("halves IS NOT NULL").select("doc_id", "line_no", F.posexplode("halves").alias("which", "half"))
-    # A half's two lengths may coincide, so lines are counted by their least place, not by rows.
-    counts = halves.groupBy("half").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("line_no").alias("l1"), F.max("line_no").alias("l2"))
-    shared = counts.where("NOT (d1 <=> d2) OR l1 <> l2").select("half")
-    near = halves.join(shared, "half").groupBy("doc_id", "line_no").agg(F.bool_or(F.col("which") < 2).alias("first"), F.bool_or(F.col("which") >= 2).alias("last"))
+    """doc_id, line_no and h1 of those ``distinct`` lines that have an earlier one within one word edit."""
+    halves = distinct.where("halves IS NOT NULL").select(*LINE, "h2", F.posexplode("halves").alias("which", "half"))
+    # A half's two lengths may coincide, so lines are told apart by their places, not counted by rows.
+    counts = halves.groupBy("half").agg(F.count("*").alias("n"), *(f(c).alias(f"{side}_{c}") for c in LINE for side, f in (("least", F.min), ("most", F.max))))
+    shared = counts.where(" OR ".join(f"NOT (least_{c} <=> most_{c})" for c in LINE)).select("half", "n")
+    near = _spread_join(halves, shared, ["half"]).groupBy(*LINE, "h2").agg(F.bool_or(F.col("which") < 2).alias("first"), F.bool_or(F.col("which") >= 2).alias("last"))
     words, keys = _gaps(docs, near)
     keys = materialize(keys, "variants")
-    place = F.struct("doc_id", "line_no")
-    earliest = keys.groupBy("key1", "key2").agg(F.min(place).alias("e"), F.max(place).alias("z")).where("e < z").select("key1", "key2", "e")
-    found = keys.join(earliest, ["key1", "key2"]).where(place > F.col("e"))
-    found = found.groupBy("doc_id", "line_no").agg(F.min("e").alias("e")).select("doc_id", "line_no", F.col("e.doc_id").alias("e_doc"), F.col("e.line_no").alias("e_line"))
-    pairs = found.join(words, ["doc_id", "line_no"]).withColumnRenamed("w", "own")
-    other = words.select(F.col("doc_id").alias("e_doc"), F.col("line_no").alias("e_line"), F.col("w").alias("other"))
-    return pairs.join(other, ["e_doc", "e_line"]).where(_within_one_edit("own", "other")).select("doc_id", "line_no").distinct()
+    place = F.struct(*LINE)
+    earliest = keys.groupBy("key1", "key2").agg(F.count("*").alias("n"), F.min(place).alias("e"), F.max(place).alias("z")).where("e < z").select("key1", "key2", "n", "e")
+    found = _spread_join(keys, earliest, ["key1", "key2"]).where((F.col("doc_id") > F.col("e.doc_id")) | ((F.col("doc_id") == F.col("e.doc_id")) & (F.col("line_no") > F.col("e.line_no"))))
+    # Every earliest line that a line shares a key with is compared, lest one whose key only collides hide another.
+    found = found.select(*LINE, *(F.col(f"e.{c}").alias(f"e_{c}") for c in LINE)).distinct()
+    pairs = found.join(words, LINE).withColumnRenamed("w", "own")
+    other = words.select(*(F.col(c).alias(f"e_{c}") for c in LINE), F.col("w").alias("other"))
+    return pairs.join(other, [f"e_{c}" for c in LINE]).where(_within_one_edit("own", "other")).select(*LINE).distinct()
 
 
 def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, kept), the sorted numbers of each document's lines that stay, for documents that keep
     one; and the near lines. A doc_id of null ranks before all others and has near lines of its own
-    kept. Where rows share a doc_id, a line number stays if it does for one of them."""
+    kept. Rows that share a doc_id are alike in rank: neither's line is earlier than the other's of the same
+    number, repeated rows keep the same lines, and a line number stays if it does for one of the rows."""
     distinct = materialize(distinct_lines(docs, min_words), "distinct")
     near = materialize(near_lines(docs, distinct), "near")
-    kept = distinct.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left_anti")
+    kept = distinct.select(*LINE).join(near, LINE, "left_anti")
     return kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept")), near
 
 
@@ -117,10 +139,11 @@ def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For every row of ``docs``: doc_id, n_lines (with a word), n_kept, n_removed, n_near (removed
     for a line that isn't equal) and kept_lines, the numbers of the lines that stay, joined by commas.
 
-    Null and empty texts, and lines without a word, have nothing to remove. Extra columns are ignored.
+    Null and empty texts, and lines without a word, have nothing to remove. Each of several rows with one
+    doc_id has a row of its own here; without rows there is no result. Extra columns are ignored.
     """
     kept, near = kept_lines(docs, min_words)
-    nears = near.groupBy("doc_id").agg(F.count("*").alias("n_near"))
+    nears = near.groupBy("doc_id").agg(F.count_distinct("line_no").alias("n_near"))
     lines = docs.select("doc_id", F.size(F.filter(F.split(text_or_empty(), "\n"), lambda x: x.rlike(WORD))).cast("bigint").alias("n_lines"))
     verdicts = kept.join(nears, "doc_id", "full_outer").select(F.col("doc_id").alias("id"), "kept", "n_near")
     df = lines.join(verdicts, F.col("doc_id").eqNullSafe(F.col("id")), "left")

@@ -196,6 +196,34 @@ def test_line_dedup_is_brute_force(frame):
         assert [x.split() for x in out[i].split("\n") if x.split()] == [x.split() for n, x in enumerate(text.split("\n")) if (i, n) in want]
 
 
+NEAR = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon other"), (3, "something else altogether in this line")]
+
+
+@pytest.mark.parametrize("again", [[], [0], [1], [0, 1], [0, 0, 1, 1, 2]])
+def test_repeated_rows_keep_near_links(frame, again):
+    rows = NEAR + [NEAR[i] for i in again]
+    got = sorted((r["doc_id"], r["n_kept"], r["n_near"], r["kept_lines"]) for r in lines.line_verdicts(frame(rows)).collect())
+    kept = {1: (1, 0, "0"), 2: (0, 1, ""), 3: (1, 0, "0")}
+    assert got == sorted((i, *kept[i]) for i, _ in rows)
+    out = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(frame(rows)).collect())
+    assert out == sorted((i, "" if i == 2 else text) for i, text in rows)
+
+
+def test_different_rows_of_one_id_stay_apart(frame):
+    rows = [(1, "one two three four five six"), (2, "one two three four five other\nseven eight nine ten eleven"), (2, "a clean line that nobody else has\nseven eight nine ten eleven")]
+    out = sorted(r["text"] for r in lines.dedup_lines(frame(rows)).collect() if r["doc_id"] == 2)
+    assert out[0].startswith("a clean line") and all("seven eight" in t for t in out)
+
+
+def test_hot_lines_are_spread(frame, monkeypatch):
+    """A template with one changing word, as often as it takes to be spread."""
+    monkeypatch.setattr(lines, "HOT", 3)
+    monkeypatch.setattr(lines, "SPREAD_ROWS", 5)
+    rows = [(i, f"page number {i} of this very long list\nline {i} alone {i * 7} in its {i * 11} document {i * 13}") for i in range(60)]
+    got = lines.line_verdicts(frame(rows)).collect()
+    assert sorted((r["doc_id"], r["kept_lines"]) for r in got) == [(i, "0,1" if i == 0 else "1") for i in range(60)]
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     got = lines.line_verdicts(odd).collect()
     assert len(got) == len(ODD)
