@@ -1,11 +1,17 @@
 """Personal data replaced by surrogates, with built-in functions only.
 
 Each entity is replaced by a value of its own type and format that a key and the entity alone
-determine, so an entity has one surrogate everywhere. All distinct entities' surrogates are then
-checked: of those that coincide with one another, or with an entity of the corpus, all but one are
-drawn again, until all differ; from the second redraw on, names, emails and phone numbers get longer,
-so that those of a format with few values find one too. The few that were drawn more than once are joined back to their
+determine, so an entity has one surrogate everywhere. The units that have surrogates are whole values
+and, of names, first names (by gender) and family names each: "Mr John Smith", "Mr Smith" and, in the same
+document, a bare "John Smith" or "Smith" agree. All distinct units' surrogates are then checked: of those
+that coincide with one another, or with a unit of the corpus, all but one are drawn again, until all
+differ; from the second redraw on, names, emails and phone numbers get longer, so that those of a format
+with few values find one too. The few units that were drawn more than once are joined back to their
 documents; every other surrogate is computed where it is needed.
+
+Names are found by the titles of TITLES, and elsewhere in a document that has them. Family names keep
+Latin, Greek or Cyrillic script; those in another script become Latin. Cards get a check digit that is
+right (Luhn), IBANs check digits that are right (modulo 97).
 """
 
 from __future__ import annotations
@@ -24,19 +30,24 @@ TITLES = {
 }
 FIRST_NAMES = {
     ("male", "latin"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noah", "Oscar", "Paul"),
+    ("male", "greek"): ("Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Ιωάννης", "Κώστας", "Λεωνίδας", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος", "Τάσος", "Φίλιππος", "Χρήστος"),
+    ("female", "greek"): ("Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ηρώ", "Θάλεια", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Ουρανία", "Σοφία", "Χριστίνα"),
     ("female", "latin"): ("Ada", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Hanna", "Irma", "Julia", "Karin", "Laura", "Maria", "Nina", "Olga", "Paula"),
     ("male", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Степан", "Тимур"),
     ("female", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Инна", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья"),
 }
-#: Family names are four of these, or more when drawn again.
-SYLLABLES = {"latin": ("ba", "del", "fi", "gor", "hen", "kal", "lo", "mar", "ne", "per", "ri", "sol", "tan", "ver", "wil", "zo"), "cyrillic": ("ба", "дел", "фи", "гор", "хен", "кал", "ло", "мар", "не", "пер", "ри", "сол", "тан", "вер", "вил", "зо")}
+#: Family names, and first names drawn again, are made of these.
+SYLLABLES = {"greek": ("βα", "δελ", "φι", "γορ", "χεν", "καλ", "λο", "μαρ", "νε", "περ", "ρι", "σολ", "ταν", "βερ", "βιλ", "ζο"), "latin": ("ba", "del", "fi", "gor", "hen", "kal", "lo", "mar", "ne", "per", "ri", "sol", "tan", "ver", "wil", "zo"), "cyrillic": ("ба", "дел", "фи", "гор", "хен", "кал", "ло", "мар", "не", "пер", "ри", "сол", "тан", "вер", "вил", "зо")}
 
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
-_NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+_TITLED = rf"(?=[{''.join(sorted({t[0] for titles in TITLES.values() for t in titles}))}])(?<!\p{{L}})(?:{_TITLE})\.?"
+#: A capitalised word; what is after its apostrophe is part of it, but for an s.
+_NAMED = r"\p{Lu}\p{L}*(?:['-](?!s(?!\p{L}))\p{L}+)*"
+_NAME = rf"{_TITLED} {_NAMED}(?: {_NAMED})?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Kinds and their patterns; where several match at one place the first counts.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -47,7 +58,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must have for any pattern to match.
-_HINT = rf"[0-9@]|{_TITLE}"
+_HINT = rf"@|[0-9][0-9]|[0-9]\.[0-9]|{_TITLED} \p{{Lu}}"
 #: Redraws before giving up: reached only if a format that doesn't grow has hardly more values than there are entities.
 ROUNDS = 64
 
@@ -70,112 +81,202 @@ def _number(digest: Column, i: Column | int) -> Column:
     return F.conv(F.substring(digest, F.pmod(i, F.lit(64)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _pick(number: Column, values: tuple[str, ...]) -> Column:
-    return F.get(F.array(*map(F.lit, values)), F.pmod(number, F.lit(len(values))))
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Stands around entities in a marked text; texts that hold it are marked without it in two steps.
+_MARK = "\u0000"
 
 
-_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+def _shifted(c: Column, n: Column, alphabet: str) -> Column:
+    """Another character of the alphabet, n of a draw deciding which."""
+    size = len(alphabet)
+    return F.substring(F.lit(alphabet), F.pmod(F.instr(F.lit(alphabet), c) + F.pmod(n, F.lit(size - 1)), F.lit(size)) + 1, F.lit(1))
 
 
 def _same_format(value: Column, digest: Column, kept: Column | int = 0) -> Column:
-    """Digits for digits and letters for letters of the same case, from the ``kept``-th character on; a
-    first digit that isn't 0 stays so."""
+    """Other digits for digits and other letters of the same case for letters, from the ``kept``-th character
+    on; a first digit that isn't 0 doesn't become 0."""
 
     def one(c: Column, i: Column) -> Column:
         n = _number(digest, i)
-        digit = F.when((i == kept) & (c != "0"), F.pmod(n, F.lit(9)) + 1).otherwise(F.pmod(n, F.lit(10)))
-        drawn = F.when(c.rlike("[0-9]"), digit.cast("string")).when(c.rlike("[a-z]"), F.substring(F.lit(_LOWER), F.pmod(n, F.lit(26)) + 1, F.lit(1))).when(c.rlike("[A-Z]"), F.substring(F.lit(_UPPER), F.pmod(n, F.lit(26)) + 1, F.lit(1))).otherwise(c)
+        digit = F.when((i == kept) & (c != "0"), _shifted(c, n, "123456789")).otherwise(_shifted(c, n, "0123456789"))
+        drawn = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), _shifted(c, n, _LOWER)).when(c.rlike("[A-Z]"), _shifted(c, n, _UPPER)).otherwise(c)
         return F.when(i < kept, c).otherwise(drawn)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def surrogate(value: Column, attempt: Column, key: str) -> Column:
-    """What replaces ``value``. An email's domain has a surrogate of its own, but for its last label; a
-    phone number keeps its country code, a card its first digit, an IBAN its country; a name keeps its
-    title, and family names and first names (by gender) have surrogates of their own."""
-    kind = kind_of(value)
-    whole = _draw(key, attempt, value)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _luhn(card: Column) -> Column:
+    """A card number of 16 digits with the last one set right."""
+    digits = F.split(F.regexp_replace(card, "[^0-9]", ""), "")
+    doubled = F.transform(digits, lambda d, i: F.when(i == 15, 0).when(i % 2 == 0, F.pmod(d.cast("int") * 2, F.lit(10)) + F.floor(d.cast("int") / 5).cast("int")).otherwise(d.cast("int")))
+    total = F.aggregate(doubled, F.lit(0), lambda s, x: s + x)
+    return F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.pmod(-total, F.lit(10)).cast("string"))
+
+
+def _iban(value: Column) -> Column:
+    """An IBAN with its check digits (third and fourth) set right."""
+    bare = F.regexp_replace(value, " ", "")
+    moved = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 2), F.lit("00"))
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda s, c: F.when(c.rlike("[0-9]"), F.pmod(s * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(s * 100 + F.instr(F.lit(_UPPER), c) + 9, F.lit(97))))
+    return F.concat(F.substring(value, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(value, F.lit(5), F.length(value)))
+
+
+def title_of(name: Column) -> Column:
+    return F.regexp_extract(name, rf"^(?:{_TITLE})\.? ", 0)
+
+
+def words_of(name: Column) -> Column:
+    """One or two words after a title."""
+    return F.split(F.substring(name, F.length(title_of(name)) + 1, F.length(name)), " ")
+
+
+def _gender(title: Column) -> Column:
+    male = "|".join(t for (g, _), ts in TITLES.items() if g == "male" for t in ts)
+    return F.when(title.rlike(rf"^(?:{male})\.? $"), "male").otherwise("female")
+
+
+def units_of(value: Column) -> Column:
+    """The units of a value, kind and what: itself or, of a name, its family name after its first name."""
+
+    def named(words: Column) -> Column:
+        family = F.struct(F.lit("family").alias("kind"), F.lower(F.element_at(words, -1)).alias("what"))
+        first = F.struct(_gender(title_of(value)).alias("kind"), F.lower(F.get(words, F.lit(0))).alias("what"))
+        return F.when(F.size(words) > 1, F.array(first, family)).otherwise(F.array(family))
+
+    return F.when(title_of(value) != "", _let(words_of(value), named)).otherwise(F.array(F.struct(kind_of(value).alias("kind"), value.alias("what"))))
+
+
+def drawn_for(kind: Column, what: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a unit. An email's domain has a surrogate of its own, but for its last label; a phone
+    number keeps its country code, a card its first digit, an IBAN its country."""
     # So many syllables, letters or pairs of digits more: each makes at least 16 times as many values.
     more = F.floor(attempt / 2).cast("int")
-    domain, last = F.regexp_extract(value, r"@(.*)\.", 1), F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
-    email = F.concat(_same_format(F.concat(F.regexp_extract(value, "^[^@]*", 0), F.repeat(F.lit("a"), more)), whole), F.lit("@"), _same_format(domain, _draw(key, F.lit(0), domain)), last)
-    octets = F.array_join(F.transform(F.split(value, r"\."), lambda _, i: (F.pmod(_number(whole, i), F.lit(254)) + 1).cast("string")), ".")
-    code = F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
-    title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
-    words = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
-    male = title.rlike("^(?:" + "|".join(t for (g, _), ts in TITLES.items() if g == "male" for t in ts) + r")\.? $")
-    cyrillic = F.element_at(words, -1).rlike(r"\p{IsCyrillic}")
-
-    def first_name(word: Column) -> Column:
-        n, out = _number(_draw(key, attempt, word), 0), None
-        for (gender, script), names in FIRST_NAMES.items():
-            fits = (male if gender == "male" else ~male) & (cyrillic if script == "cyrillic" else ~cyrillic)
-            out = F.when(fits, _pick(n, names)) if out is None else out.when(fits, _pick(n, names))
-        return out
-
-    def family_name(word: Column) -> Column:
-        digest = _draw(key, attempt, word)
-
-        def syllables(script: str) -> Column:
-            longer = F.transform(F.sequence(F.lit(4), more + 3), lambda i: _pick(_number(digest, i), SYLLABLES[script]))
-            return F.concat(*(_pick(_number(digest, i), SYLLABLES[script]) for i in range(4)), F.when(more > 0, F.array_join(longer, "")).otherwise(""))
-
-        made = [syllables(script) for script in ("latin", "cyrillic")]
-        return F.initcap(F.when(cyrillic, made[1]).otherwise(made[0]))
-
-    name = F.concat(title, F.when(F.size(words) > 1, F.concat(first_name(F.get(words, 0)), F.lit(" "))).otherwise(""), family_name(F.element_at(words, -1)))
-    # A phone number with a country code has a pair of digits to spare for each.
-    grown = F.when((kind == "phone") & value.startswith("+"), F.concat(value, F.repeat(F.lit("00"), more))).otherwise(value)
-    other = _same_format(grown, whole, F.when(kind == "phone", code).when(kind == "card", 1).when(kind == "iban", 2).otherwise(0))
-    return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "name", name).otherwise(other)
-
-
-def found_entities(text: Column) -> Column:
-    """All entities of a text, in order; null if there are none."""
-    values = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
-    values = F.when(text.rlike(_HINT), values)
-    return F.when(F.size(values) > 0, values)
-
-
-def redrawn(entities: DataFrame, key: str) -> DataFrame:
-    """(value, attempt) of those distinct ``entities`` (value) whose first surrogate isn't theirs to keep."""
-    pending, taken, moved = entities.withColumn("attempt", F.lit(0)), entities.select(F.col("value").alias("used")), None
+
+    def by_kind(whole: Column) -> Column:
+        domain, last = F.regexp_extract(what, r"@(.*)\.", 1), F.regexp_extract(what, r"\.[A-Za-z]+$", 0)
+        email = F.concat(_same_format(F.concat(F.regexp_extract(what, "^[^@]*", 0), F.repeat(F.lit("a"), more)), whole), F.lit("@"), _let(_draw(key, F.lit(0), domain), lambda d: _same_format(domain, d)), last)
+        octets = F.array_join(F.transform(F.split(what, r"\."), lambda o, i: (F.pmod(o.cast("int") + F.pmod(_number(whole, i), F.lit(253)), F.lit(254)) + 1).cast("string")), ".")
+        code = F.length(F.regexp_extract(what, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
+        # A phone number with a country code has a pair of digits to spare for each redraw but one.
+        grown = F.when((kind == "phone") & what.startswith("+"), F.concat(what, F.repeat(F.lit("00"), more))).otherwise(what)
+        other = _same_format(grown, whole, F.when(kind == "phone", code).when(kind == "card", 1).when(kind == "iban", 2).otherwise(0))
+        script = F.when(what.rlike(r"\p{IsCyrillic}"), "cyrillic").when(what.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+        lists = {name: F.array(*map(F.lit, values)) for name, values in SYLLABLES.items()}
+        parts = F.when(script == "cyrillic", lists["cyrillic"]).when(script == "greek", lists["greek"]).otherwise(lists["latin"])
+        given = F.lit(None).cast("array<string>")
+        for (gender, name), values in FIRST_NAMES.items():
+            given = F.when((kind == gender) & (script == name), F.array(*map(F.lit, values))).otherwise(given)
+        # A first name that was drawn again is made, as there are few given ones.
+        least = F.when(kind == "family", 4).otherwise(3)
+        composed = _let(parts, lambda p: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), more + least - 1), lambda i: F.get(p, F.pmod(_number(whole, i + 1), F.size(p)))), "")))
+        picked = _let(given, lambda g: F.get(g, F.pmod(_number(whole, 0), F.size(g))))
+        return (
+            F.when(kind == "email", email).when(kind == "ip", octets).when(kind.isin("male", "female") & (attempt < 2), picked).when(kind.isin("family", "male", "female"), composed)
+            .when(kind == "card", _luhn(other)).when(kind == "iban", _iban(other)).otherwise(other)
+        )
+
+    return _let(_draw(key, attempt, F.concat_ws("\x1f", kind, what)), by_kind)
+
+
+def surrogate(value: Column, attempts: Column, key: str) -> Column:
+    """What replaces ``value``: its units' surrogates, the title of a name and its words' capitals kept.
+    attempts: a map of "kind<unit separator>what" to attempts, for units that aren't at their first."""
+
+    def made(unit: Column, word: Column) -> Column:
+        attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", unit["kind"], unit["what"])), F.lit(0))
+        shouted = unit["kind"].isin("family", "male", "female") & (F.length(word) > 1) & (word == F.upper(word))
+        return _let(drawn_for(unit["kind"], unit["what"], attempt, key), lambda s: F.when(shouted, F.upper(s)).otherwise(s))
+
+    def joined(title: Column) -> Column:
+        words = F.when(title == "", F.array(value)).otherwise(words_of(value))
+        return F.concat(title, F.array_join(F.zip_with(units_of(value), words, made), " "))
+
+    return _let(title_of(value), joined)
+
+
+def redrawn(units: DataFrame, key: str) -> DataFrame:
+    """(kind, what, attempt) of those distinct ``units`` (kind, what) whose first surrogate isn't theirs to keep."""
+    same = ["kind", "what"]
+    taken = F.lower(F.col("what")).alias("used")
+    pending, taken, moved = units.withColumn("attempt", F.lit(0)), units.select("kind", taken), None
     for _ in range(ROUNDS):
-        drawn = materialize(pending.withColumn("drawn", surrogate(F.col("value"), F.col("attempt"), key)), "surrogates")
-        # One entity of those that drew a surrogate may have it, unless it is taken.
-        own = drawn.groupBy("drawn").agg(F.min_by(F.struct("value", "attempt"), "value").alias("o")).select("drawn", "o.*")
-        own = materialize(own.join(taken, F.col("drawn") == F.col("used"), "left_anti"), "own_surrogates")
-        pending = materialize(drawn.join(own, "value", "left_anti").select("value", (F.col("attempt") + 1).alias("attempt")), "redraw")
-        now = own.where("attempt > 0").select("value", "attempt")
+        drawn = materialize(pending.withColumn("drawn", F.lower(drawn_for(F.col("kind"), F.col("what"), F.col("attempt"), key))), "surrogates")
+        # One unit of those that drew a surrogate may have it, unless it is taken.
+        own = drawn.groupBy("kind", "drawn").agg(F.min(F.struct("what", "attempt")).alias("o")).select("kind", "drawn", "o.*")
+        own = materialize(own.join(taken.withColumnRenamed("used", "drawn"), ["kind", "drawn"], "left_anti"), "own_surrogates")
+        pending = materialize(drawn.join(own, same, "left_anti").select(*same, (F.col("attempt") + 1).alias("attempt")), "redraw")
+        now = own.where("attempt > 0").select(*same, "attempt")
         moved = now if moved is None else moved.unionByName(now)
         if pending.isEmpty():
             return moved
-        taken = taken.unionByName(own.select(F.col("drawn").alias("used")))
+        taken = taken.unionByName(own.select("kind", F.col("drawn").alias("used")))
     raise RuntimeError("more entities of a format than it has values")
 
 
+def marked(text: Column) -> Column:
+    """A text with _MARK before and after each entity; null where there is none. A text that holds the mark
+    has it replaced by a blank there."""
+    plain = F.translate(text, _MARK, " ")
+    found = F.when(text.rlike(_HINT), F.regexp_replace(plain, _ANY, f"{_MARK}$0{_MARK}"))
+    return F.when(F.contains(found, F.lit(_MARK)), found)
+
+
+def _with_bare_names(pieces: Column) -> Column:
+    """Pieces of a marked text (entities at odd places), with the names of its titled people marked where
+    they stand without a title."""
+    people = F.filter(pieces, lambda x, i: (i % 2 == 1) & (title_of(x) != ""))
+    # Full names first, so that they are taken before their family names; letters, ' and - need no escape.
+    names = F.array_distinct(F.concat(F.transform(F.filter(people, lambda x: F.size(words_of(x)) > 1), lambda x: F.array_join(words_of(x), " ")), F.transform(people, lambda x: F.element_at(words_of(x), -1))))
+
+    def mark(names: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?<![\p{L}'-])(?:"), F.array_join(names, "|"), F.lit(r")(?!['-]?\p{L}(?<!'s))"))
+        again = F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit(_MARK), x, F.lit(_MARK))).otherwise(F.regexp_replace(x, pattern, F.lit(f"{_MARK}$0{_MARK}"))))
+        return F.split(F.array_join(again, ""), _MARK)
+
+    return _let(names, lambda n: F.when(F.size(n) > 0, mark(n)).otherwise(pieces))
+
+
+def _titled(value: Column, pieces: Column) -> Column:
+    """A bare name with the title that it has elsewhere in the document; other values as they are."""
+    found = F.filter(pieces, lambda x, i: (i % 2 == 1) & (title_of(x) != "") & F.endswith(x, F.concat(F.lit(" "), value)))
+    return F.when((kind_of(value) == "name") & (title_of(value) == ""), F.get(found, F.lit(0))).otherwise(value)
+
+
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities in text replaced; adds entities (array of value, surrogate), null where
     there are none, in place of a column of that name. Texts without entities, null and empty ones stay as
-    they are; so do all rows, repeated ones and null doc_ids too."""
-    values, own, moved, drawn = unused(docs, "values", "own_id", "moved", "drawn")
-    per_doc = docs.select("doc_id", found_entities(F.col("text")).alias("values")).where("values IS NOT NULL")
-    per_doc = materialize(per_doc, "entities")
-    occurrences = per_doc.select("doc_id", F.explode("values").alias("value"))
-    again = redrawn(occurrences.select("value").distinct(), key)
-    by_doc = occurrences.join(again, "value").distinct().groupBy(F.col("doc_id").alias(own)).agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias(moved))
-    by_doc = materialize(by_doc, "redrawn_by_doc")
-    joined = docs.withColumn(values, found_entities(F.col("text"))).join(by_doc, F.col("doc_id").eqNullSafe(F.col(own)), "left")
-
-    def replaced(value: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.col(moved), value), F.lit(0))
-        return F.struct(value.alias("value"), surrogate(value, attempt, key).alias("surrogate"))
-
-    joined = joined.withColumn(drawn, F.when(F.col(values).isNotNull(), F.transform(values, replaced)))
-    pieces = F.split("text", _ANY, -1)
-    text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(drawn), i)["surrogate"], F.lit("")))), "")
-    text = F.when(F.col(drawn).isNotNull(), text).otherwise(F.col("text"))
+    they are; so do all rows, repeated ones and null doc_ids too. Rows that share a doc_id share the
+    attempts of their units, nothing else; equal values have equal surrogates in all rows."""
+    pieces, row, own, moved, drawn = unused(docs, "pieces", "row", "own_row", "moved", "drawn")
+    tagged = docs.withColumn(pieces, F.split(marked(F.col("text")), _MARK)).withColumn(row, F.monotonically_increasing_id())
+    tagged = materialize(tagged, "marked")
+    values = F.array_distinct(F.filter(F.col(pieces), lambda x, i: i % 2 == 1))
+    occurrences = tagged.where(F.col(pieces).isNotNull()).select(F.col(row).alias("row"), F.explode(F.array_distinct(F.flatten(F.transform(values, units_of)))).alias("u")).select("row", "u.*")
+    occurrences = materialize(occurrences, "units")
+    again = redrawn(occurrences.select("kind", "what").distinct(), key)
+    entry = F.struct(F.concat_ws("\x1f", "kind", "what"), "attempt")
+    by_row = occurrences.join(again, ["kind", "what"]).groupBy(F.col("row").alias(own)).agg(F.map_from_entries(F.collect_list(entry)).alias(moved))
+    by_row = materialize(by_row, "redrawn_by_row")
+    joined = tagged.join(by_row, F.col(row) == F.col(own), "left")
+    attempts = F.coalesce(F.col(moved), F.create_map().cast("map<string,int>"))
+    joined = joined.withColumn(pieces, F.when(F.col(pieces).isNotNull(), _with_bare_names(F.col(pieces))))
+
+    def replaced(x: Column) -> Column:
+        def fitted(full: Column) -> Column:
+            s = surrogate(full, attempts, key)
+            return F.struct(x.alias("value"), F.when(full == x, s).otherwise(F.array_join(F.slice(F.split(s, " "), -F.size(F.split(x, " ")), F.size(F.split(x, " "))), " ")).alias("surrogate"))
+
+        return _let(_titled(x, F.col(pieces)), fitted)
+
+    joined = joined.withColumn(drawn, F.transform(F.filter(F.col(pieces), lambda x, i: i % 2 == 1), replaced))
+    text = F.array_join(F.transform(F.col(pieces), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get(F.col(drawn), F.floor(i / 2).cast("int"))["surrogate"])), "")
+    text = F.when(F.col(pieces).isNotNull(), text).otherwise(F.col("text"))
     return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "entities"), F.col(drawn).alias("entities"))
 
 
@@ -188,5 +289,9 @@ def surrogate_report(docs: DataFrame, key: str) -> DataFrame:
     return done.select("doc_id", F.size("kinds").cast("bigint").alias("n_entities"), *counts, "text")
 
 
+#: Where the session keeps the key of a release; without it surrogates are for tests only.
+KEY_SETTING = "spark.tessera.surrogateKey"
+
+
 def op10_pii(spark, sf_dir):
-    return surrogate_report(table(spark, sf_dir, "documents"), "corpus-release-1")
+    return surrogate_report(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, "no-key-was-set"))

@@ -1,14 +1,92 @@
+"""Surrogates: distinct at any number of entities, and a replacer that works text by text."""
+
+import random
+
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
 
 
 def test_more_names_than_short_surrogates(spark, monkeypatch):
-    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ("ba", "lo"), "cyrillic": ("ба", "ло")})
-    values = [f"Mr K{a}{b}" for a in "abcdef" for b in "abcdef"] + [f"{c}@a.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"+1 23 {i:02d}" for i in range(5)]
-    entities = spark.createDataFrame([(v,) for v in values], "value string")
-    moved = pii.redrawn(entities, "k")
-    final = entities.join(moved, "value", "left").select("value", pii.surrogate(F.col("value"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
-    final = final.select("value", "s", pii.kind_of(F.col("value")).alias("k1"), pii.kind_of(F.col("s")).alias("k2")).collect()
-    assert len({r["s"] for r in final}) == len(values) and not {r["s"] for r in final} & set(values)
-    assert all(r["k1"] == r["k2"] for r in final)
+    monkeypatch.setattr(pii, "SYLLABLES", {name: ("ba", "lo") for name in pii.SYLLABLES})
+    values = [("family", f"k{a}{b}") for a in "abcdef" for b in "abcdef"] + [("male", f"n{a}") for a in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{c}@a.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("phone", f"+1 23 {i:02d}") for i in range(5)]
+    units = spark.createDataFrame(values, "kind string, what string")
+    moved = pii.redrawn(units, "k")
+    final = units.join(moved, ["kind", "what"], "left").select("kind", "what", pii.drawn_for(F.col("kind"), F.col("what"), F.coalesce("attempt", F.lit(0)), "k").alias("s")).collect()
+    drawn = [(r["kind"], r["s"].lower()) for r in final]
+    assert len(set(drawn)) == len(values) and not set(drawn) & set(values)
+
+
+def luhn(card):
+    digits = [int(c) for c in card if c.isdigit()]
+    return sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(digits)) % 10 == 0
+
+
+def mod97(iban):
+    bare = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def shape(s):
+    return "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in s)
+
+
+def replaced_by_hand(text, mapping):
+    """Entities found from left to right, and bare names of titled people, exchanged by the mapping."""
+    any_kind = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
+    titled = regex.compile("^(?:" + "|".join(t for ts in pii.TITLES.values() for t in ts) + r")\.? (.*)$")
+    out, at, spans = [], 0, [(m.start(), m.end()) for m in any_kind.finditer(text)]
+    people = [m.group(1) for a, b in spans if (m := titled.match(text[a:b]))]
+    names = [p for p in people if " " in p] + [p.split(" ")[-1] for p in people]
+    bare = regex.compile(r"(?<![\p{L}'-])(?:" + "|".join(names) + r")(?!['-]?\p{L}(?<!'s))") if names else None
+    swap = lambda part: bare.sub(lambda m: mapping[m.group()], part) if bare else part
+    for a, b in spans:
+        out += [swap(text[at:a]), mapping[text[a:b]]]
+        at = b
+    return "".join([*out, swap(text[at:])])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_texts_are_replaced_as_by_hand(frame, seed):
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    first = ["John", "Ann", "Eva", "Ивана", "Νίκος", "Al"]
+    last = ["Smith", "O'Brien", "Lee-Jones", "Петрова", "Παππάς", "SMITH", "Q"]
+    makers = [
+        lambda: f"{rng.choice(['Mr', 'Mrs', 'Ms.', 'Frau', 'госпожа', 'Señor'])} {rng.choice(first)} {rng.choice(last)}",
+        lambda: f"{rng.choice(['Mr.', 'Mrs', 'Herr', 'господин'])} {rng.choice(last)}",
+        lambda: rng.choice(last),
+        lambda: f"{rng.choice(first)} {rng.choice(last)}'s",
+        lambda: f"{rng.choice(['a', 'ann.lee', 'x-9'])}@{rng.choice(['b.com', 'mail.example.org'])}",
+        lambda: rng.choice([f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}", f"5{digits(15)}", f"3{digits(3)}-{digits(4)}-{digits(4)}-{digits(4)}"]),
+        lambda: rng.choice([f"+1 (555) {digits(3)}-{digits(4)}", f"+49 30 {digits(4)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        lambda: rng.choice([f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", f"GB{digits(2)}WEST{digits(14)}"]),
+        lambda: rng.choice(["and", "the house", "version 1.2.3", "in 2024-01-02,", "Street", "été", "漢字", "\n"]),
+    ]
+    rows = [(i, " ".join(rng.choice(makers)() for _ in range(rng.randrange(14))), "s") for i in range(150)]
+    rows += [(200, rows[0][1], "s"), (0, rows[0][1], "s")]
+    got = [(r["doc_id"], r["text"], [(e["value"], e["surrogate"]) for e in r["entities"] or []]) for r in pii.replace_personal_data(frame(rows), "k").collect()]
+    text_of = {i: t for i, t, _ in rows}
+    whole = {}
+    for i, text, entities in got:
+        mapping = dict(entities)
+        assert all(mapping[v] == s for v, s in entities)
+        assert replaced_by_hand(text_of[i], mapping) == text
+        for value, s in entities:
+            kind = next((k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, value)), "bare")
+            if kind != "bare":
+                assert whole.setdefault(value, s) == s and s != value and regex.fullmatch(pii.PATTERNS[kind], s), (value, s)
+            if kind == "card":
+                assert luhn(s) and shape(s) == shape(value) and s[0] == value[0]
+            elif kind == "iban":
+                assert mod97(s) and shape(s) == shape(value) and s[:2] == value[:2]
+            elif kind == "email":
+                assert not set(zip(s.split("@")[0], value.split("@")[0], strict=False)) & {(c, c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+            elif kind in ("name", "bare"):
+                assert [next(c for c in w if c.isalpha()) > "Ͱ" for w in s.split(" ")[-1:]] == [next(c for c in w if c.isalpha()) > "Ͱ" for w in value.split(" ")[-1:]]
+    assert len(set(whole.values())) == len(whole) and not set(whole.values()) & set(whole)
+    assert len({t for i, t, _ in got if i in (0, 200)}) == 1

@@ -296,14 +296,13 @@ def test_surrogates(frame):
 
 
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
-    values = [f"10.0.{i}.{j}" for i in range(6) for j in range(6)]
-    entities = spark.createDataFrame([(v,) for v in values], "value string")
-    # A surrogate with 150 values only, for 36 entities.
-    monkeypatch.setattr(pii, "surrogate", lambda value, attempt, key: F.concat(F.lit("x"), F.pmod(F.xxhash64(value, attempt), F.lit(150))))
-    moved = {r["value"]: r["attempt"] for r in pii.redrawn(entities, "k").collect()}
-    final = entities.withColumn("attempt", F.coalesce(F.try_element_at(F.create_map(*(x for v, n in moved.items() for x in (F.lit(v), F.lit(n)))), F.col("value")), F.lit(0)))
-    drawn = [r[0] for r in final.select(pii.surrogate(F.col("value"), F.col("attempt"), "k")).collect()]
-    assert moved and len(set(drawn)) == len(values)
+    units = spark.createDataFrame([("ip", f"10.0.{i}.{j}") for i in range(6) for j in range(6)], "kind string, what string")
+    # A surrogate with 150 values only, for 36 units.
+    monkeypatch.setattr(pii, "drawn_for", lambda kind, what, attempt, key: F.concat(F.lit("x"), F.pmod(F.xxhash64(what, attempt), F.lit(150))))
+    moved = pii.redrawn(units, "k")
+    final = units.join(moved, ["kind", "what"], "left").select("kind", "what", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    drawn = [r[0] for r in final.select(pii.drawn_for(F.col("kind"), F.col("what"), F.col("attempt"), "k")).collect()]
+    assert not moved.isEmpty() and len(set(drawn)) == 36
 
 
 def test_surrogates_of_odd_rows(odd, nothing):
