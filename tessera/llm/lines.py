@@ -20,8 +20,8 @@ from tessera.llm.shared import WORD, materialize, table, text_or_empty, unused
 
 #: One edit in five words or more leaves a similarity of 0.8 at least.
 MIN_WORDS = 5
-#: A line's place and the first of its two hashes.
-LINE = ["doc_id", "line_no", "h1"]
+#: A line's place, and the first of its two hashes where rows share its doc_id (else 0, which takes no room).
+LINE = ["doc_id", "line_no", "tie"]
 #: Values of a join that more than one in HOT rows have, and over SPREAD_ROWS, are spread over tasks.
 HOT, SPREAD_ROWS = 10_000, 100_000
 #: Hashes are cut to 40 bits so that sums over the words of a line stay within 64.
@@ -38,8 +38,8 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The first occurrence of each distinct line: h1 and h2 (hashes of its words), doc_id, line_no and
-    halves, an array of hashes of its first and last halves (null for lines shorter than ``min_words``)."""
+    """The first occurrence of each distinct line: LINE and halves, an array of hashes of its first and
+    last halves (null for lines shorter than ``min_words``)."""
     lines = line_occurrences(docs).select("doc_id", "line_no", _words("line").alias("w")).withColumn("n", F.size("w"))
 
     def half(side: str, k: Column) -> Column:
@@ -49,18 +49,21 @@ def distinct_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     short, long = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") + 1) / 2).cast("int")
     halves = F.when(F.col("n") >= min_words, F.array(half("first", short), half("first", long), half("last", short), half("last", long)))
     rows = lines.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.struct("doc_id", "line_no", halves.alias("halves")).alias("at"))
-    return rows.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("h1", "h2", "at.*")
+    firsts = materialize(rows.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("h1", "at.*"), "distinct")
+    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("shared"))
+    tie = F.when(F.col("shared"), F.col("h1")).otherwise(F.lit(0).cast("bigint"))
+    return firsts.join(materialize(repeated, "repeated"), "doc_id", "left").select("doc_id", "line_no", tie.alias("tie"), "halves")
 
 
 def _gaps(docs: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For the lines of ``near`` (LINE, h2, first, last: a half is shared): their words, and the keys of
+    """For the lines of ``near`` (LINE, first, last: a half is shared): their words, and the keys of
     their variants as (LINE, key1, key2)."""
-    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2", "first", "last")).alias("wanted"))
+    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "tie", "first", "last")).alias("wanted"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
     picked = texts.select("doc_id", F.split("text", "\n").alias("lines"), "wanted").select("doc_id", "lines", F.explode("wanted").alias("x"))
     picked = picked.select("doc_id", "x.*", _words(F.get("lines", F.col("x.line_no"))).alias("w"))
-    # Rows may share a doc_id: only the wanted line of that number counts, and each row's by itself.
-    picked = picked.where((F.xxhash64("w") == F.col("h1")) & (F.xxhash64(F.lit(1), "w") == F.col("h2"))).drop("h2")
+    # Where rows share a doc_id, only the wanted line of that number counts, and each row's by itself.
+    picked = picked.where((F.size("w") > 0) & ((F.col("tie") == 0) | (F.xxhash64("w") == F.col("tie"))))
     picked = materialize(picked.withColumn("row", F.monotonically_increasing_id()), "lines")
     words = picked.select(*LINE, "row", "first", "last", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     # A word's hash with its place from the start, summed over the words before a gap, and with its
@@ -102,16 +105,17 @@ def _spread_join(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFram
     hot = F.broadcast(counted.where(F.col("n") > share).select(*on, parts.alias("parts")))
     rows = rows.join(hot, on, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*LINE), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     repeated = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
-    return rows.join(repeated, [*on, "part"]).drop("part")
+    # Merged at every size: what is broadcast at a small one wouldn't be at a large one.
+    return rows.join(repeated.hint("merge"), [*on, "part"]).drop("part")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """doc_id, line_no and h1 of those ``distinct`` lines that have an earlier one within one word edit."""
-    halves = distinct.where("halves IS NOT NULL").select(*LINE, "h2", F.posexplode("halves").alias("which", "half"))
+    """LINE of those ``distinct`` lines that have an earlier one within one word edit."""
+    halves = distinct.where("halves IS NOT NULL").select(*LINE, F.posexplode("halves").alias("which", "half"))
     # A half's two lengths may coincide, so lines are told apart by their places, not counted by rows.
     counts = halves.groupBy("half").agg(F.count("*").alias("n"), *(f(c).alias(f"{side}_{c}") for c in LINE for side, f in (("least", F.min), ("most", F.max))))
     shared = counts.where(" OR ".join(f"NOT (least_{c} <=> most_{c})" for c in LINE)).select("half", "n")
-    near = _spread_join(halves, shared, ["half"]).groupBy(*LINE, "h2").agg(F.bool_or(F.col("which") < 2).alias("first"), F.bool_or(F.col("which") >= 2).alias("last"))
+    near = _spread_join(halves, shared, ["half"]).groupBy(*LINE).agg(F.bool_or(F.col("which") < 2).alias("first"), F.bool_or(F.col("which") >= 2).alias("last"))
     words, keys = _gaps(docs, near)
     keys = materialize(keys, "variants")
     place = F.struct(*LINE)
@@ -129,7 +133,7 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
     one; and the near lines. A doc_id of null ranks before all others and has near lines of its own
     kept. Rows that share a doc_id are alike in rank: neither's line is earlier than the other's of the same
     number, repeated rows keep the same lines, and a line number stays if it does for one of the rows."""
-    distinct = materialize(distinct_lines(docs, min_words), "distinct")
+    distinct = distinct_lines(docs, min_words)
     near = materialize(near_lines(docs, distinct), "near")
     kept = distinct.select(*LINE).join(near, LINE, "left_anti")
     return kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept")), near
