@@ -31,6 +31,9 @@ BEGINNINGS = (4, 5, 6)
 TREES, DEPTH = 15, 3
 NEAR = 5
 FOLDS = 5
+#: The share of the uncalibrated score in a score, which orders what calibration ties.
+TIE = 0.001
+#: Fixed English words, one feature beside the terms that are learned in whatever language the labels cover.
 INSULTS = frozenset("idiot moron stupid loser trash pathetic worthless disgusting scum clown dumb fool jerk imbecile hate".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch ti tus usted ustedes vosotros".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -104,13 +107,16 @@ class Reader:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> DataFrame:
-    """doc_id, text, toxic, share (0 to 99, by hash) of at most ``sample`` labelled documents outside fold 0."""
+    """doc_id, text, toxic, share (0 to 99, by hash) of at most ``sample`` labelled documents outside fold 0. A
+    document with several labels counts as toxic if one says so; of rows that share a doc_id the least
+    text is learned from."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
     usable = usable.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
     # At most ``sample`` rows of three numbers.
     chosen = F.broadcast(usable.select("doc_id", "toxic", F.pmod("h", F.lit(100)).alias("share")))
-    return materialize(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    return materialize(rows.groupBy("doc_id", "toxic", "share").agg(F.min("text").alias("text")), "labelled")
 
 
 def learned_terms(rows: DataFrame) -> dict[str, float]:
@@ -162,8 +168,10 @@ class Toxicity:
             return
         self.terms = learned_terms(rows)
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        read = self.assembler.transform(with_features(rows, self.terms, "toxic", "share"))
-        read = read.select("doc_id", "share", F.col("toxic").cast("double").alias("label"), "features").coalesce(4).cache()
+        # Features are computed where the rows are; then 20,000 rows of numbers at most, always in the same order.
+        read = materialize(with_features(rows, self.terms, "toxic", "share"), "features")
+        read = self.assembler.transform(read.repartition(4, "doc_id").sortWithinPartitions("doc_id"))
+        read = read.select("doc_id", "share", F.col("toxic").cast("double").alias("label"), "features").cache()
         self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(read.where("share < 70"))
         held = self._raw(read.where("share >= 70")).select("label", "raw")
         # Where a small sample leaves no row to calibrate on, all rows serve.
@@ -179,8 +187,8 @@ class Toxicity:
         if self.constant is not None:
             return docs.select("doc_id", F.lit(float(self.constant)).alias("score"))
         read = self._raw(self.assembler.transform(with_features(docs, self.terms)).select("doc_id", "features"))
-        # Calibration has steps; within one, a small share of the trees' own score keeps their order.
-        score = F.lit(0.98) * F.col("calibrated") + F.lit(0.02) * F.col("raw")
+        # Calibration has steps; within one, a thousandth of the trees' own score keeps their order.
+        score = F.lit(1 - TIE) * F.col("calibrated") + F.lit(TIE) * F.col("raw")
         return self.calibration.transform(read).select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
 
@@ -188,8 +196,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, held_out (crc32 of doc_id as text leaves 0 by FOLDS), score, predicted for every row.
 
     Learns only from labelled rows that aren't held out; only texts are inputs of a score. Null texts
-    count as empty and get a score too; a null doc_id isn't held out; repeated rows keep theirs.
-    Labels with no row, or one class, give their mean (0 without rows) as every score.
+    count as empty and get a score too; a null doc_id isn't held out; repeated rows keep theirs, and equal
+    texts have equal scores. Labels with no row, or one class, give their mean (0 without rows) as every
+    score. What is learned doesn't depend on the order or partitions of the rows.
     """
     scored = Toxicity(docs, labels, sample).score(docs)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
