@@ -2,8 +2,9 @@
 
 Each document gets counts and a base verdict from them. Rule failures are then summed by host
 (the source column); a host's failure rates are shrunk towards the corpus with an empirical beta
-prior, so that a host with few documents is judged mostly by the prior, and documents of hosts
-whose shrunk rate passes a bound are rejected too.
+prior, and documents of hosts whose rate is over a bound almost surely, by the posterior that this
+gives, are rejected too. So a host with few documents is judged mostly by the prior: all of its three
+documents may fail, and whether it goes depends on how the corpus' hosts do.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected with all its documents if the rate of failures of a rule is above this both among its
-#: own documents and when shrunk.
-MAX_HOST_RATE = 0.5
+#: A host is rejected with all its documents if its rate of failures of a rule is above this, and that by so
+#: many of the posterior's standard deviations (one-sided 95 %).
+MAX_HOST_RATE, DEVIATIONS = 0.5, 1.645
 #: Rules whose failures are summed by host: name and condition on a document's counts.
 HOST_RULES = {
     "base": "base_failed",
@@ -66,17 +67,23 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per host (source, null being one): documents, shrunk rate of each rule, rejected."""
+    """One row per host (source, null being one): documents, shrunk rate of each rule, rejected.
+
+    The prior's mean is the corpus' rate, but ``max_rate`` at most, so no host is condemned by other hosts'
+    documents alone; its weight, in documents, comes from the variance of the hosts' rates, less what
+    chance adds to it."""
     failures = {name: F.expr(rule).cast("bigint") for name, rule in HOST_RULES.items()}
     hosts = counts.groupBy("source").agg(F.count("*").alias("documents"), *(F.sum(x).alias(name) for name, x in failures.items()))
-    # One row: the corpus' rate of each rule and the variance of the hosts' rates.
-    moments = hosts.agg(*(x for name in HOST_RULES for x in ((F.sum(name) / F.sum("documents")).alias(f"{name}_mean"), F.var_pop(F.col(name) / F.col("documents")).alias(f"{name}_var")))).first()
+    # One row: the corpus' rate of each rule, and the variance of the hosts' rates about it, by document.
+    squares = {name: F.sum(F.col(name) * F.col(name) / F.col("documents")) / F.sum("documents") for name in HOST_RULES}
+    moments = hosts.agg((F.count("*") / F.sum("documents")).alias("noise"), *(x for name in HOST_RULES for x in ((F.sum(name) / F.sum("documents")).alias(f"{name}_mean"), squares[name].alias(f"{name}_squares")))).first()
     rates, bad = {}, F.lit(False)
     for name in HOST_RULES:
-        mean, variance = moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0
+        mean = moments[f"{name}_mean"] or 0.0
+        variance = (moments[f"{name}_squares"] or 0.0) - mean * mean - mean * (1 - mean) * (moments["noise"] or 0.0)
         weight = min(max(mean * (1 - mean) / variance - 1 if variance > 0 else PRIOR_WEIGHT[1], PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
-        rates[f"{name}_rate"] = rate = (F.col(name) + mean * weight) / (F.col("documents") + weight)
-        bad = bad | ((rate > max_rate) & (F.col(name) / F.col("documents") > max_rate))
+        rates[f"{name}_rate"] = rate = (F.col(name) + min(mean, max_rate) * weight) / (F.col("documents") + weight)
+        bad = bad | (rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (F.col("documents") + weight + 1)) > max_rate)
     return hosts.select("source", "documents", *(x.alias(name) for name, x in rates.items()), bad.alias("rejected"))
 
 
@@ -108,10 +115,12 @@ def op5_quality_rules(spark, sf_dir):
 
 def _oracle(documents: str = "documents") -> str:
     sums = ", ".join(f"sum(({rule})::int)::double AS {name}" for name, rule in HOST_RULES.items())
-    moments = ", ".join(f"sum({name}) / sum(n) AS {name}_mean, var_pop({name} / n) AS {name}_var" for name in HOST_RULES)
+    moments = ", ".join(f"sum({name}) / sum(n) AS {name}_mean, sum({name} * {name} / n) / sum(n) AS {name}_squares" for name in HOST_RULES)
     least, most = PRIOR_WEIGHT
-    weights = ", ".join(f"{name}_mean AS {name}_mean, least(greatest(CASE WHEN {name}_var > 0 THEN {name}_mean * (1 - {name}_mean) / {name}_var - 1 ELSE {most} END, {least}), {most}) AS {name}_weight" for name in HOST_RULES)
-    rates = " OR ".join(f"(({name} + {name}_mean * {name}_weight) / (n + {name}_weight) > {MAX_HOST_RATE} AND {name} / n > {MAX_HOST_RATE})" for name in HOST_RULES)
+    own = ", ".join(f"{name}_mean, {name}_squares - {name}_mean * {name}_mean - {name}_mean * (1 - {name}_mean) * noise AS {name}_var" for name in HOST_RULES)
+    weights = ", ".join(f"least({name}_mean, {MAX_HOST_RATE}) AS {name}_mean, least(greatest(CASE WHEN {name}_var > 0 THEN {name}_mean * (1 - {name}_mean) / {name}_var - 1 ELSE {most} END, {least}), {most}) AS {name}_weight" for name in HOST_RULES)
+    shrunk = ", ".join(f"({name} + {name}_mean * {name}_weight) / (n + {name}_weight) AS {name}_rate, n + {name}_weight + 1 AS {name}_n" for name in HOST_RULES)
+    rates = " OR ".join(f"{name}_rate - {DEVIATIONS} * sqrt({name}_rate * (1 - {name}_rate) / {name}_n) > {MAX_HOST_RATE}" for name in HOST_RULES)
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM {documents}),
 words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -125,8 +134,8 @@ counts AS (SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[
     coalesce(covered.n, 0) AS n_repeat_words FROM words LEFT JOIN covered USING (r)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM counts),
 hosts AS (SELECT source, count(*)::double AS n, {sums} FROM judged GROUP BY source),
-moments AS (SELECT {moments} FROM hosts), prior AS (SELECT {weights} FROM moments),
-verdicts AS (SELECT source, {rates} AS rejected FROM hosts, prior)
+moments AS (SELECT count(*) / sum(n) AS noise, {moments} FROM hosts), between AS (SELECT {own} FROM moments), prior AS (SELECT {weights} FROM between),
+shrunk AS (SELECT source, {shrunk} FROM hosts, prior), verdicts AS (SELECT source, {rates} AS rejected FROM shrunk)
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
     n_repeat_words::bigint AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
