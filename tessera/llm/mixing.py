@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tessera.llm.shared import WORD, materialize, table, text_or_empty, unused
 
@@ -36,27 +37,37 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, wei
     stop at ``most`` times the source's size; what is left is shared out again until none is above.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # Rank without one task for all: sort by range, number within partitions, add the rows before.
-    numbered = materialize(sources.orderBy(F.asc_nulls_last("source")).withColumn("at", F.monotonically_increasing_id()), "sources")
-    numbered = numbered.withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)})
-    parts = numbered.groupBy("part").agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = numbered.join(parts.select("part", before.alias("before")), "part").withColumn("source_id", F.col("before") + F.col("nth"))
+    numbered = _running(sources, F.asc_nulls_last("source"), {"source_id": F.lit(1)})
     weight = F.get(F.array(*map(F.lit, weights)), F.pmod("source_id", F.lit(len(weights))).cast("int"))
+    cap = most * F.col("source_size")
     ranked = numbered.select("source", "source_id", weight.alias("weight"), "source_size")
-
-    total, level, capped = float(ranked.agg(F.sum("source_size")).first()[0] or 0), 0.0, None
-    budget, cap = share * total, most * F.col("source_size")
-    while True:
-        above = F.col("weight") * F.lit(level) >= cap
-        n, held, left = ranked.agg(F.count_if(above), F.sum(F.when(above, cap)), F.sum(F.when(~above, F.col("weight")))).first()
-        if n == capped or not left:
-            break
-        capped, level = n, (budget - float(held or 0)) / left
+    ordered = _running(ranked, (cap / F.col("weight")).asc(), {"caps": cap, "weights": F.col("weight")})
+    total, all_weights, largest = ordered.agg(F.sum("source_size"), F.sum("weight"), F.max(cap / F.col("weight"))).first()
+    budget = share * float(total or 0)
+    # In the order of what they hold for a unit of weight, sources stop at their caps until what is left is
+    # enough for all that come after.
+    capped = cap * (F.lit(float(all_weights or 0)) - F.col("weights")) <= (F.lit(budget) - F.col("caps")) * F.col("weight")
+    held, left = ordered.agg(F.sum(F.when(capped, cap)), F.sum(F.when(~capped, F.col("weight")))).first()
+    level = (budget - float(held or 0)) / left if left else float(largest or 0)
     target = F.when(F.col("weight") * F.lit(level) >= cap, cap.cast("double")).otherwise(F.col("weight") * F.lit(level))
     return ranked.withColumn("target", target)
 
 
+def _running(df: DataFrame, order: Column, values: dict[str, Column]) -> DataFrame:
+    """Adds, for each of ``values``, its sum over the rows before in that order. Rows are sorted by range
+    and summed within partitions, to which the sums of the partitions before are added, so there is no
+    one task for all."""
+    df = materialize(df.withColumns({f"_{k}": v for k, v in values.items()}).orderBy(order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    df = df.withColumn("_part", F.shiftright("_at", 33))
+    parts = df.groupBy("_part").agg(*(F.sum(f"_{k}").alias(f"_sum_{k}") for k in values))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_before_{k}") for k in values))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {k: F.col(f"_before_{k}") + F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)) for k in values}
+    df = df.join(parts, "_part").withColumns(sums)
+    return df.drop("_part", "_at", *(f"{x}_{k}" for k in values for x in ("", "_before")))
+
+
 def _inverse(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     """Time at which the integral of the schedule has reached the share ``u`` of its whole."""
     areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False)]
@@ -129,7 +140,8 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: every copy that it takes as a row with the columns of ``docs``, range-sorted
     by training position. A partial copy has the words taken, joined by a space, as its text.
-    Rows that agree in doc_id, text and source are copies of one row."""
+    Rows that agree in doc_id, text and source are copies of one row: each is taken as often as the mix asks
+    for it, with the other columns of one of them, the same in every run."""
     own, content, partial, n, position = unused(docs, "own_id", "content", "partial", "n_words", "position")
     keys = {own: F.coalesce("doc_id", F.lit(-(1 << 63))), content: F.xxhash64("doc_id", "text", "source")}
     sizes = docs.select("doc_id", "source", word_count().alias("size"), *(c.alias(k) for k, c in zip(("own_id", "content"), keys.values(), strict=True)))
@@ -137,7 +149,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = allotments(materialize(sizes, "words")).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     words = F.when(F.col("copy") < F.col("whole"), F.col("size")).otherwise(F.col("extra"))
     copies = taken.select(F.col("own_id").alias(own), F.col("content").alias(content), (words < F.col("size")).alias(partial), words.cast("int").alias(n), _position(F.col("copy"), words).alias(position))
-    joined = docs.withColumns(keys).dropDuplicates([own, content]).join(copies, [own, content])
+    told = [f.name for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    one = docs.withColumns(keys).groupBy(own, content).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*told)).alias(partial))
+    joined = one.select(own, content, f"{partial}.*").join(copies, [own, content])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(n)), " ")
     joined = joined.withColumn("text", F.when(F.col(partial), cut).otherwise(F.col("text")))
     return joined.orderBy(position, "doc_id").select(docs.columns)

@@ -270,6 +270,50 @@ def test_features_of_any_text():
     assert named["terms"] == 1 and named["aimed"] > 0 and named["obfuscated"] > 0
 
 
+# Hosts and sources
+
+
+def host_counts(spark, failures):
+    """Documents of hosts: name to (failing, all)."""
+    rows = [(h, i < bad, 0, 100, 500, 10, 0) for h, (bad, n) in failures.items() for i in range(n)]
+    return spark.createDataFrame(rows, "source string, base_failed boolean, n_symbols long, n_words long, word_chars long, n_lines long, n_dup_lines long")
+
+
+def rejected(spark, failures):
+    return {r["source"] for r in quality.host_verdicts(host_counts(spark, failures)).where("rejected").collect()}
+
+
+def test_the_prior_decides_on_small_hosts(spark):
+    alike = {f"h{i}": (2, 40) for i in range(30)}
+    torn = {f"h{i}": ((38, 40) if i % 2 else (1, 40)) for i in range(30)}
+    bad = {f"h{i}" for i in range(1, 30, 2)}
+    # Five of five fail: among hosts that all do well that is chance, among hosts of two sorts it isn't.
+    assert rejected(spark, alike | {"small": (5, 5)}) == set()
+    assert rejected(spark, torn | {"small": (5, 5)}) == bad | {"small"}
+    # A single document never does, and many do whatever the others are.
+    assert rejected(spark, torn | {"one": (1, 1)}) == bad
+    assert rejected(spark, alike | {"large": (900, 1000)}) == {"large"}
+    # Hosts without a failure stay where nearly all others fail.
+    assert "clean" not in rejected(spark, {f"h{i}": (39, 40) for i in range(30)} | {"clean": (0, 1)})
+
+
+def test_many_sources_cap_one_after_another(spark):
+    rng = random.Random(2)
+    for n in (1, 2, 7, 60):
+        sizes = {f"s{i:03d}": int(10 ** rng.uniform(0, 6)) for i in range(n)} | {None: 50}
+        got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)).collect()}
+        weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+        capped = set()
+        while True:
+            left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in capped)
+            level = left / sum(w for s, w in weights.items() if s not in capped)
+            more = {s for s in sizes if s not in capped and weights[s] * level > 2 * sizes[s]}
+            if not more:
+                break
+            capped |= more
+        assert got == pytest.approx({s: 2.0 * sizes[s] if s in capped else weights[s] * level for s in sizes})
+
+
 # Personal data
 
 
