@@ -1,9 +1,10 @@
 """Media columns: payloads as images in archives, read back by a Spark data source.
 
-Tasks write archives: images one after another, then a directory of their offsets, names, sizes and
-checksums, then a fixed-size footer. The data source lists a folder of archives, plans byte ranges of
-them, and in each range reads the members that begin there, a bounded number of payload bytes to an
-Arrow batch. A member whose read fails or whose checksum differs is read again by its own offset.
+Tasks write archives: images one after another, then a directory in blocks (of members' offsets, names,
+sizes and checksums), then an index of the blocks, then a fixed-size footer. The data source lists a folder
+of archives and plans byte ranges of them. A range reads the index, the blocks that overlap it, and the
+members that begin in it in long stretches, a bounded number of payload bytes to an Arrow batch. If a
+stretch fails, or a member's checksum differs, that member is read again by its own offset.
 
 Files are reached through Arrow's file systems, so any store with a URI that Arrow knows will do.
 """
@@ -29,12 +30,15 @@ from tessera.llm.shared import new_path, table
 
 WIDTH = 192
 _PNG = b"\x89PNG\r\n\x1a\n"
-_MAGIC = b"TSRARCH1"
+_MAGIC = b"TSRARCH2"
 _FOOTER = "<QQ8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
 ARCHIVE_BYTES = 256 << 20
-RANGE_BYTES = 8 << 20
+#: Bytes of a range: as many as make this number of ranges, within bounds.
+RANGES, LEAST_RANGE, MOST_RANGE = 10_000, 8 << 20, ARCHIVE_BYTES
 BATCH_BYTES = 4 << 20
+#: Members of a block of the directory.
+BLOCK_MEMBERS = 4096
 ATTEMPTS = 3
 
 
@@ -79,6 +83,10 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
 
 
+def _packed(rows: list[tuple]) -> bytes:
+    return zlib.compress(json.dumps(rows).encode(), 1)
+
+
 def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Store each row's text as an image in archives under ``path``. A task gives its archives names of
     its own and renames them when whole; names of archives that count come back with the job, so what a
@@ -92,9 +100,16 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
 
         def close() -> None:
             nonlocal out
-            body = zlib.compress(json.dumps(directory).encode(), 1)
+            index, at = [], size
+            for begin in range(0, len(directory), BLOCK_MEMBERS):
+                members = directory[begin : begin + BLOCK_MEMBERS]
+                body = _packed(members)
+                out.write(body)
+                index.append((members[0][0], members[-1][0], at, len(body), zlib.crc32(body)))
+                at += len(body)
+            body = _packed(index)
             out.write(body)
-            out.write(struct.pack(_FOOTER, size, len(body), _MAGIC))
+            out.write(struct.pack(_FOOTER, at, len(body), _MAGIC))
             out.close()
             out = None
 
@@ -133,19 +148,21 @@ class ByteRange(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
-        self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        self.range_bytes = int(options.get("rangeBytes", 0))
         self.batch_bytes = int(options.get("batchBytes", BATCH_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges from the archives' sizes alone; no archive is opened here."""
+        """Byte ranges from the archives' sizes alone; no archive is opened here. Ranges grow with the folder, up
+        to whole archives, so that the driver plans no more than it must."""
         store, root = _open(self.path)
         scheme = self.path.split("://")[0] + "://" if "://" in self.path else "file:" if self.path.startswith("file:") else ""
+        found = [x for x in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path) if x.is_file and x.base_name.endswith(".arch")]
+        width = self.range_bytes or min(max(sum(x.size for x in found) // RANGES, LEAST_RANGE), MOST_RANGE)
         ranges = []
-        for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
-            if info.is_file and info.base_name.endswith(".arch"):
-                uri = f"{scheme}{info.path}" if scheme in ("file://", "file:", "") else f"{self.path.rstrip('/')}/{info.base_name}"
-                ranges += [ByteRange(uri, info.size, at, min(at + self.range_bytes, info.size)) for at in range(0, info.size, self.range_bytes)]
+        for info in found:
+            uri = f"{scheme}{info.path}" if scheme in ("file://", "file:", "") else f"{self.path.rstrip('/')}/{info.base_name}"
+            ranges += [ByteRange(uri, info.size, at, min(at + width, info.size)) for at in range(0, info.size, width)]
         return ranges
 
     def _again(self, read, what: str):
@@ -169,28 +186,45 @@ class ArchiveReader(DataSourceReader):
                     raise OSError("short read")
             return data
 
-        def directory() -> list:
+        def index() -> list:
             begin, size, magic = struct.unpack(_FOOTER, stretch(partition.size - _FOOTER_BYTES, _FOOTER_BYTES))
             if magic != _MAGIC:
                 raise ValueError("not an archive")
             return json.loads(zlib.decompress(stretch(begin, size)))
 
-        def member(offset: int, size: int, crc: int) -> bytes:
-            if zlib.crc32(image := stretch(offset, size)) != crc:
+        def checked(offset: int, size: int, crc: int) -> bytes:
+            if zlib.crc32(data := stretch(offset, size)) != crc:
                 raise ValueError("checksum differs")
-            return image
-
-        rows, held = [], 0
-        for offset, size, crc, doc_id, n_bytes in self._again(directory, f"directory of {file}"):
-            if partition.start <= offset < partition.end:
-                image = self._again(lambda o=offset, s=size, c=crc: member(o, s, c), f"{file} at {offset}")
-                rows.append((doc_id, n_bytes, offset, image))
-                held += size
-                if held >= self.batch_bytes:
-                    yield self._batch(partition, rows)
-                    rows, held = [], 0
-        if rows:
-            yield self._batch(partition, rows)
+            return data
+
+        def own(image: bytes | None, offset: int, size: int, crc: int) -> bytes:
+            """A member out of a stretch or, if that isn't right, read by its own offset."""
+            if image is not None and len(image) == size and zlib.crc32(image) == crc:
+                return image
+            return self._again(lambda: checked(offset, size, crc), f"{file} at {offset}")
+
+        def batch(members: list) -> pa.RecordBatch:
+            begin = members[0][0]
+            try:
+                data = stretch(begin, members[-1][0] + members[-1][1] - begin)
+            except OSError:
+                data = None
+            rows = [(doc_id, n_bytes, at, own(data and data[at - begin : at - begin + size], at, size, crc)) for at, size, crc, doc_id, n_bytes in members]
+            return self._batch(partition, rows)
+
+        members, held = [], 0
+        for first, last, at, size, crc in self._again(index, f"index of {file}"):
+            if last < partition.start or first >= partition.end:
+                continue
+            for member in json.loads(zlib.decompress(self._again(lambda a=at, s=size, c=crc: checked(a, s, c), f"directory of {file} at {at}"))):
+                if partition.start <= member[0] < partition.end:
+                    members.append(member)
+                    held += member[1]
+                    if held >= self.batch_bytes:
+                        yield batch(members)
+                        members, held = [], 0
+        if members:
+            yield batch(members)
 
     @staticmethod
     def _batch(partition: ByteRange, rows: list[tuple]) -> pa.RecordBatch:

@@ -214,6 +214,100 @@ def test_ranges_and_batches_lose_no_member(spark, frame, tmp_path):
     assert len(list((tmp_path / "a").iterdir())) > 3
 
 
+class Unsteady:
+    """A file system whose reads go wrong as ``spoil(offset, data)`` says."""
+
+    def __init__(self, store, spoil):
+        self.store, self.spoil, self.reads = store, spoil, []
+
+    def open_input_file(self, path):
+        outer, file = self, self.store.open_input_file(path)
+
+        class File:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                file.close()
+
+            def seek(self, at):
+                self.at = at
+                file.seek(at)
+
+            def read(self, size):
+                outer.reads.append((self.at, size))
+                return outer.spoil(self.at, file.read(size))
+
+        return File()
+
+
+@pytest.fixture
+def archive(frame, tmp_path):
+    media.write_archives(frame([(i, f"text {i} " * (i % 9 + 1), "s") for i in range(60)]).coalesce(1), f"file://{tmp_path}/a")
+    reader = media.ArchiveReader({"path": f"file://{tmp_path}/a", "rangeBytes": "1000"})
+    return reader, next((tmp_path / "a").glob("*.arch"))
+
+
+def read_all(reader):
+    return [(r["doc_id"], r["offset"], r["media"]) for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+
+
+def unsteady(monkeypatch, spoil):
+    real = media._open
+    opened = []
+
+    def fake(uri):
+        store, path = real(uri)
+        opened.append(Unsteady(store, spoil) if uri.endswith(".arch") else store)
+        return opened[-1], path
+
+    monkeypatch.setattr(media, "_open", fake)
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    return opened
+
+
+def test_short_and_spoiled_reads_are_made_again(archive, monkeypatch):
+    reader, _ = archive
+    want = read_all(reader)
+    assert sorted(w[0] for w in want) == list(range(60)) and len(reader.partitions()) > 3
+    counts = {}
+
+    def every_other(at, data):
+        counts[at, len(data)] = counts.get((at, len(data)), 0) + 1
+        return data[:-1] if counts[at, len(data)] == 1 and at % 2 else data[:20] + b"?" + data[21:] if counts[at, len(data)] == 1 and len(data) > 200 else data
+
+    opened = unsteady(monkeypatch, every_other)
+    assert read_all(reader) == want
+    assert any(isinstance(x, Unsteady) for x in opened)
+
+
+def test_sound_members_take_long_reads(archive, monkeypatch):
+    reader, _ = archive
+    opened = unsteady(monkeypatch, lambda at, data: data)
+    assert len(read_all(reader)) == 60
+    # For each range: footer, index, a block of the directory, and one stretch.
+    assert sum(len(x.reads) for x in opened if isinstance(x, Unsteady)) <= 4 * len(reader.partitions())
+
+
+def test_damage_that_stays_is_an_error(archive):
+    reader, file = archive
+    whole, want = file.read_bytes(), read_all(reader)
+    for at, message in ((want[5][1] + 30, f"at {want[5][1]}"), (len(whole) - 40, "index of"), (len(whole) - 1, "index of"), (want[-1][1] + len(want[-1][2]) + 3, "directory of")):
+        file.write_bytes(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :])
+        with pytest.raises(OSError, match=message):
+            read_all(reader)
+    file.write_bytes(whole)
+    assert read_all(reader) == want
+
+
+def test_range_widths_grow_with_the_folder(tmp_path, monkeypatch):
+    (tmp_path / "a.arch").write_bytes(b"x" * 1000)
+    monkeypatch.setattr(media, "LEAST_RANGE", 10)
+    for ranges, least, most in ((5, 5, 6), (1, 1, 1), (1000, 100, 100)):
+        monkeypatch.setattr(media, "RANGES", ranges)
+        assert least <= len(media.ArchiveReader({"path": f"file://{tmp_path}"}).partitions()) <= most
+
+
 def test_members_are_retried_by_offset(tmp_path, monkeypatch):
     reader = media.ArchiveReader({"path": str(tmp_path), "attempts": "3"})
     monkeypatch.setattr(media.time, "sleep", lambda s: None)
