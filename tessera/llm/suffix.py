@@ -207,16 +207,67 @@ class LogarithmicIndex:
             self.levels.append(windows)
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
             merged = np.concatenate((self.levels.pop(), self.levels.pop()))
+            # Two sorted runs, which this sort finds and merges in linear time.
             merged.sort(kind="stable")
             self.levels.append(merged)
 
 
+def _cut(length: int):
+    """For documents (id, text, wanted segments) rows (anchor, id, first, bytes, n): segments with their anchor
+    or, of hot anchors, windows with their own hash. Of equal windows in a batch only the earliest goes on;
+    the others are known to repeat, are joined to stretches of n windows, and come without bytes under a key
+    of their own. So a window that all documents share comes to its task once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, deal = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
+        for batch in batches:
+            rows: list[tuple] = []
+            hot: list[tuple] = []
+            first_of: dict[int, tuple[int, int]] = {}
+            for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode()
+                for w in wanted:
+                    first, n = w["first"], w["n"]
+                    if not w["hot"]:
+                        rows.append((w["anchor"], doc_id, first, data[first : first + n + length - 1], n))
+                        continue
+                    for at in range(first, first + n):
+                        key = digest(data[at : at + length])
+                        hot.append((doc_id, at, key, data))
+                        if key not in first_of or (doc_id, at) < first_of[key]:
+                            first_of[key] = (doc_id, at)
+            run_of = None
+            for doc_id, at, key, data in sorted(hot, key=lambda x: x[:2]):
+                if first_of[key] == (doc_id, at):
+                    window = data[at : at + length]
+                    rows.append((deal(window) - (1 << 63), doc_id, at, window, 1))
+                elif run_of and run_of[0] == doc_id and run_of[1] + run_of[2] == at:
+                    run_of[2] += 1
+                else:
+                    if run_of:
+                        rows.append((deal(f"{run_of[0]}:{run_of[1]}") - (1 << 63), run_of[0], run_of[1], None, run_of[2]))
+                    run_of = [doc_id, at, 1]
+            if run_of:
+                rows.append((deal(f"{run_of[0]}:{run_of[1]}") - (1 << 63), run_of[0], run_of[1], None, run_of[2]))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "id", "first", "bytes", "n"])
+
+    return run
+
+
 def _repeats(length: int):
-    """Rows (anchor, id, first, bytes) sorted so; yield the spans of windows that occur in an earlier row."""
+    """Rows (anchor, id, first, bytes, n) sorted so; yield the spans of windows that occur in an earlier row,
+    and of rows without bytes, all of whose windows do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, of = LogarithmicIndex(), None
         for batch in batches:
+            known = batch.filter(batch.column(3).is_null())
+            if known.num_rows:
+                at = known.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), pa.array(at + known.column(4).to_numpy(zero_copy_only=False) + (length - 1))], ["id", "a", "b"])
+                batch = batch.filter(batch.column(3).is_valid())
             if not batch.num_rows:
                 continue
             anchor, ids, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -333,22 +384,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     passed = materialize(joined.mapInArrow(first_pass, f"{_RESULT}, {more}"), "passed")
     rest = passed.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "spans", "wanted")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, d, f, t = [], [], [], []
-            for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                for w in wanted:
-                    first, n = w["first"], w["n"]
-                    for at, size in [(k, 1) for k in range(first, first + n)] if w["hot"] else [(first, n)]:
-                        piece = data[at : at + size + length - 1]
-                        a.append(w["anchor"] if not w["hot"] else xxhash.xxh3_64_intdigest(piece) - (1 << 63))
-                        d.append(doc_id)
-                        f.append(at)
-                        t.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(f, pa.int64()), pa.array(t, pa.binary())], ["anchor", "id", "first", "bytes"])
-
-    texts = rest.select("id", "text", "wanted").mapInArrow(cut, "anchor bigint, id bigint, first bigint, bytes binary")
+    texts = rest.select("id", "text", "wanted").mapInArrow(_cut(length), "anchor bigint, id bigint, first bigint, bytes binary, n int")
     texts = texts.repartition("anchor").sortWithinPartitions("anchor", "id", "first")
     spans = texts.mapInArrow(_repeats(length), "id bigint, a bigint, b bigint")
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("more"))

@@ -37,7 +37,7 @@ def repeating_texts(n, seed):
     return rows + [(n + i, rows[i][1], "s0") for i in range(5)]
 
 
-@pytest.mark.parametrize("batch, hot", [(10_000, 20_000), (3, 20_000), (3, 2)])
+@pytest.mark.parametrize("batch, hot", [(10_000, 20_000), (3, 20_000), (3, 2), (10_000, 2)])
 def test_suffix_dedup_is_brute_force(spark, frame, batch, hot):
     rows = repeating_texts(60, batch) + [r for r in ODD if r[0] is None and r[1] is None]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
