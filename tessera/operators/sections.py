@@ -1,20 +1,23 @@
 """Markdown documents as rows of blocks, sections and chunks.
 
 One regular expression cuts a text into fenced blocks and lines; array functions group these into
-sections and blocks and pack blocks into chunks. All of it happens in a document's row (documents are
+sections and blocks. Chunks pack a section's blocks greedily into a token budget, with a small function
+in the tasks, as only a tokenizer can say what fits. All of it happens in a document's row (documents are
 bounded), so there is no shuffle, and collections spread over tasks as they are read. Sections begin at
-headings of depth 1 to 3 outside fences. Chunks pack a section's blocks greedily into a token budget.
+headings of depth 1 to 3 outside fences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import TesseraError
 from tessera.functions.canon import hashed, json_array, json_string, json_strings
+from tessera.operators.packing import approximate_count, packed
 
 DEPTHS = (1, 2, 3)
 MAX_TOKENS = 800
@@ -219,100 +222,36 @@ def blocks(sections_df: DataFrame, section: str = "id") -> DataFrame:
     return df.select(section, F.posexplode("blocks").alias("block_index", "b")).select(section, "block_index", "b.kind", "b.text")
 
 
-def _packed(pieces: Column, glue: Column, fits: Callable[[Column], Column]) -> Column:
-    """Neighbouring pieces joined as long as they fit; a piece that doesn't fit alone stays whole."""
-
-    def add(s: Column, piece: Column) -> Column:
-        def joined(longer: Column) -> Column:
-            start_anew = F.struct(F.when(s["now"].isNotNull(), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), piece.alias("now"))
-            return F.when(s["now"].isNotNull() & fits(longer), F.struct(s["done"].alias("done"), longer.alias("now"))).otherwise(start_anew)
-
-        return let(F.concat(s["now"], glue, piece), joined)
-
-    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
-    return F.aggregate(pieces, none, add, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
-
-
-def _parts(kind: Column, text: Column, fits: Callable[[Column], Column]) -> Column:
-    """A block as one part or, if it doesn't fit, as several: code by line (fences repeated), tables by row
-    (header repeated), lists by item, text by sentence, and a sentence that doesn't fit by grapheme."""
-
-    def cut(lines: Column) -> Column:
-        marker = F.regexp_extract(F.get(lines, F.lit(0)), r"^ {0,3}(`{3,}|~{3,})", 1)
-        closed = (F.size(lines) > 1) & F.trim(F.get(lines, F.size(lines) - 1)).startswith(marker)
-        code = F.slice(lines, F.lit(2), F.size(lines) - F.when(closed, 2).otherwise(1))
-        head = F.when(kind == "code", F.concat(F.get(lines, F.lit(0)), F.lit("\n"))).when(kind == "table", F.concat(F.get(lines, F.lit(0)), F.lit("\n"), F.get(lines, F.lit(1)), F.lit("\n"))).otherwise("")
-        tail = F.when(kind == "code", F.concat(F.lit("\n"), marker)).otherwise("")
-        sentences = F.split(text, r"(?<=[。！？.!?;；])\s*(?=\S)")
-        graphemes = lambda x: _packed(F.regexp_extract_all(x, F.lit(r"(?s)\X"), F.lit(0)), F.lit(""), fits)
-        fine = F.flatten(F.transform(sentences, lambda x: F.when(fits(x), F.array(x)).otherwise(graphemes(x))))
-        pieces = F.when(kind == "code", code).when(kind == "table", F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))).when(kind == "list", F.split(text, r"\n(?= {0,3}(?:[-*+]|\d+[.)])[ \t])")).when(kind == "text", fine).otherwise(F.array(text))
-        glue = F.when(kind == "text", " ").otherwise("\n")
-        whole = lambda x: F.concat(head, x, tail)
-        return let(pieces, lambda p: F.when(F.size(p) > 1, F.transform(_packed(p, glue, lambda x: fits(whole(x))), whole)).otherwise(F.array(text)))
-
-    return F.when(fits(text), F.array(text)).otherwise(let(F.split(text, "\n"), cut))
-
-
-def fragments(blocks_df: DataFrame, max_tokens: int, tokens: Callable[[Column], Column] = approximate_tokens, section: str = "id") -> DataFrame:
-    """Blocks over the budget cut where their kind allows. Others, and pieces that can't be cut, stay whole.
-    Adds part_index and part_count."""
-    df = blocks_df.withColumn("parts", _parts(F.col("kind"), F.col("text"), lambda x: tokens(x) <= max_tokens))
-    return df.select(section, "block_index", "kind", F.size("parts").alias("part_count"), F.posexplode("parts").alias("part_index", "text"))
-
-
-def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = 0, oversized: str = "keep", tokens: Callable[[Column], Column] = approximate_tokens) -> DataFrame:
+def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = 0, oversized: str = "keep", tokens: Callable[[str], int] = approximate_count) -> DataFrame:
     """Sections (id, title, markdown, ...) in chunks within ``max_tokens``: section_id, index, id,
     markdown, token_count, oversized, previous_chunk_id, next_chunk_id.
 
-    The heading is repeated on every chunk and counts. With overlap, a chunk begins with the trailing parts
-    of the one before, as many whole ones as the overlap and the budget hold. A part over the budget is a
-    chunk of its own, which the next one doesn't overlap, and, with ``oversized`` "error", fails. A heading
-    that is over the budget leaves its section whole. ``tokens`` is any function from a column to a column
-    but a Python one. A section is packed in its row, so nothing is shuffled."""
+    The heading is repeated on every chunk and counts. Blocks over the budget are cut (see ``packing.parts``).
+    With overlap, a chunk begins with the trailing parts of the one before, as many whole ones as the overlap
+    and the budget hold. A part over the budget is a chunk of its own, which the next one doesn't overlap,
+    and, with ``oversized`` "error", fails. A heading that is over the budget leaves its section whole.
+    ``tokens`` counts a text's tokens in the task, so any tokenizer will do. A section is packed in its row;
+    nothing is shuffled."""
     if not 0 <= overlap_tokens < max_tokens or oversized not in ("keep", "error"):
         raise TesseraError("INVALID_OPTIONS", "token budget")
-    df = _with_blocks(sections_df.select("id", "markdown"))
-    headed = F.coalesce(F.get("blocks", F.lit(0))["kind"] == "heading", F.lit(False))
-    df = df.select("id", F.when(headed, F.get("blocks", F.lit(0))["text"]).alias("heading"), F.when(headed, F.slice("blocks", F.lit(2), F.size("blocks"))).otherwise(F.col("blocks")).alias("blocks"))
-
-    def fits(text: Column) -> Column:
-        return tokens(F.concat_ws("\n\n", F.col("heading"), text)) <= max_tokens
-
-    texts = F.array().cast("array<string>")
-    df = df.withColumn("whole", F.col("heading").isNotNull() & (tokens(F.coalesce("heading", F.lit(""))) > max_tokens))
-    body = F.flatten(F.transform("blocks", lambda b: F.when(F.col("whole"), F.array(b["text"])).otherwise(_parts(b["kind"], b["text"], fits))))
-    df = df.select("id", "heading", "whole", body.alias("body"))
-    lists = F.array().cast("array<array<string>>")
 
-    def trailing(ps: Column, p: Column) -> Column:
-        """The last parts, whole, that the overlap holds; of these the first ones go until ``p`` fits too."""
-
-        def one(s: Column, q: Column) -> Column:
-            return let(F.concat(F.array(q), s["k"]), lambda longer: let(s["open"] & (tokens(F.array_join(longer, "\n\n")) <= overlap_tokens) & fits(F.array_join(F.concat(longer, F.array(p)), "\n\n")), lambda room: F.struct(F.when(room, longer).otherwise(s["k"]).alias("k"), room.alias("open"))))
-
-        return F.aggregate(F.reverse(ps), F.struct(texts.alias("k"), F.lit(True).alias("open")), one)["k"]
-
-    def add(s: Column, p: Column) -> Column:
-        done = F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-        alone = F.struct(F.concat(done, F.array(F.array(p))).alias("done"), texts.alias("now"))
-        carried = trailing(s["now"], p) if overlap_tokens else texts
-        started = F.struct(done.alias("done"), F.concat(carried, F.array(p)).alias("now"))
-        more = let(F.concat(s["now"], F.array(p)), lambda ps: F.when((F.size(s["now"]) == 0) | fits(F.array_join(ps, "\n\n")), F.struct(s["done"].alias("done"), ps.alias("now"))).otherwise(started))
-        return F.when(fits(p), more).otherwise(alone)
-
-    state = F.struct(lists.alias("done"), texts.alias("now"))
-    packed = F.aggregate("body", state, add, lambda s: F.when((F.size(s["now"]) > 0) | (F.size(s["done"]) == 0), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
-    packed = F.when(F.col("whole"), F.array("body")).otherwise(packed)
-    df = df.select(F.col("id").alias("section_id"), "heading", packed.alias("packed"))
-    out = df.select("section_id", "heading", F.size("packed").alias("n"), F.posexplode("packed").alias("index", "parts"))
-    name = lambda i: F.concat("section_id", F.lit("#chunk-"), i.cast("string"))
-    text = F.regexp_replace(F.concat_ws("\n\n", "heading", F.nullif(F.array_join("parts", "\n\n"), F.lit(""))), r"\s+$", "")
-    out = out.select("section_id", "index", name(F.col("index")).alias("id"), text.alias("markdown"), F.when(F.col("index") > 0, name(F.col("index") - 1)).alias("previous_chunk_id"), F.when(F.col("index") + 1 < F.col("n"), name(F.col("index") + 1)).alias("next_chunk_id"))
-    out = out.withColumn("token_count", tokens(F.col("markdown"))).withColumn("oversized", F.col("token_count") > max_tokens)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for section, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = packed([(b["kind"], b["text"]) for b in blocks], max_tokens, overlap_tokens, tokens)
+                names = [None, *(f"{section}#chunk-{i}" for i in range(len(texts))), None]
+                rows += [(section, i, names[i + 1], t, tokens(t), names[i], names[i + 2]) for i, t in enumerate(texts)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["section_id", "index", "id", "markdown", "token_count", "previous_chunk_id", "next_chunk_id"])
+
+    blocks_of = _with_blocks(sections_df.select("id", "markdown")).select("id", "blocks")
+    out = blocks_of.mapInArrow(run, "section_id string, index int, id string, markdown string, token_count int, previous_chunk_id string, next_chunk_id string")
+    out = out.select("section_id", "index", "id", "markdown", "token_count", (F.col("token_count") > max_tokens).alias("oversized"), "previous_chunk_id", "next_chunk_id")
     if oversized == "error" and not out.where("oversized").isEmpty():
         raise TesseraError("OVERSIZED_CONTENT", "a part that can't be cut is over the token budget")
-    return out.select("section_id", "index", "id", "markdown", "token_count", "oversized", "previous_chunk_id", "next_chunk_id")
+    return out
 
 
 def neighbours(df: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -75,7 +75,7 @@ def test_adapters():
 
 
 def chunked(spark, text, **options):
-    return s.chunks(split(spark, text), tokens=lambda c: F.length(c), **options).orderBy("index").collect()
+    return s.chunks(split(spark, text), tokens=len, **options).orderBy("index").collect()
 
 
 def test_chunks_keep_within_budget_and_lose_nothing(spark):
