@@ -27,9 +27,8 @@ def checked_documents(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def section_rows(docs: DataFrame, adapter: str) -> DataFrame:
-    """Sections with revision, document title and path."""
-    normal = sections.normalized(docs, adapter)
+def section_rows(normal: DataFrame) -> DataFrame:
+    """Sections of normalized documents with revision, document title and path."""
     split = sections.section_revision(sections.sections(normal))
     about = normal.select("document_id", F.col("title").alias("document_title"), F.col("path").alias("source_path"))
     return split.join(about, "document_id")
@@ -61,7 +60,10 @@ def build_index(docs: DataFrame, knowledge: dict[str, DataFrame] | None, knowled
     spark = docs.sparkSession
     staging = staging or Staging(spark)
     keep = (job or staging).stage
-    split = keep("sections", lambda: section_rows(checked_documents(docs), adapter))
+    # Documents are read once; whatever follows sees the same ones.
+    normal = keep("normalize", lambda: sections.normalized(docs.select("document_id", "content", "path"), adapter))
+    checked_documents(normal)
+    split = keep("sections", lambda: section_rows(normal))
     if not split.groupBy("document_id").count().where(F.col("count") > MAX_SECTIONS).isEmpty():
         raise TesseraError("INVALID_INPUT", "a document has too many sections")
     pieces = keep("chunks", lambda: sections.chunks(split, max_tokens))

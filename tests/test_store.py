@@ -177,6 +177,14 @@ def test_each_text_is_embedded_once(spark, store, tmp_path):
     assert len(texts) == len(set(texts)) == 5
 
 
+def test_documents_are_read_once(spark, store):
+    """A source that gives other rows each time it is read: all stages see those of one reading."""
+    rows = spark.range(200).select(F.concat(F.lit("d"), "id").alias("document_id"), F.concat(F.lit("# T\n\n"), F.rand().cast("string")).alias("content"), F.lit(None).cast("string").alias("path"))
+    result = ingest.ingest(rows.where(F.rand() < 0.5), None, "kb", indexing.HashEmbedder(8), store)
+    kept = store.records(store.snapshot("kb")).count()
+    assert 50 < result["chunks"] == kept < 150
+
+
 def test_job_resumes_and_replays(spark, store, tmp_path):
     docs = spark.createDataFrame([("d1", "# A\n\nx", None)], "document_id string, content string, path string")
 
@@ -189,7 +197,7 @@ def test_job_resumes_and_replays(spark, store, tmp_path):
         ingest.ingest(docs, None, "kb", Failing(16), store, job=job)
     result = ingest.ingest(docs, None, "kb", indexing.HashEmbedder(16), store, job=Job(spark, f"file://{tmp_path}/jobs", job.id))
     reused = {e["stage"] for e in job.events() if e["reused"]}
-    assert {"sections", "chunks", "indexing"} <= reused
+    assert {"normalize", "sections", "chunks", "indexing"} <= reused
     assert ingest.ingest(docs, None, "kb", Failing(16), store, job=job) == result
     assert read_ndjson(job.ndjson())["result"] == result
     with pytest.raises(TesseraError, match="CONFLICT"):
