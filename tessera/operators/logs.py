@@ -111,6 +111,11 @@ def latest_checkpoints(checkpoints: DataFrame, *keys: str) -> DataFrame:
     return checkpoints.groupBy(*keys).agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
+def with_prefix(rows: DataFrame, prefix: str, column: str = "key") -> DataFrame:
+    """Rows whose key begins so, every character of the prefix standing for itself; the scan gets the filter."""
+    return rows.where(F.col(column).startswith(prefix))
+
+
 def progress(events: DataFrame, *keys: str) -> DataFrame:
     """Completed events so far, event by event."""
     from pyspark.sql import Window

@@ -147,6 +147,12 @@ def latest_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.latest_checkpoints(events, "user_id")
 
 
+@query("SELECT event_id, event_type FROM events WHERE event_type LIKE 'p%'")
+def progress_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose type begins with p, as stage entries are told from other checkpoints."""
+    return logs.with_prefix(table(spark, sf_dir, "events").select("event_id", "event_type"), "p", "event_type")
+
+
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS completed FROM events")
 def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("seq"))
