@@ -1,10 +1,16 @@
-"""Blocks of one section packed into texts within a token budget: what chunks do to a row, in a task."""
+"""What is done to one row in a task: a document's sections, and a section's blocks packed into texts within a
+token budget."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
+from tessera.functions.canon import content_hash
+
+_BLANK = " \t\n\x0b\x0c\r"
+_HEADING = re.compile(r" {0,3}(#{1,6})(?=[ \t\n]|\Z)")
+_CLOSING = re.compile(r"(?:^|[ \t])#+\Z")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _ITEMS = re.compile(r"\n(?= {0,3}(?:[-*+]|\d+[.)])[ \t])")
 _SENTENCES = re.compile(r"(?<=[。！？.!?;；])\s*(?=\S)")
@@ -13,6 +19,35 @@ _ENDS = re.compile(r"[\s。！？.!?;；]$")
 Fits = Callable[[str], bool]
 
 
+def sections_of(document: str | None, units: list[str], most: int) -> list[tuple]:
+    """A document's sections from its lines and fenced blocks: index, id, parent_id, depth, title, heading_path,
+    occurrence, first_line, start_offset, end_offset, markdown. Headings deeper than ``most`` begin none."""
+    parts: list[tuple[int, str | None, list[str]]] = [(0, None, [])]
+    for unit in units:
+        if (m := _HEADING.match(unit)) and len(m.group(1)) <= most:
+            parts.append((len(m.group(1)), _CLOSING.sub("", unit[m.end() :].rstrip(_BLANK)).strip(" \t"), []))
+        parts[-1][2].append(unit)
+    out: list[tuple] = []
+    around: list[tuple[int, str, str]] = []
+    seen: dict[tuple, int] = {}
+    line = offset = 0
+    for depth, title, lines in parts:
+        text = "".join(lines)
+        body = text.strip(_BLANK)
+        if depth or body:
+            around = [a for a in around if a[0] < depth]
+            ids = [a[1] for a in around]
+            name = (ids[-1] if ids else None, depth, title)
+            nth = seen[name] = seen.get(name, -1) + 1
+            own = "section-" + content_hash([document, ids, depth, title, nth])
+            path = [a[2] for a in around] + ([title] if depth else [])
+            out.append((len(out), own, ids[-1] if ids else None, depth, title, path, nth, line, offset, offset + len(text), body))
+            if depth:
+                around.append((depth, own, title))
+        line, offset = line + text.count("\n"), offset + len(text)
+    return out
+
+
 def approximate_count(text: str) -> int:
     """Without a tokenizer: a token for each four bytes, and part of four."""
     return -(-len(text.encode()) // 4)

@@ -1,8 +1,9 @@
 """Markdown documents as rows of blocks, sections and chunks.
 
 One regular expression cuts a text into fenced blocks and lines; array functions group these into
-sections and blocks. Chunks pack a section's blocks greedily into a token budget, with a small function
-in the tasks, as only a tokenizer can say what fits. All of it happens in a document's row (documents are
+blocks. Small functions in the tasks go through a document's headings in order, as each section's identity
+holds those around it, and pack a section's blocks into a token budget, as only a tokenizer can say what
+fits. All of it happens in a document's row (documents are
 bounded), so there is no shuffle, and collections spread over tasks as they are read. Sections begin at
 headings of depth 1 to 3 outside fences.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import TesseraError
 from tessera.functions.canon import hashed, json_array, json_string, json_strings
-from tessera.operators.packing import approximate_count, packed
+from tessera.operators.packing import approximate_count, packed, sections_of
 
 DEPTHS = (1, 2, 3)
 MAX_TOKENS = 800
@@ -118,70 +119,33 @@ def heading_depth(unit: Column) -> Column:
     return F.when(unit.rlike(_HEADING), F.length(F.regexp_extract(unit, "^ {0,3}(#+)", 1)))
 
 
-def heading_title(unit: Column) -> Column:
-    bare = F.regexp_replace(unit, r"^ {0,3}#{1,6}|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?:^|[ \t])#+$", ""), r"^[ \t]+|[ \t]+$", "")
-
-
 _SECTION = "index int, id string, parent_id string, depth int, title string, heading_path array<string>, occurrence int, first_line int, start_offset int, end_offset int, markdown string"
 
 
-def _open_sections(parts: Column, document: Column) -> Column:
-    """Identities of a document's parts (depth, title, text, lines), by a fold over its headings: open is
-    what stands around the next one, seen what names have been used where."""
-    names = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("offset"), F.array().cast("array<struct<depth:int,title:string,id:string>>").alias("open"), names.alias("seen"), F.array().cast(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in _SECTION.split(', '))}>>").alias("out"))
-
-    def add(s: Column, p: Column) -> Column:
-        def identified(ancestors: Column) -> Column:
-            return let(json_strings(F.transform(ancestors, lambda o: o["id"])), lambda ids: let(F.concat_ws("\x1f", ids, p["depth"].cast("string"), p["title"]), lambda name: counted(ancestors, ids, name)))
-
-        def counted(ancestors: Column, ids: Column, name: Column) -> Column:
-            nth = F.size(F.filter(s["seen"], lambda x: x == name))
-            return let(nth, lambda n: let(F.concat(F.lit("section-"), hashed(json_array(json_string(document), ids, p["depth"].cast("string"), json_string(p["title"]), n.cast("string")))), lambda own: put(ancestors, name, n, own)))
-
-        def put(ancestors: Column, name: Column, n: Column, own: Column) -> Column:
-            path = F.transform(ancestors, lambda o: o["title"])
-            body = F.regexp_replace(p["text"], r"^\s+|\s+$", "")
-            section = F.struct(
-                F.size(s["out"]).alias("index"), own.alias("id"), F.get(ancestors, F.size(ancestors) - 1)["id"].alias("parent_id"), p["depth"].alias("depth"), p["title"].alias("title"),
-                F.when(p["depth"] > 0, F.concat(path, F.array(p["title"]))).otherwise(path).alias("heading_path"), n.alias("occurrence"), s["line"].alias("first_line"),
-                s["offset"].alias("start_offset"), (s["offset"] + F.length(p["text"])).alias("end_offset"), body.alias("markdown"),
-            )
-            opened = F.when(p["depth"] > 0, F.concat(ancestors, F.array(F.struct(p["depth"].alias("depth"), p["title"].alias("title"), own.alias("id"))))).otherwise(ancestors)
-            return moved(opened, F.concat(s["seen"], F.array(name)), F.concat(s["out"], F.array(section)))
-
-        def moved(opened: Column, seen: Column, out: Column) -> Column:
-            return F.struct((s["line"] + p["lines"]).alias("line"), (s["offset"] + F.length(p["text"])).alias("offset"), opened.alias("open"), seen.alias("seen"), out.alias("out"))
-
-        empty = (p["depth"] == 0) & ~p["text"].rlike(r"\S")
-        return F.when(empty, moved(s["open"], s["seen"], s["out"])).otherwise(let(F.filter(s["open"], lambda o: o["depth"] < p["depth"]), identified))
-
-    return F.aggregate(parts, start, add, lambda s: s["out"])
-
-
 def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown") -> DataFrame:
     """Sections in order: index, depth (0 before the first heading), title, heading_path, parent_id, id,
     occurrence, first_line, start_offset and end_offset (code points of the text that the section takes up),
     markdown. Each line belongs to one section; blank ones with nothing else to none. A title that repeats
     under the same parent and depth is told apart by its occurrence. Null and empty texts have no section.
 
-    A document's lines stay in its row, so nothing is shuffled."""
-    df = docs.select(key, F.coalesce(units(F.col(text)), F.array().cast("array<string>")).alias("units"))
-    marked = F.filter(F.transform("units", lambda u, i: F.struct(i.alias("at"), heading_depth(u).alias("depth"))), lambda x: x["depth"] <= max(DEPTHS))
-    df = df.withColumn("starts", marked)
-    first = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth")))
-    df = df.select(key, "units", F.when((F.size("starts") == 0) | (F.get("starts", F.lit(0))["at"] > 0), F.concat(first, "starts")).otherwise(F.col("starts")).alias("starts"))
-
-    def part(b: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get("starts", k + 1)["at"], F.size("units"))
-        body = F.array_join(F.slice("units", b["at"] + 1, stop - b["at"]), "")
-        title = F.when(b["depth"] > 0, heading_title(F.get("units", b["at"])))
-        return let(body, lambda t: F.struct(b["depth"].alias("depth"), title.alias("title"), t.alias("text"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).alias("lines")))
-
-    df = df.select(key, F.transform("starts", part).alias("parts"))
-    found = df.select(key, F.explode(_open_sections(F.col("parts"), F.col(key).cast("string"))).alias("s"))
-    return found.select(key, "s.index", "s.id", "s.parent_id", "s.depth", "s.title", "s.heading_path", "s.occurrence", "s.first_line", "s.start_offset", "s.end_offset", "s.markdown")
+    A document's lines stay in its row and its headings are gone through in order, in the task, so nothing
+    is shuffled."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, *(f.split(" ")[0] for f in _SECTION.split(", "))]
+    schema = pa.schema([pa.field(n, t) for n, t in zip(names[1:], (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.int32()] * 4, pa.string()), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places = [], []
+            for place, (document, parts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = sections_of(document, parts or [], max(DEPTHS))
+                rows += found
+                places += [place] * len(found)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], names)
+
+    given = docs.select(key, F.col(key).cast("string").alias("_document"), units(F.col(text)).alias("_units"))
+    return given.mapInArrow(run, f"`{key}` {kind}, {_SECTION}")
 
 
 def section_revision(df: DataFrame, key: str = "document_id") -> DataFrame:
