@@ -300,17 +300,8 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.posexplode(sections.links(F.col("markdown"))).alias("pos", "link")).select("id", "pos", "link.*")
 
 
-@query("""WITH counts AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1),
-    joined AS (SELECT n_nationkey, n_name, r_regionkey, r_name, n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN counts ON s_nationkey = n_nationkey),
-    edges AS (SELECT n_nationkey, r_regionkey, n_name || ' → ' || r_name || '（part of）：lies in the region' AS line FROM joined)
-    SELECT 'wiki-node-' || sha256('["atlas",["local","nation-' || n_nationkey || '","1","n"]]') AS source_id, n_name AS title,
-      '实体：' || n_name || chr(10) || 'nation：' || n || ' suppliers' || chr(10) || chr(10) || '事实：' || chr(10) || 'suppliers: ' || n || chr(10) || chr(10) || '关系：' || chr(10) || line AS text, 1::int AS n_sources
-    FROM joined JOIN edges USING (n_nationkey)
-    UNION ALL SELECT 'wiki-node-' || sha256('["atlas",["canonical","region-' || r_regionkey || '"]]'), r_name,
-      '概念：' || r_name || chr(10) || 'a region' || chr(10) || chr(10) || '关系：' || chr(10) || string_agg(line, chr(10) ORDER BY line), count(*)::int
-    FROM joined JOIN edges USING (n_nationkey, r_regionkey) GROUP BY r_regionkey, r_name""")
-def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' nations as a knowledge graph with citations, and its nodes' embedding texts."""
+def supply(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Suppliers' nations as a knowledge graph with citations."""
     nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
     section = F.concat(F.lit("nation-"), F.col("n_nationkey"))
     contributions = nation.select(section.alias("section_id"), F.lit("1").alias("section_revision"), F.lit("atlas").alias("document_id"), F.lit("atlas.md").alias("source_path"), F.array("n_name").alias("heading_path"))
@@ -323,10 +314,23 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = region.select(F.concat(F.lit("region-"), "r_regionkey").alias("id"), F.lit("concept").alias("kind"), F.col("r_name").alias("title"))
     mappings = joined.select(section.alias("section_id"), F.lit("1").alias("section_revision"), F.lit("r").alias("local_id"), F.concat(F.lit("region-"), "r_regionkey").alias("canonical_id"))
     built = graph.build_graph(contributions, nations.unionByName(regions), relations, facts, "atlas", mappings, canonical)
-    # Nodes and edges are written once; what reads them several times doesn't build them again.
+    # Written once; what reads them several times doesn't build them again.
     staging = Staging(spark)
-    built = {name: staging.stage(name, lambda df=df: df) for name, df in built.items() if name != "links"}
-    return indexing.node_documents(built, "atlas").select("source_id", "title", "text", F.size("sources").alias("n_sources"))
+    return {name: staging.stage(name, lambda df=df: df) for name, df in built.items()}
+
+
+@query("""WITH counts AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1),
+    joined AS (SELECT n_nationkey, n_name, r_regionkey, r_name, n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN counts ON s_nationkey = n_nationkey),
+    edges AS (SELECT n_nationkey, r_regionkey, n_name || ' → ' || r_name || '（part of）：lies in the region' AS line FROM joined)
+    SELECT 'wiki-node-' || sha256('["atlas",["local","nation-' || n_nationkey || '","1","n"]]') AS source_id, n_name AS title,
+      '实体：' || n_name || chr(10) || 'nation：' || n || ' suppliers' || chr(10) || chr(10) || '事实：' || chr(10) || 'suppliers: ' || n || chr(10) || chr(10) || '关系：' || chr(10) || line AS text, 1::int AS n_sources
+    FROM joined JOIN edges USING (n_nationkey)
+    UNION ALL SELECT 'wiki-node-' || sha256('["atlas",["canonical","region-' || r_regionkey || '"]]'), r_name,
+      '概念：' || r_name || chr(10) || 'a region' || chr(10) || chr(10) || '关系：' || chr(10) || string_agg(line, chr(10) ORDER BY line), count(*)::int
+    FROM joined JOIN edges USING (n_nationkey, r_regionkey) GROUP BY r_regionkey, r_name""")
+def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding texts of the nodes of a graph of suppliers."""
+    return indexing.node_documents(supply(spark, sf_dir), "atlas").select("source_id", "title", "text", F.size("sources").alias("n_sources"))
 
 
 @query()
