@@ -12,15 +12,16 @@ their own hash.
 
 These texts come to the anchor's task in order of document, in batches. Each batch gets a suffix
 array of its windows; neighbours that agree in ``length`` bytes are repeats, and the batch is
-merge-scanned against the levels of the index before it is added as a level of its own. Levels of
-about equal size are merged, so there are logarithmically many. Levels are kept for one anchor at a
-time, as long as its segments last.
+merge-scanned against the levels of the index, themselves suffix arrays over the text that they hold,
+before it is added as a level of its own. Levels of about equal size are merged, so there are
+logarithmically many. Levels are kept for one anchor at a time, as long as its segments last.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -188,28 +189,52 @@ def suffix_array(data: np.ndarray, windows: np.ndarray, starts: np.ndarray, leng
     return np.argsort(suffix_ranks(data, starts, length), kind="stable")
 
 
-class LogarithmicIndex:
-    """Sorted arrays of windows whose sizes at least halve from level to level."""
+class Level(NamedTuple):
+    """A text, and the places in it where different windows begin, in the windows' order: a suffix array."""
+
+    data: np.ndarray
+    starts: np.ndarray
+
+    def windows(self, length: int) -> np.ndarray:
+        return _windows(self.data, length)[self.starts]
 
-    def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
 
-    def scan(self, windows: np.ndarray) -> np.ndarray:
-        """Which of the sorted ``windows`` are in some level."""
-        found = np.zeros(len(windows), bool)
+def _windows(data: np.ndarray, length: int) -> np.ndarray:
+    """A view of the ``length`` bytes at every place."""
+    return np.ndarray((max(0, len(data) - length + 1),), f"S{length}", data, 0, (1,))
+
+
+class LogarithmicIndex:
+    """Suffix arrays whose sizes at least halve from level to level. Levels hold texts and places, so a window
+    takes up a place and its share of the text; windows are copied for the time of a comparison."""
+
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length = length
+        self.levels: list[Level] = []
+
+    def _merge_order(self, a: Level, b: Level) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of both, and their order; of equal ones that of ``a`` first."""
+        both = np.concatenate((a.windows(self.length), b.windows(self.length)))
+        # Two sorted runs, which this sort finds and merges in linear time.
+        return both, np.argsort(both, kind="stable")
+
+    def scan(self, batch: Level) -> np.ndarray:
+        """Which windows of ``batch`` are in some level. A level and the batch are merged; as the windows of
+        each differ among themselves, equal neighbours are one of either."""
+        found = np.zeros(len(batch.starts), bool)
         for level in self.levels:
-            at = np.searchsorted(level, windows)
-            found |= level[np.minimum(at, len(level) - 1)] == windows
+            both, order = self._merge_order(level, batch)
+            in_order = both[order]
+            found[order[1:][in_order[1:] == in_order[:-1]] - len(level.starts)] = True
         return found
 
-    def add(self, windows: np.ndarray) -> None:
-        if len(windows):
-            self.levels.append(windows)
-        while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
-            merged = np.concatenate((self.levels.pop(), self.levels.pop()))
-            # Two sorted runs, which this sort finds and merges in linear time.
-            merged.sort(kind="stable")
-            self.levels.append(merged)
+    def add(self, batch: Level) -> None:
+        if len(batch.starts):
+            self.levels.append(batch)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1].starts) > len(self.levels[-2].starts):
+            b, a = self.levels.pop(), self.levels.pop()
+            starts = np.concatenate((a.starts, b.starts + len(a.data)))[self._merge_order(a, b)[1]]
+            self.levels.append(Level(np.concatenate((a.data, b.data)), starts))
 
 
 def _cut(length: int):
@@ -261,7 +286,7 @@ def _repeats(length: int):
     and of rows without bytes, all of whose windows do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, of = LogarithmicIndex(), None
+        index, of = LogarithmicIndex(length), None
         for batch in batches:
             known = batch.filter(batch.column(3).is_null())
             if known.num_rows:
@@ -278,20 +303,24 @@ def _repeats(length: int):
             row = np.repeat(np.arange(len(texts)), counts)
             inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             starts = (np.cumsum(sizes) - sizes)[row] + inner
-            windows = np.ndarray((len(data) - length + 1,), f"S{length}", data, 0, (1,))
+            windows = _windows(data, length)
             order = suffix_array(data, windows, starts, length)
             repeated = np.zeros(len(starts), bool)
             repeated[order[1:]] = _neighbours_agree(windows, starts[order])
             if of == anchor[0] and index.levels:
                 own = order[(anchor[row] == of)[order] & ~repeated[order]]
-                repeated[own] = index.scan(windows[starts[own]])
+                repeated[own] = index.scan(Level(data, starts[own]))
             elif of != anchor[0]:
-                index, of = LogarithmicIndex(), None
+                index, of = LogarithmicIndex(length), None
             if anchor[-1] != anchor[0]:
-                index = LogarithmicIndex()
+                index = LogarithmicIndex(length)
             of = anchor[-1]
             new = order[(anchor[row] == of)[order] & ~repeated[order]]
-            index.add(windows[starts[new]])
+            # Of the batch's text only the rows that hold a new window stay.
+            holds = np.zeros(len(texts), bool)
+            holds[row[new]] = True
+            stays = np.repeat(holds, sizes)
+            index.add(Level(data[stays], (np.cumsum(stays) - 1)[starts[new]]))
             edge = np.concatenate(([True], (row[1:] != row[:-1]) | (repeated[1:] != repeated[:-1])))
             begin = np.flatnonzero(edge)
             end = np.append(begin[1:], len(row))

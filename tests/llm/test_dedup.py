@@ -63,15 +63,22 @@ def test_suffix_dedup_of_odd_rows(odd, nothing):
 def test_logarithmic_index():
     import numpy as np
 
-    index, rng = suffix.LogarithmicIndex(), random.Random(1)
+    index, rng = suffix.LogarithmicIndex(4), random.Random(1)
     seen = set()
     for _ in range(40):
-        batch = np.unique(np.array([b"%04d" % rng.randint(0, 3000) for _ in range(rng.randint(1, 60))], "S4"))
-        assert index.scan(batch).tolist() == [x in seen for x in batch.tolist()]
-        index.add(np.array([x for x in batch.tolist() if x not in seen], "S4"))
-        seen |= set(batch.tolist())
-    sizes = list(map(len, index.levels))
+        data = np.frombuffer(bytes(rng.choice(b"ab\0c") for _ in range(rng.randint(4, 60))), np.uint8)
+        windows = [data[i : i + 4].tobytes() for i in range(len(data) - 3)]
+        first = {w: i for i, w in reversed(list(enumerate(windows)))}
+        batch = sorted(first)
+        assert index.scan(suffix.Level(data, np.array([first[w] for w in batch]))).tolist() == [w in seen for w in batch]
+        new = [w for w in batch if w not in seen]
+        index.add(suffix.Level(data, np.array([first[w] for w in new], np.int64)))
+        seen |= set(batch)
+    sizes = [len(level.starts) for level in index.levels]
     assert all(2 * b <= a for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == len(seen)
+    for level in index.levels:
+        held = [level.data[i : i + 4].tobytes() for i in level.starts]
+        assert held == sorted(set(held))
 
 
 def test_suffix_ranks():
