@@ -27,6 +27,8 @@ _WHITE_RUN = re.compile(f"[{_WHITE}]+")
 _BITS = 24
 _PLACE = 40
 _PLACES = (1 << _PLACE) - 1
+#: Bytes of a worker's words with their ids; of one of them, besides its characters and ids.
+CACHED_BYTES, _ENTRY_BYTES = 192 << 20, 200
 
 
 def _byte_letters() -> list[str]:
@@ -42,9 +44,9 @@ def _byte_letters() -> list[str]:
 
 
 class Bpe:
-    """Encoder and decoder. ``cached`` bounds the number of words whose ids are kept."""
+    """Encoder and decoder. ``cached`` bounds the bytes, about, that words whose ids are kept take up."""
 
-    def __init__(self, definition: str, cached: int = 800_000):
+    def __init__(self, definition: str, cached: int = CACHED_BYTES):
         data = json.loads(definition)
         model = data["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -68,7 +70,7 @@ class Bpe:
             self._merged.append(vocab[left + right])
             self._ranks[self._pairs[-1]] = rank
         self._words: dict[str, bytes] = {}
-        self._cached = cached
+        self._cached, self._held = cached, 0
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge neighbours, lowest rank first and leftmost among equals: a heap of (rank, place)
@@ -110,9 +112,13 @@ class Bpe:
             symbols = [self._inner[b] for b in raw]
             symbols[-1] = self._last[raw[-1]]
             out = array("I", self.merge(symbols)).tobytes()
-        if len(self._words) >= self._cached:
+        size = _ENTRY_BYTES + 4 * len(word) + len(out)
+        if self._held + size > self._cached:
             self._words.clear()
-        self._words[word] = out
+            self._held = 0
+        if size <= self._cached:
+            self._words[word] = out
+            self._held += size
         return out
 
     def encode_bytes(self, text: str) -> bytes:

@@ -83,6 +83,19 @@ def test_bpe_is_the_library(frame):
     assert rows
 
 
+def test_very_long_words_are_not_all_kept():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    with open(path, encoding="utf-8") as f:
+        model = bpe.Bpe(f.read(), cached=20_000)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(n)) for n in (60_000, 3000, 7, 1500, 5, 3000, 60_000, 2)]
+    for text in [" ".join(words), *words, " ".join(words[2:])]:
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert sum(200 + 4 * len(w) + len(ids) for w, ids in model._words.items()) == model._held <= 20_000
+
+
 def test_bpe_of_odd_rows(odd, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = bpe.encode_documents(odd, path).collect()
