@@ -49,8 +49,12 @@ def _terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "+" for n in BEGINNINGS if len(word) > n)]
 
 
+LONGEST_KEPT = 100
+
+
 class Reader:
-    """Features of texts, given the learned terms and their weights. Keeps what it knows of a bounded number of tokens."""
+    """Features of texts, given the learned terms and their weights. Keeps what it knows of a bounded number of
+    tokens, none of them over LONGEST_KEPT characters."""
 
     def __init__(self, terms: dict[str, float], cached: int = 300_000):
         self.terms, self.cached, self.known = terms, cached, {}
@@ -68,9 +72,10 @@ class Reader:
         shouted = len(letters) > 2 and all(c.isupper() for c in letters)
         info = (weight, insult, word in SECOND_PERSON, shouted, disguised, stretched)
         info = info if any(info) else 0
-        if len(self.known) >= self.cached:
-            self.known.clear()
-        self.known[token] = info
+        if len(token) <= LONGEST_KEPT:
+            if len(self.known) >= self.cached:
+                self.known.clear()
+            self.known[token] = info
         return info
 
     def features(self, text: str | None) -> tuple[float, ...]:

@@ -60,3 +60,10 @@ def test_reruns_agree_and_order_does_not_matter(spark, frame):
         docs = frame(rows if k == 0 else rows[::-1]).repartition(3 + 4 * k)
         runs.append(sorted((r["doc_id"], round(r["score"], 12)) for r in toxicity.score_toxicity(docs, labels).collect()))
     assert runs[0] == runs[1]
+
+
+def test_very_long_tokens_are_not_kept():
+    reader = toxicity.Reader({"bad": 1.0}, cached=10)
+    text = " ".join(["bad", "x" * 5000, "BAD" * 2000, "fine"])
+    assert reader.features(text) == reader.features(text) == toxicity.Reader({"bad": 1.0}).features(text)
+    assert set(reader.known) == {"bad", "fine"}
