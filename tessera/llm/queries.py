@@ -16,6 +16,7 @@ MODULES = {
     "op8_toxicity": "toxicity",
     "op9_line_dedup": "lines",
     "op10_pii": "pii",
+    "op11_fill_in_middle": "fim",
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in MODULES.items()}
