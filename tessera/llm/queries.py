@@ -17,6 +17,7 @@ MODULES = {
     "op9_line_dedup": "lines",
     "op10_pii": "pii",
     "op11_fill_in_middle": "fim",
+    "op12_shards": "shards",
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in MODULES.items()}

@@ -18,7 +18,7 @@ def brute(doc_id, text, seed=42, rate=50, spm=80, marks=("<P>", "<S>", "<M>")):
     """(n, form, prefix_chars, middle_chars, output), a character at a time."""
     text = text or ""
     starts = [k for k, c in enumerate(text) if k == 0 or (c in SPACES and text[k - 1] not in SPACES)]
-    units = [text[i:j] for i, j in zip(starts, [*starts[1:], len(text)], strict=True)]
+    units = [text[i:j] for i, j in zip(starts, [*starts[1:], len(text)], strict=False)]
     digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
     h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
     n = len(units)
