@@ -18,6 +18,7 @@ MODULES = {
     "op10_pii": "pii",
     "op11_fill_in_middle": "fim",
     "op12_shards": "shards",
+    "op13_importance_resampling": "resample",
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in MODULES.items()}
