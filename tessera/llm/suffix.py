@@ -83,55 +83,56 @@ def segments(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np
 
 
 def _anchors(length: int):
-    """Rows (anchor, content, id, first, n, copy) of the segments of documents (id, text). Within a batch only
+    """Rows (anchor, content, id, tie, first, n, copy) of the segments of documents (id, tie, text). Within a batch only
     the first segment of each content is left for the shuffle by anchor; the others are known to be copies,
     are joined to stretches of a text and get a key of their own, so that they spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for doc_id, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 for hashes, first, n in segments(data, length):
                     ends = (first + n + (length - 1)).tolist()
                     content = np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)), np.uint64, len(first))
-                    for column, values in zip(parts, (hashes, content.view(np.int64), np.full(len(first), doc_id), first, n), strict=True):
+                    for column, values in zip(parts, (hashes, content.view(np.int64), np.full(len(first), doc_id), np.full(len(first), tie), first, n), strict=True):
                         column.append(values)
             if not parts[0]:
                 continue
-            anchor, content, ids, first, n = map(np.concatenate, parts)
-            order = np.lexsort((first, ids, content, anchor))
-            a, c, d, f = anchor[order], content[order], ids[order], first[order]
+            anchor, content, ids, ties, first, n = map(np.concatenate, parts)
+            order = np.lexsort((first, ties, ids, content, anchor))
+            a, c, d, t, f = anchor[order], content[order], ids[order], ties[order], first[order]
             new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
             at = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (d != d[at]) | (f != f[at])
+            later = (d != d[at]) | (t != t[at]) | (f != f[at])
             copy = np.zeros(len(order), bool)
             copy[order[later]] = True
             mine, theirs = np.flatnonzero(~copy), np.flatnonzero(copy)
             # Copies in the order of the texts: a stretch ends where the next one doesn't follow.
-            d, f, k = ids[theirs], first[theirs], n[theirs]
-            begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1] + k[:-1])))) if len(theirs) else theirs
+            d, t, f, k = ids[theirs], ties[theirs], first[theirs], n[theirs]
+            begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (f[1:] != f[:-1] + k[:-1])))) if len(theirs) else theirs
             total = np.add.reduceat(k, begin) if len(begin) else k
-            d, f = d[begin], f[begin]
-            spread = (d * np.int64(-7046029254386353131)) ^ (f * np.int64(-4417276706812531889))
-            columns = ((anchor[mine], spread), (content[mine], f), (ids[mine], d), (first[mine], f), (n[mine], total), (np.zeros(len(mine), bool), np.ones(len(d), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["anchor", "content", "id", "first", "n", "copy"])
+            d, t, f = d[begin], t[begin], f[begin]
+            spread = (d * np.int64(-7046029254386353131)) ^ t ^ (f * np.int64(-4417276706812531889))
+            columns = ((anchor[mine], spread), (content[mine], f), (ids[mine], d), (ties[mine], t), (first[mine], f), (n[mine], total), (np.zeros(len(mine), bool), np.ones(len(d), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["anchor", "content", "id", "tie", "first", "n", "copy"])
 
     return run
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (anchor, content, id, first). Yield (id, first, n, anchor, copy): segments
+    """Rows come sorted by (anchor, content, id, tie, first). Yield (id, tie, first, n, anchor, copy): segments
     equal to an earlier one as copies, and the first of each content where an anchor has several. What is
     kept from batch to batch is one row: the content's first segment. Known copies pass through."""
+    names = ["id", "tie", "first", "n", "anchor", "copy"]
     anchor = content = begin = None
     pending, several = None, False
     for batch in batches:
-        a, c, d, f, n, known = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        a, c, d, t, f, n, known = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
         if known.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (d, f, n, a, known)], ["id", "first", "n", "anchor", "copy"])
-            a, c, d, f, n = (x[~known] for x in (a, c, d, f, n))
+            yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (d, t, f, n, a, known)], names)
+            a, c, d, t, f, n = (x[~known] for x in (a, c, d, t, f, n))
         if not len(a):
             continue
         new_anchor = np.concatenate(([anchor is None or a[0] != anchor], a[1:] != a[:-1]))
@@ -139,29 +140,28 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(new_content)
         # Each row's place in the list of contents, -1 for the one that goes on from before.
         of = np.cumsum(new_content) - 1
-        first_d = np.append(d[starts], begin[0] if begin else 0)[of]
-        first_f = np.append(f[starts], begin[1] if begin else 0)[of]
-        copies = np.flatnonzero((d != first_d) | (f != first_f))
+        first_d, first_t, first_f = (np.append(x[starts], begin[k] if begin else 0)[of] for k, x in enumerate((d, t, f)))
+        copies = np.flatnonzero((d != first_d) | (t != first_t) | (f != first_f))
         # Anchors that begin in this batch, and how many contents each has in it.
         group = np.cumsum(new_anchor[starts]) - 1
         counts = np.bincount(group[group >= 0], minlength=1)
         wanted = starts[np.where(group >= 0, counts[np.maximum(group, 0)] > 1, True)]
         early = int((group < 0).sum())
-        rows = [(d[copies], f[copies], n[copies], a[copies], np.ones(len(copies), bool))]
+        rows = [(d[copies], t[copies], f[copies], n[copies], a[copies], np.ones(len(copies), bool))]
         if pending is not None and early:
             rows.append(tuple(np.array([x]) for x in pending) + (np.array([False]),))
             pending, several = None, True
-        rows.append((d[wanted], f[wanted], n[wanted], a[wanted], np.zeros(len(wanted), bool)))
+        rows.append((d[wanted], t[wanted], f[wanted], n[wanted], a[wanted], np.zeros(len(wanted), bool)))
         if new_anchor.any():
             last = starts[group == group[-1]]
             several = len(last) > 1
-            pending = None if several else (d[last[0]], f[last[0]], n[last[0]], a[last[0]])
+            pending = None if several else tuple(x[last[0]] for x in (d, t, f, n, a))
         elif early:
             several = True
         anchor, content = a[-1], c[-1]
         if len(starts):
-            begin = (d[starts[-1]], f[starts[-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["id", "first", "n", "anchor", "copy"])
+            begin = tuple(x[starts[-1]] for x in (d, t, f))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names)
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -238,7 +238,7 @@ class LogarithmicIndex:
 
 
 def _cut(length: int):
-    """For documents (id, text, wanted segments) rows (anchor, id, first, bytes, n): segments with their anchor
+    """For documents (id, tie, text, wanted segments) rows (anchor, id, tie, first, bytes, n): segments with their anchor
     or, of hot anchors, windows with their own hash. Of equal windows in a batch only the earliest goes on;
     the others are known to repeat, are joined to stretches of n windows, and come without bytes under a key
     of their own. So a window that all documents share comes to its task once a batch."""
@@ -248,55 +248,59 @@ def _cut(length: int):
         for batch in batches:
             rows: list[tuple] = []
             hot: list[tuple] = []
-            first_of: dict[int, tuple[int, int]] = {}
-            for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            first_of: dict[int, tuple[int, int, int]] = {}
+            for doc_id, tie, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 for w in wanted:
                     first, n = w["first"], w["n"]
                     if not w["hot"]:
-                        rows.append((w["anchor"], doc_id, first, data[first : first + n + length - 1], n))
+                        rows.append((w["anchor"], doc_id, tie, first, data[first : first + n + length - 1], n))
                         continue
                     for at in range(first, first + n):
                         key = digest(data[at : at + length])
-                        hot.append((doc_id, at, key, data))
-                        if key not in first_of or (doc_id, at) < first_of[key]:
-                            first_of[key] = (doc_id, at)
-            run_of = None
-            for doc_id, at, key, data in sorted(hot, key=lambda x: x[:2]):
-                if first_of[key] == (doc_id, at):
+                        hot.append((doc_id, tie, at, key, data))
+                        if key not in first_of or (doc_id, tie, at) < first_of[key]:
+                            first_of[key] = (doc_id, tie, at)
+            runs: list[list[int]] = []
+            for doc_id, tie, at, key, data in sorted(hot, key=lambda x: x[:3]):
+                if first_of[key] == (doc_id, tie, at):
                     window = data[at : at + length]
-                    rows.append((deal(window) - (1 << 63), doc_id, at, window, 1))
-                elif run_of and run_of[0] == doc_id and run_of[1] + run_of[2] == at:
-                    run_of[2] += 1
+                    rows.append((deal(window) - (1 << 63), doc_id, tie, at, window, 1))
+                elif runs and runs[-1][:2] == [doc_id, tie] and runs[-1][2] + runs[-1][3] == at:
+                    runs[-1][3] += 1
                 else:
-                    if run_of:
-                        rows.append((deal(f"{run_of[0]}:{run_of[1]}") - (1 << 63), run_of[0], run_of[1], None, run_of[2]))
-                    run_of = [doc_id, at, 1]
-            if run_of:
-                rows.append((deal(f"{run_of[0]}:{run_of[1]}") - (1 << 63), run_of[0], run_of[1], None, run_of[2]))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "id", "first", "bytes", "n"])
+                    runs.append([doc_id, tie, at, 1])
+            rows += [(deal(f"{doc_id}:{tie}:{at}") - (1 << 63), doc_id, tie, at, None, n) for doc_id, tie, at, n in runs]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "id", "tie", "first", "bytes", "n"])
 
     return run
 
 
 def _repeats(length: int):
-    """Rows (anchor, id, first, bytes, n) sorted so; yield the spans of windows that occur in an earlier row,
+    """Rows (anchor, id, tie, first, bytes, n) sorted so; yield the spans of windows that occur in an earlier row,
     and of rows without bytes, all of whose windows do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, of = LogarithmicIndex(length), None
+        names = ["id", "tie", "a", "b"]
+        index, of, last = LogarithmicIndex(length), None, None
         for batch in batches:
-            known = batch.filter(batch.column(3).is_null())
+            known = batch.filter(batch.column("bytes").is_null())
             if known.num_rows:
-                at = known.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), pa.array(at + known.column(4).to_numpy(zero_copy_only=False) + (length - 1))], ["id", "a", "b"])
-                batch = batch.filter(batch.column(3).is_valid())
+                at = known.column("first").to_numpy(zero_copy_only=False)
+                ends = at + known.column("n").to_numpy(zero_copy_only=False) + (length - 1)
+                yield pa.RecordBatch.from_arrays([*known.select(["id", "tie", "first"]).columns, pa.array(ends)], names)
+                batch = batch.filter(batch.column("bytes").is_valid())
+            # A row that repeats comes twice, which is no repeat.
+            places = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("id", "tie", "first")])
+            same = np.all(places[1:] == places[:-1], axis=1) if len(places) else np.empty(0, bool)
+            batch = batch.filter(pa.array(np.concatenate(([not np.array_equal(places[0], last)], ~same)) if len(places) else []).cast(pa.bool_()))
+            last = places[-1] if len(places) else last
             if not batch.num_rows:
                 continue
-            anchor, ids, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            texts = batch.column(3).to_pylist()
+            anchor, ids, ties, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            texts = batch.column("bytes").to_pylist()
             data = np.frombuffer(b"".join(texts), np.uint8)
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             counts = sizes - (length - 1)
@@ -327,7 +331,7 @@ def _repeats(length: int):
             hit = repeated[begin]
             begin, end = begin[hit], end[hit]
             at = first[row[begin]] + inner[begin]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row[begin]]), pa.array(at), pa.array(at + (end - begin - 1) + length)], ["id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row[begin]], ties[row[begin]], at, at + (end - begin - 1) + length)], names)
 
     return run
 
@@ -378,24 +382,26 @@ def _results(rows: list[tuple], with_bytes: bool) -> list[pa.Array]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """Remove from each text each byte in a ``length``-byte string that also begins earlier: in a row
-    with a smaller doc_id, or further ahead in the same text. What repeats is judged on the input.
+    with a smaller doc_id, or further ahead in the same text. Rows that share a doc_id, or have none, come
+    one after the other by a hash of their texts; those with equal texts count as one row, so both lose
+    what it loses. What repeats is judged on the input.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, ``with_bytes``,
     kept. Null texts are empty; a null doc_id ranks before all others; texts under ``length`` bytes stay
-    whole. Rows of one doc_id count as one document: what is removed from one is removed from all.
+    whole.
     """
-    own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), text_or_empty().alias("text"))
-    anchors = own.mapInArrow(_anchors(length), "anchor bigint, content bigint, id bigint, first bigint, n bigint, copy boolean")
+    own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    anchors = own.mapInArrow(_anchors(length), "anchor bigint, content bigint, id bigint, tie bigint, first bigint, n bigint, copy boolean")
     anchors = anchors.withColumns({"first": F.col("first").cast("int"), "n": F.col("n").cast("int")})
-    sorted_anchors = anchors.repartition("anchor").sortWithinPartitions("anchor", "content", "id", "first")
-    found = materialize(sorted_anchors.mapInArrow(_classify, "id bigint, first int, n int, anchor bigint, copy boolean"), "segments")
+    sorted_anchors = anchors.repartition("anchor").sortWithinPartitions("anchor", "content", "id", "tie", "first")
+    found = materialize(sorted_anchors.mapInArrow(_classify, "id bigint, tie bigint, first int, n int, anchor bigint, copy boolean"), "segments")
 
     # One pass over the texts finishes the documents that need no comparison of texts.
     hot = found.where("NOT copy").groupBy("anchor").count().where(F.col("count") > hot_segments)
     hot = materialize(hot.select("anchor", F.lit(True).alias("hot")), "hot_anchors")
     found = found.join(hot, "anchor", "left")
     part = F.struct("first", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_doc = found.groupBy("id").agg(
+    by_doc = found.groupBy("id", "tie").agg(
         F.collect_list(F.when(F.col("copy"), F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") + (length - 1)).alias("b")))).alias("spans"),
         F.collect_list(F.when(~F.col("copy"), part)).alias("wanted"),
     )
@@ -403,27 +409,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = [], []
-            for doc_id, text, spans, open_ in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+            for doc_id, text, spans, open_ in zip(*(batch.column(i).to_pylist() for i in ("id", "text", "spans", "open")), strict=True):
                 rows.append((doc_id, None if open_ else text.encode(), [(s["a"], s["b"]) for s in spans or ()]))
                 texts.append(text if open_ else None)
-            yield pa.RecordBatch.from_arrays([*_results(rows, with_bytes), pa.array(texts, pa.string()), batch.column(2), batch.column(3)], [*_NAMES, "text", "spans", "wanted"])
+            rest = ["tie", "spans", "wanted"]
+            yield pa.RecordBatch.from_arrays([*_results(rows, with_bytes), pa.array(texts, pa.string()), *batch.select(rest).columns], [*_NAMES, "text", *rest])
 
-    joined = own.join(by_doc, "id", "left").select("id", "text", "spans", "wanted", (F.coalesce(F.size("wanted"), F.lit(0)) > 0).alias("open"))
-    more = "text string, spans array<struct<a:int,b:int>>, wanted array<struct<first:int,n:int,anchor:bigint,hot:boolean>>"
+    joined = own.join(by_doc, ["id", "tie"], "left").select("id", "tie", "text", "spans", "wanted", (F.coalesce(F.size("wanted"), F.lit(0)) > 0).alias("open"))
+    more = "text string, tie bigint, spans array<struct<a:int,b:int>>, wanted array<struct<first:int,n:int,anchor:bigint,hot:boolean>>"
     passed = materialize(joined.mapInArrow(first_pass, f"{_RESULT}, {more}"), "passed")
-    rest = passed.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "spans", "wanted")
+    rest = passed.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "tie", "text", "spans", "wanted")
 
-    texts = rest.select("id", "text", "wanted").mapInArrow(_cut(length), "anchor bigint, id bigint, first bigint, bytes binary, n int")
-    texts = texts.repartition("anchor").sortWithinPartitions("anchor", "id", "first")
-    spans = texts.mapInArrow(_repeats(length), "id bigint, a bigint, b bigint")
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+    texts = rest.select("id", "tie", "text", "wanted").mapInArrow(_cut(length), "anchor bigint, id bigint, tie bigint, first bigint, bytes binary, n int")
+    texts = texts.repartition("anchor").sortWithinPartitions("anchor", "id", "tie", "first")
+    spans = texts.mapInArrow(_repeats(length), "id bigint, tie bigint, a bigint, b bigint")
+    spans = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("more"))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, t.encode(), [(s["a"], s["b"]) for s in [*(x or ()), *(y or ())]]) for i, t, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays(_results(rows, with_bytes), _NAMES)
 
-    done = rest.join(spans, "id", "left").select("id", "text", "spans", "more").mapInArrow(second_pass, _RESULT)
+    done = rest.join(spans, ["id", "tie"], "left").select("id", "text", "spans", "more").mapInArrow(second_pass, _RESULT)
     out = passed.where("text IS NULL").select(*_NAMES).unionByName(done).withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
     return out if with_bytes else out.drop("kept")
 
