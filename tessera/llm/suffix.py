@@ -6,15 +6,16 @@ anchors, and runs of neighbouring windows with one anchor form a segment. Segmen
 anchor: those whose anchor occurs once can't repeat and go; those equal to an earlier segment repeat
 as a whole. Only the first copy of each segment whose anchor also has other segments needs its text.
 
-An anchor with more than HOT_SEGMENTS different segments (the edge of a passage that very many documents
-share) would gather them all in one task; its segments are cut into their windows, which are dealt by
+Anchors are dealt into ranges of about RANGE_WINDOWS windows, so equal windows meet in one range. An
+anchor with more than HOT_SEGMENTS different segments (the edge of a passage that very many documents
+share) would be a range by itself; its segments are cut into their windows, which are dealt to ranges by
 their own hash.
 
-These texts come to the anchor's task in order of document, in batches. Each batch gets a suffix
-array of its windows; neighbours that agree in ``length`` bytes are repeats, and the batch is
-merge-scanned against the levels of the index, themselves suffix arrays over the text that they hold,
-before it is added as a level of its own. Levels of about equal size are merged, so there are
-logarithmically many. Levels are kept for one anchor at a time, as long as its segments last.
+The texts of a range come to a task in order of document, in batches of BATCH_WINDOWS windows. Each
+batch gets a suffix array of its windows; neighbours that agree in ``length`` bytes are repeats, and
+the batch is merge-scanned against the levels of the range's index, themselves suffix arrays over the
+text that they hold, before it is added as a level of its own. Levels of about equal size are merged, so
+there are logarithmically many. Levels are kept for one range at a time, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from tessera.llm.shared import materialize, table, text_or_empty
 LENGTH = 100
 ANCHOR = 20
 HOT_SEGMENTS = 20_000
+#: Windows of a batch, and of a range.
+BATCH_WINDOWS, RANGE_WINDOWS = 1 << 15, 1 << 17
 #: Windows of a long text are handled in blocks of so many.
 BLOCK = 1 << 22
 _NO_ID = -(1 << 63)
@@ -278,12 +281,42 @@ def _cut(length: int):
     return run
 
 
-def _repeats(length: int):
-    """Rows (anchor, id, tie, first, bytes, n) sorted so; yield the spans of windows that occur in an earlier row,
-    and of rows without bytes, all of whose windows do."""
+def _repeats(length: int, batch_windows: int):
+    """Rows (range, id, tie, first, bytes, n) sorted so; yield the spans of windows that occur in an earlier row
+    of their range, and of rows without bytes, all of whose windows do."""
+    names = ["id", "tie", "a", "b"]
+
+    def spans(rows: pa.RecordBatch, index: LogarithmicIndex) -> pa.RecordBatch:
+        """Scans a batch against the levels, and adds what is new in it to them."""
+        ids, ties, first = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("id", "tie", "first"))
+        texts = rows.column("bytes").to_pylist()
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        counts = sizes - (length - 1)
+        row = np.repeat(np.arange(len(texts)), counts)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = (np.cumsum(sizes) - sizes)[row] + inner
+        windows = _windows(data, length)
+        order = suffix_array(data, windows, starts, length)
+        repeated = np.zeros(len(starts), bool)
+        repeated[order[1:]] = _neighbours_agree(windows, starts[order])
+        own = order[~repeated[order]]
+        repeated[own] = index.scan(Level(data, starts[own]))
+        new = own[~repeated[own]]
+        # Of the batch's text only the rows that hold a new window stay.
+        holds = np.zeros(len(texts), bool)
+        holds[row[new]] = True
+        stays = np.repeat(holds, sizes)
+        index.add(Level(data[stays], (np.cumsum(stays) - 1)[starts[new]]))
+        edge = np.concatenate(([True], (row[1:] != row[:-1]) | (repeated[1:] != repeated[:-1])))
+        begin = np.flatnonzero(edge)
+        end = np.append(begin[1:], len(row))
+        hit = repeated[begin]
+        begin, end = begin[hit], end[hit]
+        at = first[row[begin]] + inner[begin]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row[begin]], ties[row[begin]], at, at + (end - begin - 1) + length)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "tie", "a", "b"]
         index, of, last = LogarithmicIndex(length), None, None
         for batch in batches:
             known = batch.filter(batch.column("bytes").is_null())
@@ -292,46 +325,23 @@ def _repeats(length: int):
                 ends = at + known.column("n").to_numpy(zero_copy_only=False) + (length - 1)
                 yield pa.RecordBatch.from_arrays([*known.select(["id", "tie", "first"]).columns, pa.array(ends)], names)
                 batch = batch.filter(batch.column("bytes").is_valid())
-            # A row that repeats comes twice, which is no repeat.
-            places = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("id", "tie", "first")])
-            same = np.all(places[1:] == places[:-1], axis=1) if len(places) else np.empty(0, bool)
-            batch = batch.filter(pa.array(np.concatenate(([not np.array_equal(places[0], last)], ~same)) if len(places) else []).cast(pa.bool_()))
-            last = places[-1] if len(places) else last
             if not batch.num_rows:
                 continue
-            anchor, ids, ties, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            texts = batch.column("bytes").to_pylist()
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            counts = sizes - (length - 1)
-            row = np.repeat(np.arange(len(texts)), counts)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts = (np.cumsum(sizes) - sizes)[row] + inner
-            windows = _windows(data, length)
-            order = suffix_array(data, windows, starts, length)
-            repeated = np.zeros(len(starts), bool)
-            repeated[order[1:]] = _neighbours_agree(windows, starts[order])
-            if of == anchor[0] and index.levels:
-                own = order[(anchor[row] == of)[order] & ~repeated[order]]
-                repeated[own] = index.scan(Level(data, starts[own]))
-            elif of != anchor[0]:
-                index, of = LogarithmicIndex(length), None
-            if anchor[-1] != anchor[0]:
-                index = LogarithmicIndex(length)
-            of = anchor[-1]
-            new = order[(anchor[row] == of)[order] & ~repeated[order]]
-            # Of the batch's text only the rows that hold a new window stay.
-            holds = np.zeros(len(texts), bool)
-            holds[row[new]] = True
-            stays = np.repeat(holds, sizes)
-            index.add(Level(data[stays], (np.cumsum(stays) - 1)[starts[new]]))
-            edge = np.concatenate(([True], (row[1:] != row[:-1]) | (repeated[1:] != repeated[:-1])))
-            begin = np.flatnonzero(edge)
-            end = np.append(begin[1:], len(row))
-            hit = repeated[begin]
-            begin, end = begin[hit], end[hit]
-            at = first[row[begin]] + inner[begin]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row[begin]], ties[row[begin]], at, at + (end - begin - 1) + length)], names)
+            # A document that repeats sends its rows twice, which is no repeat.
+            places = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("range", "id", "tie", "first")])
+            other = np.concatenate(([not np.array_equal(places[0], last)], np.any(places[1:] != places[:-1], axis=1)))
+            last = places[-1]
+            batch, ranges = batch.filter(pa.array(other)), places[other, 0]
+            if not batch.num_rows:
+                continue
+            # Cut where a range begins, and each time that so many windows are full.
+            windows = np.cumsum(batch.column("n").to_numpy(zero_copy_only=False))
+            full = np.flatnonzero(windows[1:] // batch_windows > windows[:-1] // batch_windows) + 1
+            cuts = np.unique(np.concatenate(([0], np.flatnonzero(ranges[1:] != ranges[:-1]) + 1, full, [len(ranges)])))
+            for begin, end in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                if of is None or ranges[begin] != of:
+                    index, of = LogarithmicIndex(length), ranges[begin]
+                yield spans(batch.slice(begin, end - begin), index)
 
     return run
 
@@ -380,7 +390,7 @@ def _results(rows: list[tuple], with_bytes: bool) -> list[pa.Array]:
     return [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False, hot_segments: int = HOT_SEGMENTS, batch_windows: int = BATCH_WINDOWS, range_windows: int = RANGE_WINDOWS) -> DataFrame:
     """Remove from each text each byte in a ``length``-byte string that also begins earlier: in a row
     with a smaller doc_id, or further ahead in the same text. Rows that share a doc_id, or have none, come
     one after the other by a hash of their texts; those with equal texts count as one row, so both lose
@@ -397,6 +407,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     found = materialize(sorted_anchors.mapInArrow(_classify, "id bigint, tie bigint, first int, n int, anchor bigint, copy boolean"), "segments")
 
     # One pass over the texts finishes the documents that need no comparison of texts.
+    spark, left = docs.sparkSession, found.where("NOT copy").agg(F.sum("n")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), left // range_windows)
     hot = found.where("NOT copy").groupBy("anchor").count().where(F.col("count") > hot_segments)
     hot = materialize(hot.select("anchor", F.lit(True).alias("hot")), "hot_anchors")
     found = found.join(hot, "anchor", "left")
@@ -421,8 +433,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     rest = passed.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "tie", "text", "spans", "wanted")
 
     texts = rest.select("id", "tie", "text", "wanted").mapInArrow(_cut(length), "anchor bigint, id bigint, tie bigint, first bigint, bytes binary, n int")
-    texts = texts.repartition("anchor").sortWithinPartitions("anchor", "id", "tie", "first")
-    spans = texts.mapInArrow(_repeats(length), "id bigint, tie bigint, a bigint, b bigint")
+    texts = texts.withColumn("range", F.pmod("anchor", F.lit(ranges))).drop("anchor")
+    texts = texts.repartition("range").sortWithinPartitions("range", "id", "tie", "first")
+    spans = texts.mapInArrow(_repeats(length, batch_windows), "id bigint, tie bigint, a bigint, b bigint")
     spans = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("more"))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,12 +38,12 @@ def repeating_texts(n, seed):
     return rows + [(n + i, rows[i][1], "s0") for i in range(5)]
 
 
-@pytest.mark.parametrize("batch, hot", [(10_000, 20_000), (3, 20_000), (3, 2), (10_000, 2)])
-def test_suffix_dedup_is_brute_force(spark, frame, batch, hot):
+@pytest.mark.parametrize("batch, hot, windows", [(10_000, 20_000, 1 << 15), (3, 20_000, 50), (3, 2, 1 << 15), (10_000, 2, 200), (10_000, 20_000, 100)])
+def test_suffix_dedup_is_brute_force(spark, frame, batch, hot, windows):
     rows = repeating_texts(60, batch) + [r for r in ODD if r[0] is None and r[1] is None]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
-        got = suffix.remove_repeats(frame(rows), with_bytes=True, hot_segments=hot).collect()
+        got = suffix.remove_repeats(frame(rows), with_bytes=True, hot_segments=hot, batch_windows=windows).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = brute_repeats(rows)
