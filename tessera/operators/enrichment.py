@@ -17,8 +17,25 @@ from tessera.functions.canon import is_blank, trimmed, utf16_length
 MAX_TEXT, MAX_ITEMS, MAX_EVIDENCE = 4000, 100, 10
 ID_PATTERN = r"^[\w-]{1,80}$"
 KINDS = ("entity", "concept")
-#: Types of knowledge that a section may have.
-KNOWLEDGE_TYPES = ("concept", "guide", "tutorial", "reference", "api", "faq", "troubleshooting", "best-practice", "architecture", "configuration", "release-note", "policy", "example", "comparison", "glossary", "other")
+#: Types of knowledge that a section may have, and what they say to a model.
+KNOWLEDGE_TYPES = {
+    "concept": "概念定义、术语解释、原理",
+    "guide": "操作流程、接入步骤、迁移教程",
+    "api": "接口、请求参数、返回结构、错误码",
+    "example": "代码样例、调用示例、演示",
+    "faq": "常见问题与解答",
+    "troubleshooting": "问题诊断、故障原因及解决方法",
+    "security-rule": "安全要求、权限限制、凭据与隐私规则",
+    "configuration": "配置项、环境变量、部署参数",
+    "architecture": "系统架构、组件职责、交互与依赖",
+    "reference": "枚举、字段表、命令和其他查阅资料",
+    "specification": "协议、数据格式、行为规范与约定",
+    "decision": "技术方案选择、决策理由与取舍",
+    "changelog": "版本变更、发布记录、兼容性变化",
+    "incident": "事故记录、影响、处置过程和复盘",
+    "overview": "产品介绍、能力概览、文档导航",
+    "other": "无法归入现有分类的内容，不推测缺失的信息",
+}
 _TYPE_KEY = r"^[a-z][a-z0-9]*(-[a-z0-9]+)*$"
 
 NODE_SCHEMA = "section_id string, ord int, kind string, id string, name string, type string, aliases array<string>, description string, evidence array<string>"
@@ -34,7 +51,7 @@ def knowledge_types(custom: dict[str, str] | None = None) -> dict[str, str]:
 
     if custom and (len(custom) > 100 or any(not re.match(_TYPE_KEY, k) for k in custom)):
         raise TesseraError("INVALID_OPTIONS", "knowledge types")
-    return {k: k for k in KNOWLEDGE_TYPES} | (custom or {})
+    return KNOWLEDGE_TYPES | (custom or {})
 
 
 def _reason(*rules: tuple[Column, str]) -> Column:

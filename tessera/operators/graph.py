@@ -37,17 +37,24 @@ def invalid_mappings(mappings: DataFrame, canonical: DataFrame, nodes: DataFrame
     return bad.unionByName(mappings.join(repeated, ["section_id", "local_id"], "left_semi").select(*keys)).distinct()
 
 
-def _with_citations(claims: DataFrame, keys: list[str], contributions: DataFrame) -> DataFrame:
-    """Claims (keys, section_id, evidence) grouped: evidence is merged within a section only, and each
-    section is a citation of its own."""
-    by_section = claims.groupBy(*keys, "section_id").agg(sorted_unique(F.flatten(F.collect_list("evidence"))).alias("evidence"))
-    cited = by_section.join(contributions.select(*CITATION), "section_id")
+def _by_section(claims: DataFrame, keys: list[str], contributions: DataFrame) -> DataFrame:
+    """Claims (keys, section_id, evidence), a row for each section that makes one, with what is known of the section;
+    evidence is merged within a section only."""
+    merged = claims.groupBy(*keys, "section_id").agg(sorted_unique(F.flatten(F.collect_list("evidence"))).alias("evidence"))
+    return merged.join(contributions.select(*CITATION), "section_id")
+
+
+def _with_citations(cited: DataFrame, keys: list[str]) -> DataFrame:
+    """Claims with their sections as citations. The list of one claim is as long as its sections are many, so what is
+    needed of single sections is taken from the rows of ``_by_section`` instead."""
     citation = F.struct("section_id", "document_id", "section_revision", "source_path", "heading_path", "evidence")
     return cited.groupBy(*keys).agg(F.array_sort(F.collect_list(citation)).alias("citations"))
 
 
 def build_graph(contributions: DataFrame, nodes: DataFrame, relations: DataFrame, facts: DataFrame, knowledge_base: str, mappings: DataFrame, canonical: DataFrame) -> dict[str, DataFrame]:
-    """Data frames nodes, edges and links (section_id, section_revision, node_ids).
+    """Data frames nodes, edges and links (section_id, section_revision, node_ids); and as rows of single sections
+    what nodes hold as lists: claims (node_id, section_id, name, type, aliases, description) and sources
+    (node_id, CITATION columns, each once).
 
     contributions: one row per section (CITATION columns). nodes, relations and facts are sections' own,
     with local ids."""
@@ -55,13 +62,15 @@ def build_graph(contributions: DataFrame, nodes: DataFrame, relations: DataFrame
     ids = local.select("section_id", F.col("id").alias("local_id"), "node_id").distinct()
     described = local.withColumn("aliases", sorted_unique(F.col("aliases")))
     described = described.withColumn("type", F.when(F.col("kind") == "entity", F.col("type")))
-    claims = _with_citations(described, ["node_id", "name", "type", "aliases", "description"], contributions)
+    own = _by_section(described, ["node_id", "name", "type", "aliases", "description"], contributions)
+    claims = _with_citations(own, ["node_id", "name", "type", "aliases", "description"])
     descriptions = claims.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("name", "type", "aliases", "description", "citations"))).alias("descriptions"))
     heads = local.groupBy("node_id").agg(F.first("canonical_id", ignorenulls=True).alias("canonical_id"), F.min("kind").alias("kind"), F.min_by("title", F.struct("section_id", "ord")).alias("title"), F.array_sort(F.collect_set("section_id")).alias("section_ids"))
 
     named = facts.select("section_id", "ord", "statement", "evidence", F.explode("node_ids").alias("local_id")).join(ids, ["section_id", "local_id"])
     about = named.groupBy("section_id", "ord").agg(F.first("statement").alias("statement"), F.first("evidence").alias("evidence"), F.array_sort(F.collect_set("node_id")).alias("node_ids"))
-    claims = _with_citations(about, ["statement", "node_ids"], contributions)
+    telling = _by_section(about, ["statement", "node_ids"], contributions)
+    claims = _with_citations(telling, ["statement", "node_ids"])
     stated = claims.select(F.explode("node_ids").alias("node_id"), F.struct("statement", "node_ids", "citations").alias("fact"))
     stated = stated.groupBy("node_id").agg(F.array_sort(F.collect_list("fact")).alias("facts"))
 
@@ -69,7 +78,8 @@ def build_graph(contributions: DataFrame, nodes: DataFrame, relations: DataFrame
     for end in ("source", "target"):
         ends = ends.join(ids.select("section_id", F.col("local_id").alias(f"{end}_id"), F.col("node_id").alias(f"{end}_node")), ["section_id", f"{end}_id"])
     ends = ends.select("section_id", F.col("source_node").alias("source_id"), F.col("target_node").alias("target_id"), "type", "description", "evidence")
-    edges = _with_citations(ends, ["source_id", "target_id", "type", "description"], contributions)
+    relating = _by_section(ends, ["source_id", "target_id", "type", "description"], contributions)
+    edges = _with_citations(relating, ["source_id", "target_id", "type", "description"])
     edges = edges.withColumn("edge_id", edge_id(F.col("source_id"), F.col("target_id"), F.col("type"), F.col("description")))
     edges = edges.withColumn("revision", hashed(F.to_json(F.struct("edge_id", "citations")))).select("edge_id", "revision", "source_id", "target_id", "type", "description", "citations")
 
@@ -79,7 +89,12 @@ def build_graph(contributions: DataFrame, nodes: DataFrame, relations: DataFrame
     built = built.withColumn("revision", hashed(F.to_json(F.struct("node_id", "kind", "title", "section_ids", "descriptions", "facts", "_edges")))).drop("_edges")
     linked = ids.groupBy("section_id").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
     links = contributions.select("section_id", "section_revision").join(linked, "section_id", "left").withColumn("node_ids", F.coalesce("node_ids", F.array().cast("array<string>")))
-    return {"nodes": built, "edges": edges, "links": links}
+    cited = (own, telling.withColumn("node_id", F.explode("node_ids")), incident_edges(relating))
+    sources = cited[0].select("node_id", *CITATION)
+    for rows in cited[1:]:
+        sources = sources.unionByName(rows.select("node_id", *CITATION))
+    claims = own.select("node_id", "section_id", "name", "type", "aliases", "description")
+    return {"nodes": built, "edges": edges, "links": links, "claims": claims, "sources": sources.distinct()}
 
 
 def incident_edges(edges: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:

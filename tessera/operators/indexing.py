@@ -33,8 +33,7 @@ def _relation_texts(graph: dict[str, DataFrame]) -> DataFrame:
     named = graph["edges"].join(titles.select(F.col("_n").alias("source_id"), F.col("_t").alias("source_title")), "source_id")
     named = named.join(titles.select(F.col("_n").alias("target_id"), F.col("_t").alias("target_title")), "target_id")
     text = F.format_string("%s → %s（%s）：%s", "source_title", "target_title", "type", "description")
-    gathered = incident_edges(named.withColumn("text", text)).groupBy("node_id")
-    return gathered.agg(sorted_unique(F.collect_list("text")).alias("relations"), F.flatten(F.collect_list("citations")).alias("edge_citations"))
+    return incident_edges(named.withColumn("text", text)).groupBy("node_id").agg(F.array_sort(F.collect_set("text")).alias("relations"))
 
 
 def _block(label: str, text: Column) -> Column:
@@ -42,14 +41,12 @@ def _block(label: str, text: Column) -> Column:
 
 
 def node_documents(graph: dict[str, DataFrame], knowledge_base: str) -> DataFrame:
-    df = graph["nodes"].join(_relation_texts(graph), "node_id", "left")
+    source = F.struct("section_id", "document_id", "section_revision", "source_path", "heading_path")
+    sources = graph["sources"].groupBy("node_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    df = graph["nodes"].join(_relation_texts(graph), "node_id", "left").join(sources, "node_id", "left")
     statements = F.array_join(sorted_unique(F.transform("facts", lambda f: f["statement"])), "\n")
     text = F.concat_ws("\n\n", describe_node(F.col("kind"), F.col("title"), F.col("descriptions")), _block("事实：\n", statements), _block("关系：\n", F.array_join("relations", "\n")))
-    own = F.concat(F.flatten(F.transform("descriptions", lambda d: d["citations"])), F.flatten(F.transform("facts", lambda f: f["citations"])))
-    cited = F.when(F.col("edge_citations").isNotNull(), F.concat(own, "edge_citations")).otherwise(own)
-    source = lambda c: F.struct(c["section_id"].alias("section_id"), c["document_id"].alias("document_id"), c["section_revision"].alias("section_revision"), c["source_path"].alias("source_path"), c["heading_path"].alias("heading_path"))
-    sources = F.array_sort(F.array_distinct(F.transform(cited, source)))
-    return df.select(F.lit("wiki").alias("kind"), F.col("node_id").alias("source_id"), F.col("revision").alias("source_revision"), "title", text.alias("text"), sources.alias("sources"), F.array(F.struct(F.col("node_id").alias("id"), "revision")).alias("nodes"), F.lit("ready").alias("knowledge_status"))
+    return df.select(F.lit("wiki").alias("kind"), F.col("node_id").alias("source_id"), F.col("revision").alias("source_revision"), "title", text.alias("text"), "sources", F.array(F.struct(F.col("node_id").alias("id"), "revision")).alias("nodes"), F.lit("ready").alias("knowledge_status"))
 
 
 def chunk_documents(chunks: DataFrame, graph: dict[str, DataFrame], pending: DataFrame, knowledge_base: str) -> DataFrame:
@@ -60,9 +57,10 @@ def chunk_documents(chunks: DataFrame, graph: dict[str, DataFrame], pending: Dat
     df = chunks.join(links, "section_id", "left").join(waiting, "section_id", "left")
     if not df.where("linked <> section_revision OR waited <> section_revision").isEmpty():
         raise TesseraError("STALE_SOURCE", "chunks and graph are of different revisions")
-    described = graph["nodes"].select("node_id", "kind", "title", "revision", F.explode("section_ids").alias("section_id"), "descriptions")
-    own = F.filter("descriptions", lambda d: F.exists(d["citations"], lambda c: c["section_id"] == F.col("section_id")))
-    described = described.withColumn("about", describe_node(F.col("kind"), F.col("title"), own))
+    # What a section says of a node comes from its own claims, however many other sections say something of it.
+    said = graph["claims"].groupBy("node_id", "section_id").agg(F.collect_list(F.struct("name", "type", "aliases", "description")).alias("own"))
+    described = said.join(graph["nodes"].select("node_id", "kind", "title", "revision"), "node_id")
+    described = described.withColumn("about", describe_node(F.col("kind"), F.col("title"), F.col("own")))
     knowledge = described.groupBy("section_id").agg(sorted_unique(F.collect_list("about")).alias("knowledge"), F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("id"), "revision"))).alias("nodes"))
     df = df.join(knowledge, "section_id", "left")
     heading = F.array_join("heading_path", " / ")

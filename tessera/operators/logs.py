@@ -13,7 +13,7 @@ from tessera.errors import TesseraError
 from tessera.functions.canon import iso_utc
 
 FILTERS = ("type", "status", "knowledge_base_id", "document_id", "request_id")
-TYPES, STATUSES = ("ingestion", "query"), ("running", "succeeded", "failed")
+TYPES, STATUSES = ("ingestion", "query"), ("running", "succeeded", "failed", "cancelled")
 PERIOD_HOURS = (1, 24, 168, 720)
 _ID = re.compile(r"[1-9][0-9]{0,18}")
 _TIME = re.compile(r"\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})")

@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sections import FENCE, reference_identifier, units
+from tessera.operators import markdown as md
 
 PREVIEW_ITEMS, PREVIEW_TITLE, PREVIEW_TEXT = 20, 300, 6000
 
 
 def definitions(docs: DataFrame, key: str = "document_id", text: str = "markdown") -> DataFrame:
-    """Link and footnote definitions outside fences: identifier and text; of equal identifiers the first. line_no
-    counts fenced blocks as one line."""
-    found = docs.select(key, F.posexplode(units(F.col(text))).alias("line_no", "unit")).where(~F.col("unit").rlike(FENCE) & F.col("unit").rlike(r"^ {0,3}\[[^\]]+\]:"))
-    found = found.select(key, "line_no", F.regexp_replace("unit", r"\s+$", "").alias("line"))
-    named = found.withColumn("identifier", reference_identifier(F.regexp_extract("line", r"^ {0,3}\[([^\]]+)\]:", 1)))
-    return named.groupBy(key, "identifier").agg(F.min_by("line", "line_no").alias("definition"), F.min("line_no").alias("line_no"))
+    """Link and footnote definitions, whole (those of several lines too): identifier (of footnotes, with ^), definition,
+    line_no. Of equal identifiers the first. What has their form in code or comments is none."""
+
+    def read(markdown: pa.Array) -> pa.Array:
+        out = []
+        for t in markdown.to_pylist():
+            found = md.definitions_of(md.outline(t or ""), t or "")
+            out.append([{"identifier": name, "definition": whole, "line_no": block.line} for name, (whole, block) in found.items()])
+        return pa.array(out, pa.list_(pa.struct([("identifier", pa.string()), ("definition", pa.string()), ("line_no", pa.int32())])))
+
+    return docs.select(key, F.inline(F.arrow_udf(read, "array<struct<identifier:string,definition:string,line_no:int>>")(text)))
+
+
+def _used(text: pa.Array) -> pa.Array:
+    # A text is looked at as if all labels were defined; which are, a join says.
+    out = []
+    for t in text.to_pylist():
+        blocks = (b for b in md.outline(t or "").walk() if b.kind in ("text", "heading", "table"))
+        out.append(list(dict.fromkeys(md.identifier(x.label) for b in blocks for x in md.inlines(b.text) if x.label is not None)))
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def used_identifiers(text: Column) -> Column:
-    """What a text refers to: [text][id], [id][], [id] and [^id], but not [text](url) and definitions."""
-    full = F.transform(F.regexp_extract_all(text, F.lit(r"\]\[([^\]]+)\]"), F.lit(1)), reference_identifier)
-    short = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\])\[([^\]\[]+)\](?![(:])(?!\[[^\]]+\])"), F.lit(1)), reference_identifier)
-    return F.array_distinct(F.concat(full, short))
+    """What a text refers to: [text][id], [id][], [id] and [^id], but not [text](url), definitions and code."""
+    return F.arrow_udf(_used, "array<string>")(text)
 
 
 def section_definitions(sections_df: DataFrame, defined: DataFrame, key: str = "document_id", section: str = "id") -> DataFrame:
@@ -38,7 +51,7 @@ def section_definitions(sections_df: DataFrame, defined: DataFrame, key: str = "
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
-        body = F.regexp_replace("definition", r"^ {0,3}\[[^\]]+\]:", "")
+        body = F.when(F.col("definition").rlike(r"^ {0,3}\[\^"), F.regexp_replace("definition", r"^ {0,3}\[[^\]]+\]:", ""))
         todo = step.select(key, section, F.explode(used_identifiers(body)).alias("identifier")).distinct()
     return sections_df.select(section, F.lit("").alias("identifier"), F.lit("").alias("definition")).where("false") if found is None else found.select(section, "identifier", "definition")
 

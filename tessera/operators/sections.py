@@ -1,15 +1,14 @@
 """Markdown documents as rows of blocks, sections and chunks.
 
-One regular expression cuts a text into fenced blocks and lines; array functions group these into
-blocks. Small functions in the tasks go through a document's headings in order, as each section's identity
-holds those around it, and pack a section's blocks into a token budget, as only a tokenizer can say what
-fits. All of it happens in a document's row (documents are
-bounded), so there is no shuffle, and collections spread over tasks as they are read. Sections begin at
-headings of depth 1 to 3 outside fences.
+Small functions in the tasks go through a text once (``mdx`` brings MDX and HTML to Markdown, ``markdown`` finds
+its blocks) and pack a section's blocks into a token budget, as only a tokenizer can say what fits. All of it happens
+in a document's row (documents are bounded), so there is no shuffle, and collections spread over tasks
+as they are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,8 +17,11 @@ from pyspark.sql import functions as F
 
 from tessera.errors import TesseraError
 from tessera.functions.canon import hashed, json_array, json_string, json_strings
+from tessera.operators import markdown as md
+from tessera.operators import mdx
 from tessera.operators.packing import approximate_count, packed, sections_of
 
+_FRONT = re.compile(r"---[ \t]*\n(?:.*?\n)?---[ \t]*(?:\n|\Z)", re.S)
 DEPTHS = (1, 2, 3)
 MAX_TOKENS = 800
 
@@ -42,155 +44,170 @@ def front_matter_fields(block: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.array_distinct(entries)))
 
 
-def mdx_to_markdown(content: Column) -> Column:
-    """Component tags, expressions and module lines out, what they hold as Markdown kept: images, links,
-    headings, emphasis, line breaks, callouts as quotes. Nothing is executed."""
-    rules = (
-        (r"(?s)<(script|style)\b[^>]*>.*?</\1>", ""),
-        (r"(?s)\{/\*.*?\*/\}", ""),
-        (r"(?m)^(?:import|export)\s.*$", ""),
-        (r"""<(?:ZoomImage|img)\b[^>]*?\bsrc=["']([^"']*)["'][^>]*?\balt=["']([^"']*)["'][^>]*/?>""", "![$2]($1)"),
-        (r"""<(?:ZoomImage|img)\b[^>]*?\bsrc=["']([^"']*)["'][^>]*/?>""", "![]($1)"),
-        (r"""(?s)<(?:a|Download)\b[^>]*?\bhref=["']([^"']*)["'][^>]*>(.*?)</(?:a|Download)>""", "[$2]($1)"),
-        (r"""(?s)<Callout\b[^>]*?\btitle=["']([^"']*)["'][^>]*>\s*(.*?)\s*</Callout>""", "> **$1**\n>\n> $2"),
-        (r"(?s)<Callout\b[^>]*>\s*(.*?)\s*</Callout>", "> $1"),
-        *((rf"(?s)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)),
-        (r"(?s)<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)>", "**$1**"),
-        (r"(?s)<(?:em|i)\b[^>]*>(.*?)</(?:em|i)>", "*$1*"),
-        (r"(?s)<li\b[^>]*>\s*(.*?)\s*</li>", "\n- $1"),
-        (r"<br\s*/?>", "\n"),
-        (r"(?s)<(?:p|summary)\b[^>]*>\s*(.*?)\s*</(?:p|summary)>", "\n\n$1\n\n"),
-        (r"(?s)<!--.*?-->", ""),
-        (r"</?[A-Za-z][^>]*>", ""),
-        (r"""\{\s*["'`]([^"'`{}$]*)["'`]\s*\}""", "$1"),
-        (r"\{\s*(?:true|false|null|undefined)\s*\}", ""),
-        (r"[ \t]+\n", "\n"),
-        (r"\n{3,}", "\n\n"),
-    )
-    for pattern, replacement in rules:
-        content = F.regexp_replace(content, F.lit(pattern), F.lit(replacement))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        content = F.replace(content, F.lit(entity), F.lit(char))
-    return F.regexp_replace(content, r"^\s+|\s+$", "")
+_PLACE = pa.struct([("line", pa.int32()), ("column", pa.int32()), ("reason", pa.string())])
+_RUN = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source_start", pa.int32()), ("source_stop", pa.int32())])
+_NORMAL = pa.struct([("markdown", pa.string()), ("title", pa.string()), ("warnings", pa.list_(_PLACE)), ("error", _PLACE), ("source_map", pa.list_(_RUN))])
+_DDL_PLACE = "struct<line:int,column:int,reason:string>"
+_NORMAL_DDL = "struct<markdown:string,title:string,warnings:array<struct<line:int,column:int,reason:string>>,error:struct<line:int,column:int,reason:string>,source_map:array<struct<start:int,stop:int,source_start:int,source_stop:int>>>"
 
 
-ADAPTERS: dict[str, Callable[[Column], Column]] = {"markdown": lambda c: c, "mdx": mdx_to_markdown, "html": mdx_to_markdown}
+def _place(text: str, at: int, reason: str) -> dict:
+    """Line and column, from 1, of a place in a text."""
+    return {"line": text.count("\n", 0, at) + 1, "column": at - text.rfind("\n", 0, at), "reason": reason}
 
 
-def register_adapter(name: str, normalize: Callable[[Column], Column]) -> None:
-    if name in ADAPTERS:
-        raise TesseraError("INVALID_OPTIONS", f"adapter {name} is there already")
-    ADAPTERS[name] = normalize
+def first_title(markdown: str) -> str | None:
+    """The title of the first heading of depth 1 that isn't inside another block."""
+    return next((b.text for b in md.outline(markdown).children if b.kind == "heading" and b.depth == 1), None) or None
 
 
-def normalized(docs: DataFrame, adapter: str, content: str = "content") -> DataFrame:
-    """Adds metadata (front matter), markdown and title (front matter's, else the first H1)."""
-    if adapter not in ADAPTERS:
-        raise TesseraError("INVALID_OPTIONS", f"no adapter {adapter}")
-    block, body = front_matter(F.col(content))
-    df = docs.withColumns({"metadata": front_matter_fields(block), "markdown": ADAPTERS[adapter](body)})
-    heading = F.regexp_extract("markdown", r"(?m)^# +(.*?)[ #]*$", 1)
-    return df.withColumn("title", F.coalesce(F.try_element_at("metadata", F.lit("title")), F.nullif(heading, F.lit(""))))
+def _read(content: str, kind: str) -> dict:
+    if kind == "markdown":
+        front = _FRONT.match(content)
+        at = front.end() if front else 0
+        return {"markdown": content[at:], "title": first_title(content[at:]), "warnings": [], "error": None, "source_map": [{"start": 0, "stop": len(content) - at, "source_start": at, "source_stop": len(content)}]}
+    found = mdx.normalize(content, lenient=kind == "html")
+    warnings = [_place(content, at, reason) for at, reason in found.warnings]
+    if found.error:
+        return {"markdown": None, "title": None, "warnings": warnings, "error": _place(content, *found.error), "source_map": []}
+    text, runs, at = "".join(p.text for p in found.pieces), [], 0
+    for p in found.pieces:
+        runs.append({"start": at, "stop": at + len(p.text), "source_start": p.start, "source_stop": p.end})
+        at += len(p.text)
+    return {"markdown": text, "title": first_title(text), "warnings": warnings, "error": None, "source_map": runs}
+
+
+def _reader(kind: str) -> Callable[[Column], Column]:
+    def read(content: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else _read(c, kind) for c in content.to_pylist()], _NORMAL)
+
+    return lambda content: F.arrow_udf(read, _NORMAL_DDL)(content)
 
 
-#: A fenced block up to a fence of its own kind, as long at least, or up to the text's end; else a line.
-_UNIT = (
-    r" {0,3}(`{3,}+)[^`\n]*\n(?s:.*?\n)?? {0,3}\1`*[ \t]*(?:\n|\z)"
-    r"| {0,3}(~{3,}+)[^\n]*\n(?s:.*?\n)?? {0,3}\2~*[ \t]*(?:\n|\z)"
-    r"| {0,3}(?:`{3,}+[^`\n]*|~{3,}+[^\n]*)(?:\n(?s:.*)|\z)"
-    r"|[^\n]*\n|[^\n]+\z"
-)
-FENCE = r"^ {0,3}(?:`{3,}[^`\n]*(?:\n|\z)|~{3,})"
-_HEADING = r"^ {0,3}#{1,6}(?:[ \t\n]|\z)"
+def _first_title(markdown: pa.Array) -> pa.Array:
+    return pa.array([None if m is None else first_title(m) for m in markdown.to_pylist()], pa.string())
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with value computed once, however often it is used there."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+#: The formats that are there from the start. MDX is read strictly; HTML as it comes.
+FORMATS = ("markdown", "mdx", "html")
+ADAPTERS: dict[str, Callable[[Column], Column]] = {}
 
 
-def units(text: Column) -> Column:
-    """A text cut into fenced blocks and other lines, line ends included; joined they are the text."""
-    return F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0))
+def register_adapter(name: str, normalize: Callable[[Column], Column]) -> None:
+    """Adds a format: a function from a text's column (without front matter) to its Markdown."""
+    if is_blank_name(name) or name in ADAPTERS or name in FORMATS:
+        raise TesseraError("INVALID_OPTIONS", f"adapter {name} is there already, or has no name")
+    ADAPTERS[name] = normalize
 
 
-def heading_depth(unit: Column) -> Column:
-    """1 to 6 for a heading, else null."""
-    return F.when(unit.rlike(_HEADING), F.length(F.regexp_extract(unit, "^ {0,3}(#+)", 1)))
+def is_blank_name(name: str) -> bool:
+    return not isinstance(name, str) or not name.strip()
 
 
-_SECTION = "index int, id string, parent_id string, depth int, title string, heading_path array<string>, occurrence int, first_line int, start_offset int, end_offset int, markdown string"
+def normalized(docs: DataFrame, adapter: str, content: str = "content") -> DataFrame:
+    """Adds metadata (front matter), markdown, title (front matter's, else the first H1), warnings and error (line,
+    column, reason; of the source), source_map (runs of code points of the Markdown and of the source that they
+    stand for, in order; equally long ones are copies).
+
+    What can't be brought over without being executed is left out with a warning. A text that isn't MDX has an
+    error and no Markdown; other rows aren't affected. Null texts stay null."""
+    if adapter not in (*FORMATS, *ADAPTERS):
+        raise TesseraError("INVALID_OPTIONS", f"no adapter {adapter}")
+    block, body = front_matter(F.col(content))
+    if adapter in ADAPTERS:
+        df = docs.withColumn("markdown", ADAPTERS[adapter](body)).withColumn("_title", F.arrow_udf(_first_title, "string")("markdown"))
+        none = F.lit(None)
+        df = df.withColumns({"warnings": F.array().cast(f"array<{_DDL_PLACE}>"), "error": none.cast(_DDL_PLACE), "source_map": F.array().cast("array<struct<start:int,stop:int,source_start:int,source_stop:int>>")})
+    else:
+        df = docs.withColumn("_normal", _reader(adapter)(F.col(content)))
+        df = df.withColumns({"markdown": F.col("_normal.markdown"), "_title": F.col("_normal.title"), "warnings": F.col("_normal.warnings"), "error": F.col("_normal.error"), "source_map": F.col("_normal.source_map")}).drop("_normal")
+    df = df.withColumn("metadata", front_matter_fields(block))
+    return df.withColumn("title", F.coalesce(F.try_element_at("metadata", F.lit("title")), F.col("_title"))).drop("_title")
+
+
+_SECTION = "index int, id string, parent_id string, depth int, title string, heading_path array<string>, occurrence int, first_line int, start_offset int, end_offset int, markdown string, definitions array<string>"
 
 
 def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown") -> DataFrame:
     """Sections in order: index, depth (0 before the first heading), title, heading_path, parent_id, id,
     occurrence, first_line, start_offset and end_offset (code points of the text that the section takes up),
-    markdown. Each line belongs to one section; blank ones with nothing else to none. A title that repeats
-    under the same parent and depth is told apart by its occurrence. Null and empty texts have no section.
+    markdown, definitions. Headings of depth 1 to 3, underlined ones too, begin sections where they stand by
+    themselves, not inside fences, comments, lists or quotes. Definitions that a section refers to, directly or
+    through footnotes, but doesn't hold, are in definitions and at the end of its markdown. Each line belongs to one
+    section; blank ones with nothing else to none. A title that repeats under the same parent and depth is told
+    apart by its occurrence. Null and empty texts have no section.
 
-    A document's lines stay in its row and its headings are gone through in order, in the task, so nothing
-    is shuffled."""
+    A document is gone through in order, in the task, so nothing is shuffled."""
     kind = docs.schema[key].dataType.simpleString()
     names = [key, *(f.split(" ")[0] for f in _SECTION.split(", "))]
-    schema = pa.schema([pa.field(n, t) for n, t in zip(names[1:], (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.int32()] * 4, pa.string()), strict=True)])
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.int32()] * 4, pa.string(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places = [], []
-            for place, (document, parts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                found = sections_of(document, parts or [], max(DEPTHS))
+            for place, (document, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = sections_of(document, text or "", max(DEPTHS))
                 rows += found
                 places += [place] * len(found)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], names)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    given = docs.select(key, F.col(key).cast("string").alias("_document"), units(F.col(text)).alias("_units"))
+    given = docs.select(key, F.col(key).cast("string").alias("_document"), F.col(text).alias("_text"))
     return given.mapInArrow(run, f"`{key}` {kind}, {_SECTION}")
 
 
-def section_revision(df: DataFrame, key: str = "document_id") -> DataFrame:
-    """Adds revision, a hash of what a section says and where it stands by title; not of paths, lines or order."""
-    parts = json_array(json_string(F.col(key).cast("string")), json_string(F.col("title")), json_strings(F.col("heading_path")), json_string(F.col("markdown")))
-    return df.withColumn("revision", hashed(parts))
-
+def with_sources(sections_df: DataFrame, normal: DataFrame, key: str = "document_id", content: str = "content") -> DataFrame:
+    """Adds source_start, source_stop (code points of the document as it came), source (the text there) and exact (the
+    section is that text as it is) to sections of ``normalized`` documents; null where nothing of a section comes
+    from the source. Sections meet the runs of their document that overlap them."""
+    runs = normal.select(key, F.col(content).alias("_content"), F.explode("source_map").alias("_run"))
+    row = sections_df.select(key, "id", "start_offset", "end_offset")
+    met = row.join(runs, key).where((F.col("_run.start") < F.col("end_offset")) & (F.col("_run.stop") > F.col("start_offset")))
+    copied = F.col("_run.stop") - F.col("_run.start") == F.col("_run.source_stop") - F.col("_run.source_start")
+    first = F.when(copied, F.col("_run.source_start") + F.greatest(F.col("start_offset") - F.col("_run.start"), F.lit(0))).otherwise(F.col("_run.source_start"))
+    last = F.when(copied, F.col("_run.source_stop") - F.greatest(F.col("_run.stop") - F.col("end_offset"), F.lit(0))).otherwise(F.col("_run.source_stop"))
+    spans = met.groupBy(key, "id").agg(F.min(first).alias("source_start"), F.max(last).alias("source_stop"), ((F.count("*") == 1) & F.bool_and(copied)).alias("exact"), F.any_value("_content").alias("_content"))
+    spans = spans.withColumn("source", F.expr("substring(_content, source_start + 1, source_stop - source_start)")).drop("_content")
+    return sections_df.join(spans, [key, "id"], "left")
 
-def _with_blocks(df: DataFrame, markdown: str = "markdown") -> DataFrame:
-    """Adds blocks, an array of kind and text."""
-    df = df.withColumn("_units", units(F.col(markdown)))
-    shape = lambda u: F.when(u.rlike(FENCE), "code").when(heading_depth(u).isNotNull(), "heading").when(u.rlike(r"\S"), "text").otherwise("blank")
-    df = df.withColumn("_shapes", F.transform("_units", shape))
-    # A block begins where a line isn't blank, unless it goes on with the text of the line before.
-    begins = F.filter(F.transform("_shapes", lambda x, i: F.struct(i.alias("at"), x.alias("shape"), F.when(i > 0, F.get("_shapes", i - 1)).alias("before"))), lambda x: (x["shape"] != "blank") & ~((x["shape"] == "text") & x["before"].eqNullSafe("text")))
-    df = df.withColumn("_begins", begins)
 
-    def block(b: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get("_begins", k + 1)["at"], F.size("_units"))
-        return let(F.regexp_replace(F.array_join(F.slice("_units", b["at"] + 1, stop - b["at"]), ""), r"\s+$", ""), lambda t: F.struct(kind(b["shape"], t).alias("kind"), t.alias("text")))
+def section_revision(df: DataFrame, key: str = "document_id") -> DataFrame:
+    """Adds revision, a hash of what a section says and where it stands by title; not of paths, lines or order.
+    Where ``df`` has them, the document's title and metadata, the section's source and the definitions that it
+    refers to are part of it, so that a change in any of them is one of the section."""
+    there = set(df.columns)
+    given = lambda name, value: value if name in there else F.lit("null")
+    fields = F.array_sort(F.map_entries("metadata")) if "metadata" in there else F.lit(None)
+    parts = json_array(
+        json_string(F.col(key).cast("string")),
+        json_string(F.col("title")),
+        given("document_title", json_string(F.col("document_title")) if "document_title" in there else None),
+        json_strings(F.col("heading_path")),
+        given("metadata", F.coalesce(F.to_json(fields), F.lit("null")) if "metadata" in there else None),
+        json_string(F.col("markdown")),
+        given("source", json_string(F.col("source")) if "source" in there else None),
+        given("definitions", json_strings(F.col("definitions")) if "definitions" in there else None),
+    )
+    return df.withColumn("revision", hashed(parts))
 
-    def kind(shape: Column, text: Column) -> Column:
-        return (
-            F.when(shape != "text", shape)
-            .when(text.rlike(r"^ {0,3}\|?[^\n]*\|[^\n]*\n {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*(?:\n|$)"), "table")
-            .when(text.rlike(r"^ {0,3}(?:[-*+]|\d+[.)])[ \t]"), "list")
-            .when(text.rlike("^ {0,3}>"), "quote")
-            .otherwise("text")
-        )
 
-    return df.withColumn("blocks", F.transform("_begins", block)).drop("_units", "_shapes", "_begins")
+def blocks(sections_df: DataFrame, section: str = "id") -> DataFrame:
+    """A section's blocks: block_index, kind (heading, code, table, list, quote, html, rule, definition, footnote, text),
+    text. A block ends where another begins that isn't inside it."""
 
+    def read(markdown: pa.Array) -> pa.Array:
+        texts = markdown.to_pylist()
+        found = [None if t is None else [{"kind": b.kind, "text": t[b.start : b.end]} for b in md.outline(t).children] for t in texts]
+        return pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])))
 
-def blocks(sections_df: DataFrame, section: str = "id") -> DataFrame:
-    """A section's blocks: block_index, kind (heading, code, table, list, quote, text), text. Blank lines
-    outside fences part blocks."""
-    df = _with_blocks(sections_df.select(section, "markdown"))
-    return df.select(section, F.posexplode("blocks").alias("block_index", "b")).select(section, "block_index", "b.kind", "b.text")
+    return sections_df.select(section, F.posexplode(F.arrow_udf(read, "array<struct<kind:string,text:string>>")("markdown")).alias("block_index", "b")).select(section, "block_index", "b.kind", "b.text")
 
 
 def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = 0, oversized: str = "keep", tokens: Callable[[str], int] = approximate_count) -> DataFrame:
     """Sections (id, title, markdown, ...) in chunks within ``max_tokens``: section_id, index, id,
     markdown, token_count, oversized, previous_chunk_id, next_chunk_id.
 
-    The heading is repeated on every chunk and counts. Blocks over the budget are cut (see ``packing.parts``).
+    The heading is repeated on every chunk and counts, and so do the definitions that a chunk refers to. Blocks over the budget are cut (see ``packing.parts``).
     With overlap, a chunk begins with the trailing parts of the one before, as many whole ones as the overlap
     and the budget hold. A part over the budget is a chunk of its own, which the next one doesn't overlap,
     and, with ``oversized`` "error", fails. A heading that is over the budget leaves its section whole.
@@ -202,16 +219,15 @@ def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for section, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                texts = packed([(b["kind"], b["text"]) for b in blocks], max_tokens, overlap_tokens, tokens)
+            for section, markdown in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = packed(markdown or "", max_tokens, overlap_tokens, tokens)
                 names = [None, *(f"{section}#chunk-{i}" for i in range(len(texts))), None]
                 rows += [(section, i, names[i + 1], t, tokens(t), names[i], names[i + 2]) for i, t in enumerate(texts)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["section_id", "index", "id", "markdown", "token_count", "previous_chunk_id", "next_chunk_id"])
 
-    blocks_of = _with_blocks(sections_df.select("id", "markdown")).select("id", "blocks")
-    out = blocks_of.mapInArrow(run, "section_id string, index int, id string, markdown string, token_count int, previous_chunk_id string, next_chunk_id string")
+    out = sections_df.select("id", "markdown").mapInArrow(run, "section_id string, index int, id string, markdown string, token_count int, previous_chunk_id string, next_chunk_id string")
     out = out.select("section_id", "index", "id", "markdown", "token_count", (F.col("token_count") > max_tokens).alias("oversized"), "previous_chunk_id", "next_chunk_id")
     if oversized == "error" and not out.where("oversized").isEmpty():
         raise TesseraError("OVERSIZED_CONTENT", "a part that can't be cut is over the token budget")
@@ -224,34 +240,45 @@ def neighbours(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     return df.withColumns({"previous_chunk_id": F.lag(value).over(w), "next_chunk_id": F.lead(value).over(w)})
 
 
+def _plain(markdown: pa.Array) -> pa.Array:
+    def one(text: str) -> str:
+        root = md.outline(text)
+        return md.plain(root, set(md.definitions_of(root, text))).strip()
+
+    return pa.array([None if t is None else one(t) for t in markdown.to_pylist()], pa.string())
+
+
 def plain_text(markdown: Column) -> Column:
-    """Text without marks: link and image texts, tabs between table cells, code as it is."""
-    for pattern, replacement in ((r"(?m)^ {0,3}(?:```|~~~).*$\n?", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6} +", ""), (r"(\*\*|__)(.+?)\1", "$2"), (r"(?m)^ {0,3}> ?", ""), (r"(?m)^\|[ :|-]+\|\s*$\n?", ""), (r"(?m)^\| *| *\|$", ""), (r" *\| *", "\t"), (r"(?m)^\[[^\]]+\]:.*$\n?", ""), (r"`([^`]*)`", "$1")):
-        markdown = F.regexp_replace(markdown, F.lit(pattern), F.lit(replacement))
-    return F.regexp_replace(markdown, r"^\s+|\s+$", "")
+    """Text without marks: link and image texts, blocks and rows apart by an empty line, cells by tabs, code as it is."""
+    return F.arrow_udf(_plain, "string")(markdown)
 
 
 def reference_identifier(label: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(label, r"\s+", " ")))
 
 
+def _code(markdown: pa.Array) -> pa.Array:
+    names = ("language", "meta", "code")
+    found = [None if t is None else [dict(zip(names, x, strict=True)) for x in md.code_of(md.outline(t))] for t in markdown.to_pylist()]
+    return pa.array(found, pa.list_(pa.struct([(n, pa.string()) for n in names])))
+
+
 def code_blocks(markdown: Column) -> Column:
-    """Fenced code in order of first appearance, equal blocks once: language, meta, code."""
-    found = F.regexp_extract_all(markdown, F.lit(r"(?ms)^```[^\n]*\n.*?^```"), F.lit(0))
-    parsed = F.transform(found, lambda b: F.struct(F.regexp_extract(b, r"^```(\S*)", 1).alias("language"), F.trim(F.regexp_extract(b, r"^```\S*([^\n]*)", 1)).alias("meta"), F.regexp_extract(b, r"(?s)^[^\n]*\n(.*?)\n?```$", 1).alias("code")))
-    return F.array_distinct(parsed)
+    """Code blocks in order of first appearance, equal ones once: language, meta, code."""
+    return F.arrow_udf(_code, "array<struct<language:string,meta:string,code:string>>")(markdown)
+
+
+def _links(markdown: pa.Array) -> pa.Array:
+    names = ("kind", "text", "url", "title")
+
+    def one(text: str) -> list[dict]:
+        root = md.outline(text)
+        return [dict(zip(names, (*x[:3], x[3] or ""), strict=True)) for x in md.links_of(root, md.definitions_of(root, text))]
+
+    return pa.array([None if t is None else one(t) for t in markdown.to_pylist()], pa.list_(pa.struct([(n, pa.string()) for n in names])))
 
 
 def links(markdown: Column) -> Column:
-    """Inline links and images in order of first appearance, equal ones once: kind, text, url, title."""
-    found = F.regexp_extract_all(markdown, F.lit(r"""!?\[[^\]]*\]\([^()\s]+(?:\s+"[^"]*")?\)"""), F.lit(0))
-    parsed = F.transform(
-        found,
-        lambda x: F.struct(
-            F.when(x.startswith("!"), "image").otherwise("link").alias("kind"),
-            F.regexp_extract(x, r"\[([^\]]*)\]", 1).alias("text"),
-            F.regexp_extract(x, r"\]\(([^()\s]+)", 1).alias("url"),
-            F.regexp_extract(x, r'"([^"]*)"\)$', 1).alias("title"),
-        ),
-    )
-    return F.array_distinct(parsed)
+    """Links and images in order of first appearance, equal ones once: kind, text, url, title. Those by reference lead
+    where their definition does; what looks like one in code doesn't count."""
+    return F.arrow_udf(_links, "array<struct<kind:string,text:string,url:string,title:string>>")(markdown)

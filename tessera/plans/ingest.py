@@ -28,10 +28,18 @@ def checked_documents(docs: DataFrame) -> DataFrame:
 
 
 def section_rows(normal: DataFrame) -> DataFrame:
-    """Sections of normalized documents with revision, document title and path."""
-    split = sections.section_revision(sections.sections(normal))
-    about = normal.select("document_id", F.col("title").alias("document_title"), F.col("path").alias("source_path"))
-    return split.join(about, "document_id")
+    """Sections of normalized documents with revision, where they come from, document title, metadata and path."""
+    split = sections.with_sources(sections.sections(normal), normal)
+    about = normal.select("document_id", F.col("title").alias("document_title"), "metadata", F.col("path").alias("source_path"))
+    return sections.section_revision(split.join(about, "document_id"))
+
+
+def readable(normal: DataFrame) -> DataFrame:
+    """Normalized documents, or an error that says where the first unreadable one, by id, can't be read."""
+    bad = normal.where("error IS NOT NULL").orderBy("document_id").select("document_id", "error.*").limit(1).collect()
+    if bad:
+        raise TesseraError("PARSE_FAILED", "a document can't be read", f"{bad[0]['document_id']}:{bad[0]['line']}:{bad[0]['column']}", bad[0]["reason"])
+    return normal
 
 
 def contributions_of(section_rows_df: DataFrame) -> DataFrame:
@@ -62,7 +70,7 @@ def build_index(docs: DataFrame, knowledge: dict[str, DataFrame] | None, knowled
     keep = (job or staging).stage
     # Documents are read once; whatever follows sees the same ones.
     normal = keep("normalize", lambda: sections.normalized(docs.select("document_id", "content", "path"), adapter))
-    checked_documents(normal)
+    readable(checked_documents(normal))
     split = keep("sections", lambda: section_rows(normal))
     if not split.groupBy("document_id").count().where(F.col("count") > MAX_SECTIONS).isEmpty():
         raise TesseraError("INVALID_INPUT", "a document has too many sections")

@@ -164,3 +164,22 @@ def test_facts_without_nodes_stay(spark):
     ids = spark.createDataFrame([("s1", "a", "a"), ("s1", "b", "a")], "section_id string, old string, new string")
     rows = enrichment.deduplicated_facts(facts, ids).orderBy("ord").collect()
     assert [(r["statement"], r["node_ids"], r["evidence"]) for r in rows] == [("about none", [], ["e", "f"]), ("about one", ["a"], ["e"]), ("about both", ["a"], ["e"])]
+
+
+def test_a_node_that_every_section_cites(spark):
+    """Linear in the sections of a node: each section's chunk says its own, the node's document cites all."""
+    n = 4000
+    ids = spark.range(n).select(F.format_string("s%05d", "id").alias("section_id"))
+    where = ids.select("section_id", F.lit("r").alias("section_revision"), F.concat(F.lit("d"), "section_id").alias("document_id"), F.lit("p").alias("source_path"), F.array("section_id").alias("heading_path"))
+    none = F.array().cast("array<string>")
+    nodes = ids.select("section_id", F.lit(0).alias("ord"), F.lit("entity").alias("kind"), F.lit("e").alias("id"), F.lit("Hub").alias("name"), F.lit("t").alias("type"), none.alias("aliases"), F.concat(F.lit("about "), "section_id").alias("description"), F.array(F.lit("q")).alias("evidence"))
+    facts = ids.select("section_id", F.lit(0).alias("ord"), F.lit("a fact").alias("statement"), F.array(F.lit("e")).alias("node_ids"), F.array(F.lit("q")).alias("evidence"))
+    mappings = ids.select("section_id", F.lit("r").alias("section_revision"), F.lit("e").alias("local_id"), F.lit("hub").alias("canonical_id"))
+    canonical = spark.createDataFrame([("hub", "entity", "Hub")], CANONICAL)
+    g = graph.build_graph(where, nodes, spark.createDataFrame([], enrichment.RELATION_SCHEMA), facts, "kb", mappings, canonical)
+    chunks = where.select(F.concat("section_id", F.lit("#0")).alias("id"), "section_id", "section_revision", "document_id", F.lit("T").alias("document_title"), "source_path", "heading_path", F.lit("text").alias("markdown"))
+    pending = spark.createDataFrame([], "section_id string, section_revision string")
+    said = indexing.chunk_documents(chunks, g, pending, "kb").select("source_id", "text", F.size("nodes").alias("n")).collect()
+    assert len(said) == n and all(r["n"] == 1 and r["text"].endswith(f"本节知识信息：\n实体：Hub\nt：about {r['source_id'][:6]}") for r in said)
+    hub = indexing.node_documents(g, "kb").collect()
+    assert len(hub) == 1 and [x["section_id"] for x in hub[0]["sources"]] == [f"s{i:05}" for i in range(n)] and hub[0]["text"].count("t：about") == n
