@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from tessera.plans import queries
+from tessera.plans import document_queries, operator_queries, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
