@@ -16,7 +16,10 @@ right (Luhn), IBANs check digits that are right (modulo 97).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialize, table, unused
@@ -289,9 +292,17 @@ def surrogate_report(docs: DataFrame, key: str) -> DataFrame:
     return done.select("doc_id", F.size("kinds").cast("bigint").alias("n_entities"), *counts, "text")
 
 
-#: Where the session keeps the key of a release; without it surrogates are for tests only.
+#: Where the session keeps the key of a release.
 KEY_SETTING = "spark.tessera.surrogateKey"
 
 
+def release_key(spark: SparkSession) -> str:
+    """The session's key, or without one a key that nobody knows: surrogates are then the same within a run only."""
+    if found := spark.conf.get(KEY_SETTING, None):
+        return found
+    warnings.warn(f"{KEY_SETTING} isn't set: a random key is drawn, and other runs will have other surrogates", stacklevel=2)
+    return f"{uuid.uuid4().hex}{uuid.uuid4().hex}"
+
+
 def op10_pii(spark, sf_dir):
-    return surrogate_report(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, "no-key-was-set"))
+    return surrogate_report(table(spark, sf_dir, "documents"), release_key(spark))
