@@ -39,48 +39,64 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
-def _text_reason(value: Column, pattern: str | None = None) -> Column:
-    """Why a VARIANT is no text of 1 to MAX_TEXT characters, white space around it aside."""
-    wrong = F.when(value.isNull(), "missing-field").when(_kind(value) != "STRING", "invalid-text").when(utf16_length(_text(value)) > MAX_TEXT, "text-too-long").when(F.length(trimmed(_text(value))) == 0, "invalid-text")
-    return wrong.when(~trimmed(_text(value)).rlike(pattern), "invalid-id") if pattern else wrong
-
-
-def _size_reason(value: Column, least: int, most: int) -> Column:
-    size = F.size(value.cast("array<variant>"))
-    return F.when(value.isNull(), "missing-field").when(_kind(value) != "ARRAY", "invalid-array").when(size < least, "empty-evidence").when(size > most, "too-many-items")
-
-
-def _checked(rows: DataFrame, fields: dict[str, str], types: list[str]) -> DataFrame:
-    """Issues (section_id, path, reason) of objects (section_id, path, value); those of an object itself first."""
-    value = F.col("value")
-    is_object = _kind(value) == "OBJECT"
-    object_path = F.when(F.col("path") == "", "root").otherwise(F.col("path"))
-    found = [F.struct(object_path.alias("path"), F.when(~is_object, "invalid-object").alias("reason"))]
-    known = F.array(*map(F.lit, fields))
-    extra = F.array_except(F.coalesce(F.json_object_keys(F.when(is_object, F.to_json(value))), F.array().cast("array<string>")), known)
-    found.append(F.struct(object_path.alias("path"), F.when(F.size(extra) > 0, "unexpected-field").alias("reason")))
-    lists = []
-    for name, kind in fields.items():
-        x = F.when(is_object, F.try_variant_get(value, f"$.{name}", "variant"))
-        path = F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), F.lit(name))
-        if kind in ("text", "id"):
-            reason = _text_reason(x, ID_PATTERN if kind == "id" else None)
-        elif kind == "choice":
-            reason = F.coalesce(_text_reason(x), F.when(~trimmed(_text(x)).isin(types), "unsupported-value"))
-        else:
-            reason = _size_reason(x, 1 if kind == "quotes" else 0, MAX_EVIDENCE if kind == "quotes" else MAX_ITEMS)
-        found.append(F.struct(path.alias("path"), F.when(is_object, reason).alias("reason")))
-        if kind in ("texts", "quotes"):
-            lists.append(F.struct(path.alias("path"), F.when(_kind(x) == "ARRAY", x.cast("array<variant>")).alias("values")))
-    issues = rows.select("section_id", F.inline(F.array(*found)))
-    if lists:
-        texts = rows.select("section_id", F.inline(F.array(*lists))).select("section_id", "path", F.posexplode("values").alias("n", "value"))
-        issues = issues.unionByName(texts.select("section_id", F.format_string("%s[%d]", "path", "n").alias("path"), _text_reason(F.col("value")).alias("reason")))
-    return issues.where("reason IS NOT NULL")
+def _list(value: Column) -> Column:
+    """The members of a VARIANT that is an array, else null."""
+    return F.when(_kind(value) == "ARRAY", value.cast("array<variant>"))
+
+
+def _objects(values: DataFrame) -> DataFrame:
+    """section_id, of (root, or the list that holds it), path and value: an output itself, and all items of its lists."""
+    df = values.withColumn("_fields", F.when(_kind(F.col("value")) == "OBJECT", F.try_variant_get("value", "$", "map<string,variant>")))
+    df = df.withColumns({f"_{name}": _list(F.try_element_at("_fields", F.lit(name))) for name in ITEMS})
+    row = lambda of, path, value: F.struct(F.lit(of).alias("of"), path.alias("path"), value.alias("value"))
+    none = F.array().cast("array<struct<of:string,path:string,value:variant>>")
+    item = lambda name: lambda x, i: row(name, F.format_string(f"{name}[%d]", i), x)
+    lists = [F.coalesce(F.transform(f"_{name}", item(name)), none) for name in ITEMS]
+    return df.select("section_id", F.inline(F.concat(F.array(row("root", F.lit(""), F.col("value"))), *lists)))
+
+
+def _fields(objects: DataFrame) -> DataFrame:
+    """section_id, path, rule and value of the fields that objects must have, and of the objects themselves (rule object;
+    extra where they have fields that they may not have)."""
+    rules = {"root": ROOT} | ITEMS
+    expected = F.create_map(*(x for of, fields in rules.items() for x in (F.lit(of), F.array(*(F.struct(F.lit(n).alias("name"), F.lit(r).alias("rule")) for n, r in fields.items())))))
+    df = objects.withColumn("_map", F.when(_kind(F.col("value")) == "OBJECT", F.try_variant_get("value", "$", "map<string,variant>")))
+    df = df.withColumn("_expected", F.element_at(expected, F.col("of")))
+    own = F.when(F.col("path") == "", "root").otherwise(F.col("path"))
+    extra = F.size(F.array_except(F.map_keys("_map"), F.transform("_expected", lambda e: e["name"]))) > 0
+    itself = F.struct(own.alias("path"), F.when(F.col("_map").isNull(), "object").when(extra, "extra").otherwise("sound").alias("rule"), F.col("value").alias("value"))
+    begin = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
+    held = F.transform("_expected", lambda e: F.struct(F.concat(begin, e["name"]).alias("path"), e["rule"].alias("rule"), F.try_element_at("_map", e["name"]).alias("value")))
+    return df.select("section_id", F.inline(F.concat(F.array(itself), F.when(F.col("_map").isNotNull(), held).otherwise(F.slice(held, 1, 0)))))
+
+
+def output_issues(outputs: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """What is wrong with model outputs (section_id, output): path and reason, a row for each fault. Unknown fields,
+    missing ones, wrong types, sizes and lengths count; references and quotes are left to ``violations``. A text
+    that isn't JSON has one row, with the path JSON. A text is parsed once; objects, fields and the texts in lists
+    are rows of three explodes, without a join or a shuffle."""
+    read = parsed(outputs)
+    fields = _fields(_objects(read.where("reason IS NULL").select("section_id", "value")))
+    fields = fields.withColumn("kind", _kind(F.col("value")))
+    fields = fields.withColumn("members", F.when(F.col("rule").isin("texts", "quotes", "items") & (F.col("kind") == "ARRAY"), F.col("value").cast("array<variant>")))
+    member = lambda x, i: F.struct(F.format_string("%s[%d]", F.col("path"), i).alias("path"), F.lit("text").alias("rule"), x.alias("value"), _kind(x).alias("kind"), F.lit(0).alias("size"))
+    itself = F.struct("path", "rule", F.when(~F.col("rule").isin("texts", "quotes", "items", "object", "extra", "sound"), F.col("value")).alias("value"), "kind", F.size("members").alias("size"))
+    texts = F.when(F.col("rule") != "items", F.transform("members", member))
+    rows = fields.select("section_id", F.inline(F.concat(F.array(itself), F.coalesce(texts, F.slice(F.array(itself), 1, 0)))))
+    text = F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))
+    rows = rows.select("section_id", "path", "rule", "kind", "size", text.alias("text")).withColumn("trimmed", trimmed(F.col("text")))
+    rule, kind, size = F.col("rule"), F.col("kind"), F.col("size")
+    listed, least, most = rule.isin("texts", "quotes", "items"), F.when(rule == "quotes", 1).otherwise(0), F.when(rule == "quotes", MAX_EVIDENCE).otherwise(MAX_ITEMS)
+    reason = (
+        F.when(rule == "sound", None).when(rule == "object", "invalid-object").when(rule == "extra", "unexpected-field")
+        .when(kind.isNull(), "missing-field")
+        .when(listed, F.when(kind != "ARRAY", "invalid-array").when(size < least, "empty-evidence").when(size > most, "too-many-items"))
+        .when(kind != "STRING", "invalid-text").when(utf16_length(F.col("text")) > MAX_TEXT, "text-too-long").when(F.length("trimmed") == 0, "invalid-text")
+        .when((rule == "id") & ~F.col("trimmed").rlike(ID_PATTERN), "invalid-id")
+        .when((rule == "choice") & ~F.col("trimmed").isin(list(types or KNOWLEDGE_TYPES)), "unsupported-value")
+    )
+    found = rows.select("section_id", "path", reason.alias("reason")).where("reason IS NOT NULL")
+    return found.unionByName(parsed(outputs).where("reason IS NOT NULL").select("section_id", F.lit("JSON").alias("path"), "reason"))
 
 
 def _items(values: DataFrame, name: str) -> DataFrame:
@@ -90,20 +106,6 @@ def _items(values: DataFrame, name: str) -> DataFrame:
     return values.select("section_id", F.posexplode(items).alias("ord", "value")).withColumn("path", F.format_string(f"{name}[%d]", "ord"))
 
 
-def output_issues(outputs: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """What is wrong with model outputs (section_id, output): path and reason, a row for each fault. Unknown fields,
-    missing ones, wrong types, sizes and lengths count; references and quotes are left to ``violations``. A text
-    that isn't JSON has one row, with the path JSON."""
-    read = parsed(outputs)
-    names = list(types or KNOWLEDGE_TYPES)
-    found = read.where("reason IS NOT NULL").select("section_id", F.lit("JSON").alias("path"), "reason")
-    values = read.where("reason IS NULL")
-    found = found.unionByName(_checked(values.withColumn("path", F.lit("")), ROOT, names))
-    for name, fields in ITEMS.items():
-        found = found.unionByName(_checked(_items(values, name), fields, names))
-    return found
-
-
 def knowledge_of(outputs: DataFrame) -> dict[str, DataFrame]:
     """nodes, relations and facts (as ``enrichment`` has them) and summaries (section_id, summary, keywords, aliases,
     questions, knowledge_type) of outputs without issues; texts without white space around them."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import markdown as md
+from tessera.sources.staging import Staging
 
 PREVIEW_ITEMS, PREVIEW_TITLE, PREVIEW_TEXT = 20, 300, 6000
 
@@ -42,12 +45,15 @@ def used_identifiers(text: Column) -> Column:
 def section_definitions(sections_df: DataFrame, defined: DataFrame, key: str = "document_id", section: str = "id") -> DataFrame:
     """(section, identifier, definition) of all definitions that a section uses, directly or through another
     definition (a footnote with a reference). Each round follows one more step; cycles end it."""
-    todo = sections_df.select(key, section, F.explode(used_identifiers(F.col("markdown"))).alias("identifier")).distinct()
-    found, linked = None, defined.select(key, "identifier", "definition")
-    while True:
+    # Texts are read once; each round reads what the one before wrote.
+    stage = Staging(sections_df.sparkSession).stage
+    todo = stage("used", lambda: sections_df.select(key, section, F.explode(used_identifiers(F.col("markdown"))).alias("identifier")).distinct())
+    found, linked = None, stage("defined", lambda: defined.select(key, "identifier", "definition"))
+    for number in count():
         step = todo.join(linked, [key, "identifier"]).select(key, section, "identifier", "definition")
         if found is not None:
             step = step.join(found.select(section, "identifier"), [section, "identifier"], "left_anti").select(key, section, "identifier", "definition")
+        step = stage(f"round-{number}", lambda step=step: step)
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)

@@ -160,13 +160,15 @@ def with_sources(sections_df: DataFrame, normal: DataFrame, key: str = "document
     """Adds source_start, source_stop (code points of the document as it came), source (the text there) and exact (the
     section is that text as it is) to sections of ``normalized`` documents; null where nothing of a section comes
     from the source. Sections meet the runs of their document that overlap them."""
-    runs = normal.select(key, F.col(content).alias("_content"), F.explode("source_map").alias("_run"))
+    runs = normal.select(key, F.explode("source_map").alias("_run"))
     row = sections_df.select(key, "id", "start_offset", "end_offset")
     met = row.join(runs, key).where((F.col("_run.start") < F.col("end_offset")) & (F.col("_run.stop") > F.col("start_offset")))
     copied = F.col("_run.stop") - F.col("_run.start") == F.col("_run.source_stop") - F.col("_run.source_start")
     first = F.when(copied, F.col("_run.source_start") + F.greatest(F.col("start_offset") - F.col("_run.start"), F.lit(0))).otherwise(F.col("_run.source_start"))
     last = F.when(copied, F.col("_run.source_stop") - F.greatest(F.col("_run.stop") - F.col("end_offset"), F.lit(0))).otherwise(F.col("_run.source_stop"))
-    spans = met.groupBy(key, "id").agg(F.min(first).alias("source_start"), F.max(last).alias("source_stop"), ((F.count("*") == 1) & F.bool_and(copied)).alias("exact"), F.any_value("_content").alias("_content"))
+    spans = met.groupBy(key, "id").agg(F.min(first).alias("source_start"), F.max(last).alias("source_stop"), ((F.count("*") == 1) & F.bool_and(copied)).alias("exact"))
+    # A document's text meets its few spans, not its many runs.
+    spans = spans.join(normal.select(key, F.col(content).alias("_content")), key)
     spans = spans.withColumn("source", F.expr("substring(_content, source_start + 1, source_stop - source_start)")).drop("_content")
     return sections_df.join(spans, [key, "id"], "left")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import output, sections
-from tessera.plans.queries import query, table
+from tessera.plans.queries import query, spread, table
 
 _BREAK = "chr(10)"
 
@@ -21,7 +21,7 @@ def _lines(*lines: str) -> str:
 def _parts(spark: SparkSession, sf_dir: str, sql: str, **more: str) -> DataFrame:
     """Documents (document_id, content, path) that a SQL expression makes of parts."""
     made = [F.expr(sql).alias("content"), *(F.expr(x).alias(name) for name, x in more.items())]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("document_id"), *made, F.lit("").alias("path"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("document_id"), *made, F.lit("").alias("path"))
 
 
 _PAGE = _lines(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import canon
 from tessera.operators import catalog, changes, enrichment, graph, indexing, integrity, logs, references, search, sections
-from tessera.plans.queries import query, supply, table
+from tessera.plans.queries import query, spread, supply, table
 
 #: A customer's orders as what was extracted from a section; few names, so that many are equal.
 _NODES = """nodes AS (SELECT o_custkey::varchar AS section_id, o_orderkey::int AS ord, CASE WHEN o_orderstatus = 'O' THEN 'concept' ELSE 'entity' END AS kind, 'n' || o_orderkey AS id,
@@ -302,7 +302,7 @@ def reference_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.concat(F.lit("See [it][ a"), k % 50, F.lit("  b] and [^note], not [fenced]."))
     defined = F.concat(F.lit("\n\n[a"), k % 50, F.lit(" b]: /first\n[A"), k % 50, F.lit(" B]: /second\n"), F.when(k % 3 != 0, "[^note]: see [deeper]\n").otherwise(""), F.lit("[deeper]: /deep\n```\n[fenced]: /none\n```\n"))
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part"))
     docs = parts.select(k.alias("document_id"), F.concat(text, defined).alias("markdown"))
     return references.section_definitions(parts.select(k.alias("document_id"), k.alias("id"), text.alias("markdown")), references.definitions(docs))
 
@@ -337,5 +337,5 @@ def code_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heading_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with as many headings as their size, one, two and three deep in turn: sections, parents and paths."""
     lines = F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), lambda i: F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" t"), i, F.lit("\n\n~~~\n```\n# none\n~~~\n")))
-    docs = table(spark, sf_dir, "part").where("p_size > 0").select(F.col("p_partkey").alias("part"), F.array_join(lines, "\n").alias("markdown"))
+    docs = spread(table(spark, sf_dir, "part")).where("p_size > 0").select(F.col("p_partkey").alias("part"), F.array_join(lines, "\n").alias("markdown"))
     return sections.sections(docs, "part").select("part", "index", "depth", "title", F.array_join("heading_path", " / ").alias("heading"), "id", "parent_id")

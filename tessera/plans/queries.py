@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it was read, its rows dealt to all cores if its files give fewer tasks than there are; so work on rows
+    that is heavy, as reading documents is, isn't left to the tasks of a file of one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as records: even labels are chunks, odd ones nodes."""
     kind = F.when(F.col("label") % 2 == 0, "chunk").otherwise("wiki")
@@ -108,13 +115,23 @@ def evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(held, "quote").select("item_id", "doc_id")
 
 
+def _next_of(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, quote) with next_id, the doc_id just before: within ranges of ids by a window, and the first of
+    each range from the last of the range before, of which there is one each."""
+    ranged = Staging(rows.sparkSession).stage("ranged", lambda: rows.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
+    ends = ranged.groupBy("part").agg(F.max("doc_id").alias("last"))
+    before = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
+    within = Window.partitionBy("part").orderBy("doc_id")
+    return ranged.join(F.broadcast(before), "part").select("doc_id", "quote", F.coalesce(F.lag("doc_id").over(within), "before").alias("next_id"))
+
+
 @query("""WITH n AS (SELECT doc_id AS section_id, text, substr(text, 3, 40) AS own, lead(substr(text, 3, 40)) OVER (ORDER BY doc_id) AS next FROM documents)
     SELECT section_id, quote FROM (SELECT section_id, text, own AS quote FROM n UNION ALL SELECT section_id, text, next FROM n) WHERE quote IS NOT NULL AND NOT contains(text, quote)""")
 def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two quotes for each document, one from it and one from the next, those that aren't in it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     quote = F.substring("text", 3, 40)
-    numbered = docs.select("doc_id", quote.alias("quote")).withColumn("next_id", F.lag("doc_id").over(Window.orderBy("doc_id")))
+    numbered = _next_of(docs.select("doc_id", quote.alias("quote")))
     quotes = docs.select(F.col("doc_id").alias("section_id"), quote.alias("quote")).unionByName(numbered.where("next_id IS NOT NULL").select(F.col("next_id").alias("section_id"), "quote"))
     return enrichment.missing_evidence(quotes, docs.select(F.col("doc_id").alias("section_id"), F.col("text").alias("markdown"))).select("section_id", "quote")
 
@@ -274,12 +291,12 @@ def node_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, line_no::bigint AS line_no, occurrence, 'section-' || sha256('["' || doc_id || '",[],1,' || to_json(title) || ',' || occurrence || ']') AS id FROM n""")
 def heading_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with each line as a heading: their sections' occurrences and ids."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))).alias("markdown"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))).alias("markdown"))
     return sections.sections(docs, "doc_id").select("doc_id", F.col("first_line").cast("bigint").alias("line_no"), F.col("occurrence").cast("bigint").alias("occurrence"), "id")
 
 
 def _page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.col("html").alias("content"), F.col("url").alias("path"))
+    pages = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("document_id"), F.col("html").alias("content"), F.col("url").alias("path"))
     return sections.section_revision(sections.sections(sections.normalized(pages, "html")))
 
 
@@ -300,8 +317,18 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.posexplode(sections.links(F.col("markdown"))).alias("pos", "link")).select("id", "pos", "link.*")
 
 
+_SUPPLIES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def supply(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Suppliers' nations as a knowledge graph with citations."""
+    """Suppliers' nations as a knowledge graph with citations, built once for an application and its tables."""
+    built = (spark.sparkContext.applicationId, sf_dir)
+    if built not in _SUPPLIES:
+        _SUPPLIES[built] = _supply(spark, sf_dir)
+    return _SUPPLIES[built]
+
+
+def _supply(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
     section = F.concat(F.lit("nation-"), F.col("n_nationkey"))
     contributions = nation.select(section.alias("section_id"), F.lit("1").alias("section_revision"), F.lit("atlas").alias("document_id"), F.lit("atlas.md").alias("source_path"), F.array("n_name").alias("heading_path"))
