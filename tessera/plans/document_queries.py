@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import output, sections
 from tessera.plans.queries import query, spread, table
+from tessera.sources.staging import Staging
 
 _BREAK = "chr(10)"
 
@@ -24,6 +25,13 @@ def _parts(spark: SparkSession, sf_dir: str, sql: str, **more: str) -> DataFrame
     return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("document_id"), *made, F.lit("").alias("path"))
 
 
+def _staged(spark: SparkSession, normal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalized documents and their sections, each written once, as ingestion does."""
+    stage = Staging(spark).stage
+    read = stage("normal", lambda: normal)
+    return read, stage("sections", lambda: sections.sections(read))
+
+
 _PAGE = _lines(
     "'---'", "'title: ' || p_name", "'---'", "'import X from \"./x\"'", "''", "'# ' || p_brand", "''", "'<Callout title=\"' || p_type || '\">'", "''", "'size ' || p_size", "''", "'</Callout>'", "''",
     "'```js'", "'<Tag a={1}/> ' || p_size || ' &lt;'", "''", "'import y'", "'```'", "''",
@@ -102,8 +110,8 @@ def changed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = [text("'/old'", "'v1'", "'x'", ""), text("CASE WHEN p_size % 2 = 0 THEN '/new' ELSE '/old' END", "CASE WHEN p_size % 3 = 0 THEN 'v2' ELSE 'v1' END", "CASE WHEN p_size % 5 = 0 THEN 'y' ELSE 'x' END", "chr(10) || chr(10) || ")]
     revised = []
     for version in versions:
-        normal = sections.normalized(_parts(spark, sf_dir, version), "mdx")
-        split = sections.with_sources(sections.sections(normal), normal).join(normal.select("document_id", F.col("title").alias("document_title"), "metadata"), "document_id")
+        normal, split = _staged(spark, sections.normalized(_parts(spark, sf_dir, version), "mdx"))
+        split = sections.with_sources(split, normal).join(normal.select("document_id", F.col("title").alias("document_title"), "metadata"), "document_id")
         revised.append(sections.section_revision(split).select("document_id", "id", "title", "revision"))
     before, after = revised
     both = before.join(after.select("id", F.col("revision").alias("now")), "id")
@@ -118,8 +126,8 @@ _SOURCED = _lines("'---'", "'title: ' || p_name", "'---'", "'import a from \"' |
     UNION ALL SELECT part::varchar, 'Plain', b::int, length(t)::int, t[b + 1 : length(t)], true FROM p""")
 def section_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections back in the text that they came from, before its components became Markdown."""
-    normal = sections.normalized(_parts(spark, sf_dir, _SOURCED), "mdx")
-    return sections.with_sources(sections.sections(normal), normal).select("document_id", "title", "source_start", "source_stop", "source", "exact")
+    normal, split = _staged(spark, sections.normalized(_parts(spark, sf_dir, _SOURCED), "mdx"))
+    return sections.with_sources(split, normal).select("document_id", "title", "source_start", "source_stop", "source", "exact")
 
 
 _LINKED = _lines("'[' || p_brand || '](/a(' || p_size || ')) `[no](x)` ![' || p_type || '][Img]'", "''", "'```'", "'[no](y)'", "'```'", "''", "'- [it][img] [' || p_brand || '](/a(' || p_size || '))'", "''", "'[img]: <' || p_name || '> ''t'''")
@@ -143,4 +151,4 @@ def output_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = F.concat(F.lit("["), node(F.when(k == 4, "no id").otherwise("e1"), quote), F.lit(", "), node(F.lit("e2"), F.when(k == 4, "[]").otherwise(quote)), F.lit("]"))
     facts = F.concat(F.lit('[{"statement": "f", "nodeIds": ["e1", '), F.when(k == 5, "5").otherwise('"e2"'), F.lit('], "evidence": ["q"]}]'))
     made = F.concat(F.lit('{"summary": '), F.when(k == 3, '" "').otherwise('"s"'), F.when(k == 7, "").otherwise(', "keywords": ["k"]'), F.when(k == 2, ', "more": 1').otherwise(""), F.lit(', "aliases": [], "questions": [], "concepts": [], "relations": [], "entities": '), entities, F.lit(', "facts": '), facts, F.lit(', "knowledgeType": "'), F.when(k == 6, "tutorial").otherwise("guide"), F.when(k == 1, '"').otherwise('"}'))
-    return output.output_issues(table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), "o_orderkey").alias("section_id"), made.alias("output")))
+    return output.output_issues(spread(table(spark, sf_dir, "orders")).select(F.concat(F.lit("s"), "o_orderkey").alias("section_id"), made.alias("output")))
