@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 
 from tessera.errors import TesseraError
 from tessera.functions.canon import is_blank
+from tessera.operators import markdown as md
 
 PER_ROUTE, SELECTED = 30, 5
 MAX_DIMENSIONS = 16_000
 #: Query vectors of one block of a batch search: the driver ships a block at a time to the executors.
 BLOCK_BYTES = 32 << 20
+_CITATION = re.compile(r"\[S[0-9]+\]")
 _LARGEST = 3.4028234663852886e38
 
 
@@ -146,8 +149,26 @@ def is_valid_answer(answer: Column, labels: Column) -> Column:
     return ~is_blank(answer) & (F.size(F.array_except(cited_labels(answer), labels)) == 0)
 
 
+def _segments(answers: pa.Array) -> pa.Array:
+    out = []
+    for text in answers.to_pylist():
+        if text is None:
+            out.append(None)
+            continue
+        root = md.outline(text)
+        whole = [(b.start, b.end) for b in root.walk() if b.kind in ("code", "html")]
+        for block in root.children:
+            whole += [(block.start + x.start, block.start + x.end) for x in md.inlines(text[block.start : block.end], set()) if x.kind in ("code", "link", "image", "tag")]
+        cited = [m.span() for m in _CITATION.finditer(text) if not any(a < m.end() and m.start() < b for a, b in whole)]
+        parts, at = [], 0
+        for a, b in cited:
+            parts += [("text", text[at:a]), ("citation", text[a:b])]
+            at = b
+        out.append([{"type": kind, "value": value} for kind, value in [*parts, ("text", text[at:])] if value])
+    return pa.array(out, pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())])))
+
+
 def answer_segments(text: Column) -> Column:
-    """An answer cut into citations and the text between them, for display."""
-    marked = F.regexp_replace(text, r"(\[S[0-9]+\])", "\u0000$1\u0000")
-    parts = F.filter(F.split(marked, "\u0000"), lambda x: x != "")
-    return F.transform(parts, lambda x: F.struct(F.when(x.rlike(r"^\[S[0-9]+\]$"), "citation").otherwise("text").alias("type"), x.alias("value")))
+    """An answer cut into citations and the text between them, for display. What looks like a citation in code or in a
+    link is text."""
+    return F.arrow_udf(_segments, "array<struct<type:string,value:string>>")(text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tessera.functions.canon import content_hash
-from tessera.operators import indexing
+from tessera.operators import indexing, search
 from tessera.operators import sections as s
 
 
@@ -229,3 +229,11 @@ def test_term_hashes_are_polynomials():
         want = sorted([own(w, 7) for w in low.split()] + [own(low[i : i + 3], 0) for i in range(len(low) - 2)])
         got, n_words = indexing.term_hashes(text)
         assert sorted(got.tolist()) == want and n_words == len(low.split())
+
+
+def test_citations_in_code_and_links_are_text(spark):
+    text = "As [S1] says [see [S2]](u) `[S3]` and [S4][S5].\n\n```\n[S6]\n```\n\n- item [S7]\n  ~~~\n  [S8]\n  ~~~\n"
+    rows = spark.createDataFrame([(text,), (None,), ("",), ("[S1]",)], "t string").select("t", search.answer_segments(F.col("t")).alias("s")).collect()
+    got = {r["t"]: r["s"] for r in rows}
+    assert [x["value"] for x in got[text] if x["type"] == "citation"] == ["[S1]", "[S4]", "[S5]", "[S7]"]
+    assert "".join(x["value"] for x in got[text]) == text and got[None] is None and got[""] == [] and [tuple(x) for x in got["[S1]"]] == [("citation", "[S1]")]
