@@ -9,7 +9,7 @@ as they are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -205,9 +205,9 @@ def blocks(sections_df: DataFrame, section: str = "id") -> DataFrame:
     return sections_df.select(section, F.posexplode(F.arrow_udf(read, "array<struct<kind:string,text:string>>")("markdown")).alias("block_index", "b")).select(section, "block_index", "b.kind", "b.text")
 
 
-def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = 0, oversized: str = "keep", tokens: Callable[[str], int] = approximate_count) -> DataFrame:
+def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = 0, oversized: str = "keep", tokens: Callable[[str], int] = approximate_count, keep: Sequence[str] = ()) -> DataFrame:
     """Sections (id, title, markdown, ...) in chunks within ``max_tokens``: section_id, index, id,
-    markdown, token_count, oversized, previous_chunk_id, next_chunk_id.
+    markdown, token_count, oversized, previous_chunk_id, next_chunk_id, and the section's columns named in ``keep``.
 
     The heading is repeated on every chunk and counts, and so do the definitions that a chunk refers to. Blocks over the budget are cut (see ``packing.parts``).
     With overlap, a chunk begins with the trailing parts of the one before, as many whole ones as the overlap
@@ -218,19 +218,24 @@ def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
     if not 0 <= overlap_tokens < max_tokens or oversized not in ("keep", "error"):
         raise TesseraError("INVALID_OPTIONS", "token budget")
 
+    names = ["section_id", "index", "id", "markdown", "token_count", "previous_chunk_id", "next_chunk_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for section, markdown in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, places = [], []
+            for place, (section, markdown) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 texts = packed(markdown or "", max_tokens, overlap_tokens, tokens)
-                names = [None, *(f"{section}#chunk-{i}" for i in range(len(texts))), None]
-                rows += [(section, i, names[i + 1], t, tokens(t), names[i], names[i + 2]) for i, t in enumerate(texts)]
+                ids = [None, *(f"{section}#chunk-{i}" for i in range(len(texts))), None]
+                rows += [(section, i, ids[i + 1], t, tokens(t), ids[i], ids[i + 2]) for i, t in enumerate(texts)]
+                places += [place] * len(texts)
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["section_id", "index", "id", "markdown", "token_count", "previous_chunk_id", "next_chunk_id"])
+            kept = [c.take(pa.array(places, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *kept], [*names, *keep])
 
-    out = sections_df.select("id", "markdown").mapInArrow(run, "section_id string, index int, id string, markdown string, token_count int, previous_chunk_id string, next_chunk_id string")
-    out = out.select("section_id", "index", "id", "markdown", "token_count", (F.col("token_count") > max_tokens).alias("oversized"), "previous_chunk_id", "next_chunk_id")
+    kept = "".join(f", `{c}` {sections_df.schema[c].dataType.simpleString()}" for c in keep)
+    out = sections_df.select("id", "markdown", *keep).mapInArrow(run, f"section_id string, index int, id string, markdown string, token_count int, previous_chunk_id string, next_chunk_id string{kept}")
+    out = out.select("section_id", "index", "id", "markdown", "token_count", (F.col("token_count") > max_tokens).alias("oversized"), "previous_chunk_id", "next_chunk_id", *keep)
     if oversized == "error" and not out.where("oversized").isEmpty():
         raise TesseraError("OVERSIZED_CONTENT", "a part that can't be cut is over the token budget")
     return out

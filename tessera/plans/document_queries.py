@@ -98,7 +98,7 @@ def chunk_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _parts(spark, sf_dir, _REFERRING).withColumnRenamed("content", "markdown")
     split = sections.sections(docs)
     paragraphs = lambda text: text.count("See ") + text.count("Second ") + 1
-    return sections.chunks(split, 2, tokens=paragraphs).join(split.select("document_id", "title", F.col("id").alias("section_id")), "section_id").select("document_id", "title", "index", "markdown")
+    return sections.chunks(split, 2, tokens=paragraphs, keep=("document_id", "title")).select("document_id", "title", "index", "markdown")
 
 
 @query("""WITH s AS (SELECT p_partkey AS part, p_size % 2 = 0 AS url, p_size % 3 = 0 AS field, p_size % 5 = 0 AS below FROM part)
