@@ -19,7 +19,7 @@ from tessera.errors import TesseraError
 from tessera.functions.canon import hashed, json_array, json_string, json_strings
 from tessera.operators import markdown as md
 from tessera.operators import mdx
-from tessera.operators.packing import approximate_count, packed, sections_of
+from tessera.operators.packing import approximate_count, packed, sections_of, source_of
 
 _FRONT = re.compile(r"---[ \t]*\n(?:.*?\n)?---[ \t]*(?:\n|\Z)", re.S)
 DEPTHS = (1, 2, 3)
@@ -126,9 +126,10 @@ def normalized(docs: DataFrame, adapter: str, content: str = "content") -> DataF
 
 
 _SECTION = "index int, id string, parent_id string, depth int, title string, heading_path array<string>, occurrence int, first_line int, start_offset int, end_offset int, markdown string, definitions array<string>"
+_SOURCE = ", source_start int, source_stop int, source string, exact boolean"
 
 
-def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown") -> DataFrame:
+def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown", content: str | None = None) -> DataFrame:
     """Sections in order: index, depth (0 before the first heading), title, heading_path, parent_id, id,
     occurrence, first_line, start_offset and end_offset (code points of the text that the section takes up),
     markdown, definitions. Headings of depth 1 to 3, underlined ones too, begin sections where they stand by
@@ -137,40 +138,59 @@ def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown")
     section; blank ones with nothing else to none. A title that repeats under the same parent and depth is told
     apart by its occurrence. Null and empty texts have no section.
 
+    With ``content``, the column of ``normalized`` documents as they came, sections have what ``with_sources`` adds.
     A document is gone through in order, in the task, so nothing is shuffled."""
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, *(f.split(" ")[0] for f in _SECTION.split(", "))]
+    names = [key, *(f.split(" ")[0] for f in (_SECTION + (_SOURCE if content else "")).split(", "))]
     kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.int32()] * 4, pa.string(), pa.list_(pa.string()))
+    kinds += (pa.int32(), pa.int32(), pa.string(), pa.bool_()) if content else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places = [], []
+            sources = _runs(batch.column(3), batch.column(4)) if content else None
             for place, (document, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 found = sections_of(document, text or "", max(DEPTHS))
+                if sources:
+                    came, runs = next(sources)
+                    found = [(*f, *source_of(came, runs, f[8], f[9])) for f in found]
                 rows += found
                 places += [place] * len(found)
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    given = docs.select(key, F.col(key).cast("string").alias("_document"), F.col(text).alias("_text"))
-    return given.mapInArrow(run, f"`{key}` {kind}, {_SECTION}")
+    given = docs.select(key, F.col(key).cast("string").alias("_document"), F.col(text).alias("_text"), *([F.col(content).alias("_content"), "source_map"] if content else []))
+    return given.mapInArrow(run, f"`{key}` {kind}, {_SECTION}{_SOURCE if content else ''}")
+
+
+def _runs(content: pa.Array, source_map: pa.Array) -> Iterator[tuple[str | None, tuple[list[int], ...]]]:
+    """Each document as it came, and its runs' starts, stops, source starts and source stops."""
+    flat = source_map.flatten()
+    columns, at = [flat.field(i).to_pylist() for i in range(4)], 0
+    for came, size in zip(content.to_pylist(), source_map.value_lengths().fill_null(0).to_pylist(), strict=True):
+        yield came, tuple(c[at : at + size] for c in columns)
+        at += size
 
 
 def with_sources(sections_df: DataFrame, normal: DataFrame, key: str = "document_id", content: str = "content") -> DataFrame:
     """Adds source_start, source_stop (code points of the document as it came), source (the text there) and exact (the
     section is that text as it is) to sections of ``normalized`` documents; null where nothing of a section comes
-    from the source. Sections meet the runs of their document that overlap them."""
+    from the source. Sections meet the runs of their document that overlap them. ``sections`` with ``content`` has
+    the same without joins.
+
+    Sides are merged by sort: what documents take up in files or plans says little about their texts, so none
+    is brought to all tasks through the driver."""
     runs = normal.select(key, F.explode("source_map").alias("_run"))
     row = sections_df.select(key, "id", "start_offset", "end_offset")
-    met = row.join(runs, key).where((F.col("_run.start") < F.col("end_offset")) & (F.col("_run.stop") > F.col("start_offset")))
+    met = row.hint("merge").join(runs, key).where((F.col("_run.start") < F.col("end_offset")) & (F.col("_run.stop") > F.col("start_offset")))
     copied = F.col("_run.stop") - F.col("_run.start") == F.col("_run.source_stop") - F.col("_run.source_start")
     first = F.when(copied, F.col("_run.source_start") + F.greatest(F.col("start_offset") - F.col("_run.start"), F.lit(0))).otherwise(F.col("_run.source_start"))
     last = F.when(copied, F.col("_run.source_stop") - F.greatest(F.col("_run.stop") - F.col("end_offset"), F.lit(0))).otherwise(F.col("_run.source_stop"))
     spans = met.groupBy(key, "id").agg(F.min(first).alias("source_start"), F.max(last).alias("source_stop"), ((F.count("*") == 1) & F.bool_and(copied)).alias("exact"))
     # A document's text meets its few spans, not its many runs.
-    spans = spans.join(normal.select(key, F.col(content).alias("_content")), key)
+    spans = spans.hint("merge").join(normal.select(key, F.col(content).alias("_content")), key)
     spans = spans.withColumn("source", F.expr("substring(_content, source_start + 1, source_stop - source_start)")).drop("_content")
-    return sections_df.join(spans, [key, "id"], "left")
+    return sections_df.join(spans.hint("merge"), [key, "id"], "left")
 
 
 def section_revision(df: DataFrame, key: str = "document_id") -> DataFrame:

@@ -126,8 +126,8 @@ _SOURCED = _lines("'---'", "'title: ' || p_name", "'---'", "'import a from \"' |
     UNION ALL SELECT part::varchar, 'Plain', b::int, length(t)::int, t[b + 1 : length(t)], true FROM p""")
 def section_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections back in the text that they came from, before its components became Markdown."""
-    normal, split = _staged(spark, sections.normalized(_parts(spark, sf_dir, _SOURCED), "mdx"))
-    return sections.with_sources(split, normal).select("document_id", "title", "source_start", "source_stop", "source", "exact")
+    normal = sections.normalized(_parts(spark, sf_dir, _SOURCED), "mdx")
+    return sections.sections(normal, content="content").select("document_id", "title", "source_start", "source_stop", "source", "exact")
 
 
 _LINKED = _lines("'[' || p_brand || '](/a(' || p_size || ')) `[no](x)` ![' || p_type || '][Img]'", "''", "'```'", "'[no](y)'", "'```'", "''", "'- [it][img] [' || p_brand || '](/a(' || p_size || '))'", "''", "'[img]: <' || p_name || '> ''t'''")

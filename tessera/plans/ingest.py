@@ -29,9 +29,9 @@ def checked_documents(docs: DataFrame) -> DataFrame:
 
 def section_rows(normal: DataFrame) -> DataFrame:
     """Sections of normalized documents with revision, where they come from, document title, metadata and path."""
-    split = sections.with_sources(sections.sections(normal), normal)
+    split = sections.sections(normal, content="content")
     about = normal.select("document_id", F.col("title").alias("document_title"), "metadata", F.col("path").alias("source_path"))
-    return sections.section_revision(split.join(about, "document_id"))
+    return sections.section_revision(split.hint("merge").join(about, "document_id"))
 
 
 def readable(normal: DataFrame) -> DataFrame:

@@ -12,11 +12,30 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["chunk_definitions"])
+@pytest.mark.parametrize("name", ["chunk_definitions", "section_sources"])
 def test_no_table_of_documents_is_broadcast(spark, name):
     assert "Join" not in plan(getattr(q, name)(spark, SMALL))
 
 
+def test_sources_in_the_row_are_those_of_the_joins(spark):
+    texts = [
+        (1, "---\ntitle: t\n---\nimport a from 'b'\n\n# A\n\n<Tip>one</Tip> and {'two'}\n\n# B\n\nplain 🙂\n\n## C\n\n{f(x)}\n"),
+        (2, "no heading <b>x</b>\n\n# D"),
+        (3, None),
+        (4, ""),
+        (5, "<Tip>never closed"),
+        (6, "# E\n\n[r] [^n]\n\n# F\n\n[r]: /x\n[^n]: note\n"),
+    ]
+    normal = s.normalized(spark.createDataFrame(texts, "document_id int, content string"), "mdx")
+    joined = s.with_sources(s.sections(normal), normal)
+    assert "Broadcast" not in plan(joined)
+    columns = ["document_id", "id", "start_offset", "end_offset", "source_start", "source_stop", "source", "exact"]
+    in_row = s.sections(normal, content="content").select(columns)
+    found = sorted(map(tuple, in_row.collect()), key=str)
+    assert found == sorted(map(tuple, joined.select(columns).collect()), key=str)
+    assert len(found) == 7 and any(f[-1] for f in found) and not all(f[-1] for f in found)
+
+
 def test_chunks_keep_columns_of_their_section(spark):
     docs = spark.createDataFrame([(1, "# A\n\none\n\ntwo\n\n# B\n\nthree"), (2, "# C")], "document_id int, markdown string")
     got = s.chunks(s.sections(docs), 2, tokens=lambda t: len(t.split("\n\n")), keep=("document_id", "title")).select("document_id", "title", "index", "markdown").collect()
