@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import markdown as md
+from tessera.operators.batches import sliced
 from tessera.sources.staging import Staging
 
 PREVIEW_ITEMS, PREVIEW_TITLE, PREVIEW_TEXT = 20, 300, 6000
@@ -25,7 +26,7 @@ def definitions(docs: DataFrame, key: str = "document_id", text: str = "markdown
             out.append([{"identifier": name, "definition": whole, "line_no": block.line} for name, (whole, block) in found.items()])
         return pa.array(out, pa.list_(pa.struct([("identifier", pa.string()), ("definition", pa.string()), ("line_no", pa.int32())])))
 
-    return docs.select(key, F.inline(F.arrow_udf(read, "array<struct<identifier:string,definition:string,line_no:int>>")(text)))
+    return docs.select(key, F.inline(F.arrow_udf(sliced(read), "array<struct<identifier:string,definition:string,line_no:int>>")(text)))
 
 
 def _used(text: pa.Array) -> pa.Array:
@@ -39,7 +40,7 @@ def _used(text: pa.Array) -> pa.Array:
 
 def used_identifiers(text: Column) -> Column:
     """What a text refers to: [text][id], [id][], [id] and [^id], but not [text](url), definitions and code."""
-    return F.arrow_udf(_used, "array<string>")(text)
+    return F.arrow_udf(sliced(_used), "array<string>")(text)
 
 
 def section_definitions(sections_df: DataFrame, defined: DataFrame, key: str = "document_id", section: str = "id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.errors import TesseraError
 from tessera.functions.canon import is_blank
 from tessera.operators import markdown as md
+from tessera.operators.batches import sliced
 
 PER_ROUTE, SELECTED = 30, 5
 MAX_DIMENSIONS = 16_000
@@ -171,4 +172,4 @@ def _segments(answers: pa.Array) -> pa.Array:
 def answer_segments(text: Column) -> Column:
     """An answer cut into citations and the text between them, for display. What looks like a citation in code or in a
     link is text."""
-    return F.arrow_udf(_segments, "array<struct<type:string,value:string>>")(text)
+    return F.arrow_udf(sliced(_segments), "array<struct<type:string,value:string>>")(text)

@@ -19,6 +19,7 @@ from tessera.errors import TesseraError
 from tessera.functions.canon import hashed, json_array, json_string, json_strings
 from tessera.operators import markdown as md
 from tessera.operators import mdx
+from tessera.operators.batches import sliced, slices
 from tessera.operators.packing import approximate_count, packed, sections_of, source_of
 
 _FRONT = re.compile(r"---[ \t]*\n(?:.*?\n)?---[ \t]*(?:\n|\Z)", re.S)
@@ -81,7 +82,7 @@ def _reader(kind: str) -> Callable[[Column], Column]:
     def read(content: pa.Array) -> pa.Array:
         return pa.array([None if c is None else _read(c, kind) for c in content.to_pylist()], _NORMAL)
 
-    return lambda content: F.arrow_udf(read, _NORMAL_DDL)(content)
+    return lambda content: F.arrow_udf(sliced(read), _NORMAL_DDL)(content)
 
 
 def _first_title(markdown: pa.Array) -> pa.Array:
@@ -115,7 +116,7 @@ def normalized(docs: DataFrame, adapter: str, content: str = "content") -> DataF
         raise TesseraError("INVALID_OPTIONS", f"no adapter {adapter}")
     block, body = front_matter(F.col(content))
     if adapter in ADAPTERS:
-        df = docs.withColumn("markdown", ADAPTERS[adapter](body)).withColumn("_title", F.arrow_udf(_first_title, "string")("markdown"))
+        df = docs.withColumn("markdown", ADAPTERS[adapter](body)).withColumn("_title", F.arrow_udf(sliced(_first_title), "string")("markdown"))
         none = F.lit(None)
         df = df.withColumns({"warnings": F.array().cast(f"array<{_DDL_PLACE}>"), "error": none.cast(_DDL_PLACE), "source_map": F.array().cast("array<struct<start:int,stop:int,source_start:int,source_stop:int>>")})
     else:
@@ -129,7 +130,7 @@ _SECTION = "index int, id string, parent_id string, depth int, title string, hea
 _SOURCE = ", source_start int, source_stop int, source string, exact boolean"
 
 
-def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown", content: str | None = None) -> DataFrame:
+def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown", content: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Sections in order: index, depth (0 before the first heading), title, heading_path, parent_id, id,
     occurrence, first_line, start_offset and end_offset (code points of the text that the section takes up),
     markdown, definitions. Headings of depth 1 to 3, underlined ones too, begin sections where they stand by
@@ -138,17 +139,17 @@ def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown",
     section; blank ones with nothing else to none. A title that repeats under the same parent and depth is told
     apart by its occurrence. Null and empty texts have no section.
 
-    With ``content``, the column of ``normalized`` documents as they came, sections have what ``with_sources`` adds.
-    A document is gone through in order, in the task, so nothing is shuffled."""
+    With ``content``, the column of ``normalized`` documents as they came, sections have what ``with_sources`` adds,
+    and then the document's columns named in ``keep``. A document is gone through in order, in the task, so nothing is shuffled."""
     kind = docs.schema[key].dataType.simpleString()
     names = [key, *(f.split(" ")[0] for f in (_SECTION + (_SOURCE if content else "")).split(", "))]
     kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.int32()] * 4, pa.string(), pa.list_(pa.string()))
     kinds += (pa.int32(), pa.int32(), pa.string(), pa.bool_()) if content else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             rows, places = [], []
-            sources = _runs(batch.column(3), batch.column(4)) if content else None
+            sources = _runs(batch.column(-2), batch.column(-1)) if content else None
             for place, (document, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 found = sections_of(document, text or "", max(DEPTHS))
                 if sources:
@@ -157,10 +158,12 @@ def sections(docs: DataFrame, key: str = "document_id", text: str = "markdown",
                 rows += found
                 places += [place] * len(found)
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+            first, *kept = (c.take(pa.array(places, pa.int64())) for c in (batch.column(0), *batch.columns[3 : 3 + len(keep)]))
+            yield pa.RecordBatch.from_arrays([first, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *kept], [*names, *keep])
 
-    given = docs.select(key, F.col(key).cast("string").alias("_document"), F.col(text).alias("_text"), *([F.col(content).alias("_content"), "source_map"] if content else []))
-    return given.mapInArrow(run, f"`{key}` {kind}, {_SECTION}{_SOURCE if content else ''}")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    given = docs.select(key, F.col(key).cast("string").alias("_document"), F.col(text).alias("_text"), *keep, *([F.col(content).alias("_content"), "source_map"] if content else []))
+    return given.mapInArrow(run, f"`{key}` {kind}, {_SECTION}{_SOURCE if content else ''}{kept}")
 
 
 def _runs(content: pa.Array, source_map: pa.Array) -> Iterator[tuple[str | None, tuple[list[int], ...]]]:
@@ -222,7 +225,7 @@ def blocks(sections_df: DataFrame, section: str = "id") -> DataFrame:
         found = [None if t is None else [{"kind": b.kind, "text": t[b.start : b.end]} for b in md.outline(t).children] for t in texts]
         return pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])))
 
-    return sections_df.select(section, F.posexplode(F.arrow_udf(read, "array<struct<kind:string,text:string>>")("markdown")).alias("block_index", "b")).select(section, "block_index", "b.kind", "b.text")
+    return sections_df.select(section, F.posexplode(F.arrow_udf(sliced(read), "array<struct<kind:string,text:string>>")("markdown")).alias("block_index", "b")).select(section, "block_index", "b.kind", "b.text")
 
 
 def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = 0, oversized: str = "keep", tokens: Callable[[str], int] = approximate_count, keep: Sequence[str] = ()) -> DataFrame:
@@ -241,7 +244,7 @@ def chunks(sections_df: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
     names = ["section_id", "index", "id", "markdown", "token_count", "previous_chunk_id", "next_chunk_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows, places = [], []
             for place, (section, markdown) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 texts = packed(markdown or "", max_tokens, overlap_tokens, tokens)
@@ -277,7 +280,7 @@ def _plain(markdown: pa.Array) -> pa.Array:
 
 def plain_text(markdown: Column) -> Column:
     """Text without marks: link and image texts, blocks and rows apart by an empty line, cells by tabs, code as it is."""
-    return F.arrow_udf(_plain, "string")(markdown)
+    return F.arrow_udf(sliced(_plain), "string")(markdown)
 
 
 def reference_identifier(label: Column) -> Column:
@@ -292,7 +295,7 @@ def _code(markdown: pa.Array) -> pa.Array:
 
 def code_blocks(markdown: Column) -> Column:
     """Code blocks in order of first appearance, equal ones once: language, meta, code."""
-    return F.arrow_udf(_code, "array<struct<language:string,meta:string,code:string>>")(markdown)
+    return F.arrow_udf(sliced(_code), "array<struct<language:string,meta:string,code:string>>")(markdown)
 
 
 def _links(markdown: pa.Array) -> pa.Array:
@@ -308,4 +311,4 @@ def _links(markdown: pa.Array) -> pa.Array:
 def links(markdown: Column) -> Column:
     """Links and images in order of first appearance, equal ones once: kind, text, url, title. Those by reference lead
     where their definition does; what looks like one in code doesn't count."""
-    return F.arrow_udf(_links, "array<struct<kind:string,text:string,url:string,title:string>>")(markdown)
+    return F.arrow_udf(sliced(_links), "array<struct<kind:string,text:string,url:string,title:string>>")(markdown)

@@ -1,7 +1,10 @@
 """What grows with the tables stays out of the driver, and out of single batches of Python's."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from tessera.operators import batches
 from tessera.operators import sections as s
 from tessera.plans import document_queries as q
 
@@ -40,3 +43,16 @@ def test_chunks_keep_columns_of_their_section(spark):
     docs = spark.createDataFrame([(1, "# A\n\none\n\ntwo\n\n# B\n\nthree"), (2, "# C")], "document_id int, markdown string")
     got = s.chunks(s.sections(docs), 2, tokens=lambda t: len(t.split("\n\n")), keep=("document_id", "title")).select("document_id", "title", "index", "markdown").collect()
     assert sorted(map(tuple, got)) == [(1, "A", 0, "# A\n\none"), (1, "A", 1, "# A\n\ntwo"), (1, "B", 0, "# B\n\nthree"), (2, "C", 0, "# C")]
+
+
+
+def test_batches_are_gone_through_in_slices():
+    texts = pa.array(["x" * 50_000, None, *["y" * 900] * 2000, "z" * 900_000, ""])
+    parts = batches.cuts(texts)
+    assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == len(texts)
+    sizes = [sum(len(t or "") for t in texts.slice(a, b - a).to_pylist()) for a, b in parts]
+    assert len(parts) > 8 and all(n <= 2 * batches.SLICE_BYTES or b - a <= 3 for n, (a, b) in zip(sizes, parts, strict=True))
+    seen = []
+    lengths = batches.sliced(lambda t: seen.append(len(t)) or pc.fill_null(pc.binary_length(t), -1))(texts)
+    assert lengths.to_pylist() == [-1 if t is None else len(t) for t in texts.to_pylist()] and len(seen) == len(parts)
+    assert batches.sliced(lambda t: t)(texts[:0]).to_pylist() == []
