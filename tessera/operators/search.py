@@ -19,6 +19,8 @@ PER_ROUTE, SELECTED = 30, 5
 MAX_DIMENSIONS = 16_000
 #: Query vectors of one block of a batch search: the driver ships a block at a time to the executors.
 BLOCK_BYTES = 32 << 20
+#: Queries and records whose scores a task holds at a time.
+TILE = (512, 2048)
 _CITATION = re.compile(r"\[S[0-9]+\]")
 _LARGEST = 3.4028234663852886e38
 
@@ -82,6 +84,26 @@ def batch_search(records: DataFrame, queries: DataFrame, k: int = PER_ROUTE, id_
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _best_of(own: np.ndarray, best: np.ndarray, ids_of: np.ndarray, vectors: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best scores and ids of each query, after records were added: score descending, then id. Only what scores as
+    the k-th best or better, ties included, is put in order."""
+    k, scores = best.shape[1], own @ vectors.T
+    least = best[:, -1]
+    if len(rec) > k:
+        least = np.maximum(least, np.partition(scores, len(rec) - k, axis=1)[:, len(rec) - k])
+    q, at = np.nonzero(scores >= least[:, None])
+    held, place = np.nonzero(best > -np.inf)
+    rows = np.concatenate((held, q))
+    found, ids = np.concatenate((best[held, place], scores[q, at])), np.concatenate((ids_of[held, place], rec[at]))
+    order = np.lexsort((ids, -found, rows))
+    rows = rows[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = rank < k
+    out, named = np.full_like(best, -np.inf), np.full_like(ids_of, np.iinfo(np.int64).max)
+    out[rows[kept], rank[kept]], named[rows[kept], rank[kept]] = found[order][kept], ids[order][kept]
+    return out, named
+
+
 def _block_search(records: DataFrame, rows: list, k: int, id_column: str, vector_column: str) -> DataFrame:
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["vector"] for r in rows], np.float32).astype(np.float64)
@@ -98,11 +120,10 @@ def _block_search(records: DataFrame, rows: list, k: int, id_column: str, vector
             vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rec), -1) if len(rec) else np.empty((0, own.shape[1]))
             norms = np.linalg.norm(vectors, axis=1)
             rec, vectors = rec[norms > 0], vectors[norms > 0] / norms[norms > 0, None]
-            scores = np.concatenate((best, own @ vectors.T), axis=1)
-            ids = np.concatenate((ids_of, np.broadcast_to(rec, (len(own_ids), len(rec)))), axis=1)
-            # Score descending, then id.
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            best, ids_of = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+            for some in range(0, len(rec), TILE[1]):
+                for few in range(0, len(own), TILE[0]):
+                    at = slice(few, few + TILE[0])
+                    best[at], ids_of[at] = _best_of(own[at], best[at], ids_of[at], vectors[some : some + TILE[1]], rec[some : some + TILE[1]])
         q, at = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(own_ids[q]), pa.array(ids_of[q, at]), pa.array(best[q, at])], ["query_id", "id", "score"])
 

@@ -1,10 +1,11 @@
 """What grows with the tables stays out of the driver, and out of single batches of Python's."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from tessera.operators import batches
+from tessera.operators import batches, search
 from tessera.operators import sections as s
 from tessera.plans import document_queries as q
 
@@ -56,3 +57,15 @@ def test_batches_are_gone_through_in_slices():
     lengths = batches.sliced(lambda t: seen.append(len(t)) or pc.fill_null(pc.binary_length(t), -1))(texts)
     assert lengths.to_pylist() == [-1 if t is None else len(t) for t in texts.to_pylist()] and len(seen) == len(parts)
     assert batches.sliced(lambda t: t)(texts[:0]).to_pylist() == []
+
+
+def test_best_of_tiles_are_the_best_of_all():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        k, n, step = (int(rng.integers(1, m)) for m in (6, 40, 20))
+        own, vectors, rec = rng.integers(-1, 2, (5, 2)) * 1.0, rng.integers(-1, 2, (n, 2)) * 1.0, rng.permutation(n)
+        best, ids = np.full((5, k), -np.inf), np.full((5, k), np.iinfo(np.int64).max)
+        for a in range(0, n, step):
+            best, ids = search._best_of(own, best, ids, vectors[a : a + step], rec[a : a + step])
+        for i, scores in enumerate(own @ vectors.T):
+            assert [(-b, c) for b, c in zip(best[i], ids[i], strict=True) if b > -np.inf] == sorted(zip(-scores, rec, strict=True))[:k]
