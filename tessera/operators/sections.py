@@ -82,7 +82,8 @@ def _reader(kind: str) -> Callable[[Column], Column]:
     def read(content: pa.Array) -> pa.Array:
         return pa.array([None if c is None else _read(c, kind) for c in content.to_pylist()], _NORMAL)
 
-    return lambda content: F.arrow_udf(sliced(read), _NORMAL_DDL)(content)
+    # Else the optimizer would let a filter on an error read each text once more.
+    return lambda content: F.arrow_udf(sliced(read), _NORMAL_DDL).asNondeterministic()(content)
 
 
 def _first_title(markdown: pa.Array) -> pa.Array:

@@ -53,9 +53,8 @@ def mdx_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where and why something is left out, and where a text can't be read."""
     text = _lines("repeat('x' || chr(10) || chr(10), p_size % 7) || 'say {size()}'", "''", "'<Widget>' || p_brand || CASE WHEN p_size % 5 = 0 THEN '' ELSE '</Widget>' END", "''", "'<script>{</script>'")
     normal = sections.normalized(_parts(spark, sf_dir, text), "mdx")
-    warned = normal.where("error IS NULL").select("document_id", F.inline("warnings"))
-    failed = normal.where("error IS NOT NULL").select("document_id", "error.line", "error.column", F.concat(F.lit("error: "), "error.reason").alias("reason"))
-    return warned.unionByName(failed)
+    error = F.array(F.struct("error.line", "error.column", F.concat(F.lit("error: "), "error.reason").alias("reason")))
+    return normal.select("document_id", F.inline(F.when(F.col("error").isNull(), F.col("warnings")).otherwise(error)))
 
 
 @query("""WITH r AS (SELECT n_nationkey AS nation, '| `' || n_name || '` | nation |' AS row, -1 AS k FROM nation

@@ -46,6 +46,10 @@ def test_chunks_keep_columns_of_their_section(spark):
     assert sorted(map(tuple, got)) == [(1, "A", 0, "# A\n\none"), (1, "A", 1, "# A\n\ntwo"), (1, "B", 0, "# B\n\nthree"), (2, "C", 0, "# C")]
 
 
+def test_texts_are_read_once_whatever_is_asked_of_their_errors(spark):
+    assert plan(q.mdx_warnings(spark, SMALL)).count("ArrowEvalPython") == 1
+
+
 
 def test_batches_are_gone_through_in_slices():
     texts = pa.array(["x" * 50_000, None, *["y" * 900] * 2000, "z" * 900_000, ""])
