@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import output, sections
 from tessera.plans.queries import query, spread, table
-from tessera.sources.staging import Staging
 
 _BREAK = "chr(10)"
 
@@ -25,13 +24,6 @@ def _parts(spark: SparkSession, sf_dir: str, sql: str, **more: str) -> DataFrame
     return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("document_id"), *made, F.lit("").alias("path"))
 
 
-def _staged(spark: SparkSession, normal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Normalized documents and their sections, each written once, as ingestion does."""
-    stage = Staging(spark).stage
-    read = stage("normal", lambda: normal)
-    return read, stage("sections", lambda: sections.sections(read))
-
-
 _PAGE = _lines(
     "'---'", "'title: ' || p_name", "'---'", "'import X from \"./x\"'", "''", "'# ' || p_brand", "''", "'<Callout title=\"' || p_type || '\">'", "''", "'size ' || p_size", "''", "'</Callout>'", "''",
     "'```js'", "'<Tag a={1}/> ' || p_size || ' &lt;'", "''", "'import y'", "'```'", "''",
@@ -109,11 +101,11 @@ def changed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = [text("'/old'", "'v1'", "'x'", ""), text("CASE WHEN p_size % 2 = 0 THEN '/new' ELSE '/old' END", "CASE WHEN p_size % 3 = 0 THEN 'v2' ELSE 'v1' END", "CASE WHEN p_size % 5 = 0 THEN 'y' ELSE 'x' END", "chr(10) || chr(10) || ")]
     revised = []
     for version in versions:
-        normal, split = _staged(spark, sections.normalized(_parts(spark, sf_dir, version), "mdx"))
-        split = sections.with_sources(split, normal).join(normal.select("document_id", F.col("title").alias("document_title"), "metadata"), "document_id")
+        normal = sections.normalized(_parts(spark, sf_dir, version), "mdx").withColumnRenamed("title", "document_title")
+        split = sections.sections(normal, content="content", keep=("document_title", "metadata"))
         revised.append(sections.section_revision(split).select("document_id", "id", "title", "revision"))
     before, after = revised
-    both = before.join(after.select("id", F.col("revision").alias("now")), "id")
+    both = before.hint("merge").join(after.select("id", F.col("revision").alias("now")), "id")
     return both.where("revision <> now").select("document_id", "title")
 
 

@@ -50,6 +50,11 @@ def test_texts_are_read_once_whatever_is_asked_of_their_errors(spark):
     assert plan(q.mdx_warnings(spark, SMALL)).count("ArrowEvalPython") == 1
 
 
+def test_versions_are_read_in_their_row_and_merged(spark):
+    found = plan(q.changed_sections(spark, SMALL))
+    assert "Broadcast" not in found and found.count("SortMergeJoin") == 1
+
+
 
 def test_batches_are_gone_through_in_slices():
     texts = pa.array(["x" * 50_000, None, *["y" * 900] * 2000, "z" * 900_000, ""])
