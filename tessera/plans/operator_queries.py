@@ -312,7 +312,7 @@ def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with fields above their text; the title is the field, else the first heading."""
     title = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('title: "'), "p_name", F.lit('"\n'))).otherwise("")
     content = F.concat(F.lit("---\n"), title, F.lit("size: "), "p_size", F.lit("\n---\n# Heading "), "p_brand", F.lit("\n\nText of "), "p_type")
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), content.alias("content"))
+    docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("part"), content.alias("content"))
     return sections.normalized(docs, "markdown").select("part", "title", F.element_at("metadata", F.lit("size")).alias("size"), "markdown")
 
 
@@ -324,7 +324,7 @@ def code_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     markdown = F.concat(one, F.lit("\n"), fence("c title=x", F.col("p_type")), one, F.when(F.col("p_size") % 2 != 0, fence("sql", F.lit("b"))).otherwise(""))
     blocks = F.transform(sections.code_blocks(markdown), lambda b: F.concat_ws("|", b["language"], b["meta"], b["code"]))
     plain = sections.plain_text(F.concat(F.lit("## "), "p_name", F.lit("\n\n**bold** "), "p_brand", F.lit(" [link](/to)")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.array_join(blocks, ";").alias("code"), plain.alias("plain"))
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("part"), F.array_join(blocks, ";").alias("code"), plain.alias("plain"))
 
 
 @query("""WITH g AS (SELECT p_partkey AS part, p_size AS n, unnest(range(0, p_size, 3)) AS i FROM part),

@@ -8,6 +8,7 @@ import pytest
 from tessera.operators import batches, search
 from tessera.operators import sections as s
 from tessera.plans import document_queries as q
+from tessera.plans import operator_queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -55,6 +56,9 @@ def test_versions_are_read_in_their_row_and_merged(spark):
     assert "Broadcast" not in found and found.count("SortMergeJoin") == 1
 
 
+def test_a_file_of_one_row_group_is_dealt_to_all_cores(spark):
+    assert "Exchange RoundRobinPartitioning" in plan(operator_queries.code_and_text(spark, SMALL))
+
 
 def test_batches_are_gone_through_in_slices():
     texts = pa.array(["x" * 50_000, None, *["y" * 900] * 2000, "z" * 900_000, ""])
