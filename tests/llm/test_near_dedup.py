@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import minhash
+from tessera.llm import minhash, simhash
 from tests.llm.conftest import ODD
 
 
@@ -82,3 +82,25 @@ def test_near_dedup_of_odd_rows(odd, nothing):
     got = [r["doc_id"] for r in corpus_pipeline.near_dedup(None, odd, "").select("doc_id").collect()]
     assert sorted(i for i in got if i is not None) == [1, 4, 5, 7, 8] and got.count(None) == sum(r[0] is None for r in ODD)
     assert corpus_pipeline.near_dedup(None, nothing, "").count() == 0
+
+
+def test_what_simhash_links_is_confirmed_without_a_shared_bucket(spark):
+    """Buckets that no two sets share leave only the links of fingerprints, of which near ones count."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: words, 2: [*words[:-1], "other"], 3: [f"v{i}" for i in range(400)], 4: words}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    linked = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "doc_id bigint, component_id bigint")
+    own = minhash.signatures(docs)
+    distinct = own.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.array("id").alias("buckets"), F.any_value("sketch").alias("sketch"))
+    of = {r["first"]: r["id"] for r in distinct.collect()}
+    assert minhash.link_groups(docs, distinct).count() == 0
+    groups = minhash.link_groups(docs, distinct, brought=minhash._brought(own, linked)).collect()
+    assert {r["id"] for r in groups} == {of[1], of[2]} and len({r["root"] for r in groups}) == 1
+
+
+def test_the_pipeline_links_by_simhash_too(spark, monkeypatch):
+    asked = []
+    real = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs, *more: asked.append(1) or real(docs, *more))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3] and asked
