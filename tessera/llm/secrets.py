@@ -19,8 +19,9 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
-from statistics import median
+from functools import cache, lru_cache
+from itertools import chain
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,59 +72,68 @@ def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def chi_squared_p(indices: list[int], size: int) -> float:
+@lru_cache(4096)
+def _bins(n: int, size: int) -> tuple[bytes, list[float]]:
+    """A table from an alphabet's symbols to bins, and how many of n symbols each bin may expect."""
+    bins = max(2, min(size, n // 3))
+    of = [i * bins // size for i in range(size)]
+    return bytes([*of, *[255] * (256 - size)]), [n * of.count(k) / size for k in range(bins)]
+
+
+def chi_squared_p(indices: bytes | list[int], size: int) -> float:
     """Uniformity over the alphabet, in as many bins as leave three symbols each."""
-    n, bins = len(indices), max(2, min(size, len(indices) // 3))
-    counts = [0] * bins
-    shares = [0] * bins
-    for i in range(size):
-        shares[i * bins // size] += 1
-    for i in indices:
-        counts[i * bins // size] += 1
-    chi = sum((c - n * s / size) ** 2 / (n * s / size) for c, s in zip(counts, shares, strict=True))
-    dof = bins - 1
+    table, expected = _bins(len(indices), size)
+    binned = bytes(indices).translate(table)
+    chi = sum([(binned.count(k) - e) ** 2 / e for k, e in enumerate(expected)])
+    dof = len(expected) - 1
     # Wilson and Hilferty's cube root.
     return _normal_tail(((chi / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof)))
 
 
-def runs_p(indices: list[int]) -> float:
+#: For each double of a median, a table that tells symbols above it (1) from others (0).
+_ABOVE = [bytes(2 * i > m for i in range(256)) for m in range(512)]
+
+
+def runs_p(indices: bytes | list[int]) -> float:
     """Wald and Wolfowitz's runs above and below the median, two-sided."""
-    middle = median(indices)
-    signs = [i > middle for i in indices]
-    a, n = sum(signs), len(signs)
+    n, ordered = len(indices), sorted(indices)
+    signs = bytes(indices).translate(_ABOVE[ordered[(n - 1) // 2] + ordered[n // 2]])
+    a = signs.count(1)
     b = n - a
     if not a or not b:
         return 0.0
-    runs = 1 + sum(x != y for x, y in zip(signs, signs[1:], strict=False))
+    runs = 1 + signs.count(b"\0\1") + signs.count(b"\1\0")
     mean = 1 + 2 * a * b / n
     variance = (mean - 1) * (mean - 2) / (n - 1)
     return 2 * _normal_tail(abs(runs - mean) / math.sqrt(variance)) if variance > 0 else 1.0
 
 
-def serial_p(indices: list[int]) -> float:
+def serial_p(indices: bytes | list[int]) -> float:
     """Correlation of neighbours, two-sided."""
     n = len(indices)
     mean = sum(indices) / n
-    spread = sum((i - mean) ** 2 for i in indices)
+    apart = [i - mean for i in indices]
+    spread = sum(map(mul, apart, apart))
     if not spread:
         return 0.0
-    r = sum((x - mean) * (y - mean) for x, y in zip(indices, indices[1:], strict=False)) / spread
+    r = sum(map(mul, apart, apart[1:])) / spread
     return 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n))
 
 
 def randomness_level(token: str) -> int:
     """0 (nothing random about it) to LEVELS: Fisher's combination of the three tests' p-values."""
     bare = token.rstrip("=")
+    symbols = set(bare)
     for common, coded, size in _PLACES:
-        if all(c in common for c in bare):
+        if symbols <= common.keys():
             break
     else:
-        common = coded = {c: i for i, c in enumerate(sorted(set(bare)))}
+        common = coded = {c: i for i, c in enumerate(sorted(symbols))}
         size = len(common)
     if len(bare) < 4 or size < 2:
         return 0
-    indices = [coded[c] for c in bare]
-    x = -sum(math.log(max(p, 1e-300)) for p in (chi_squared_p([common[c] for c in bare], size), runs_p(indices), serial_p(indices)))
+    indices = bytes(map(coded.__getitem__, bare))
+    x = -sum([math.log(max(p, 1e-300)) for p in (chi_squared_p(bytes(map(common.__getitem__, bare)), size), runs_p(indices), serial_p(indices))])
     return int(LEVELS * math.exp(-x) * (1 + x + x * x / 2))
 
 
@@ -177,6 +187,16 @@ def joined_cells(words: Iterator[str], number: int) -> list[int]:
     return out
 
 
+def all_joined_cells(words: Iterator[str], number: int) -> list[int]:
+    """Cells of joinings of all words to the last, round after round of the classes; each round has the next shape and
+    length."""
+    out: list[int] = []
+    for word in words:
+        out += joined_cells(chain((word,), words), number)
+        number += 1
+    return out
+
+
 @cache
 def common_cells() -> Counter:
     """The cells of JOINED joinings of common words for each class and manner."""
@@ -198,8 +218,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[kind].append(sum(k == kind for _, k, _ in base))
             shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest())
             spans.append([(a, k, b, None) for a, k, b in base])
-            # Each document adds one joining a class, in a shape and length that its own length decides.
-            mixed, plain = [], joined_cells((m.group() for m in _PLAIN.finditer(text)), len(text))
+            # Each document adds joinings of all its words, in shapes and lengths that its own length begins.
+            mixed, plain = [], all_joined_cells((m.group() for m in _PLAIN.finditer(text)), len(text))
             for m in _TOKEN.finditer(text):
                 token = m.group()
                 if _WORD.fullmatch(token):

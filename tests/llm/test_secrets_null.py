@@ -129,3 +129,11 @@ def test_recall_of_planted_tokens_by_length(frame, n, least):
     hit = {r["doc_id"] for r in secrets.scan_secrets(frame(rows)).where("spans LIKE '%random:4:%'").select("doc_id").collect()}
     assert sum(i in hit for i in range(len(keys))) >= least * len(keys)
     assert sum(i >= len(keys) for i in hit) <= 0.1 * len(plain) and len(plain) > 50
+
+
+def test_joinings_go_through_whole_texts():
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnopqrstuvwx" for _ in range(8)]
+    first, whole = secrets.joined_cells(iter(words), 5), secrets.all_joined_cells(iter(words), 5)
+    assert whole[: len(first)] == first and len(whole) > 4 * len(first)
+    assert secrets.all_joined_cells(iter(words), 5) != secrets.all_joined_cells(iter([*words[:-900], *reversed(words[-900:])]), 5)
+    assert secrets.all_joined_cells(iter([]), 5) == []
