@@ -24,6 +24,10 @@ ITEMS = {
 }
 
 
+#: Why a text isn't read at all.
+_UNREAD = ("invalid-json", "text-too-long")
+
+
 def parsed(outputs: DataFrame, output: str = "output") -> DataFrame:
     """section_id, value (VARIANT; null where the text isn't JSON, or is too long) and reason of ``outputs``. Of keys
     that an object repeats none is taken: such text isn't read."""
@@ -41,18 +45,19 @@ def _kind(value: Column) -> Column:
 
 def _list(value: Column) -> Column:
     """The members of a VARIANT that is an array, else null."""
-    return F.when(_kind(value) == "ARRAY", value.cast("array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def _objects(values: DataFrame) -> DataFrame:
-    """section_id, of (root, or the list that holds it), path and value: an output itself, and all items of its lists."""
-    df = values.withColumn("_fields", F.when(_kind(F.col("value")) == "OBJECT", F.try_variant_get("value", "$", "map<string,variant>")))
+    """section_id, of (root, or the list that holds it), path and value: an output itself, and all items of its lists. Of a
+    text that can't be read, of is the reason and path JSON."""
+    df = values.withColumn("_fields", F.try_variant_get("value", "$", "map<string,variant>"))
     df = df.withColumns({f"_{name}": _list(F.try_element_at("_fields", F.lit(name))) for name in ITEMS})
-    row = lambda of, path, value: F.struct(F.lit(of).alias("of"), path.alias("path"), value.alias("value"))
+    row = lambda of, path, value: F.struct(of.alias("of"), path.alias("path"), value.alias("value"))
     none = F.array().cast("array<struct<of:string,path:string,value:variant>>")
-    item = lambda name: lambda x, i: row(name, F.format_string(f"{name}[%d]", i), x)
+    item = lambda name: lambda x, i: row(F.lit(name), F.format_string(f"{name}[%d]", i), x)
     lists = [F.coalesce(F.transform(f"_{name}", item(name)), none) for name in ITEMS]
-    return df.select("section_id", F.inline(F.concat(F.array(row("root", F.lit(""), F.col("value"))), *lists)))
+    return df.select("section_id", F.inline(F.concat(F.array(row(F.coalesce("reason", F.lit("root")), F.when(F.col("reason").isNull(), "").otherwise("JSON"), F.col("value"))), *lists)))
 
 
 def _fields(objects: DataFrame) -> DataFrame:
@@ -60,14 +65,14 @@ def _fields(objects: DataFrame) -> DataFrame:
     extra where they have fields that they may not have)."""
     rules = {"root": ROOT} | ITEMS
     expected = F.create_map(*(x for of, fields in rules.items() for x in (F.lit(of), F.array(*(F.struct(F.lit(n).alias("name"), F.lit(r).alias("rule")) for n, r in fields.items())))))
-    df = objects.withColumn("_map", F.when(_kind(F.col("value")) == "OBJECT", F.try_variant_get("value", "$", "map<string,variant>")))
-    df = df.withColumn("_expected", F.element_at(expected, F.col("of")))
+    df = objects.withColumn("_map", F.try_variant_get("value", "$", "map<string,variant>"))
+    df = df.withColumn("_expected", F.try_element_at(expected, F.col("of")))
     own = F.when(F.col("path") == "", "root").otherwise(F.col("path"))
     extra = F.size(F.array_except(F.map_keys("_map"), F.transform("_expected", lambda e: e["name"]))) > 0
-    itself = F.struct(own.alias("path"), F.when(F.col("_map").isNull(), "object").when(extra, "extra").otherwise("sound").alias("rule"), F.col("value").alias("value"))
+    itself = F.struct(own.alias("path"), F.when(F.col("_expected").isNull(), F.col("of")).when(F.col("_map").isNull(), "object").when(extra, "extra").otherwise("sound").alias("rule"), F.col("value").alias("value"))
     begin = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
     held = F.transform("_expected", lambda e: F.struct(F.concat(begin, e["name"]).alias("path"), e["rule"].alias("rule"), F.try_element_at("_map", e["name"]).alias("value")))
-    return df.select("section_id", F.inline(F.concat(F.array(itself), F.when(F.col("_map").isNotNull(), held).otherwise(F.slice(held, 1, 0)))))
+    return df.select("section_id", F.inline(F.concat(F.array(itself), F.coalesce(F.when(F.col("_map").isNotNull(), held), F.slice(F.array(itself), 1, 0)))))
 
 
 def output_issues(outputs: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
@@ -75,12 +80,14 @@ def output_issues(outputs: DataFrame, types: dict[str, str] | None = None) -> Da
     missing ones, wrong types, sizes and lengths count; references and quotes are left to ``violations``. A text
     that isn't JSON has one row, with the path JSON. A text is parsed once; objects, fields and the texts in lists
     are rows of three explodes, without a join or a shuffle."""
-    read = parsed(outputs)
-    fields = _fields(_objects(read.where("reason IS NULL").select("section_id", "value")))
-    fields = fields.withColumn("kind", _kind(F.col("value")))
-    fields = fields.withColumn("members", F.when(F.col("rule").isin("texts", "quotes", "items") & (F.col("kind") == "ARRAY"), F.col("value").cast("array<variant>")))
+    fields = _fields(_objects(parsed(outputs)))
+    fields = fields.withColumn("members", F.when(F.col("rule").isin("texts", "quotes", "items"), _list(F.col("value"))))
+    whole = F.col("rule").isin("texts", "quotes", "items", "object", "extra", "sound", *_UNREAD)
+    # What is inside of lists and objects has rows of its own: no schema of it is wanted.
+    kind = F.when(F.col("value").isNull(), None).when(F.col("members").isNotNull(), "ARRAY").when(whole, "OTHER").otherwise(_kind(F.col("value")))
+    fields = fields.withColumn("kind", kind)
     member = lambda x, i: F.struct(F.format_string("%s[%d]", F.col("path"), i).alias("path"), F.lit("text").alias("rule"), x.alias("value"), _kind(x).alias("kind"), F.lit(0).alias("size"))
-    itself = F.struct("path", "rule", F.when(~F.col("rule").isin("texts", "quotes", "items", "object", "extra", "sound"), F.col("value")).alias("value"), "kind", F.size("members").alias("size"))
+    itself = F.struct("path", "rule", F.when(~whole, F.col("value")).alias("value"), "kind", F.size("members").alias("size"))
     texts = F.when(F.col("rule") != "items", F.transform("members", member))
     rows = fields.select("section_id", F.inline(F.concat(F.array(itself), F.coalesce(texts, F.slice(F.array(itself), 1, 0)))))
     text = F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))
@@ -88,15 +95,14 @@ def output_issues(outputs: DataFrame, types: dict[str, str] | None = None) -> Da
     rule, kind, size = F.col("rule"), F.col("kind"), F.col("size")
     listed, least, most = rule.isin("texts", "quotes", "items"), F.when(rule == "quotes", 1).otherwise(0), F.when(rule == "quotes", MAX_EVIDENCE).otherwise(MAX_ITEMS)
     reason = (
-        F.when(rule == "sound", None).when(rule == "object", "invalid-object").when(rule == "extra", "unexpected-field")
+        F.when(rule == "sound", None).when(rule.isin(*_UNREAD), rule).when(rule == "object", "invalid-object").when(rule == "extra", "unexpected-field")
         .when(kind.isNull(), "missing-field")
         .when(listed, F.when(kind != "ARRAY", "invalid-array").when(size < least, "empty-evidence").when(size > most, "too-many-items"))
         .when(kind != "STRING", "invalid-text").when(utf16_length(F.col("text")) > MAX_TEXT, "text-too-long").when(F.length("trimmed") == 0, "invalid-text")
         .when((rule == "id") & ~F.col("trimmed").rlike(ID_PATTERN), "invalid-id")
         .when((rule == "choice") & ~F.col("trimmed").isin(list(types or KNOWLEDGE_TYPES)), "unsupported-value")
     )
-    found = rows.select("section_id", "path", reason.alias("reason")).where("reason IS NOT NULL")
-    return found.unionByName(parsed(outputs).where("reason IS NOT NULL").select("section_id", F.lit("JSON").alias("path"), "reason"))
+    return rows.select("section_id", "path", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def _items(values: DataFrame, name: str) -> DataFrame:

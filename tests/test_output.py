@@ -88,3 +88,9 @@ def test_knowledge_is_what_the_rest_takes(spark):
 def test_no_output(spark, rows):
     df = spark.createDataFrame(rows, "section_id string, output string")
     assert output.output_issues(df).count() == len(rows) and output.knowledge_of(df)["nodes"].count() == 0
+
+
+def test_outputs_are_parsed_in_one_pass(spark):
+    df = output.output_issues(spark.range(3).selectExpr("string(id) AS section_id", "concat('{', id) AS output"))
+    found = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in found
