@@ -8,7 +8,7 @@ alphabet); the three are combined into one level of randomness, which for random
 as random: words that are simulated from a fixed list, so that each cell has a null at every corpus
 size, and the corpus' own. Within each length class and manner as many tokens are reported as keep the
 expected share of false ones (Benjamini-Hochberg) under a bound. The counts that this takes are a fixed
-number of cells, summed over all documents.
+number of cells, summed over all documents. Tasks test their tokens many at a time, as arrays.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import cache, lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain
-from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +53,27 @@ _UPPER, _DIGITS = _LOWER.upper(), "0123456789"
 ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _LOWER, _LOWER + _DIGITS, _UPPER + _DIGITS, _LOWER + _UPPER, _LOWER + _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS + "+/_-")
 #: Manners of writing a token: one case with digits, both cases, with other signs.
 MANNERS = 3
-#: For each alphabet: symbols' places by how common they are, their places by code, and their number.
-_PLACES = [({c: i for i, c in enumerate(a)}, {c: i for i, c in enumerate(sorted(a))}, len(a)) for a in ALPHABETS]
+#: Characters of tokens that are tested at a time.
+PART = 1 << 18
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By ASCII code: bits of what a character is (bit k: not in alphabet k; then lower case, upper case, another sign), and
+    for each alphabet its places by how common symbols are, and by code."""
+    bits, (common, coded) = np.zeros(128, np.int16), np.zeros((2, len(ALPHABETS) + 1, 128), np.int16)
+    for c in map(chr, range(128)):
+        bits[ord(c)] = sum(1 << k for k, a in enumerate(ALPHABETS) if c not in a) | c.islower() << len(ALPHABETS) | c.isupper() << len(ALPHABETS) + 1 | (not c.isalnum()) << len(ALPHABETS) + 2
+    for k, a in enumerate(ALPHABETS):
+        for places, symbols in ((common, a), (coded, "".join(sorted(a)))):
+            places[k, [ord(c) for c in symbols]] = range(len(a))
+    return bits, common, coded
+
+
+_BITS, _COMMON, _CODED = _tables()
+_LOWER_BIT, _UPPER_BIT, _SIGN_BIT = (1 << len(ALPHABETS) + i for i in range(3))
+#: By the bits of alphabets that lack a token's symbols: the first that has them all, or one after the last.
+_NARROWEST = np.array([next((k for k in range(len(ALPHABETS)) if not lacking >> k & 1), len(ALPHABETS)) for lacking in range(1 << len(ALPHABETS))])
+_SIZES = np.array([*map(len, ALPHABETS), 0], np.int16)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,93 +87,147 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _tail(z: np.ndarray) -> np.ndarray:
+    """The normal distribution's share beyond z, twice."""
+    return np.array(list(map(math.erfc, (z / math.sqrt(2)).tolist())))
+
+
+class _Symbols:
+    """Many tokens' symbols, one after the other, and what the tests take of them; at least one symbol a token."""
+
+    def __init__(self, tokens: list[str]):
+        self.n = np.array(list(map(len, tokens)))
+        self.ends = np.cumsum(self.n)
+        self.starts = self.ends - self.n
+        self.of = np.repeat(np.arange(len(tokens), dtype=np.int32), self.n)
+        flat = np.frombuffer("".join(tokens).encode("ascii"), np.uint8)
+        self.bits = np.bitwise_or.reduceat(_BITS[flat], self.starts)
+        alphabet = _NARROWEST[self.bits & len(_NARROWEST) - 1]
+        self.size = _SIZES[alphabet]
+        self.common, self.coded = (places[alphabet[self.of], flat] for places in (_COMMON, _CODED))
+        if not self.size.all():
+            # Tokens beyond all alphabets: their own symbols are one.
+            at = np.flatnonzero(self.size[self.of] == 0)
+            token, row = np.unique(self.of[at], return_inverse=True)
+            there = np.zeros((len(token), 128), bool)
+            there[row, flat[at]] = True
+            self.size[token] = there.sum(1)
+            self.common[at] = self.coded[at] = (np.cumsum(there, 1) - 1)[row, flat[at]]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts, dtype=np.int64)
+
+    def counts(self, values: np.ndarray, most: int) -> np.ndarray:
+        """How many of each token's symbols have each value under ``most``."""
+        return np.bincount(self.of * most + values, minlength=len(self.n) * most).reshape(-1, most)
+
+    def chi_squared_p(self) -> np.ndarray:
+        """Uniformity over the alphabet, in as many bins as leave three symbols each."""
+        bins = np.maximum(2, np.minimum(self.size, self.n // 3)).astype(np.int16)
+        most = int(bins.max())
+        edges = -(-np.arange(most + 1) * self.size[:, None] // bins[:, None])
+        expected = self.n[:, None] * np.diff(edges) / self.size[:, None]
+        apart = self.counts(self.common * bins[self.of] // self.size[self.of], most) - expected
+        chi = np.where(np.arange(most) < bins[:, None], apart * apart / expected, 0).sum(1)
+        dof = bins - 1
+        # Wilson and Hilferty's cube root; one-sided.
+        return _tail(((chi / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / np.sqrt(2 / (9 * dof))) / 2
+
+    def runs_p(self) -> np.ndarray:
+        """Wald and Wolfowitz's runs above and below the median, two-sided."""
+        up_to = np.cumsum(self.counts(self.coded, int(self.size.max())), 1)
+        twice_median = sum((up_to <= k[:, None]).sum(1) for k in ((self.n - 1) // 2, self.n // 2)).astype(np.int16)
+        above = 2 * self.coded > twice_median[self.of]
+        turns = np.diff(above, prepend=False)
+        turns[self.starts] = False
+        a = self.sums(above)
+        b, runs = self.n - a, 1 + self.sums(turns)
+        mean = 1 + 2 * a * b / self.n
+        variance = (mean - 1) * (mean - 2) / (self.n - 1)
+        p = np.where(variance > 0, _tail(np.abs(runs - mean) / np.sqrt(variance)), 1)
+        return np.where(a * b > 0, p, 0)
+
+    def serial_p(self) -> np.ndarray:
+        """Correlation of neighbours, two-sided."""
+        n, next_to = self.n.astype(float), self.coded.copy()
+        next_to[:-1] *= self.coded[1:]
+        next_to[self.ends - 1] = 0
+        total, squares, products = (self.sums(x).astype(float) for x in (self.coded, self.coded**2, next_to))
+        spread = n * squares - total * total
+        inner = 2 * total - self.coded[self.starts] - self.coded[self.ends - 1]
+        r = (n * n * products - n * total * inner + (n - 1) * total * total) / (n * spread)
+        return np.where(spread > 0, _tail(np.abs(r + 1 / n) * np.sqrt(n)), 0)
+
+    def levels(self) -> np.ndarray:
+        """0 (nothing random about it) to LEVELS: Fisher's combination of the three tests' p-values."""
+        with np.errstate(all="ignore"):  # what a test doesn't hold for is set aside at its end
+            x = -sum(np.log(np.maximum(p, 1e-300)) for p in (self.chi_squared_p(), self.runs_p(), self.serial_p()))
+            level = LEVELS * np.exp(-x) * (1 + x + x * x / 2)
+        return np.where((self.n >= 4) & (self.size >= 2), level, 0).astype(np.int64)
+
+    def manners(self) -> np.ndarray:
+        one_case = (self.bits & _LOWER_BIT > 0) != (self.bits & _UPPER_BIT > 0)
+        return np.where(self.bits & _SIGN_BIT, 2, np.where(one_case, 0, 1))
+
+
+def _bare(token: str) -> str:
+    """Without padding; a sign if that is all."""
+    return token.rstrip("=") or "="
 
 
-@lru_cache(4096)
-def _bins(n: int, size: int) -> tuple[bytes, list[float]]:
-    """A table from an alphabet's symbols to bins, and how many of n symbols each bin may expect."""
-    bins = max(2, min(size, n // 3))
-    of = [i * bins // size for i in range(size)]
-    return bytes([*of, *[255] * (256 - size)]), [n * of.count(k) / size for k in range(bins)]
-
-
-def chi_squared_p(indices: bytes | list[int], size: int) -> float:
-    """Uniformity over the alphabet, in as many bins as leave three symbols each."""
-    table, expected = _bins(len(indices), size)
-    binned = bytes(indices).translate(table)
-    chi = sum([(binned.count(k) - e) ** 2 / e for k, e in enumerate(expected)])
-    dof = len(expected) - 1
-    # Wilson and Hilferty's cube root.
-    return _normal_tail(((chi / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof)))
-
+def randomness_level(token: str) -> int:
+    return int(_Symbols([_bare(token)]).levels()[0])
 
-#: For each double of a median, a table that tells symbols above it (1) from others (0).
-_ABOVE = [bytes(2 * i > m for i in range(256)) for m in range(512)]
 
+def _mixes(token: str) -> bool:
+    """Letters and digits, or both cases otherwise than as a capitalised word."""
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) or not (token.islower() or token.isupper() or _WORD.fullmatch(token)) and token.isalnum()
 
-def runs_p(indices: bytes | list[int]) -> float:
-    """Wald and Wolfowitz's runs above and below the median, two-sided."""
-    n, ordered = len(indices), sorted(indices)
-    signs = bytes(indices).translate(_ABOVE[ordered[(n - 1) // 2] + ordered[n // 2]])
-    a = signs.count(1)
-    b = n - a
-    if not a or not b:
-        return 0.0
-    runs = 1 + signs.count(b"\0\1") + signs.count(b"\1\0")
-    mean = 1 + 2 * a * b / n
-    variance = (mean - 1) * (mean - 2) / (n - 1)
-    return 2 * _normal_tail(abs(runs - mean) / math.sqrt(variance)) if variance > 0 else 1.0
 
+def length_class(n: int) -> int:
+    return sum(n >= x for x in LENGTHS) - 1
 
-def serial_p(indices: bytes | list[int]) -> float:
-    """Correlation of neighbours, two-sided."""
-    n = len(indices)
-    mean = sum(indices) / n
-    apart = [i - mean for i in indices]
-    spread = sum(map(mul, apart, apart))
-    if not spread:
-        return 0.0
-    r = sum(map(mul, apart, apart[1:])) / spread
-    return 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n))
 
+class Cells:
+    """Tokens' cells (length class, manner and level), row by row. Tokens are tested when there are PART characters."""
 
-def randomness_level(token: str) -> int:
-    """0 (nothing random about it) to LEVELS: Fisher's combination of the three tests' p-values."""
-    bare = token.rstrip("=")
-    symbols = set(bare)
-    for common, coded, size in _PLACES:
-        if symbols <= common.keys():
-            break
-    else:
-        common = coded = {c: i for i, c in enumerate(sorted(symbols))}
-        size = len(common)
-    if len(bare) < 4 or size < 2:
-        return 0
-    indices = bytes(map(coded.__getitem__, bare))
-    x = -sum([math.log(max(p, 1e-300)) for p in (chi_squared_p(bytes(map(common.__getitem__, bare)), size), runs_p(indices), serial_p(indices))])
-    return int(LEVELS * math.exp(-x) * (1 + x + x * x / 2))
+    def __init__(self):
+        self.waiting: list[str] = []
+        self.chars = self.tested = 0
+        self.parts: list[np.ndarray] = []
+        self.offsets = [0]
 
+    def add(self, tokens: Iterable[str]) -> None:
+        for token in tokens:
+            self.waiting.append(token)
+            self.chars += len(token)
+            if self.chars >= PART:
+                self._test()
 
-def _mixes(token: str) -> bool:
-    """Letters and digits, or both cases otherwise than as a capitalised word."""
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) or not (token.islower() or token.isupper() or _WORD.fullmatch(token)) and token.isalnum()
+    def end_row(self) -> None:
+        self.offsets.append(self.tested + len(self.waiting))
 
+    def _test(self) -> None:
+        if self.waiting:
+            symbols = _Symbols(list(map(_bare, self.waiting)))
+            classes = np.searchsorted(LENGTHS, list(map(len, self.waiting)), "right") - 1
+            self.parts.append(((classes * MANNERS + symbols.manners()) * (LEVELS + 1) + symbols.levels()).astype(np.int32))
+        self.tested += len(self.waiting)
+        self.waiting, self.chars = [], 0
 
-def length_class(n: int) -> int:
-    return sum(n >= x for x in LENGTHS) - 1
+    def all(self) -> np.ndarray:
+        self._test()
+        return np.concatenate([np.empty(0, np.int32), *self.parts])
 
 
-def manner(token: str) -> int:
-    bare = token.rstrip("=")
-    if not bare.isalnum():
-        return 2
-    return 0 if bare.islower() or bare.isupper() else 1
+def cells(tokens: Iterable[str]) -> list[int]:
+    found = Cells()
+    found.add(tokens)
+    return found.all().tolist()
 
 
 def _cell(token: str) -> int:
-    return (length_class(len(token)) * MANNERS + manner(token)) * (LEVELS + 1) + randomness_level(token)
+    return cells([token])[0]
 
 
 def _joined(words: list[str], n: int, shape: int) -> str | None:
@@ -170,67 +243,82 @@ def _joined(words: list[str], n: int, shape: int) -> str | None:
 SHAPES = 6
 
 
-def joined_cells(words: Iterator[str], number: int) -> list[int]:
-    """A cell of each length class, as far as the words reach: of words joined to a length of that class, in
+def joined(words: Iterator[str], number: int) -> Iterator[str]:
+    """Of each length class, as far as the words reach: words joined to a length of that class, in
     a shape. Consecutive numbers go through all shapes and lengths."""
-    out = []
     for low, high in zip(LENGTHS, [*LENGTHS[1:], 2 * LENGTHS[-1]], strict=True):
         taken, length = [], 0
         n = low + number // SHAPES % (high - low)
-        while length < n:
-            if (word := next(words, None)) is None:
-                return out
+        for word in words:
             taken.append(word)
             length += len(word)
+            if length >= n:
+                break
+        else:
+            return
         if (token := _joined(taken, n, number % SHAPES)) is not None:
-            out.append(_cell(token))
-    return out
+            yield token
 
 
-def all_joined_cells(words: Iterator[str], number: int) -> list[int]:
-    """Cells of joinings of all words to the last, round after round of the classes; each round has the next shape and
+def all_joined(words: Iterator[str], number: int) -> Iterator[str]:
+    """Joinings of all words to the last, round after round of the classes; each round has the next shape and
     length."""
-    out: list[int] = []
     for word in words:
-        out += joined_cells(chain((word,), words), number)
+        yield from joined(chain((word,), words), number)
         number += 1
-    return out
+
+
+def joined_cells(words: Iterator[str], number: int) -> list[int]:
+    return cells(joined(words, number))
+
+
+def all_joined_cells(words: Iterator[str], number: int) -> list[int]:
+    return cells(all_joined(words, number))
 
 
 @cache
 def common_cells() -> Counter:
     """The cells of JOINED joinings of common words for each class and manner."""
     rng = random.Random(3)
-    return Counter(c for i in range(JOINED * MANNERS) for c in joined_cells(iter(lambda: rng.choice(COMMON), None), i % SHAPES))
+    return Counter(cells(token for i in range(JOINED * MANNERS) for token in joined(iter(lambda: rng.choice(COMMON), None), i % SHAPES)))
 
 
 _SCANNED = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("cell", pa.int32())])
 
 
+def _spans(offsets: list[int], spans: list[tuple[int, int, int]], cells: np.ndarray | None = None) -> pa.Array:
+    """Rows of spans (start, kind, end), with their cells or none."""
+    columns = [*(pa.array(c, f.type) for c, f in zip(zip(*spans, strict=True) if spans else ([], [], []), _SCANNED, strict=False))]
+    columns.append(pa.nulls(len(spans), pa.int32()) if cells is None else pa.array(cells))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_SCANNED)))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: list[list[int]] = [[], [], []]
-        shas, spans, tokens, words = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            text = text or ""
+        shas, spans, offsets, mixed = [], [], [0], []
+        tokens, words = Cells(), Cells()
+        for text in batch.column(1):
+            text = text.as_py() or ""
             base = base_spans(text)
             for kind in range(3):
                 counts[kind].append(sum(k == kind for _, k, _ in base))
             shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest())
-            spans.append([(a, k, b, None) for a, k, b in base])
+            spans += base
+            offsets.append(len(spans))
             # Each document adds joinings of all its words, in shapes and lengths that its own length begins.
-            mixed, plain = [], all_joined_cells((m.group() for m in _PLAIN.finditer(text)), len(text))
+            words.add(all_joined(map(re.Match.group, _PLAIN.finditer(text)), len(text)))
             for m in _TOKEN.finditer(text):
                 token = m.group()
                 if _WORD.fullmatch(token):
-                    plain.append(_cell(token))
+                    words.add((token,))
                 elif _mixes(token) and not any(a < m.end() and m.start() < b for a, _, b in base):
-                    mixed.append((m.start(), 3, m.end(), _cell(token)))
-            tokens.append(mixed)
-            words.append(plain)
-        keys = ("start", "kind", "end", "cell")
-        nested = [pa.array([[dict(zip(keys, x, strict=True)) for x in row] for row in rows], pa.list_(_SCANNED)) for rows in (spans, tokens)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), *nested, pa.array(words, pa.list_(pa.int32()))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens", "words"])
+                    mixed.append((m.start(), 3, m.end()))
+                    tokens.add((token,))
+            tokens.end_row()
+            words.end_row()
+        word_cells = pa.ListArray.from_arrays(pa.array(words.offsets, pa.int32()), pa.array(words.all()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), _spans(offsets, spans), _spans(tokens.offsets, mixed, tokens.all()), word_cells], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens", "words"])
 
 
 def reported_cells(tokens: dict[int, int], words: dict[int, int], false_share: float = FALSE_SHARE) -> list[int]:
